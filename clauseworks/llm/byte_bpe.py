@@ -14,7 +14,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clauseworks.llm._streams import small_batches
 from clauseworks.llm.pretoken import ranks, splitter
@@ -196,7 +196,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     small_batches(docs.sparkSession)
     names = [f"{prefix}n_tokens", f"{prefix}ids_sha256", f"{prefix}decoded_sha256"] + [f"{prefix}ids"] * ids
     kept = docs.select(*[c for c in docs.columns if c not in names])
-    schema = kept.schema
+    schema = StructType(kept.schema.fields[:])
     for name, kind in zip(names, ("long", "string", "string", "array<int>"), strict=False):
         schema = schema.add(name, kind)
 
@@ -234,7 +234,7 @@ def decode_ids(rows: DataFrame, vocabulary: str, ids: str = "ids", out: str = "d
                     decoded[i] = raw
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, out])
 
-    return kept.mapInArrow(run, kept.schema.add(out, "binary"))
+    return kept.mapInArrow(run, StructType(kept.schema.fields[:]).add(out, "binary"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
