@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from clauseworks.llm import byte_bpe, jaccard_join, token_counts
+from clauseworks.llm import byte_bpe, jaccard_join, line_templates, maglev, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_sharding": maglev.op9_sharding,
+    "op10_line_dedup": line_templates.op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_sharding": maglev.OP9_SQL,
+    "op10_line_dedup": line_templates.OP10_SQL,
+}
