@@ -100,20 +100,24 @@ def in_blocks(rows: DataFrame, key: str, ident: str, weight: Column, limit: int)
     return salted.withColumn("other", F.explode(other)).select(*rows.columns, "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix: at most one for each row."""
-    n = len(linked)
-    fresh = np.ones(n, bool)
-    out: list[tuple[int, int]] = []
-    for root in np.flatnonzero(linked.any(1)):
+def forest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Edges (ids, two columns) of a spanning forest of a symmetric boolean matrix: at most one for each row.
+
+    Trees grow from their least ids, so that groups that overlap give equal edges.
+    """
+    order = np.argsort(ids, kind="stable")
+    fresh = np.ones(len(ids), bool)
+    out: list[np.ndarray] = []
+    for root in order[linked.any(1)[order]].tolist():
         if not fresh[root]:
             continue
         fresh[root] = False
-        queue = [int(root)]
+        queue = [root]
         while queue:
             u = queue.pop()
             found = np.flatnonzero(linked[u] & fresh)
-            fresh[found] = False
-            out += [(u, int(v)) for v in found]
-            queue += found.tolist()
-    return out
+            if len(found):
+                fresh[found] = False
+                out.append(np.stack([np.full(len(found), ids[u]), ids[found]], 1))
+                queue += found.tolist()
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)

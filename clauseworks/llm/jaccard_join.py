@@ -27,7 +27,7 @@ from clauseworks.operators.graph import connected_components
 from clauseworks.runtime import materialize
 
 #: Members of a bucket's block, and hashes of n-grams (plus a constant for each member) of a verification block.
-BUCKET_BLOCK, VERIFY_BLOCK, MEMBER = 1024, 400_000, 1000
+BUCKET_BLOCK, VERIFY_BLOCK, MEMBER = 4096, 400_000, 1000
 
 
 def sketches(docs: DataFrame, ident: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
@@ -115,11 +115,8 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
             own = t["own"].to_numpy()
             close &= own[:, None] != own
         np.fill_diagonal(close, False)
-        edges = forest(close)
-        if not edges:
-            return None
-        ids, at = t["id"].to_numpy(), np.array(edges)
-        return pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["a", "b"])
+        edges = forest(close, t["id"].to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
     blocks = in_blocks(spread, "key", "id", F.lit(1), BUCKET_BLOCK // 2)
     candidates = connected_components(per_group(blocks, ["key", "bi", "bj"], bucket, "a long, b long"))
@@ -154,9 +151,9 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
         linked = shared & (both >= threshold * (n_s[:, None] + n_s - both) - 1e-9)
         links = (linked * size).sum(1)
         some = np.flatnonzero(links)
-        edges = np.array(forest(linked), np.int64).reshape(-1, 2)
-        a = np.concatenate([ids[some], ids[edges[:, 0]]])
-        b = np.concatenate([np.full(len(some), -1), ids[edges[:, 1]]])
+        edges = forest(linked, ids)
+        a = np.concatenate([ids[some], edges[:, 0]])
+        b = np.concatenate([np.full(len(some), -1), edges[:, 1]])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=np.arange(len(b)) < len(some)), pa.array(np.concatenate([links[some], np.zeros(len(edges), np.int64)]))], names=["a", "b", "links"])
 
     parts = in_blocks(full, "component", "id", F.col("n_shingles") + MEMBER, VERIFY_BLOCK // 2)
