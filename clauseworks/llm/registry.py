@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from clauseworks.llm import byte_bpe, jaccard_join, line_templates, maglev, quality, token_counts
+from clauseworks.llm import byte_bpe, decontaminate, jaccard_join, lattice, line_templates, maglev, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
+    "op3_embedding_near_dedup": lattice.op3_embedding_near_dedup,
     "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_sharding": maglev.op9_sharding,
     "op10_line_dedup": line_templates.op10_line_dedup,
