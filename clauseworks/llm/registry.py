@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clauseworks.llm import byte_bpe, decontaminate, jaccard_join, lattice, line_templates, maglev, quality, token_counts
+from clauseworks.llm import byte_bpe, decontaminate, jaccard_join, lattice, line_templates, maglev, quality, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,12 +10,14 @@ QUERIES = {
     "op3_embedding_near_dedup": lattice.op3_embedding_near_dedup,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+    "op6_warc": warc.op6_warc,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_sharding": maglev.op9_sharding,
     "op10_line_dedup": line_templates.op10_line_dedup,
 }
 
 ORACLE = {
+    "op6_warc": warc.OP6_SQL,
     "op9_sharding": maglev.OP9_SQL,
     "op10_line_dedup": line_templates.OP10_SQL,
 }
