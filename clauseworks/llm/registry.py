@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clauseworks.llm import byte_bpe, decontaminate, jaccard_join, lattice, line_templates, maglev, quality, token_counts, warc
+from clauseworks.llm import byte_bpe, decontaminate, interpolation, jaccard_join, lattice, line_templates, maglev, quality, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_warc": warc.op6_warc,
+    "op7_lm_scoring": interpolation.op7_lm_scoring,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_sharding": maglev.op9_sharding,
     "op10_line_dedup": line_templates.op10_line_dedup,
