@@ -20,7 +20,7 @@ from clauseworks.llm._streams import small_batches
 from clauseworks.llm.pretoken import ranks, splitter
 
 #: Words that a Python worker remembers before it starts afresh. Bounds memory, not results.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Longer words go through a query that contracts all occurrences of a pair at once where that is the same.
 LONG = 48
 
@@ -28,23 +28,17 @@ _SHORT = """
 with recursive t(s, w, p, tok) as (
     select 0, w, p, tok from start
     union all
-    select s + 1, w, p, case when p = h then merged else tok end
-    from (
-        select *, lag(p) over (partition by w order by p) as before
-        from (
-            select *, min(rank) over byw as least, min((rank::bigint << 32) | p) over byw & 4294967295 as h
-            from (
-                select s, w, p, tok, m.rank, m.merged
-                from (select *, lead(tok) over (partition by w order by p) as next from t) x
-                left join merges m on m.a = x.tok and m.b = x.next
-            )
-            window byw as (partition by w)
-        )
-        where least is not null
-    )
-    where before is distinct from h
+    select x.s + 1, x.w, case when x.p > b.h then x.p - 1 else x.p end, case when x.p = b.h then b.merged else x.tok end
+    from t x
+    join (
+        select y.w, min((m.rank::bigint << 32) | y.p) & 4294967295 as h, min(m.rank) as merged
+        from t y join t z on z.w = y.w and z.p = y.p + 1
+        join merges m on m.a = y.tok and m.b = z.tok
+        group by y.w
+    ) b on b.w = x.w
+    where x.p <> b.h + 1
 )
-select w, p, tok from (select *, max(s) over (partition by w) as final from t) where s = final order by w, p
+select w, p, tok from t join (select w, max(s) as s from t group by w) f using (w, s) order by w, p
 """
 
 _LONG = """
