@@ -102,7 +102,7 @@ class Duck(Spark):
         return f"([{', '.join(map(self.lit, values))}])[cast({i} as int) + 1]"
 
     def words(self, x: str) -> str:
-        return f"cast(len(list_filter(regexp_split_to_array({x}, '\\s+'), w -> w <> '')) as int)"
+        return f"cast(len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')) as int)"
 
 
 SPARK, DUCK = Spark(), Duck()

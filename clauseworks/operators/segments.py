@@ -201,23 +201,23 @@ def merge_batches_sql(d: Spark, sections: str) -> str:
     """
     if d.name == "spark":
         step = (
-            f"case when a.size + x.n > {MOST_CHARS} and a.some then named_struct('batch', a.batch + 1, 'size', x.n) else named_struct('batch', a.batch, 'size', a.size + x.n) end"
+            f"case when a.size + x.n > {MOST_CHARS} and a.started then named_struct('batch', a.batch + 1, 'size', x.n) else named_struct('batch', a.batch, 'size', a.size + x.n) end"
         )
         return f"""
 select doc_id, inline(out) from (
-  select doc_id, aggregate(array_sort(collect_list(struct(ord, n))), named_struct('batch', 0, 'size', 0L, 'some', false, 'out', cast(array() as array<struct<ord: int, batch: int>>)),
+  select doc_id, aggregate(array_sort(collect_list(struct(ord, n))), named_struct('batch', 0, 'size', 0L, 'started', false, 'out', cast(array() as array<struct<ord: int, batch: int>>)),
     (a, x) -> transform(array({step}), b -> named_struct(
       'batch', case when b.size >= {LEAST_CHARS} then b.batch + 1 else b.batch end, 'size', case when b.size >= {LEAST_CHARS} then 0L else b.size end,
-      'some', b.size < {LEAST_CHARS}, 'out', array_append(a.out, named_struct('ord', x.ord, 'batch', b.batch))))[0]).out as out
+      'started', b.size < {LEAST_CHARS}, 'out', array_append(a.out, named_struct('ord', x.ord, 'batch', b.batch))))[0]).out as out
   from (select doc_id, cast(ord as int) as ord, cast(n as bigint) as n from {sections} as x) group by doc_id)
 """
     return f"""
-with recursive s as (select doc_id, cast(ord as int) as ord, n from {sections} as x), w(doc_id, ord, batch, next_batch, size, some) as (
+with recursive s as (select doc_id, cast(ord as int) as ord, n from {sections} as x), w(doc_id, ord, batch, next_batch, size, started) as (
   select doc_id, ord, 0, case when n >= {LEAST_CHARS} then 1 else 0 end, case when n >= {LEAST_CHARS} then 0 else n end, n < {LEAST_CHARS} from s where ord = 1
   union all
   select s.doc_id, s.ord, b.k, case when b.z >= {LEAST_CHARS} then b.k + 1 else b.k end, case when b.z >= {LEAST_CHARS} then 0 else b.z end, b.z < {LEAST_CHARS}
   from w join s on s.doc_id = w.doc_id and s.ord = w.ord + 1,
-  lateral (select case when w.some and w.size + s.n > {MOST_CHARS} then w.next_batch + 1 else w.next_batch end as k, case when w.some and w.size + s.n > {MOST_CHARS} then s.n else w.size + s.n end as z) b
+  lateral (select case when w.started and w.size + s.n > {MOST_CHARS} then w.next_batch + 1 else w.next_batch end as k, case when w.started and w.size + s.n > {MOST_CHARS} then s.n else w.size + s.n end as z) b
 )
 select doc_id, ord, batch from w
 """
