@@ -14,7 +14,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from clauseworks.llm._streams import small_batches
 from clauseworks.llm.pretoken import ranks, splitter
@@ -191,7 +191,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     names = [f"{prefix}n_tokens", f"{prefix}ids_sha256", f"{prefix}decoded_sha256"] + [f"{prefix}ids"] * ids
     kept = docs.select(*[c for c in docs.columns if c not in names])
     schema = StructType(kept.schema.fields[:])
-    for name, kind in zip(names, ("long", "string", "string", "array<int>"), strict=False):
+    for name, kind in zip(names, ("long", "string", "string", ArrayType(IntegerType())), strict=False):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,8 +93,8 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
     component_id is the least id reachable by links; kept marks that row. Bands and rows come from
     `recall`, the chance to find a pair just at the threshold. Null, empty and blank texts link with
     nothing and are their own component. Ids are integers without repeats (repeated ids are counted
-    as rows of their own in n_links); rows with a null id come out with a component of null. Columns
-    of docs other than id and text are not looked at.
+    as rows of their own in n_links); rows with a null id link with nothing and come out with null class
+    and component, not kept. Columns of docs other than id and text are not looked at.
     """
     small_batches(docs.sparkSession)
     bands, rows = layout(threshold, recall)
@@ -163,16 +163,12 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
 
     result = classes.join(links, classes.class_id == links.linked, "left").join(groups, classes.class_id == groups.node, "left")
     result = result.select(F.col("print").alias("of"), "class_id", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    # texts without shingles have no class: they get an id of their own as key, so that many of them don't meet in one task
-    out = base.select("id", F.when(F.col("n_shingles") > 0, F.col("print")).otherwise(F.concat(F.lit("id "), F.col("id").cast("string")).cast("binary")).alias("print")).join(result, F.col("print") == F.col("of"), "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(
-        F.col("id").alias(ident),
-        F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        (component == F.col("id")).alias("kept"),
-    )
+    # rows without shingles or id have no class; they don't go through the join, where they would share a key
+    has = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    inside = base.where(has).select("id", "print").join(result, F.col("print") == F.col("of"))
+    inside = inside.select(F.col("id").alias(ident), "class_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("component_id") == F.col("id")).alias("kept"))
+    alone = base.where(~has).select(F.col("id").alias(ident), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    return inside.unionByName(alone)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

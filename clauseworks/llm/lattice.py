@@ -65,10 +65,10 @@ def nearest_point(x: np.ndarray) -> np.ndarray:
     return np.where(closer[:, None], whole, half)
 
 
-def _key(table: int, points: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of lattice points (their doubled coordinates are whole numbers)."""
+def _key(table: int, width: int, points: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of lattice points (their doubled coordinates are whole numbers), by table and vectors' width."""
     twice = np.rint(points * 2).astype(np.int64).view(np.uint64)
-    h = np.full(points.shape[:-1], table + 1, np.uint64)
+    h = np.full(points.shape[:-1], (width << 20) + table + 1, np.uint64)
     for i in range(8):
         h = mix((h + twice[..., i]) * np.uint64(0x9E3779B97F4A7C15))
     return h.view(np.int64)
@@ -81,11 +81,11 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
     for t in range(tables):
         x = unit @ (rng.standard_normal((unit.shape[1], 8)) * scale)
         own = nearest_point(x)
-        out[:, t, 0] = _key(t, own)
+        out[:, t, 0] = _key(t, unit.shape[1], own)
         if probes:
             toward = (x - own) @ NEIGHBOURS.T
             best = np.argpartition(-toward, probes - 1, axis=1)[:, :probes]
-            out[:, t, 1:] = _key(t, own[:, None, :] + NEIGHBOURS[best])
+            out[:, t, 1:] = _key(t, unit.shape[1], own[:, None, :] + NEIGHBOURS[best])
     return out
 
 
@@ -113,7 +113,7 @@ def near_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embeddin
     null, empty, zero or hold null or non-finite numbers link with nothing, nor do vectors of
     different lengths with each other. n_links counts the other rows linked directly, equal vectors
     included; component_id is the least id reachable; kept marks it. Ids are integers without
-    repeats; rows with a null id come out with a null component. Other columns are not looked at.
+    repeats; rows with a null id link with nothing and have a null component. Other columns are not looked at.
     Candidates come from lattice cells, so recall just at the threshold is below one (the tests
     measure it); every link reported is exact.
     """
@@ -153,8 +153,6 @@ def near_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embeddin
         if not home.any():
             return None
         coarse = t["coarse"].to_pylist()
-        if len({len(x) for x in coarse}) > 1:
-            return None
         q = np.array([np.frombuffer(x, np.int8) for x in coarse], np.float32)
         q /= np.linalg.norm(q, axis=1, keepdims=True)
         close = (q @ q.T >= slack) & (home[:, None] | home)
@@ -189,10 +187,11 @@ def near_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embeddin
     groups = connected_components(found.where("b is not null"))
     result = classes.join(links, classes.class_id == links.linked, "left").join(groups, classes.class_id == groups.node, "left")
     result = result.select(F.col("print").alias("of"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    key = F.coalesce("print", F.concat(F.lit("id "), F.col("id").cast("string")).cast("binary"))
-    out = base.select("id", key.alias("print")).join(result, F.col("print") == F.col("of"), "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(ident), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    has = F.col("print").isNotNull() & F.col("id").isNotNull()
+    inside = base.where(has).select("id", "print").join(result, F.col("print") == F.col("of"))
+    inside = inside.select(F.col("id").alias(ident), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("component_id") == F.col("id")).alias("kept"))
+    alone = base.where(~has).select(F.col("id").alias(ident), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    return inside.unionByName(alone)
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

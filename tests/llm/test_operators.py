@@ -1,0 +1,512 @@
+"""The numbered operators against brute force, round trips and held-out accuracy, and their awkward inputs."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from clauseworks.llm import byte_bpe, decontaminate, interpolation, jaccard_join, lattice, line_templates, maglev, quality, registry, shingles, token_counts, warc
+from clauseworks.llm.pretoken import ranks
+
+JSON, RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+#: Columns that clash with names used inside the operators.
+EXTRA = {"id": 1, "t": "x", "key": 2, "print": "p", "n_tokens": "n", "n_lines": "l", "n_dropped": "d", "slot": "s", "shard": "h", "score": "c", "component": 5, "positions": 7, "blocks": 8, "own": 9, "ids": "i"}
+SCHEMA = "doc_id long, text string, " + ", ".join(f"{k} {'int' if isinstance(x, int) else 'string'}" for k, x in EXTRA.items())
+
+
+def words(n, seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def awkward():
+    """Nulls, empty and blank texts, a very long one, ties, repeated rows, odd characters."""
+    base = words(120, 1)
+    long = words(30_000, 2)
+    texts = [(1, base), (2, base), (2, base), (3, base + " more"), (None, base), (4, None), (5, ""), (6, " \n\t "), (7, long), (8, long + " end"), (9, "a"), (10, "a"), (None, None), (11, "<|endoftext|> x <|endoftext|>"), (12, "日本語 \x1c\x85   naïve İ"), (13, "w" * 3000), (14, "one two\n" + base + "\nlast")]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def docs(spark, awkward):
+    return spark.createDataFrame([(i, t, *EXTRA.values()) for i, t in awkward], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("false")
+
+
+# --- 1 and 8: tokens --------------------------------------------------------------
+
+
+def test_token_counts_equal_the_library(spark, docs, awkward, none, sf):
+    library = Tokenizer.from_file(JSON)
+    count = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    got = token_counts.count_tokens(docs, JSON, PATTERN).select("doc_id", "text", "n_bytes", "n_tokens", "over_limit").collect()
+    assert sorted(((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in got)) == sorted((i or 0, len((t or "").encode()), count(t), count(t) > 512) for i, t in awkward)
+    assert token_counts.count_tokens(none, JSON, PATTERN).count() == 0
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    for r in token_counts.count_tokens(texts, JSON, PATTERN).collect():
+        assert r.n_tokens == count(r.text)
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    words = token_counts.Counter(JSON)
+    find = token_counts.splitter(PATTERN).findall
+    text = "the quick brown fox jumps over the lazy dog and the quick cat"
+    assert token_counts.count_text(text, words, find, None) == len(Tokenizer.from_file(JSON).encode(text).ids)
+
+
+def reference_encoding():
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks(RANKS), special_tokens={})
+
+
+def test_bpe_equals_the_library_and_decodes(spark, docs, awkward, none, sf):
+    library = reference_encoding()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    expect = lambda t: (len(e := library.encode_ordinary(t or "")), digest(" ".join(map(str, e))), digest(t or ""))
+    encoded = byte_bpe.encode_texts(docs.drop("ids"), RANKS, PATTERN, ids=True)
+    got = encoded.collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted((i or 0, *expect(t)) for i, t in awkward)
+    decoded = byte_bpe.decode_ids(encoded, RANKS).select("text", "decoded").collect()
+    assert all(bytes(r.decoded).decode() == (r.text or "") for r in decoded)
+    assert byte_bpe.encode_texts(none, RANKS, PATTERN).count() == 0
+    for r in registry.QUERIES["op8_byte_bpe"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").collect():
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == expect(r.text)
+
+
+@pytest.mark.parametrize("word", ["ing" * 60, "a" * 500, "é" * 70, " " * 200, "".join(random.Random(5).choice("abcdefgh") for _ in range(700)), "thethethe" * 20])
+def test_long_words_contract_alike(word):
+    codec = byte_bpe.Codec(RANKS)
+    w, tok = codec.contract([word.encode()])
+    assert tok.tolist() == [y for x in [word] for y in reference_encoding()._core_bpe.encode_single_piece(x.encode())]
+    assert codec.decode(w, tok) == [word.encode()]
+
+
+# --- 2: n-gram Jaccard join -----------------------------------------------------------
+
+
+def jaccard_brute(rows, threshold=0.8):
+    """(links, component) by position, comparing all pairs of shingle sets."""
+    sets = [set(shingles.shingle_set(t, 5).tolist()) if i is not None else set() for i, t in rows]
+    linked = defaultdict(set)
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                linked[a].add(b)
+                linked[b].add(a)
+    out = []
+    for a in range(len(rows)):
+        seen, queue = {a}, [a]
+        while queue:
+            for v in linked[queue.pop()] - seen:
+                seen.add(v)
+                queue.append(v)
+        out.append((rows[a][0], len(linked[a]), min((rows[v][0] for v in seen if rows[v][0] is not None), default=None)))
+    return out
+
+
+def as_rows(df):
+    return sorted(((r.doc_id, r.n_links, r.component_id) for r in df.collect()), key=repr)
+
+
+def test_jaccard_join_equals_all_pairs(spark, docs, awkward, none):
+    expected = [(i, n, c if i is not None else None) for i, n, c in jaccard_brute(awkward)]
+    assert as_rows(jaccard_join.jaccard_join(docs)) == sorted(expected, key=repr)
+    assert jaccard_join.jaccard_join(none).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_jaccard_join_of_a_large_group_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "VERIFY_BLOCK", block * 1000)
+    rng = random.Random(3)
+    base = words(90, 4).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(90)] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, words(50, 100 + i)) for i in range(20)] + [(200, rows[5][1]), (201, rows[5][1])]
+    got = as_rows(jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == sorted(jaccard_brute(rows), key=repr)
+
+
+def test_bands_meet_the_recall():
+    for t in (0.7, 0.8, 0.9):
+        b, r = shingles.layout(t, 0.999)
+        assert 1 - (1 - t**r) ** b >= 0.999
+        assert b * r <= 128
+
+
+# --- 3: embeddings -----------------------------------------------------------------------
+
+
+def vectors_brute(rows, threshold=0.9):
+    def unit(x):
+        if not x or any(y is None or not math.isfinite(y) for y in x) or not any(x):
+            return None
+        v = np.array(x, np.float64)
+        return v / np.linalg.norm(v)
+
+    u = [unit(x) if i is not None else None for i, x in rows]
+    out = []
+    linked = [{b for b in range(len(rows)) if b != a and u[a] is not None and u[b] is not None and len(u[a]) == len(u[b]) and u[a] @ u[b] >= threshold} for a in range(len(rows))]
+    for a in range(len(rows)):
+        seen, queue = {a}, [a]
+        while queue:
+            for v in linked[queue.pop()] - seen:
+                seen.add(v)
+                queue.append(v)
+        out.append((rows[a][0], len(linked[a]), min((rows[v][0] for v in seen), default=None) if rows[a][0] is not None else None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_near_vectors_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(lattice, "CELL_BLOCK", block)
+    monkeypatch.setattr(lattice, "VERIFY_BLOCK", block)
+    rng = np.random.default_rng(0)
+    centre = rng.standard_normal((12, 64))
+    x = [(c + rng.standard_normal(64) * 0.12 * np.linalg.norm(c) / 8).tolist() for c in centre for _ in range(6)] + rng.standard_normal((60, 64)).tolist()
+    rows = list(enumerate(x)) + [(500, x[0]), (501, x[0]), (None, x[0]), (502, None), (503, []), (504, [0.0] * 64), (505, [float("nan")] * 64), (506, [1.0, None]), (507, [1.0, 2.0]), (508, [1.0, 2.1]), (509, [float("inf"), 1.0])]
+    df = spark.createDataFrame([(i, v, 1, "k") for i, v in rows], "vec_id long, embedding array<float>, id int, key string")
+    rows = [(i, None if v is None else [None if y is None else float(np.float32(y)) for y in v]) for i, v in rows]
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in lattice.near_vectors(df).collect()), key=repr)
+    assert got == vectors_brute(rows)
+    assert lattice.near_vectors(df.where("false")).count() == 0
+
+
+def test_lattice_recall_just_at_the_threshold():
+    rng = np.random.default_rng(1)
+    a, b = rng.standard_normal((2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = 0.9 * a + math.sqrt(1 - 0.81) * b
+    x, y = lattice.cells(a), lattice.cells(c)
+    met = np.zeros(len(a), bool)
+    for t in range(lattice.TABLES):
+        met |= (x[:, t] == y[:, t, :1]).any(1) | (y[:, t] == x[:, t, :1]).any(1)
+    assert met.mean() >= 0.98
+
+
+def test_nearest_lattice_point():
+    x = np.random.default_rng(2).standard_normal((500, 8)) * 2
+    p = lattice.nearest_point(x)
+    own = ((x - p) ** 2).sum(1)
+    assert len(lattice.NEIGHBOURS) == 240
+    assert all((own <= ((x - p - v) ** 2).sum(1) + 1e-9).all() for v in lattice.NEIGHBOURS)
+
+
+# --- 4: quality -----------------------------------------------------------------------------
+
+
+def test_quality_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.01"
+    got = registry.QUERIES["op4_quality_classifier"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
+    held = got[got.held_out]
+    assert (held.predicted == held.quality).mean() >= 0.97
+    assert held[held.quality == 1].predicted.mean() >= 0.99
+
+
+def test_quality_of_awkward_input(spark, docs, none):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 15)] + [(None, 1, 0), (3, None, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    got = quality.score(docs, model).collect()
+    assert len(got) == docs.count()
+    assert all(0 <= r.score <= 1 for r in got)
+    assert {r.score for r in got if not r.text} == {0.5}
+    assert quality.score(none, model).count() == 0
+    empty = quality.fit(docs, labels.where("false"))
+    assert {r.score for r in quality.score(docs, empty).collect()} == {0.5}
+
+
+def test_quality_sample_is_bounded(spark, sf, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_PER_LABEL", 5)
+    model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert len(model.labels) <= 10
+
+
+# --- 5: decontamination -----------------------------------------------------------------------
+
+
+def test_leaks_equal_a_search_of_all_windows(spark, sf):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    changed = []
+    for k, (i, t) in enumerate(items[:12]):
+        w = t.split()
+        w[len(w) // 2] = w[-1] if k % 2 else "zzz"
+        changed.append((10_000 + i, words(40, i) + " " + " ".join(w).upper() + "! " + words(30, i + 50)))
+    docs = docs[:120] + changed
+    index = decontaminate.Index(items, decontaminate.RADIUS, decontaminate.THRESHOLD, 5).built
+    expected = set()
+    for i, t in docs:
+        h = decontaminate.word_hashes(t)
+        for j, n in enumerate(index.length.tolist()):
+            if len(h) >= n:
+                s = shingles.windows(h, 5).tolist()
+                if set(s) & set(index.shingles[j]) and max(index.similarity(s[a : a + n - 4], j) for a in range(len(h) - n + 1)) >= 0.8:
+                    expected.add((i, index.ids[j]))
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == expected
+    assert any(i >= 10_000 for i, _ in expected)
+
+
+def test_fingerprints_within_the_radius_are_always_found():
+    items = [(i, words(30, i)) for i in range(50)]
+    index = decontaminate.Index(items, 19, 0.8, 5).built
+    rng = random.Random(1)
+    for j, own in enumerate(index.fp.tolist()):
+        for distance in (0, 7, 19):
+            flipped = own
+            for b in rng.sample(range(64), distance):
+                flipped ^= 1 << b
+            assert (0, j) in set(index.candidates(np.array([flipped], np.uint64), 30))
+
+
+def test_leaks_of_awkward_input(spark, docs, awkward, none, monkeypatch):
+    bench = spark.createDataFrame([(1, words(120, 1), 3), (2, None, 3), (None, "x y z", 3), (3, "", 3), (4, "a", 3), (5, "one two", 3), (1, words(120, 1), 4)], "item_id long, text string, doc_id int")
+    expected = {(i, 1) for i, t in awkward if t and words(120, 1) in t} | {(9, 4), (10, 4), (14, 5)}
+    for most in (1000, 2):
+        monkeypatch.setattr(decontaminate, "SLICE_ITEMS", most)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == expected
+    assert decontaminate.find_leaks(none, bench).count() == 0
+    assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0
+
+
+# --- 6: WARC ------------------------------------------------------------------------------------
+
+
+def test_archives_round_trip(spark, tmp_path):
+    big = "<p>" + "é" * 200
+    rows = [(3, "http://b", big), (1, "http://a\r\nX: y", big), (2, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (None, "u", big), (1, "again", big), (7, "u", "x" * 300_000), (8, "u", big + "!")]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "page_id long, url string, html string, id int, payload string")
+    path = f"file://{tmp_path}/archive"
+    warc.write_archives(df.repartition(3), path)
+    got = warc.read_archives(spark, path)
+    key = lambda r: (r.record_id or "", r.record_type, r.refers_to or "")
+    responses = sorted((r.record_id or "", bytes(r.payload).decode()) for r in got.where("record_type = 'response'").collect())
+    assert responses == sorted((f"<urn:page:{i}>" if i else "", h or "") for i, _, h in rows if i != 3)
+    revisit = got.where("record_type = 'revisit'").collect()
+    assert [key(r) for r in revisit] == [("<urn:page:3>", "revisit", "<urn:page:1>")]
+    assert revisit[0].payload_bytes == len(big.encode())
+    assert revisit[0].payload_digest == hashlib.sha256(big.encode()).hexdigest()
+    assert warc.read_archives(spark, path, payload=False).where("payload is not null").count() == 0
+    assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
+    warc.write_archives(df.where("false"), f"file://{tmp_path}/empty")
+    assert warc.read_archives(spark, f"file://{tmp_path}/empty").count() == 0
+
+
+def test_reader_takes_predicates_and_skips_payloads(spark, tmp_path):
+    reader = warc.WarcReader({"path": f"file://{tmp_path}"})
+    left = list(reader.pushFilters([warc.EqualTo(("record_type",), "response"), warc.StringStartsWith(("target_uri",), "http://a"), warc.EqualTo(("payload",), b"x")]))
+    assert [x.attribute for x in left] == [("payload",)]
+    data = b"".join(warc.member(warc.record(k, f"<{i}>", u, b"p" * 5000, "d", None)) for i, (k, u) in enumerate([("response", "http://a/1"), ("metadata", "http://a/2"), ("response", "http://b")]))
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    assert [r.column("record_id")[0].as_py() for r in reader.read(warc.Archive(str(tmp_path / "x.warc.gz")))] == ["<0>"]
+
+    class Seen:
+        def __init__(self, raw):
+            self.raw, self.at, self.read_bytes = raw, 0, 0
+
+        size = lambda self: len(self.raw)
+        tell = lambda self: self.at
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            out = self.raw[self.at : self.at + n]
+            self.at += len(out)
+            self.read_bytes += len(out)
+            return out
+
+    noise = random.Random(0).randbytes(500_000)
+    raw = b"".join(warc.member(warc.record("response" if i == 1 else "metadata", f"<{i}>", "u", noise, None, None)) for i in range(3))
+    f = Seen(raw)
+    assert [h["warc-record-id"] for _, h, _ in warc.records(f, reader.filters[:1], True)] == ["<1>"]
+    assert f.read_bytes < len(raw) / 2
+
+
+@pytest.mark.parametrize("how", ["plain", "gzip"])
+def test_archives_of_other_writers(tmp_path, how):
+    import gzip
+
+    from pyarrow import fs
+
+    parts = [warc.record("response", f"<{i}>", "u", b"x" * (i * 3000), None, None) for i in range(4)]
+    (tmp_path / "a.warc").write_bytes(b"".join(map(gzip.compress, parts)) if how == "gzip" else b"".join(parts))
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc")) as f:
+        got = [(h["warc-record-id"], len(warc._payload(b)[0])) for _, h, b in warc.records(f, [], True)]
+    assert got == [(f"<{i}>", i * 3000) for i in range(4)]
+
+
+# --- 7: language model ------------------------------------------------------------------------------
+
+
+def lm_brute(rows):
+    """Base scores and counts, by plain counting."""
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "<end>"]
+    tokens = [split(t) for _, t in rows]
+    held = [i is None or zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    c = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
+    n, v = sum(c.values()), len(c)
+    return [(i, h, len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) for (i, _), h, t in zip(rows, held, tokens, strict=True)]
+
+
+@pytest.mark.parametrize(("chunk", "bucket"), [(2_000_000, 2_000_000), (3000, 700)])
+def test_lm_scores(spark, sf, monkeypatch, chunk, bucket):
+    monkeypatch.setattr(interpolation, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(interpolation, "BUCKET_ENTRIES", bucket)
+    got = registry.QUERIES["op7_lm_scoring"](spark, sf).toPandas().sort_values("doc_id")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    for r, (i, h, n, known, train, base) in zip(got.itertuples(), lm_brute(rows), strict=True):
+        assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i, h, n, known, train)
+        assert abs(r.base_score - base) < 1e-6
+    held = got[got.held_out]
+    assert held.score.sum() > held.base_score.sum()
+
+
+def test_mixture_sums_to_one_over_the_vocabulary():
+    rng = np.random.default_rng(0)
+    rows = [{"context": b, "n": 5, "p2": rng.random() * 5, "p1": rng.random(), "cell": 0} for b in range(6) for _ in range(20)]
+    w = interpolation.mixture(rows, 0.01)
+    assert w.shape == (interpolation.CONTEXTS, 3)
+    assert np.allclose(w.sum(1), 1)
+    assert (w > 0).all()
+
+
+def test_packing_round_trip():
+    rng = np.random.default_rng(0)
+    x = np.unique(rng.integers(0, 2**63, 1000, np.uint64))
+    assert (interpolation.unpack_sorted(interpolation.pack_sorted(x)) == x).all()
+    for y in (np.zeros(0, np.uint32), rng.integers(0, 2**32, 77, np.uint32)):
+        assert (interpolation.unpack(interpolation.pack(y)) == y).all()
+
+
+def test_lm_of_awkward_input(spark, docs, awkward, none):
+    got = sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in interpolation.score_texts(docs).collect())
+    assert got == sorted((i or 0, h, n, k, t, round(b, 4)) for i, h, n, k, t, b in lm_brute(awkward))
+    assert interpolation.score_texts(none).count() == 0
+    unseen = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
+    assert all(r.train_tokens == 0 and r.score <= 0 for r in interpolation.score_texts(unseen).collect())
+
+
+# --- 9 and 10: SQL operators -----------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    return db
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_registered_sql(spark, sf, duck, name):
+    got = registry.QUERIES[name](spark, sf)
+    found = duck.execute(registry.ORACLE[name])
+    names = [c[0] for c in found.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(repr, found.fetchall()))
+
+
+def test_shares_are_even_and_few_keys_move():
+    names = [f"s{i}" for i in range(20)]
+    table = maglev.fill(names, 65537)
+    sizes = Counter(table)
+    assert max(sizes.values()) / min(sizes.values()) < 1.02
+    fewer = maglev.fill(names[:-1], 65537)
+    moved = sum(a != b for a, b in zip(table, fewer, strict=True) if a != 19)
+    assert moved / 65537 < 0.05
+    with pytest.raises(ValueError, match="prime"):
+        maglev.fill(names, 100)
+
+
+def test_sharding_of_awkward_input(docs, none, tmp_path):
+    got = maglev.assign_shards(docs, "doc_id", ["a", "b"], 101)
+    assert got.count() == docs.count()
+    assert set(got.columns) == set(docs.columns)
+    assert got.where("doc_id = 2").select("slot").distinct().count() == 1
+    assert maglev.assign_shards(none, "doc_id", ["a"], 101).count() == 0
+    maglev.write_shards(docs, "doc_id", ["a", "b"], f"file://{tmp_path}/shards", 101)
+    assert docs.sparkSession.read.parquet(f"file://{tmp_path}/shards").count() == docs.count()
+
+
+def test_sharding_plan_is_native_and_broadcast(docs):
+    plan = maglev.assign_shards(docs, "doc_id", ["a", "b"], 101)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_templates_drop_copies_and_variable_fields(spark):
+    passage = words(60, 9)
+    near = passage.split()
+    near[30] = "other"
+    rows = [
+        (1, f"own line one of the first\n{passage}\nUser 17 logged in at 10:30 today"),
+        (2, f"{passage}\nown line two of the second"),
+        (3, f"{' '.join(near)}\nUser 99 logged in at 11:45 today\nshort line\nUser 98 logged in at 11:46 today"),
+        (4, "short line\nUser 5 wrote quite another thing today\n1 2 3 4 5 6"),
+        (5, "1 2 3 4 5 7\nown line two of the other second\nrepeated line in one text only\nrepeated line in one text only"),
+    ]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 3, 0)
+    assert got[2] == ("own line two of the second", 2, 1)
+    assert got[3] == ("short line", 4, 3)
+    assert got[4] == (rows[3][1], 3, 0)
+    assert got[5] == (rows[4][1], 4, 0)
+
+
+def test_templates_of_awkward_input(docs, awkward, none):
+    got = line_templates.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_dropped", "own").collect()
+    assert len(got) == len(awkward)
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append((r.text, r.n_dropped))
+    base = words(120, 1)
+    assert by[1] == [(base, 0)]
+    assert by[2] == [("", 1)] * 2
+    assert sorted(by[None], key=repr) == sorted([(base, 0), (None, 0)], key=repr)
+    assert by[4] == [(None, 0)] and by[5] == [("", 0)]
+    assert by[14] == [("one two\nlast", 1)]
+    assert line_templates.dedup_lines(none).count() == 0
+
+
+def test_native_operators_have_native_plans(spark, sf):
+    for name in ("op9_sharding", "op10_line_dedup"):
+        assert not re.search("Python|Pandas|Arrow", registry.QUERIES[name](spark, sf)._jdf.queryExecution().toString())
+
+
+def test_result_columns(spark, sf):
+    expected = {
+        "op1": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+        "op3": ["vec_id", "n_links", "component_id", "kept"],
+        "op4": ["doc_id", "held_out", "score", "predicted"],
+        "op6": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+        "op7": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        "op8": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    }
+    for name, query in registry.QUERIES.items():
+        if name.split("_")[0] in expected:
+            assert query(spark, sf).columns[: len(expected[name.split("_")[0]])] == expected[name.split("_")[0]]
+    assert F is not None
