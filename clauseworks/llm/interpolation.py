@@ -28,7 +28,7 @@ from clauseworks.llm.shingles import mix
 from clauseworks.runtime import materialize
 
 #: Tokens of a chunk, and entries of a bucket.
-CHUNK_TOKENS, BUCKET_ENTRIES = 2_000_000, 2_000_000
+CHUNK_TOKENS, BUCKET_ENTRIES = 1_000_000, 2_000_000
 #: Of crc32(id as text) mod 10: 0 is never learned from, 9 is held out for the mixture weights.
 UNSEEN, MIXING = 0, 9
 #: Context-frequency buckets (by powers of two), bins of a nat and number of bins of the held-out histogram, rounds.
@@ -300,8 +300,9 @@ def score_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
             for row in b.to_pylist():
                 c = Chunk(row)
                 own, context, p2, p1 = _estimates(c, row, "total", n)
-                w = weights[context]
-                score = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * uniform)
+                p2 *= weights[context, 0]
+                p1 *= weights[context, 1]
+                score = np.log10(p2 + p1 + weights[context, 2] * uniform)
                 base = np.log10((own + 0.1) / (n + 0.1 * (v + 1)))
                 per = lambda x: np.add.reduceat(x, c.starts)
                 has = np.frombuffer(row["has_id"], np.uint8) > 0
