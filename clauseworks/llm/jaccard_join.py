@@ -5,9 +5,9 @@
 2. Classes are shuffled by band hash. Within a band's bucket, classes whose sketches agree on far
    fewer places than any pair at the threshold would (five standard deviations below) are not
    candidates. A bucket gives a spanning forest of its candidates, not all pairs.
-3. The forests' components hold all candidate pairs. Within each, every two classes that share a
-   band are compared on their full sets of n-grams, in blocks of bounded weight; what leaves a
-   block is a number of links for each class and a spanning forest of the links.
+3. The forests' components hold all candidate pairs. Within each, every two classes are compared on
+   their full sets of n-grams, in blocks of bounded weight; what leaves a block is a number of links
+   for each class and a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -121,34 +121,28 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
     blocks = in_blocks(spread, "key", "id", F.lit(1), BUCKET_BLOCK // 2)
     candidates = connected_components(per_group(blocks, ["key", "bi", "bj"], bucket, "a long, b long"))
 
-    members = candidates.join(classes.select("class_id", "size", "n_shingles", "keys"), candidates.node == F.col("class_id"))
+    members = candidates.join(classes.select("class_id", "size", "n_shingles"), candidates.node == F.col("class_id"))
     texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("t"))
     members = members.join(texts, F.col("id") == F.col("class_id")).dropDuplicates(["class_id"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [shingle_set(t, n).tobytes() for t in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(made, pa.binary())], names=["component", "id", "size", "n_shingles", "keys", "shingles"])
+            made = [shingle_set(t, n).tobytes() for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(made, pa.binary())], names=["component", "id", "size", "n_shingles", "shingles"])
 
-    full = members.select("component", "id", "size", "n_shingles", "keys", "t").mapInArrow(sets, "component long, id long, size long, n_shingles int, keys array<long>, shingles binary")
+    full = members.select("component", "id", "size", "n_shingles", "t").mapInArrow(sets, "component long, id long, size long, n_shingles int, shingles binary")
     full = materialize(full, "shingles")
 
     def verify(t: pa.Table) -> pa.RecordBatch | None:
         ids, size = t["id"].to_numpy(), t["size"].to_numpy()
-        keys = np.array(t["keys"].to_pylist(), np.int64)
-        shared = np.zeros((len(ids), len(ids)), bool)
-        for k in keys.T:
-            shared |= k[:, None] == k
-        if t["bi"][0].as_py() != t["bj"][0].as_py():
-            own = t["own"].to_numpy()
-            shared &= own[:, None] != own
-        np.fill_diagonal(shared, False)
-        if not shared.any():
-            return None
         s = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
         n_s = np.array([len(x) for x in s], np.float64)
         both = _intersections(s).astype(np.float64)
-        linked = shared & (both >= threshold * (n_s[:, None] + n_s - both) - 1e-9)
+        linked = both >= threshold * (n_s[:, None] + n_s - both) - 1e-9
+        np.fill_diagonal(linked, False)
+        if t["bi"][0].as_py() != t["bj"][0].as_py():
+            own = t["own"].to_numpy()
+            linked &= own[:, None] != own
         links = (linked * size).sum(1)
         some = np.flatnonzero(links)
         edges = forest(linked, ids)
