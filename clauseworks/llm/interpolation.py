@@ -28,7 +28,7 @@ from clauseworks.llm.shingles import mix
 from clauseworks.runtime import materialize
 
 #: Tokens of a chunk, and entries of a bucket.
-CHUNK_TOKENS, BUCKET_ENTRIES = 1_000_000, 2_000_000
+CHUNK_TOKENS, BUCKET_ENTRIES = 500_000, 1_500_000
 #: Of crc32(id as text) mod 10: 0 is never learned from, 9 is held out for the mixture weights.
 UNSEEN, MIXING = 0, 9
 #: Context-frequency buckets (by powers of two), bins of a nat and number of bins of the held-out histogram, rounds.
@@ -41,7 +41,7 @@ _EIGHT = np.uint64(8)
 
 class Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -275,7 +275,7 @@ def score_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     spark = docs.sparkSession
     small_batches(spark)
     chunks = materialize(chunks_of(docs, ident, text), "chunks")
-    small_batches(spark, 4)  # rows are whole chunks from here on
+    small_batches(spark, size=4 << 20)  # rows are whole chunks from here on
     n_words, n_pairs = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0))).first()
     words = materialize(answers(chunks, False, n_words), "word-counts")
     pairs = materialize(answers(chunks, True, n_pairs), "pair-counts")
