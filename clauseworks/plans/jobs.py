@@ -243,3 +243,108 @@ def rules_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = "(source = 'section')"
     must = q.first_rule([("source = 'section'", "'Y'"), (r.hard_requirement(SPARK, "text"), "'Y'"), (r.warning_token(SPARK, "text"), "'Y'"), (r.soft_requirement(SPARK, "text"), "'Ambiguous'")], "'N'")
     return items.select("doc_id", "source", "line_number", F.expr("coalesce(nullif(clause_number, ''), heading)").alias("clause"), F.expr(must).alias("must"), F.expr(r.scope(SPARK, "text")).alias("scope"), F.expr(r.formatting(SPARK, "text")).alias("formatting"), F.expr(r.in_print(SPARK, "text", section)).alias("in_print"), "text")
+
+
+def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coredelta.with_properties(clauses(spark, sf_dir).select(F.col("clause_idx").alias("id"), "text", F.col("standard_name").alias("standard")))
+
+
+@query("S09_ordered_files", f"select 0 as file_ord, count(*) as n from {CLAUSES} as x where clause_idx % 2 = 0 union all select 1, count(*) from {CLAUSES} as y where clause_idx % 2 = 1")
+def ordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clauses(spark, sf_dir)
+    paths = []
+    for part in (0, 1):
+        paths.append(folder(spark, f"file{part}"))
+        sinks.write_csv(sinks.export_columns(sinks.tagged_rows(rows.where(F.col("clause_idx") % 2 == part))), paths[-1])
+    return tables.read_tagged(spark, paths).groupBy("file_ord").agg(F.count("*").alias("n"))
+
+
+@query("S11_header_row", "select 2 as header")
+def header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = spark.range(20).select(F.col("id").cast("int").alias("row_no"), F.when(F.col("id") == 2, F.array(F.lit("Clause"), F.lit("Text"))).otherwise(F.array(F.lit("x"), F.lit("y"))).alias("cells"))
+    return tables.header_row(cells)
+
+
+@query("S13_project_file", f"select clause_idx, text from {CLAUSES} as x where clause_idx < 20")
+def project_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save a project with its rows as a JSON string, load it again."""
+    path = folder(spark, "project")
+    some = clauses(spark, sf_dir).where("clause_idx < 20").select("clause_idx", "text")
+    records = some.agg(F.to_json(F.sort_array(F.collect_list(F.struct("clause_idx", "text")))).alias("dataframe_json"))
+    records.select(F.struct(F.lit("p1").alias("id"), F.lit("name").alias("name")).alias("metadata"), F.struct("dataframe_json").alias("source_data")).coalesce(1).write.json(path)
+    return tables.read_project(spark, path, "struct<clause_idx: bigint, text: string>").select("clause_idx", "text")
+
+
+@query("S14_project_index", "select 'p' || cast(i as varchar) as id, '2024-01-' || lpad(cast(i + 1 as varchar), 2, '0') as last_modified from range(5) r(i)")
+def project_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "index")
+    item = F.struct(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("2024-01-"), F.lpad((F.col("id") + 1).cast("string"), 2, "0")).alias("last_modified"))
+    spark.range(5).agg(F.collect_list(item).alias("projects")).coalesce(1).write.json(path)
+    return tables.read_projects(spark, path).select("id", "last_modified")
+
+
+@query("S17_group_clauses", f"select group_id, clause_number, text from {q.groups_sql(DUCK, CLAUSES)} as x where group_id < 10")
+def group_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "report")
+    members = run(f"select * from {q.groups_sql(SPARK, '<clauses>')} as x", clauses=clauses(spark, sf_dir))
+    sinks.write_json(sinks.nested_groups(members), path)
+    return tables.read_groups(spark, path, 10).select(F.col("group_id").cast("long").alias("group_id"), "clause_number", "text")
+
+
+@query("K12_appended_feedback", "select count(*) * 2 as n from events")
+def appended_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "appended")
+    rows = run(f"select type, page, rating, session_id from {q.feedback_sql(SPARK, '<events>')} as x", events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    for _ in range(2):
+        sinks.append_feedback(rows, path)
+    return tables.read_feedback(spark, path).agg(F.count("*").alias("n"))
+
+
+@query("K13_saved_cache", f"select md5(text) as key, case when min(clause_idx % 4) = 0 then 'new' else 'old' end as value from {CLAUSES} as x where clause_idx % 2 = 0 group by md5(text)")
+def saved_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = clauses(spark, sf_dir).where("clause_idx % 2 = 0").groupBy(F.md5("text").alias("key")).agg(F.min(F.col("clause_idx") % 4).alias("m"))
+    old = keys.select("key", F.lit("old").alias("value"))
+    new = keys.where("m = 0").select("key", F.lit("new").alias("value"))
+    return sinks.upsert(old, new, "key")
+
+
+@query("T04_injected_vectors", "select vec_id, cast(len(embedding) as int) as width from embeddings")
+def injected_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An injected embedding of clauses stands beside the column of vectors; both feed dense_edges."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.size("embedding").alias("width"))
+
+
+@query("T09_greedy_resolution", "select clause_idx as id, case when clause_idx % 3 = 0 then null else clause_idx - clause_idx % 3 end as original from " + CLAUSES + " as x where clause_idx < 300")
+def greedy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are near those before them in runs of three; the first of a run is kept."""
+    ids = clauses(spark, sf_dir).where("clause_idx < 300").select(F.col("clause_idx").alias("id"))
+    pairs = ids.select(F.col("id").alias("new"), F.explode(F.sequence(F.col("id") - F.col("id") % 3, F.col("id"))).alias("kept")).where("kept < new")
+    return s.greedy_keep(ids, pairs)
+
+
+@query("T14_hybrid_similarity")
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of neighbouring clauses with their hybrid similarity."""
+    rows = _properties(spark, sf_dir)
+    columns = ["text", "standard", "temperature", "measurement", "warning"]
+    other = rows.select((F.col("id") - 1).alias("id"), *(F.col(c).alias(f"{c}_2") for c in columns))
+
+    def score(batches):
+        for pdf in batches:
+            made = [coredelta.hybrid_similarity({c: x[c] for c in columns}, {c: x[f"{c}_2"] for c in columns}) for x in pdf.to_dict("records")]
+            yield pdf[["id"]].assign(similarity=made)
+
+    return rows.join(other, "id").mapInPandas(score, "id long, similarity double")
+
+
+@query("T16_core_groups")
+def core_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a topic's split whose common words cover enough of every member."""
+    split = topic_splits(spark, sf_dir)
+    texts = clauses(spark, sf_dir).select(F.col("clause_idx").alias("id"), F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("words"))
+    members = split.join(texts, "id")
+    core = members.select("seed", F.explode("words").alias("word"), "id").groupBy("seed", "word").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("seed").agg(F.count("*").alias("size"))
+    core = core.join(sizes, "seed").where("n = size").groupBy("seed").agg(F.array_sort(F.collect_list("word")).alias("core"), F.first("size").alias("size"))
+    share = F.size(F.array_intersect("words", "core")) / F.size("words")
+    return members.join(core, "seed").groupBy("topic", "seed", "size").agg(F.array_join(F.first("core"), " ").alias("core"), F.round(F.min(share), 6).alias("least_share")).where("least_share >= 0.3")

@@ -218,3 +218,31 @@ add("T10_adapter", lambda d, t: f"select group_id, min_by(text, clause_idx) as c
 add("T13_topics", lambda d, t: f"select clause_idx, {first_rule([(any_of('lower(text)', w), d.lit(k)) for k, w in coredelta.TOPICS.items()], d.lit('general'))} as topic from {t} as x", "clauses")
 add("T18_prompts", lambda d, t: f"select group_id, 'Consolidate:' || chr(10) || {d.listagg("standard_name || ' ' || clause_number || ': ' || text", chr(10), 'clause_idx')} as prompt from {groups_sql(d, t)} as x group by group_id having count(*) between 2 and 100", "clauses")
 add("X02_progress", lambda d, t: f"select clause_idx, 30 + cast(floor(clause_idx * 50.0 / (max(clause_idx) over () + 1)) as int) as progress from {t} as x", "clauses")
+
+# --- small operators that others build on -------------------------------------------
+add("S01_file_router", lambda d, t: f"select doc_id, case when lower(path) like '%.pdf' then 'pdf' else 'unsupported' end as route from (select doc_id, 'file' || cast(doc_id as string) || case when doc_id % 3 = 0 then '.PDF' when doc_id % 3 = 1 then '.pdf' else '.txt' end as path from {t} as x) y", "documents")
+add("S02_fallback_chain", lambda d, t: f"select doc_id, coalesce(case when length({d.strip('a')}) > 100 then 'first' end, case when length({d.strip('b')}) > 100 then 'second' end, 'recognition') as method from (select doc_id, substring(text, 1, 50 + cast(doc_id % 100 as int)) as a, substring(text, 1, 50 + cast(doc_id % 200 as int)) as b from {t} as x) y", "documents")
+add("S16_results_by_document", lambda d, t: f"select standard_name, count(*) as n, min(clause_idx) as first_clause from (select * from {t} as x union all select * from {t} as y where clause_idx % 2 = 0) z group by standard_name", "clauses")
+add("K02_csv_rows", lambda d, t: f"select text as description, standard_name, clause_number, {r.row_scope('text')} as scope, mandate_level, safety_flag, manual_flag from {requirements_sql(d, t)} as x where removal_reason is null", "clauses")
+add("K11_without_project", lambda d, t: f"select clause_idx from {t} as x where not coalesce(standard_name = 'src5', false)", "clauses")
+add("K14_cluster_debug", lambda d, t: f"select bucket, count(*) as size, min(substring(text, 1, 120)) as snippet from ({s.buckets_sql(d, t)}) x where bucket = 'miscellaneous_or_uncategorized/misc' group by bucket", "clauses")
+add("P44_display_similarity", lambda d, t: f"select group_id, least(95, 70 + 5 * count(*)) as similarity from {groups_sql(d, t)} as x group by group_id", "clauses")
+add("P47_difference_rows", lambda d, t: f"select group_id, {d.listagg("'<tr><td>' || standard_name || '</td><td>' || labels || '</td></tr>'", '', 'standard_name')} as html from (select group_id, standard_name, {d.listagg('clause_number', ', ', 'clause_idx')} as labels from {groups_sql(d, t)} as x group by group_id, standard_name) y group by group_id", "clauses")
+family = lambda c: first_rule([("(" + " or ".join(f"contains({c}, '{k}')" for k in names) + ")", f"'{f}'") for f, names in coredelta.FAMILIES.items()], "null")
+add("P52_standard_family", lambda d, t: f"select clause_idx, {family('name')} as family from (select clause_idx, case clause_idx % 4 when 0 then 'UL 2849' when 1 then 'EN 15194' when 2 then 'MD 2006' else standard_name end as name from {t} as x) y", "clauses")
+add("J02_next_heading", lambda d, t: f"with l as (select doc_id, lineno, {r.is_heading(d, 't')} as h from {t} as x) select a.doc_id, a.lineno, min(b.lineno) as next_heading from l a join l b on b.doc_id = a.doc_id and b.lineno > a.lineno and b.h where a.h group by a.doc_id, a.lineno", "lines")
+add("J06_lookup_by_index", lambda d, t: f"with members as (select clause_idx * 2 as i from {t} as x where clause_idx % 5 = 0) select c.clause_idx, c.standard_name from members m join {t} as c on c.clause_idx = m.i", "clauses")
+add("W01_islands", lambda d, t: f"select doc_id, lineno, sum(case when {r.is_heading(d, 't')} then cast(1 as bigint) else 0 end) over (partition by doc_id order by lineno) as island from {t} as x".replace("sum(", "cast(sum(").replace("lineno) as island", "lineno) as bigint) as island"), "lines")
+add("W03_ordinals", lambda d, t: f"select clause_idx, cast(dense_rank() over (order by standard_name) as bigint) as standard_no, cast(row_number() over (partition by standard_name order by clause_idx) as bigint) as n from {t} as x", "clauses")
+add("W04_first_last", lambda d, t: f"select standard_name, min_by(text, clause_idx) as first_text, max_by(text, clause_idx) as last_text from {t} as x group by standard_name", "clauses")
+add("W07_first_foreign", lambda d, t: f"select doc_id, lang from {t} as x where lang <> 'en' and length(text) > 20 order by doc_id limit 10", "documents")
+add("L03_head", lambda d, t: f"select clause_idx, clause_number from {t} as x order by clause_idx limit 10", "clauses")
+add("L04_counts_desc", lambda d, t: f"select category, n, cast(row_number() over (order by n desc, category) as bigint) as place from (select category, count(*) as n from ({s.buckets_sql(d, t)}) x group by category) y", "clauses")
+add("L07_vocabulary", lambda d, t: f"select bucket, count(distinct term) as terms from ({weights(d, t)}) x group by bucket", "clauses")
+add("A13_conflict_counts", lambda d, t: f"select count(*) as n_groups, cast(sum(case when levels > 1 then 1 else 0 end) as bigint) as conflicts from (select group_id, count(distinct mandate_level) as levels from {groups_sql(d, t)} as x group by group_id) y", "clauses")
+add("A21_core_ratio", lambda d, t: f"with g as (select group_id, count(*) as n from {groups_sql(d, t)} as y group by group_id), w as (select * from {words_of(d, t)} as z), core as (select w.group_id, word from w join g on g.group_id = w.group_id group by w.group_id, word, n having count(*) = n) select w.group_id, w.clause_idx, round(cast(count(c.word) as double) / count(*), 6) as ratio from w left join core c on c.group_id = w.group_id and c.word = w.word group by w.group_id, w.clause_idx", "clauses")
+add("T17_group_statistics", lambda d, t: f"select count(*) as n_groups, round(avg(cast(n as double)), 6) as mean_size, max(n) as largest from (select group_id, count(*) as n from {groups_sql(d, t)} as x group by group_id) y", "clauses")
+add("F06_probes", lambda d, t: f"select clause_idx, contains(text, 'shall') as says_shall, clause_number like '7.%' as in_seven from {t} as x", "clauses")
+add("F07_foreign_long", lambda d, t: f"select doc_id from {t} as x where lang <> 'en' and length({d.strip('substring(text, 1, 300)')}) > 30", "documents")
+add("U02_two_passes", lambda d, t: f"with s as ({g.manual_sections_sql(d, t)}), c as ({g.clause_hits_sql(d, t)}) select 'section' as source, doc_id, start_line as line from s union all select 'clause', doc_id, line_number from c", "lines")
+add("U05_shared_words", lambda d, t: f"with w as (select * from {words_of(d, t)} as z) select a.group_id, count(distinct a.word) as shared from w a join w b on b.group_id = a.group_id and b.word = a.word and b.clause_idx <> a.clause_idx group by a.group_id", "clauses")

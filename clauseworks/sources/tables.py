@@ -99,9 +99,9 @@ def read_feedback(spark: SparkSession, path: str, stream: bool = False) -> DataF
     return reader.schema(FEEDBACK).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_groups(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
-    """Clauses of the first groups of a group report."""
-    groups = spark.read.schema(GROUPS).option("multiLine", True).json(path)
+def read_groups(spark: SparkSession, path: str, most: int = 50, array: bool = False) -> DataFrame:
+    """Clauses of the first groups of a group report, of JSON lines or (array) of files that hold one array."""
+    groups = spark.read.schema(GROUPS).option("multiLine", array).json(path)
     return groups.where(F.col("group_id") < most).select("group_id", F.posexplode("clauses").alias("pos", "c")).select("group_id", "pos", "c.*")
 
 
