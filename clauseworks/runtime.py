@@ -31,13 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df once to the shared folder and read it back.
 
-    This cuts the lineage like checkpoint() but computes df once, and survives lost executors.
+    This cuts the lineage like checkpoint() but computes df once, and survives lost executors. The
+    files stay until release(), since lazy results may read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,3 +56,11 @@ def discard(df: DataFrame) -> None:
         if root in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that materialize() wrote in this process; results that read them must be saved by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -150,3 +150,15 @@ def test_stream_is_ingested_once(spark, tmp_path):
         feedback.ingest_feedback(spark, log, table, mark)
     feedback.ingest_feedback(spark, log, table, mark)
     assert feedback.feedback_metrics(spark.read.parquet(table)).first().asDict() == {"total": 4, "rating": 5.0, "sessions": 2}
+
+
+def test_release_deletes_what_was_written(spark):
+    from clauseworks.runtime import materialize, release
+
+    kept = materialize(spark.range(3))
+    assert kept.count() == 3
+    release(spark)
+    path = kept.inputFiles()[0].removeprefix("file:").replace("//", "/")
+    import os
+
+    assert not os.path.exists(path)
