@@ -173,11 +173,8 @@ BOUNDARIES = {
 }
 
 
-def segments_sql(d: Spark, lines: str, kind: str = "manual") -> str:
-    """Clauses of a text. A boundary needs ten more characters that begin with a capital or digit.
-
-    The first line of a text never names its clause; blank lines are kept.
-    """
+def segment_lines_sql(d: Spark, lines: str, kind: str) -> str:
+    """Lines with their chunk, and what a chunk's first line begins with (found; b = 1 if that is a boundary)."""
     found = "coalesce(" + ", ".join(f"nullif({d.strip(d.extract('s', p))}, '')" for p in BOUNDARIES[kind]) + ", '')"
     rest = d.strip("substring(s, length(found) + 1)")
     return f"""
@@ -185,15 +182,41 @@ with l as (
   select *, {found} as found, row_number() over (partition by doc_id order by lineno) as n from (select doc_id, lineno, t, {d.strip('t')} as s from {lines} as x)
 ), marked as (
   select *, case when n > 1 and found <> '' and length(rest) >= 10 and {d.like('rest', '^[A-Z0-9]')} then 1 else 0 end as b from (select *, {rest} as rest from l)
-), chunks as (
-  select *, sum(b) over (partition by doc_id order by lineno) as chunk from marked
 )
-select doc_id, cast(chunk as int) as chunk, min(lineno) as start_line, max(lineno) as end_line,
+select doc_id, lineno, t, found, b, cast(sum(b) over (partition by doc_id order by lineno) as int) as chunk from marked
+"""
+
+
+def segments_sql(d: Spark, lines: str, kind: str = "manual") -> str:
+    """Clauses of a text. A boundary needs ten more characters that begin with a capital or digit.
+
+    The first line of a text never names its clause; blank lines are kept.
+    """
+    return f"""
+select doc_id, chunk, min(lineno) as start_line, max(lineno) as end_line,
        case when max(b) = 1 then min_by(found, lineno) else 'N/A' end as clause_number, {d.listagg('t', chr(10), 'lineno')} as content
-from chunks group by doc_id, chunk
+from ({segment_lines_sql(d, lines, kind)}) c group by doc_id, chunk
 """
 
 
+def bounded_segments(lines: DataFrame, kind: str = "manual", most: int = 8000) -> DataFrame:
+    """G11 with its limit: a chunk is closed once its quarter-lengths add up to more than `most`; parts keep the clause."""
+    return run(
+        f"""
+with c as ({segment_lines_sql(SPARK, '<lines>', kind)}), folded as (
+  select doc_id, chunk, case when max(b) = 1 then min_by(found, lineno) else 'N/A' end as clause_number,
+         aggregate(array_sort(collect_list(struct(lineno, length(t) div 4 as n))), named_struct('part', 0, 'sum', 0L, 'out', cast(array() as array<struct<lineno: int, part: int>>)),
+           (a, x) -> named_struct('part', case when a.sum + x.n > {most} then a.part + 1 else a.part end, 'sum', case when a.sum + x.n > {most} then 0L else a.sum + x.n end,
+                                  'out', array_append(a.out, named_struct('lineno', cast(x.lineno as int), 'part', a.part)))).out as out
+  from c group by doc_id, chunk
+), parts as (select doc_id, chunk, clause_number, inline(out) from folded)
+select p.doc_id, p.chunk, part, p.clause_number, min(p.lineno) as start_line, max(p.lineno) as end_line, {SPARK.listagg('t', chr(10), 'p.lineno')} as content
+from parts p join c on c.doc_id = p.doc_id and c.lineno = p.lineno group by p.doc_id, p.chunk, part, p.clause_number
+""",
+        lines=lines,
+    )
+
+
 def merge_batches_sql(d: Spark, sections: str) -> str:
     """Batch of each section (doc_id, ord, n): small ones join until LEAST_CHARS, never beyond MOST_CHARS.
 

@@ -348,3 +348,8 @@ def core_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     core = core.join(sizes, "seed").where("n = size").groupBy("seed").agg(F.array_sort(F.collect_list("word")).alias("core"), F.first("size").alias("size"))
     share = F.size(F.array_intersect("words", "core")) / F.size("words")
     return members.join(core, "seed").groupBy("topic", "seed", "size").agg(F.array_join(F.first("core"), " ").alias("core"), F.round(F.min(share), 6).alias("least_share")).where("least_share >= 0.3")
+
+
+@query("G11_bounded_segments")
+def bounded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.bounded_segments(fixtures.fx_lines(spark, sf_dir), "all", 40)

@@ -97,6 +97,12 @@ def test_segments_need_a_remainder(spark):
     assert got == [(0, "N/A", 1, 1), (1, "a)", 2, 4)]
 
 
+def test_segments_close_above_the_limit(spark):
+    rows = [(1, 1, "7.1 First line of text here"), (1, 2, "x" * 40), (1, 3, "y" * 40), (1, 4, ""), (1, 5, "z" * 40), (1, 6, "7.2 Next clause of the text"), (1, 7, "w")]
+    got = sorted((r.chunk, r.part, r.clause_number, r.start_line, r.end_line) for r in segments.bounded_segments(spark.createDataFrame(rows, "doc_id long, lineno int, t string"), "all", 20).collect())
+    assert got == [(0, 0, "N/A", 1, 3), (0, 1, "N/A", 4, 5), (1, 0, "7.2", 6, 7)]
+
+
 def test_header_row_and_columns(spark):
     cells = spark.createDataFrame([(0, ["", "x"]), (1, ["Clause", "Description"]), (2, ["standard", ""])], "row_no int, cells array<string>")
     assert tables.header_row(cells).first().header == 1
