@@ -202,17 +202,34 @@ def answers(chunks: DataFrame, pairs: bool, entries: int) -> DataFrame:
     return per_group(asked, ["bucket"], add_up, "chunk long, bucket int, total binary, retained binary, words long, tokens long, retained_tokens long", least=1)
 
 
-def _joined(chunks: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Chunks with the answers to both questions, as lists by bucket."""
-    out = chunks
-    for name, given in (("words_of", words), ("pairs_of", pairs)):
-        listed = given.where("chunk is not null").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "total", "retained"))).alias(name))
-        out = out.join(listed, "chunk")
+_PACKED = ["docs", "has_id", "part", "lengths", "vocabulary", "ids"]
+
+
+def _together(chunks: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of each chunk: itself (kind 0) and the answers to its questions for words (1) and pairs (2).
+
+    A union dealt by chunk takes one shuffle and keeps rows small, where joins would nest all answers in one row.
+    """
+    none = lambda names: [F.lit(None).cast("binary").alias(c) for c in names]
+    out = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), *none(["total", "retained"]), *_PACKED)
+    for kind, given in ((1, words), (2, pairs)):
+        out = out.unionByName(given.where("chunk is not null").select("chunk", F.lit(kind).alias("kind"), "bucket", "total", "retained", *none(_PACKED)))
     return out
 
 
-def _told(listed: list[dict], which: str) -> np.ndarray:
-    return np.concatenate([unpack(x[which]) for x in listed]).astype(np.float64)
+def _gathered(t: pa.Table) -> dict:
+    """A chunk's rows as one: its own columns, and its answers in order of bucket."""
+    kind, bucket = t["kind"].to_numpy(), t["bucket"].to_numpy()
+    own = int(np.flatnonzero(kind == 0)[0])
+    row = {c: t[c][own].as_py() for c in _PACKED}
+    for k, name in ((1, "words_of"), (2, "pairs_of")):
+        at = np.flatnonzero(kind == k)
+        row[name] = t.take(at[np.argsort(bucket[at])]).select(["total", "retained"])
+    return row
+
+
+def _told(answers: pa.Table, which: str) -> np.ndarray:
+    return np.concatenate([unpack(x.as_py()) for x in answers[which]]).astype(np.float64)
 
 
 def _context(count: np.ndarray) -> np.ndarray:
@@ -282,34 +299,33 @@ def score_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     v, n, kept = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "tokens", "retained_tokens"))).first()
     uniform = 1 / (v + 1)
 
-    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                _, context, p2, p1 = _estimates(Chunk(row), row, "retained", kept)
-                cell, number = np.unique((context * BINS + _bin(p2)) * BINS + _bin(p1), return_inverse=True)
-                count = np.bincount(number)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count), pa.array(np.bincount(number, p2)), pa.array(np.bincount(number, p1))], names=["cell", "n", "p2", "p1"])
+    def held_out(t: pa.Table) -> pa.RecordBatch:
+        row = _gathered(t)
+        _, context, p2, p1 = _estimates(Chunk(row), row, "retained", kept)
+        cell, number = np.unique((context * BINS + _bin(p2)) * BINS + _bin(p1), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.bincount(number)), pa.array(np.bincount(number, p2)), pa.array(np.bincount(number, p1))], names=["cell", "n", "p2", "p1"])
 
-    sums = _joined(chunks.where("mixing"), words, pairs).mapInArrow(held_out, "cell long, n long, p2 double, p1 double")
+    mixing = _together(chunks.where("mixing"), words.where("retained is not null"), pairs.where("retained is not null"))
+    sums = per_group(mixing, ["chunk"], held_out, "cell long, n long, p2 double, p1 double", least=1)
     # at most CONTEXTS * BINS * BINS rows, whatever the data
     histogram = sums.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1")).withColumn("context", F.floor(F.col("cell") / (BINS * BINS))).orderBy("cell").collect()
     weights = mixture(histogram, uniform)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                c = Chunk(row)
-                own, context, p2, p1 = _estimates(c, row, "total", n)
-                p2 *= weights[context, 0]
-                p1 *= weights[context, 1]
-                score = np.log10(p2 + p1 + weights[context, 2] * uniform)
-                base = np.log10((own + 0.1) / (n + 0.1 * (v + 1)))
-                per = lambda x: np.add.reduceat(x, c.starts)
-                has = np.frombuffer(row["has_id"], np.uint8) > 0
-                columns = [pa.array(np.frombuffer(row["docs"], np.int64), mask=~has), pa.array(c.part == UNSEEN), pa.array(c.lengths), pa.array(per((own > 0).astype(np.int64))), pa.array(np.full(len(c.lengths), n, np.int64)), pa.array(per(base)), pa.array(per(score))]
-                yield pa.RecordBatch.from_arrays(columns, names=[ident, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return _joined(chunks, words, pairs).mapInArrow(scored, f"`{ident}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def scored(t: pa.Table) -> pa.RecordBatch:
+        row = _gathered(t)
+        c = Chunk(row)
+        own, context, p2, p1 = _estimates(c, row, "total", n)
+        p2 *= weights[context, 0]
+        p1 *= weights[context, 1]
+        score = np.log10(p2 + p1 + weights[context, 2] * uniform)
+        base = np.log10((own + 0.1) / (n + 0.1 * (v + 1)))
+        per = lambda x: np.add.reduceat(x, c.starts)
+        has = np.frombuffer(row["has_id"], np.uint8) > 0
+        columns = [pa.array(np.frombuffer(row["docs"], np.int64), mask=~has), pa.array(c.part == UNSEEN), pa.array(c.lengths), pa.array(per((own > 0).astype(np.int64))), pa.array(np.full(len(c.lengths), n, np.int64)), pa.array(per(base)), pa.array(per(score))]
+        return pa.RecordBatch.from_arrays(columns, names=[ident, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    schema = f"`{ident}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return per_group(_together(chunks, words, pairs), ["chunk"], scored, schema, least=1)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
