@@ -20,7 +20,7 @@ from clauseworks.llm._streams import small_batches
 from clauseworks.llm.pretoken import ranks, splitter
 
 #: Words that a Python worker remembers before it starts afresh. Bounds memory, not results.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: Longer words go through a query that contracts all occurrences of a pair at once where that is the same.
 LONG = 48
 
