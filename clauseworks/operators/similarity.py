@@ -220,13 +220,14 @@ def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
     At this ratio, the three-letter pieces of one text that the other lacks are at most three times
     the letters left unmatched, a fixed share of its length. With pieces ranked from rare to common,
-    two such texts meet within that many of their first pieces; only those are joined.
+    two such texts meet within that many of their first pieces; only those are joined, and pairs that
+    share too few pieces go no further.
     """
     loose = 1 - threshold
     share = 3 * loose * (1 + (2 - threshold) / threshold)
     return run(
         f"""
-with texts as (select id, s, length(s) as n from <rows>
+with texts as (select id, s, n, array_distinct(transform(sequence(1, greatest(n - 2, 1)), k -> substring(s, k, 3))) as grams from (select id, s, length(s) as n from <rows>)
 ), pieces as (
   select distinct id, n, substring(s, k, 3) as piece from (select id, s, n, explode(sequence(1, greatest(n - 2, 1))) as k from texts)
 ), ranked as (
@@ -236,6 +237,7 @@ with texts as (select id, s, length(s) as n from <rows>
   select distinct x.id as kept, y.id as new from firsts x join firsts y on y.piece = x.piece and x.id < y.id and 2 * least(x.n, y.n) >= {threshold} * (x.n + y.n)
 )
 select c.kept, c.new, k.s as kept_text, n.s as new_text from candidates c join texts k on k.id = c.kept join texts n on n.id = c.new
+where size(array_intersect(k.grams, n.grams)) >= greatest(size(k.grams) - floor({share} * k.n) - 1, size(n.grams) - floor({share} * n.n) - 1)
 """,
         rows=rows,
     )
