@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from clauseworks.functions import fixed as v
 from clauseworks.functions import text as r
 from clauseworks.functions.dialect import SPARK, Spark, any_like, run
+from clauseworks.runtime import materialize
 
 PAGE_LINES, LEAST_SECTIONS = 50, 5
 LEAST_CHARS, MOST_CHARS = 200, 5000
@@ -80,7 +81,7 @@ group by g.doc_id, start_line, end_line, heading, clause_number
 """
 
 
-def clause_hits_sql(d: Spark, lines: str) -> str:
+def clause_hits_sql(d: Spark, lines: str, sections: str = "") -> str:
     """Lines outside manual sections that hold a phrase about manuals, with two lines around them."""
     s = d.strip("t")
     low = f"lower({s})"
@@ -88,7 +89,7 @@ def clause_hits_sql(d: Spark, lines: str) -> str:
     around = "over (partition by doc_id order by lineno rows between 2 preceding and 2 following)"
     context = f"string_agg(t, chr(10)) {around}" if d.name == "duckdb" else f"array_join(collect_list(t) {around}, '\\n')"
     return f"""
-with sections as ({manual_sections_sql(d, lines)}), l as (
+with sections as ({f"select * from {sections}" if sections else manual_sections_sql(d, lines)}), l as (
   select doc_id, lineno, t, {s} as s, {low} as low, {context} as context from {lines} as x
 ), open_lines as (
   select l.* from l where not exists (select 1 from sections g where g.doc_id = l.doc_id and l.lineno between g.start_line and g.end_line)
@@ -148,14 +149,14 @@ select doc_id, start_line, end_line, heading, 0, parent, body from intro where l
 """
 
 
-def combined_sql(d: Spark, lines: str) -> str:
+def combined_sql(d: Spark, lines: str, given: str = "") -> str:
     """Of each manual section its numbered items, else its lettered ones, else its text without garbage; then clause hits."""
     keep = f"""select doc_id, start_line, end_line, heading, clause_number, coalesce({d.listagg('raw', chr(10), 'pos', f"{d.strip('raw')} <> '' and not {r.is_garbage(d, d.strip('raw'))}")}, '') as text
   from {d.lines('content', 'doc_id, start_line, end_line, heading, clause_number', 'sections')} as x group by doc_id, start_line, end_line, heading, clause_number"""
     none = lambda t: f"not exists (select 1 from {t} o where o.doc_id = s.doc_id and o.start_line = s.start_line)"
     lines_of = "cast(start_line as string) || '-' || cast(end_line as string)"
     return f"""
-with sections as ({manual_sections_sql(d, lines)}), numbered as ({items_sql(d, 'sections', 'numbered')}), lettered as ({items_sql(d, 'sections', 'lettered')}), hits as ({clause_hits_sql(d, lines)}), plain as ({keep})
+with sections as ({f"select * from {given}" if given else manual_sections_sql(d, lines)}), numbered as ({items_sql(d, 'sections', 'numbered')}), lettered as ({items_sql(d, 'sections', 'lettered')}), hits as ({clause_hits_sql(d, lines, given)}), plain as ({keep})
 select doc_id, 'section' as source, {lines_of} as line_number, clause_number, heading, text, '' as matched from numbered
 union all
 select doc_id, 'section', {lines_of}, clause_number, heading, text, '' from lettered s where {none('numbered')}
@@ -261,6 +262,12 @@ manual_sections = _of("manual_sections", manual_sections_sql)
 clause_hits = _of("clause_hits", clause_hits_sql)
 paragraphs = _of("paragraphs", paragraphs_sql)
 items = _of("items", items_sql)
-combined = _of("combined", combined_sql)
+
+
+def combined(lines: DataFrame) -> DataFrame:
+    """combined_sql with the sections written once: each of its branches reads them."""
+    return run(combined_sql(SPARK, "<lines>", "<sections>"), lines=lines, sections=materialize(manual_sections(lines), "sections"))
+
+
 segments = _of("segments", segments_sql)
 merge_batches = _of("merge_batches", merge_batches_sql)

@@ -236,6 +236,11 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.fingerprint(clauses(spark, sf_dir), "clause_idx")
 
 
+@query("G10_combined")
+def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.combined(fixtures.fx_lines(spark, sf_dir))
+
+
 @query("D10_rules_pipeline")
 def rules_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule-based path from lines to classified rows: sections and clause hits, items, five rules, scope, print."""
