@@ -4,6 +4,7 @@ Lines are parsed by a tree of fixed depth: their number of tokens, then their le
 with digits are variable fields. Within a leaf, lines that agree with the leaf's commonest line in
 enough of the other positions share its template (the positions that differ become variable). A
 template that recurs across documents is kept in the document of least id and dropped elsewhere.
+Short lines and lines of mostly variable fields are their own templates: only equal ones recur.
 """
 
 from __future__ import annotations
@@ -13,27 +14,31 @@ from pyspark.sql import functions as F
 
 from clauseworks.runtime import materialize
 
-#: Depth of leading tokens, least tokens of a line that may be dropped, and least share of agreeing tokens after the leading ones.
+#: Depth of leading tokens, least tokens of a line that is generalised, and least share of agreeing tokens after the leading ones.
 LEADING, LEAST_TOKENS, AGREE = 3, 5, 0.6
 #: A token with a digit is a variable field.
 VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
+#: What a line has that isn't blank.
+VISIBLE = r"[^\s\p{Z}]"
 #: A list of leaves up to this many rows is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
 def parsed_lines(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """(doc, at, pos, leaf, own, line): the lines that may be dropped, masked, with hashes of leaf and line.
+    """(doc, at, pos, leaf, own, line): the lines that aren't blank, masked, with hashes of leaf and line.
 
-    The conditions look at the raw line, which has as many tokens as the masked one: Catalyst moves
+    Lines of fewer than LEAST_TOKENS tokens or mostly of variable fields aren't masked, and each has a
+    leaf of its own, so that only equal lines are copies. The conditions look at the raw line, which has as many tokens as the masked one: Catalyst moves
     them below the projection, where masking would be done once more for each mention.
     """
     lines = docs.select(F.col(ident).alias("doc"), F.xxhash64(text).alias("at"), F.posexplode(F.split(text, "\n")).alias("pos", "raw")).where("doc is not null")
     raw = F.col("raw")
     tokens = F.length(raw) - F.length(F.replace(raw, F.lit(" "))) + 1
     variable = raw.rlike("[0-9]")
-    lines = lines.where((tokens >= LEAST_TOKENS) & (~variable | (F.regexp_count(raw, F.lit(VARIABLE)) * 2 <= tokens)))
-    line = F.when(variable, F.regexp_replace(raw, VARIABLE, "<*>")).otherwise(raw)
-    return lines.select("doc", "at", "pos", F.xxhash64(tokens, F.substring_index(line, " ", LEADING)).alias("leaf"), F.xxhash64(line).alias("own"), line.alias("line"))
+    lines = lines.where(raw.rlike(VISIBLE)).withColumn("general", (tokens >= LEAST_TOKENS) & (~variable | (F.regexp_count(raw, F.lit(VARIABLE)) * 2 <= tokens)))
+    line = F.when(F.col("general") & variable, F.regexp_replace(raw, VARIABLE, "<*>")).otherwise(raw)
+    leaf = F.when(F.col("general"), F.xxhash64(tokens, F.substring_index(line, " ", LEADING))).otherwise(F.xxhash64(F.lit(-1), raw))
+    return lines.select("doc", "at", "pos", leaf.alias("leaf"), F.xxhash64(line).alias("own"), line.alias("line"))
 
 
 def dropped_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,7 +71,7 @@ def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     """docs' columns with the text less its dropped lines, plus n_lines and n_dropped (longs).
 
     A line is what stands between newlines. Lines of fewer than LEAST_TOKENS tokens and lines that
-    are mostly variable fields are never dropped. Repeats inside one document stay. Exact and
+    are mostly variable fields have exact copies only; blank lines are never dropped. Repeats inside one document stay. Exact and
     generalised copies are dropped in all documents but the one of least id (a tie of ids is one
     document). A null text stays null with 0 lines; an empty text has one empty line; rows with a
     null id are left as they are. Columns of docs named n_lines or n_dropped are replaced. The

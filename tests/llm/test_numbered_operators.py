@@ -477,6 +477,20 @@ def test_templates_drop_copies_and_variable_fields(spark):
     assert got[5] == (rows[4][1], 4, 0)
 
 
+def test_short_and_numeric_lines_have_exact_copies(spark):
+    rows = [
+        (1, "All rights reserved.\n\n1 2 3 4 5 6\n \t\nfirst"),
+        (2, "All rights reserved.\n\n1 2 3 4 5 7\n \t\nsecond"),
+        (3, "All  rights reserved.\nVersion 1\n1 2 3 4 5 6\nfirst\nx y\nx y"),
+        (4, "Version 2\nx y z\nthird"),
+    ]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 0)
+    assert got[2] == ("\n1 2 3 4 5 7\n \t\nsecond", 1)
+    assert got[3] == ("All  rights reserved.\nVersion 1\nx y\nx y", 2)
+    assert got[4] == (rows[3][1], 0)
+
+
 def test_templates_of_awkward_input(docs, awkward, none):
     got = line_templates.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_dropped", "own").collect()
     assert len(got) == len(awkward)
