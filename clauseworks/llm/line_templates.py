@@ -2,17 +2,18 @@
 
 Lines are parsed by a tree of fixed depth: their number of tokens, then their leading tokens; tokens
 with digits are variable fields. Within a leaf, lines that agree with the leaf's commonest line in
-enough of the other positions share its template (the positions that differ become variable). A
+enough of the other positions share its template (the positions that differ become variable); the
+lines that are left share templates of further seeds, until no two that are left agree. A
 template that recurs across documents is kept in the document of least id and dropped elsewhere.
 Short lines and lines of mostly variable fields are their own templates: only equal ones recur.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseworks.runtime import materialize
+from clauseworks.runtime import discard, materialize
 
 #: Depth of leading tokens, least tokens of a line that is generalised, and least share of agreeing tokens after the leading ones.
 LEADING, LEAST_TOKENS, AGREE = 3, 5, 0.6
@@ -41,6 +42,50 @@ def parsed_lines(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return lines.select("doc", "at", "pos", leaf.alias("leaf"), F.xxhash64(line).alias("own"), line.alias("line"))
 
 
+def agreeing(line: str, seed: str) -> Column:
+    """Whether two lines of a leaf agree in enough of the positions after the leading ones."""
+    words, seed_words = F.split(line, " "), F.split(seed, " ")
+    equal = F.aggregate(F.zip_with(words, seed_words, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    lead = F.least(F.size(words), F.lit(LEADING))
+    return (equal - lead) >= AGREE * (F.size(words) - lead)
+
+
+def further_templates(left: DataFrame) -> DataFrame:
+    """(leaf, own, template): templates among the variants (leaf, own, n, line) that don't agree with their leaf's seed.
+
+    Lines that may differ in d positions are cut into d + 1 blocks of positions: two that agree have
+    an equal block. Each round takes as seeds the lines that are commonest (ties: of greatest hash) in
+    all blocks that they share with others, and gives each line that agrees with some of them to the
+    commonest. Seeds and their lines leave; the rounds end when no two of the others share a block.
+    So any number of templates of a leaf are found at once, and no pairs but those with a seed are made.
+    """
+    leaves = left.groupBy("leaf").agg(F.count("*").alias("variants")).where("variants > 1").select("leaf")
+    left = materialize(left.join(leaves, "leaf", "left_semi").select("leaf", "own", "n", "line"), "left")
+    words = F.split("line", " ")
+    left_words = left.select("leaf", "own", "n", F.slice(words, F.lit(LEADING + 1), F.size(words)).alias("words")).withColumn("m", F.size("words")).where("m > 0")
+    n_blocks = (F.col("m") - F.ceil(F.col("m") * AGREE - 1e-9) + 1).cast("int")
+    cut = lambda j: F.floor(j * F.col("m") / F.col("n_blocks")).cast("int")
+    block = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.xxhash64("leaf", j, F.slice("words", cut(j) + 1, cut(j + 1) - cut(j))))
+    blocks = materialize(left_words.withColumn("n_blocks", n_blocks).select("leaf", "own", "n", F.explode(block).alias("block")), "blocks")
+    found = left.select("leaf", "own", F.col("own").alias("template")).where("false")
+    while True:
+        tops = blocks.groupBy("block").agg(F.max(F.struct("n", "own")).alias("top"), F.count("*").alias("sharing")).where("sharing > 1")
+        near = materialize(blocks.join(tops.drop("sharing"), "block"), "near")
+        discard(blocks)
+        if near.isEmpty():
+            discard(near)
+            return found
+        seeds = near.groupBy("leaf", "own").agg(F.bool_and(F.col("top.own") == F.col("own")).alias("seed")).where("seed").select("leaf", F.col("own").alias("template"))
+        seeds = materialize(seeds, "seeds")
+        pairs = near.where("top.own <> own").select("leaf", "own", F.col("top.n").alias("n"), F.col("top.own").alias("template")).distinct().join(seeds, ["leaf", "template"], "left_semi")
+        pairs = pairs.join(left.select("leaf", "own", "line"), ["leaf", "own"]).join(left.select("leaf", F.col("own").alias("template"), F.col("line").alias("seed")), ["leaf", "template"])
+        joined = pairs.where(agreeing("line", "seed")).groupBy("leaf", "own").agg(F.max_by("template", F.struct("n", "template")).alias("template"))
+        settled = materialize(joined.unionByName(seeds.select("leaf", F.col("template").alias("own"), "template")), "settled")
+        found = found.unionByName(settled)
+        blocks = materialize(near.drop("top").join(settled, ["leaf", "own"], "left_anti"), "blocks")
+        discard(near)
+
+
 def dropped_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, at, positions): the line numbers (from 0) to drop of each document that loses lines."""
     lines = parsed_lines(docs, ident, text)
@@ -53,12 +98,12 @@ def dropped_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     variants = lines.select("leaf", "own", "line").join(chosen, "leaf", "left_semi").groupBy("leaf", "own").agg(F.min("line").alias("line"))
     variants = materialize(variants.join(stats, ["leaf", "own"]), "variants")
     seeds = variants.groupBy("leaf").agg(F.max_by("line", F.struct("n", "line")).alias("seed"))
-    words, seed_words = F.split("line", " "), F.split("seed", " ")
-    equal = F.aggregate(F.zip_with(words, seed_words, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    lead = F.least(F.size(words), F.lit(LEADING))
-    alike = variants.join(seeds, "leaf").where((equal - lead) >= AGREE * (F.size(words) - lead)).select("leaf", "own", "first", "last")
-    template = alike.groupBy("leaf").agg(F.min("first").alias("t_first"), F.max("last").alias("t_last"))
-    general = alike.select("leaf", "own").join(template, "leaf")
+    matched = variants.join(seeds, "leaf").where(agreeing("line", "seed"))
+    matched = materialize(matched.select("leaf", "own", F.xxhash64("seed").alias("template")), "matched")
+    more = further_templates(variants.join(matched, ["leaf", "own"], "left_anti"))
+    alike = matched.unionByName(more).join(variants.select("leaf", "own", "first", "last"), ["leaf", "own"])
+    template = alike.groupBy("leaf", "template").agg(F.min("first").alias("t_first"), F.max("last").alias("t_last"))
+    general = alike.select("leaf", "own", "template").join(template, ["leaf", "template"]).drop("template")
 
     every = stats.select("leaf", "own", "first", "last").join(general, ["leaf", "own"], "left")
     every = every.select("leaf", "own", F.coalesce("t_first", "first").alias("keeper"), F.coalesce("t_last", "last").alias("end"))

@@ -491,6 +491,42 @@ def test_short_and_numeric_lines_have_exact_copies(spark):
     assert got[4] == (rows[3][1], 0)
 
 
+def test_a_leaf_has_any_number_of_templates(spark):
+    """Ten families of lines with the same leading tokens: the most common one isn't the only template."""
+    rng = random.Random(4)
+    lead, rows, family_of = "all lines begin", [], {}
+    for family in range(10):
+        base = words(12, 100 + family).split()
+        for _ in range(4):
+            mine = list(base)
+            for p in rng.sample(range(12), 2):  # two lines of a family differ in 4 of 12 words at most, as AGREE allows
+                mine[p] = "".join(rng.choice("klmnop") for _ in range(5))
+            rows.append((len(rows), f"{lead} {' '.join(mine)}\nown {len(rows)}"))
+            family_of[rows[-1][0]] = family
+    rows.append((len(rows), rows[0][1]))  # the first family has the commonest line
+    family_of[rows[-1][0]] = 0
+    rows += [(len(rows), f"{lead} {words(12, 900)}")]
+    family_of[rows[-1][0]] = 10
+    rng.shuffle(rows)
+    got = line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted(r.doc_id for r in got if r.text.startswith(lead))
+    assert kept == [min(i for i, f in family_of.items() if f == family) for family in range(11)]
+
+
+def test_further_templates_leave_no_two_lines_that_agree(spark):
+    rng = random.Random(5)
+    lines = sorted({"all lines begin " + " ".join(rng.choice("abcdef") for _ in range(5 + i % 4)) for i in range(200)})
+    rows = [(len(line.split()), i, 1 + i % 3, line) for i, line in enumerate(lines)]
+    found = {r.own: r.template for r in line_templates.further_templates(spark.createDataFrame(rows, "leaf long, own long, n long, line string")).collect()}
+    tokens = [line.split()[3:] for line in lines]
+    agree = lambda a, b: len(a) == len(b) and sum(x == y for x, y in zip(a, b, strict=True)) >= line_templates.AGREE * len(a)
+    assert all(found[t] == t and agree(tokens[i], tokens[t]) for i, t in found.items())
+    seeds, rest = set(found.values()), set(range(len(lines))) - set(found)
+    assert any(i != t for i, t in found.items())
+    assert not any(agree(tokens[i], tokens[k]) for i in rest for k in (rest | seeds) - {i})
+    assert not any(agree(tokens[i], tokens[k]) for i in seeds for k in seeds - {i})
+
+
 def test_templates_of_awkward_input(docs, awkward, none):
     got = line_templates.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_dropped", "own").collect()
     assert len(got) == len(awkward)
