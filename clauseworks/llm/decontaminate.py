@@ -67,13 +67,17 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
 
 
 class Index:
-    """A slice of the benchmark: its shingles, and its fingerprints by block. Only the items travel to the executors."""
+    """A slice of the benchmark: its shingles, and its fingerprints by block. Only the items travel to the executors.
 
-    def __init__(self, items: list[tuple[int, str]], radius: int, threshold: float, n: int):
-        self.items, self.radius, self.threshold, self.n = items, radius, threshold, n
+    Weights are those of the whole benchmark: whole has its number of items with words, and the shingles
+    of several items with the number of those (all others weigh the same). Without it, the slice is all.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], radius: int, threshold: float, n: int, whole: tuple[int, np.ndarray, np.ndarray] | None = None):
+        self.items, self.radius, self.threshold, self.n, self.whole = items, radius, threshold, n, whole
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("items", "radius", "threshold", "n")}
+        return {k: getattr(self, k) for k in ("items", "radius", "threshold", "n", "whole")}
 
     @cached_property
     def built(self) -> Index:
@@ -83,9 +87,13 @@ class Index:
         words = [words[i] for i in known]
         self.length = np.array([len(w) for w in words], np.int64)
         self.shingles = [Counter(windows(w, self.n).tolist()) for w in words]
-        df = Counter(h for s in self.shingles for h in s)
-        self.weight = {h: math.log(1 + len(words) / k) for h, k in df.items()}
-        self.rare = math.log(1 + len(words))
+        df = Counter(h for s in self.shingles for h in s) if self.whole is None else {}
+        several = {h: k for h, k in df.items() if k > 1}
+        count, common, k = self.whole or (len(words), np.array(list(several), np.uint64), np.array(list(several.values()), np.int64))
+        order = np.argsort(common)
+        self.common = common[order]
+        self.common_weight = np.array([math.log(1 + count / x) for x in k[order].tolist()])
+        self.rare = math.log(1 + count)
         self.sizes = sorted(set(self.length.tolist()))
         self.widths = sorted({min(self.n, size) for size in self.sizes})
         self.marks = {}
@@ -122,10 +130,17 @@ class Index:
             found.update(zip(w[right].tolist(), item[right].tolist(), strict=True))
         yield from sorted(found, key=lambda x: (x[1], x[0]))
 
+    def weights(self, s: np.ndarray) -> np.ndarray:
+        """Of each shingle: ln(1 + items / items that have it), or as if one item had it if none has."""
+        if not len(self.common):
+            return np.full(len(s), self.rare)
+        at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
+        return np.where(self.common[at] == s, self.common_weight[at], self.rare)
+
     def bounds(self, s: np.ndarray, item: int) -> np.ndarray:
         """Running sums over s, from zero: weights of all shingles, and of those that the item has."""
         out = np.zeros((2, len(s) + 1))
-        all_of = [self.weight.get(h, self.rare) for h in s.tolist()]
+        all_of = self.weights(s).tolist()
         its = self.shingles[item]
         out[0, 1:] = np.cumsum(all_of)
         out[1, 1:] = np.cumsum([w if h in its else 0.0 for w, h in zip(all_of, s.tolist(), strict=True)])
@@ -134,8 +149,9 @@ class Index:
     def similarity(self, window: list[int], item: int) -> float:
         mine, its = Counter(window), self.shingles[item]
         least = most = 0.0
-        for h in mine.keys() | its.keys():
-            w, a, b = self.weight.get(h, self.rare), mine[h], its[h]
+        both = list(mine.keys() | its.keys())
+        for h, w in zip(both, self.weights(np.array(both, np.uint64)).tolist(), strict=True):
+            a, b = mine[h], its[h]
             least += w * min(a, b)
             most += w * max(a, b)
         return least / most if most else 0.0
@@ -177,7 +193,8 @@ class Index:
             for w, item in self.candidates(fingerprints(sums, starts, size), size):
                 if item != last:  # what a window shares with the item is no more than its weight of the item's shingles
                     last, run = item, self.bounds(s[low : high - width + 1], item)
-                    own = sum(self.weight[h] * c for h, c in self.shingles[item].items())
+                    its = self.shingles[item]
+                    own = sum(w * c for w, c in zip(self.weights(np.array(list(its), np.uint64)).tolist(), its.values(), strict=True))
                 at = low + int(starts[w])
                 weight, shared = run[:, at - low + size - width + 1] - run[:, at - low]
                 if shared < (self.threshold - 1e-9) * (weight + own - shared):
@@ -189,6 +206,22 @@ class Index:
                         best[item] = (found, at, size)
 
 
+def whole_counts(given: DataFrame, n: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many items (i, t) have words, the n-word shingles that several of them have, and how many have each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                own = np.unique(windows(word_hashes(t), n))
+                if len(own):  # the row of null counts the item
+                    yield pa.RecordBatch.from_arrays([pa.array([None, *own.view(np.int64).tolist()], pa.int64())], names=["h"])
+
+    counts = given.select("t").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("k")).where("h is null or k > 1").toArrow()
+    h, k = counts.column("h"), counts.column("k").to_numpy()
+    known = h.is_valid().to_numpy()
+    return int(k[~known].sum()), h.drop_null().to_numpy().astype(np.int64).view(np.uint64), k[known]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS, n: int = WORDS_IN_SHINGLE) -> DataFrame:
     """(id, item_id, similarity, first_word, n_words): each item that a document holds, with its best window.
 
@@ -198,7 +231,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", tex
     radius bits. Null, empty and wordless texts and items match nothing; an item shorter than n
     words is one shingle. Equal windows: the first counts. Repeated documents are looked at one by
     one, repeated items likewise. No shuffle: the benchmark is broadcast in slices of SLICE_ITEMS
-    items and about SLICE_CHARS characters; a larger one takes a pass over docs for each slice.
+    items and about SLICE_CHARS characters; a larger one takes a pass over docs for each slice. Each
+    slice takes along the counts of all shingles that several items have, 16 bytes for each.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -207,10 +241,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", tex
     slices = max(1, math.ceil(count / SLICE_ITEMS), math.ceil(chars / SLICE_CHARS))
     rows = docs.select(F.col(ident).cast("long").alias(ident), F.col(text).alias("t"))
     schema = f"`{ident}` long, `{item}` long, similarity double, first_word int, n_words int"
+    whole = whole_counts(given, n) if slices > 1 else None
     out = None
     for k in range(slices):
         some = given.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).orderBy("i", "t").collect()
-        shared = spark.sparkContext.broadcast(Index([(r.i, r.t) for r in some], radius, threshold, n))
+        shared = spark.sparkContext.broadcast(Index([(r.i, r.t) for r in some], radius, threshold, n, whole))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value.built

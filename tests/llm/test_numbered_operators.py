@@ -292,6 +292,24 @@ def test_leaks_of_awkward_input(spark, docs, awkward, none, monkeypatch):
     assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_slices_weigh_by_the_whole_benchmark(spark, monkeypatch):
+    """Items in pairs with ten shingles in common: several slices give the similarities and verdicts of one."""
+    items, texts = [], []
+    for k in range(60):
+        common, other = words(14, 1000 + k), [words(17, 2000 + 2 * k), words(17, 2001 + 2 * k)]
+        items += [(2 * k + i, f"{common} {x}") for i, x in enumerate(other)]
+        w = items[-1][1].split()
+        texts += [(3 * k + i, " ".join([*w[:-i], *["zzz"] * i])) for i in range(1, 4)]
+    texts += [(1000 + k, words(31, 1) + " " + items[2 * k][1] + " " + items[2 * k + 1][1]) for k in range(5)]
+    bench, given = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    found = []
+    for most in (1000, 25):
+        monkeypatch.setattr(decontaminate, "SLICE_ITEMS", most)
+        found.append(sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.first_word, r.n_words) for r in decontaminate.find_leaks(given, bench).collect()))
+    assert found[0] == found[1] and len(found[0]) > 60
+    assert any(0.8 <= x[2] < 0.9 for x in found[0])
+
+
 # --- 6: WARC ------------------------------------------------------------------------------------
 
 
