@@ -1,15 +1,19 @@
 """Graphs, greedy removal, segmentation invariants, sources and sinks on small inputs."""
 
+import math
+import random
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from clauseworks.functions import python as p
-from clauseworks.operators import coredelta, segments
+from clauseworks.operators import coredelta, graph, segments
 from clauseworks.operators import similarity as s
 from clauseworks.operators.graph import connected_components
+from clauseworks.runtime import materialize
 from clauseworks.sources import sinks, tables
 from clauseworks.streaming import feedback
 
@@ -21,6 +25,48 @@ def test_components_of_a_chain_and_a_star(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def components_by_search(edges):
+    near, out = {}, {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    for start in sorted(near):
+        queue = [] if start in out else [start]
+        while queue:
+            x = queue.pop()
+            if x not in out:
+                out[x] = start
+                queue += near[x]
+    return out
+
+
+@pytest.mark.parametrize("shape", ["random", "reversed", "zigzag", "least id at the far end"])
+def test_components_of_long_chains_settle_in_logarithmic_rounds(spark, monkeypatch, shape):
+    n = 5000
+    order = list(range(n))
+    if shape == "random":
+        random.Random(1).shuffle(order)
+    elif shape == "reversed":
+        order.reverse()
+    elif shape == "zigzag":
+        order = [x for pair in zip(range(n // 2), range(n - 1, n // 2 - 1, -1), strict=True) for x in pair]
+    else:
+        order = [*range(1000, 1000 + n - 1), 0]
+    rounds = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name: rounds.append(name) or materialize(df, name))
+    edges = list(zip(order, order[1:], strict=False))
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(order, 0)
+    assert rounds.count("moves") <= 2 * math.log2(n)
+
+
+def test_components_of_a_large_random_graph(spark):
+    rng = random.Random(2)
+    edges = [(i, rng.randrange(i)) for i in range(1, 100_000)] + [(200_000 + rng.randrange(3000), 200_000 + rng.randrange(3000)) for _ in range(1500)]
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == components_by_search(edges)
+
+
 def greedy(texts, threshold):
     kept, out = [], {}
     for i, t in enumerate(texts):
@@ -159,7 +205,7 @@ def test_stream_is_ingested_once(spark, tmp_path):
 
 
 def test_release_deletes_what_was_written(spark):
-    from clauseworks.runtime import materialize, release
+    from clauseworks.runtime import release
 
     kept = materialize(spark.range(3))
     assert kept.count() == 3
