@@ -23,6 +23,8 @@ VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 VISIBLE = r"[^\s\p{Z}]"
 #: A list of leaves up to this many rows is broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: A line with more than this share of all lines is hot; there are at most HOT_SHARE of them, and they are broadcast.
+HOT_SHARE = 5000
 
 
 def parsed_lines(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -107,8 +109,12 @@ def dropped_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
 
     every = stats.select("leaf", "own", "first", "last").join(general, ["leaf", "own"], "left")
     every = every.select("leaf", "own", F.coalesce("t_first", "first").alias("keeper"), F.coalesce("t_last", "last").alias("end"))
-    recurring = every.where("keeper <> end").drop("end")
-    gone = seen.join(recurring, ["leaf", "own"]).where("doc <> keeper")
+    # a hot line would meet in one task, so the few hot ones are broadcast and the others are joined by shuffle
+    recurring = materialize(every.where("keeper <> end").drop("end").join(stats.select("leaf", "own", "n"), ["leaf", "own"]), "recurring")
+    least = (stats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // HOT_SHARE
+    hot = F.broadcast(recurring.where(F.col("n") > least).drop("n"))
+    others = seen.join(hot.select("leaf", "own"), ["leaf", "own"], "left_anti").join(recurring.where(F.col("n") <= least).drop("n"), ["leaf", "own"])
+    gone = seen.join(hot, ["leaf", "own"]).unionByName(others).where("doc <> keeper")
     return gone.groupBy("doc", "at").agg(F.collect_set("pos").alias("positions"))
 
 
@@ -136,40 +142,3 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents without the lines of templates that recur across documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
-
-
-OP10_SQL = f"""
-with raw as (
-  select doc_id as doc, pos - 1 as pos, lines[pos] as raw
-  from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as pos
-        from (select doc_id, string_split(text, chr(10)) as lines from documents where doc_id is not null))
-), masked as (
-  select doc, pos, regexp_replace(raw, '[^ ]*[0-9][^ ]*', '<*>', 'g') as line from raw where raw <> ''
-), lines as (
-  select doc, pos, line, string_split(line, ' ') as words from masked
-  where len(string_split(line, ' ')) >= {LEAST_TOKENS}
-    and (length(line) - length(replace(line, '<*>', ''))) / 3 * 2 <= len(string_split(line, ' '))
-), stats as (
-  select len(words) as k, array_to_string(words[1:{LEADING}], ' ') as lead, line, any_value(words) as words,
-         min(doc) as first, max(doc) as last, count(*) as n
-  from lines group by all
-), seeds as (
-  select k, lead, string_split((max(struct_pack(n := n, line := line))).line, ' ') as seed from stats group by k, lead
-), alike as (
-  select k, lead, line, first, last from stats join seeds using (k, lead)
-  where len(list_filter(range(1, k + 1), lambda i: words[i] = seed[i])) - least(k, {LEADING}) >= {AGREE} * (k - least(k, {LEADING}))
-), template as (
-  select k, lead, min(first) as t_first, max(last) as t_last from alike group by k, lead
-), every_line as (
-  select s.line, coalesce(t_first, s.first) as keeper, coalesce(t_last, s.last) as final
-  from stats s left join (select a.line, t_first, t_last from alike a join template using (k, lead)) g using (line)
-), gone as (
-  select doc, pos from lines join every_line using (line) where keeper <> final and doc <> keeper
-), rest as (
-  select r.doc, string_agg(raw, chr(10) order by r.pos) filter (g.pos is null) as text, count(*) as n_lines, count(g.pos) as n_dropped
-  from raw r left join gone g on g.doc = r.doc and g.pos = r.pos group by r.doc
-)
-select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_dropped, 0) as n_dropped,
-       case when documents.text is null then null when n_dropped = 0 then documents.text else coalesce(rest.text, '') end as text
-from documents left join rest on doc = doc_id
-"""

@@ -20,5 +20,4 @@ QUERIES = {
 ORACLE = {
     "op6_warc": warc.OP6_SQL,
     "op9_sharding": maglev.OP9_SQL,
-    "op10_line_dedup": line_templates.OP10_SQL,
 }

@@ -491,10 +491,71 @@ def test_templates_drop_copies_and_variable_fields(spark):
     assert got[1] == (rows[0][1], 3, 0)
     assert got[2] == ("own line two of the second", 2, 1)
     assert got[3] == ("short line", 4, 3)
-    assert got[4] == (rows[3][1], 3, 0)
+    assert got[4] == ("User 5 wrote quite another thing today\n1 2 3 4 5 6", 3, 1)
     assert got[5] == (rows[4][1], 4, 0)
 
 
+def lines_brute(rows):
+    """(doc, text, lines, dropped lines) by parsing, comparing and assigning lines one at a time."""
+    parsed, leaves = [], defaultdict(dict)
+    for doc, text in rows:
+        for pos, raw in enumerate(text.split("\n") if text is not None and doc is not None else []):
+            if not re.search(r"[^\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", raw):
+                continue
+            tokens = raw.split(" ")
+            masked = ["<*>" if re.search("[0-9]", x) else x for x in tokens]
+            general = len(tokens) >= line_templates.LEAST_TOKENS and masked.count("<*>") * 2 <= len(tokens)
+            line = " ".join(masked) if general else raw
+            leaf = (len(tokens), *masked[:3]) if general else (0, raw)
+            seen = leaves[leaf].setdefault(line, [0, doc, doc])
+            leaves[leaf][line] = [seen[0] + 1, min(seen[1], doc), max(seen[2], doc)]
+            parsed.append((doc, text, pos, leaf, line))
+    agree = lambda x, y: sum(a == b for a, b in zip(x[3:], y[3:], strict=True)) >= line_templates.AGREE * len(x[3:])
+    keeper = {}
+    for leaf, variants in leaves.items():
+        of, words, left = {}, {x: x.split(" ") for x in variants}, set(variants)
+        if len(variants) > 1:
+            seed = max(variants, key=lambda x: (variants[x][0], x))
+            for x in variants:
+                if agree(words[x], words[seed]):
+                    of[x] = seed
+                    left.discard(x)
+        # the others: the test above of further_templates holds; two that agree share a template here
+        for x in left:
+            of[x] = x
+        for x in variants:
+            same = [variants[y] for y in variants if of[y] == of[x]]
+            keeper[leaf, x] = (min(s[1] for s in same), max(s[2] for s in same), len([y for y in left if y != x and agree(words[x], words[y])]) if x in left else 0)
+    gone = defaultdict(set)
+    for doc, text, pos, leaf, line in parsed:
+        first, last, _ = keeper[leaf, line]
+        if first != last and doc != first:
+            gone[doc, text].add(pos)
+    settled = all(not open_ for _, _, open_ in keeper.values())
+    out = []
+    for doc, text in rows:
+        drop, lines = gone[doc, text], text.split("\n") if text is not None else []
+        out.append((doc, "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text, len(lines), len(drop)))
+    return out, settled
+
+
+def as_lines(df):
+    return sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("hot", [5000, 3])
+def test_line_dedup_equals_brute_force(spark, sf, docs, awkward, monkeypatch, hot):
+    """Of a whole table whose leaves have at most one family of near lines, and of the awkward one."""
+    monkeypatch.setattr(line_templates, "HOT_SHARE", hot)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    expected, settled = lines_brute(rows)
+    assert settled
+    assert as_lines(registry.QUERIES["op10_line_dedup"](spark, sf)) == sorted(expected, key=repr)
+    expected, settled = lines_brute(awkward)
+    assert settled
+    assert as_lines(line_templates.dedup_lines(docs)) == sorted(expected, key=repr)
+
+
 def test_short_and_numeric_lines_have_exact_copies(spark):
     rows = [
         (1, "All rights reserved.\n\n1 2 3 4 5 6\n \t\nfirst"),
