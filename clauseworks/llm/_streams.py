@@ -89,14 +89,14 @@ def per_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Record
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def in_blocks(rows: DataFrame, key: str, ident: str, weight: Column, limit: int) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: list[str], ident: str, weight: Column, limit: int) -> DataFrame:
     """Split heavy groups: adds own (a row's block), bi and bj.
 
-    Each key gets ceil(its weight / limit) blocks. A row goes to all pairs of blocks that hold its
-    own, so any two rows of a key meet in exactly one (key, bi, bj) and none of those is heavy.
+    Each group of keys gets ceil(its weight / limit) blocks. A row goes to all pairs of blocks that
+    hold its own, so any two rows of a group meet in exactly one (keys, bi, bj) and none of those is heavy.
     """
-    heavy = rows.groupBy(key).agg(F.ceil(F.sum(weight) / limit).alias("blocks")).where("blocks > 1")
-    salted = rows.join(heavy, key, "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(ident), "blocks")).cast("int"))
+    heavy = rows.groupBy(*keys).agg(F.ceil(F.sum(weight) / limit).alias("blocks")).where("blocks > 1")
+    salted = rows.join(heavy, keys, "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(ident), "blocks")).cast("int"))
     other = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
     return salted.withColumn("other", F.explode(other)).select(*rows.columns, "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
 

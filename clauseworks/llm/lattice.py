@@ -165,7 +165,7 @@ def near_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embeddin
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
     stored = classes.select("class_id", "unit").mapInArrow(spread, "key long, id long, home boolean, coarse binary")
-    candidates = connected_components(per_group(in_blocks(stored, "key", "id", F.lit(1), CELL_BLOCK // 2), ["key", "bi", "bj"], cell, "a long, b long"))
+    candidates = connected_components(per_group(in_blocks(stored, ["key"], "id", F.lit(1), CELL_BLOCK // 2), ["key", "bi", "bj"], cell, "a long, b long"))
     full = materialize(candidates.join(classes, candidates.node == classes.class_id).select("component", F.col("class_id").alias("id"), "size", "unit"), "candidates")
 
     def verify(t: pa.Table) -> pa.RecordBatch | None:
@@ -181,7 +181,7 @@ def near_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embeddin
         b = np.concatenate([np.full(len(some), -1), edges[:, 1]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], edges[:, 0]])), pa.array(b, mask=np.arange(len(b)) < len(some)), pa.array(np.concatenate([links[some], np.zeros(len(edges), np.int64)]))], names=["a", "b", "links"])
 
-    parts = in_blocks(full, "component", "id", F.lit(1), VERIFY_BLOCK // 2)
+    parts = in_blocks(full, ["component"], "id", F.lit(1), VERIFY_BLOCK // 2)
     found = materialize(per_group(parts, ["component", "bi", "bj"], verify, "a long, b long, links long"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("linked")).agg(F.sum("links").alias("others"))
     groups = connected_components(found.where("b is not null"))

@@ -147,6 +147,32 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark, monkeypatch, block)
     assert got == sorted(jaccard_brute(rows), key=repr)
 
 
+def test_chains_of_candidates_are_not_compared_as_a_whole(spark, monkeypatch):
+    """Neighbours in a chain share nine tenths of their words: groups of the buckets and whole components count alike."""
+    stock = words(2400, 11).split()
+    rows = [(1000 - i, " ".join(stock[i * 5 : i * 5 + 90])) for i in range(150)]
+    rows += [(5000 + i, " ".join(stock[k * 5 : k * 5 + 90] + ["end"])) for i, k in enumerate(range(0, 150, 7))]
+    expected = sorted(jaccard_brute(rows), key=repr)
+    assert max(n for _, n, _ in expected) < 20
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string"), []
+    streamed = jaccard_join.per_group
+    monkeypatch.setattr(jaccard_join, "per_group", lambda df, keys, fn, schema: given.append(df) or streamed(df, keys, fn, schema))
+    for block, verify in ((4096, 20_000), (8, 20_000), (4096, 10**9)):
+        monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "VERIFY_BLOCK", verify)
+        assert as_rows(jaccard_join.jaccard_join(docs)) == expected
+    assert [given[k].where("band >= 0").isEmpty() for k in (1, 5)] == [False, True]
+
+
+def test_repeated_ids_and_rows(spark):
+    """Rows are counted each for itself, whatever their ids; one row of a component is kept."""
+    base, other = words(80, 21), words(80, 22)
+    rows = [(7, base), (7, base), (7, other), (7, other + " more"), (3, base + " end"), (9, other.upper()), (9, "alone here"), (9, "alone here")]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert as_rows(got) == sorted(jaccard_brute(rows), key=repr)
+    assert sorted((r.doc_id, r.class_id) for r in got.where("kept").collect()) == [(3, 3), (7, 7), (9, 9)]
+
+
 def test_bands_meet_the_recall():
     for t in (0.7, 0.8, 0.9):
         b, r = shingles.layout(t, 0.999)
