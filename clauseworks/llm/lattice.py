@@ -11,7 +11,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, product
 
 import numpy as np
@@ -25,8 +27,10 @@ from clauseworks.llm.shingles import mix
 from clauseworks.operators.graph import connected_components
 from clauseworks.runtime import materialize
 
-#: Tables, probed neighbours in each, and the scale of the projections (cells get smaller as it grows).
-TABLES, PROBES, SCALE = 8, 12, 0.9
+#: Scales of the projections (cells get smaller as they grow) and numbers of probed neighbours to choose from.
+SCALES, PROBES = (0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.3, 1.6, 2.0, 2.5), (3, 6, 12, 24, 48, 96)
+#: Chance to find a pair just at the threshold, and the cost of comparing two vectors of a cell against that of a shuffled row.
+RECALL, COMPARE = 0.99, 0.02
 #: Vectors of a cell's block and of a verification block.
 CELL_BLOCK, VERIFY_BLOCK = 4096, 2048
 
@@ -74,7 +78,41 @@ def _key(table: int, width: int, points: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = 11) -> np.ndarray:
+@lru_cache(maxsize=256)
+def _rank_of_meeting(threshold: float, scale: float, pairs: int = 4000) -> np.ndarray:
+    """Of random pairs with this cosine: how many neighbours one of them must probe to meet the other's cell (0: none, 999: too far)."""
+    rng = np.random.default_rng(5)
+    x, z = rng.standard_normal((2, pairs, 8)) * scale
+    y = threshold * x + math.sqrt(1 - threshold * threshold) * z
+    px, py = nearest_point(x), nearest_point(y)
+    best = np.where((px == py).all(1), 0, 999)
+    for u, own, other in ((x, px, py), (y, py, px)):
+        hit = (np.abs((other - own)[:, None] - NEIGHBOURS).sum(2) < 1e-9) * 1
+        toward = (u - own) @ NEIGHBOURS.T
+        at = hit.argmax(1)
+        rank = 1 + (toward > np.take_along_axis(toward, at[:, None], 1)).sum(1)
+        best = np.minimum(best, np.where(hit.any(1), rank, 999))
+    return best
+
+
+def layout(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int, float]:
+    """(tables, probes, scale) that find a pair at the threshold with this chance at the least cost for n vectors.
+
+    The more vectors, the smaller the cells: a vector has (1 + probes) rows in each table, and
+    meets the share (4 pi scale^2)^-4 of unrelated vectors in each.
+    """
+    found = []
+    for scale in SCALES:
+        met = _rank_of_meeting(threshold, scale)
+        for probes in PROBES:
+            p = (met <= probes).mean()
+            if p > 0.005:
+                tables = 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log(1 - p))
+                found.append((tables * (1 + probes) * (1 + COMPARE * n * (4 * math.pi * scale * scale) ** -4), tables, probes, scale))
+    return min(found)[1:]
+
+
+def cells(unit: np.ndarray, tables: int, probes: int, scale: float, seed: int = 11) -> np.ndarray:
     """Keys of each unit vector's cells, (rows, tables, 1 + probes): its own first, then probed neighbours."""
     rng = np.random.default_rng(seed)
     out = np.empty((len(unit), tables, 1 + probes), np.int64)
@@ -106,16 +144,18 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def near_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
+def near_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = RECALL) -> DataFrame:
     """One row for each row: id, n_links, component_id, kept.
 
     Two vectors link if their cosine in double precision is threshold or more. Vectors that are
     null, empty, zero or hold null or non-finite numbers link with nothing, nor do vectors of
     different lengths with each other. n_links counts the other rows linked directly, equal vectors
-    included; component_id is the least id reachable; kept marks it. Ids are integers without
-    repeats; rows with a null id link with nothing and have a null component. Other columns are not looked at.
-    Candidates come from lattice cells, so recall just at the threshold is below one (the tests
-    measure it); every link reported is exact.
+    included; component_id is the least id reachable; kept marks one row of that id. Ids are integers;
+    rows that repeat an id, with the same vector or another, are rows of their own that link and are
+    counted like any, and only one of them is kept; rows with a null id link with nothing and have a
+    null component, not kept. Other columns are not looked at. Candidates come from lattice cells, laid
+    out for the number of distinct vectors and `recall`, the chance to find a pair just at the
+    threshold; every link reported is exact.
     """
     small_batches(rows.sparkSession)
     slack = threshold - 0.02
@@ -126,8 +166,10 @@ def near_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embeddin
             raw = [None if x is None else x.tobytes() for x in v]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if r is None else xxhash.xxh128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["id", "print", "unit"])
 
-    base = materialize(rows.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(units, "id long, print binary, unit binary"), "units")
-    classes = materialize(base.where("print is not null and id is not null").groupBy("print").agg(F.min("id").alias("class_id"), F.count("*").alias("size"), F.first("unit").alias("unit")), "vectors")
+    base = materialize(rows.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(units, "id long, print binary, unit binary").withColumn("row", F.monotonically_increasing_id()), "units")
+    classes = base.where("print is not null and id is not null").groupBy("print").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("size"), F.first("unit").alias("unit"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    tables, probes, scale = layout(classes.count(), threshold, recall)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per = tables * (1 + probes)
@@ -164,9 +206,9 @@ def near_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embeddin
         edges = forest(close, ids)
         return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
 
-    stored = classes.select("class_id", "unit").mapInArrow(spread, "key long, id long, home boolean, coarse binary")
+    stored = classes.select("node", "unit").mapInArrow(spread, "key long, id long, home boolean, coarse binary")
     candidates = connected_components(per_group(in_blocks(stored, ["key"], "id", F.lit(1), CELL_BLOCK // 2), ["key", "bi", "bj"], cell, "a long, b long"))
-    full = materialize(candidates.join(classes, candidates.node == classes.class_id).select("component", F.col("class_id").alias("id"), "size", "unit"), "candidates")
+    full = materialize(candidates.join(classes, "node").select("component", F.col("node").alias("id"), "size", "unit"), "candidates")
 
     def verify(t: pa.Table) -> pa.RecordBatch | None:
         u = np.array([np.frombuffer(x, np.float64) for x in t["unit"].to_pylist()])
@@ -183,13 +225,14 @@ def near_vectors(rows: DataFrame, ident: str = "vec_id", vector: str = "embeddin
 
     parts = in_blocks(full, ["component"], "id", F.lit(1), VERIFY_BLOCK // 2)
     found = materialize(per_group(parts, ["component", "bi", "bj"], verify, "a long, b long, links long"), "links")
-    links = found.where("b is null").groupBy(F.col("a").alias("linked")).agg(F.sum("links").alias("others"))
+    links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
     groups = connected_components(found.where("b is not null"))
-    result = classes.join(links, classes.class_id == links.linked, "left").join(groups, classes.class_id == groups.node, "left")
-    result = result.select(F.col("print").alias("of"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    result = classes.select("node", "print", "first", "size").join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = result.groupBy("component").agg(F.min("first").alias("kept"))
+    result = result.join(firsts, "component").select(F.col("print").alias("of"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("kept.id").alias("component_id"), F.col("kept.row").alias("kept_row"))
     has = F.col("print").isNotNull() & F.col("id").isNotNull()
-    inside = base.where(has).select("id", "print").join(result, F.col("print") == F.col("of"))
-    inside = inside.select(F.col("id").alias(ident), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("component_id") == F.col("id")).alias("kept"))
+    inside = base.where(has).select("id", "print", "row").join(result, F.col("print") == F.col("of"))
+    inside = inside.select(F.col("id").alias(ident), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("kept_row") == F.col("row")).alias("kept"))
     alone = base.where(~has).select(F.col("id").alias(ident), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     return inside.unionByName(alone)
 

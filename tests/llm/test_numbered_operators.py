@@ -218,20 +218,36 @@ def test_near_vectors_equal_all_pairs(spark, monkeypatch, block):
     assert lattice.near_vectors(df.where("false")).count() == 0
 
 
-def test_lattice_recall_just_at_the_threshold():
+@pytest.mark.parametrize("n", [100, 50_000, 10**7])
+def test_lattice_recall_just_at_the_threshold(n):
+    tables, probes, scale = lattice.layout(n, 0.9)
     rng = np.random.default_rng(1)
-    a, b = rng.standard_normal((2, 4000, 64))
+    a, b = rng.standard_normal((2, 2000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     c = 0.9 * a + math.sqrt(1 - 0.81) * b
-    x, y = lattice.cells(a), lattice.cells(c)
+    x, y = lattice.cells(a, tables, probes, scale), lattice.cells(c, tables, probes, scale)
     met = np.zeros(len(a), bool)
-    for t in range(lattice.TABLES):
+    for t in range(tables):
         met |= (x[:, t] == y[:, t, :1]).any(1) | (y[:, t] == x[:, t, :1]).any(1)
     assert met.mean() >= 0.98
 
 
+def test_cells_shrink_as_vectors_grow():
+    scales = [lattice.layout(10**k, 0.9)[2] for k in range(2, 11)]
+    assert scales == sorted(scales)
+    assert scales[0] < scales[-1]
+
+
+def test_repeated_vector_ids(spark):
+    x, y = [1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6
+    rows = [(7, x), (7, x), (7, y), (3, [1.0, 0.1] + [0.0] * 6), (8, [0.1, 1.0] + [0.0] * 6)]
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got.collect()), key=repr) == vectors_brute(rows)
+    assert sorted(r.vec_id for r in got.where("kept").collect()) == [3, 7]
+
+
 def test_nearest_lattice_point():
     x = np.random.default_rng(2).standard_normal((500, 8)) * 2
     p = lattice.nearest_point(x)
