@@ -1,7 +1,8 @@
 """Operator 5, benchmark decontamination: SimHash of item-sized windows, found by Hamming blocks.
 
-A document's windows have the number of words of some benchmark item. A window that has no shingle
-of any item can't be similar to one, so only windows around such shingles are fingerprinted. Their
+A document's windows have the number of words of some benchmark item. A window can't be similar to
+an item if it has fewer shingles of the benchmark than hold the threshold's share of the item's weight,
+so only windows with as many are fingerprinted (no window that verifies is left out). Their
 64-bit SimHashes are looked up in four 16-bit blocks: if two fingerprints differ in at most RADIUS
 bits, one block differs in at most a quarter of that, and all such values of a block are listed.
 Candidates are then verified by the exact weighted Jaccard similarity of their shingles.
@@ -37,7 +38,9 @@ class Letters(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        plain = "".join(filter(str.isalnum, word))
+        plain = word.strip(".,;:!?|\"'()")
+        if not plain.isalnum():
+            plain = "".join(filter(str.isalnum, plain))
         h = self[word] = xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) | 1 if plain else 0
         return h
 
@@ -94,6 +97,13 @@ class Index:
         self.common = common[order]
         self.common_weight = np.array([math.log(1 + count / x) for x in k[order].tolist()])
         self.rare = math.log(1 + count)
+        self.own, self.least = [], {}
+        for size, c in zip(self.length.tolist(), self.shingles, strict=True):
+            weight = np.sort(np.repeat(self.weights(np.array(list(c), np.uint64)), list(c.values())))[::-1].cumsum()
+            self.own.append(float(weight[-1]))
+            # the fewest of the item's shingles that make up the threshold's share of its weight
+            few = int(np.searchsorted(weight, self.threshold * weight[-1] - 1e-9)) + 1
+            self.least[size] = min(self.least.get(size, few), few)
         self.sizes = sorted(set(self.length.tolist()))
         self.widths = sorted({min(self.n, size) for size in self.sizes})
         self.marks = {}
@@ -176,25 +186,25 @@ class Index:
                 for i in range(int(some[0]), int(some[-1]) + 1, STRETCH):
                     part = some[(some >= i) & (some < i + STRETCH)]
                     if len(part):
-                        self._stretch(h, s, part, width, sizes, best)
+                        self._stretch(h, s, some, int(part[0]), int(part[-1]), width, sizes, best)
         return best
 
-    def _stretch(self, h: np.ndarray, s: np.ndarray, hits: np.ndarray, width: int, sizes: list[int], best: dict) -> None:
-        low, high = max(0, int(hits[0]) - max(sizes)), min(len(h), int(hits[-1]) + width + max(sizes))
-        sums = bit_sums(h[low:high])
+    def _stretch(self, h: np.ndarray, s: np.ndarray, hits: np.ndarray, first: int, last: int, width: int, sizes: list[int], best: dict) -> None:
+        low, high = max(0, first - max(sizes)), min(len(h), last + width + max(sizes))
+        seen = np.zeros(high - low - width + 2, np.int32)
+        seen[hits[(hits >= low) & (hits <= high - width)] - low + 1] = 1
+        seen = seen.cumsum()
+        sums = None
         for size in sizes:
-            reach = np.zeros(high - low + 2, np.int32)
-            np.add.at(reach, np.maximum(hits + width - size - low, 0), 1)
-            np.add.at(reach, hits - low + 1, -1)
-            starts = np.flatnonzero(np.cumsum(reach)[: max(0, high - low - size + 1)])
+            n = high - low - size + 1
+            starts = np.flatnonzero(seen[size - width + 1 :] - seen[:n] >= self.least[size]) if n > 0 else ()
             if not len(starts):
                 continue
-            last = None
+            sums = bit_sums(h[low:high]) if sums is None else sums
+            before = None
             for w, item in self.candidates(fingerprints(sums, starts, size), size):
-                if item != last:  # what a window shares with the item is no more than its weight of the item's shingles
-                    last, run = item, self.bounds(s[low : high - width + 1], item)
-                    its = self.shingles[item]
-                    own = sum(w * c for w, c in zip(self.weights(np.array(list(its), np.uint64)).tolist(), its.values(), strict=True))
+                if item != before:  # what a window shares with the item is no more than its weight of the item's shingles
+                    before, run, own = item, self.bounds(s[low : high - width + 1], item), self.own[item]
                 at = low + int(starts[w])
                 weight, shared = run[:, at - low + size - width + 1] - run[:, at - low]
                 if shared < (self.threshold - 1e-9) * (weight + own - shared):
