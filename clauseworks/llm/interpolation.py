@@ -7,9 +7,14 @@ the other training documents; the final estimates count all training documents.
 
 Documents are first packed into chunks: word hashes of the chunk, and its text as numbers of them.
 A chunk asks for the corpus counts of its distinct words and word pairs: sorted hashes, delta-coded,
-one slice for each bucket of the hash space. A bucket adds up what all chunks sent and answers each
-in its own order. So a word's occurrences never meet in one task; the number of buckets follows
-the number of distinct entries, and no count table is collected or broadcast.
+one slice for each bucket of the hash space that it has entries in. A bucket adds up what all chunks
+sent and answers each in its own order. So a word's occurrences never meet in one task; the number
+of buckets follows the number of distinct entries, and no count table is collected or broadcast.
+Slices hold at least one entry, so their number never exceeds that of the chunks' distinct entries,
+which grows in proportion to the text; where buckets get many, slices get shorter, not more.
+
+Words and pairs are told apart by 64-bit hashes: of n distinct ones, about n / 2^64 share a hash with
+another, and their counts are then added together (for 10^13 pairs, one in two million).
 """
 
 from __future__ import annotations
@@ -31,12 +36,12 @@ from clauseworks.runtime import materialize
 CHUNK_TOKENS, BUCKET_ENTRIES = 500_000, 1_500_000
 #: Of crc32(id as text) mod 10: 0 is never learned from, 9 is held out for the mixture weights.
 UNSEEN, MIXING = 0, 9
-#: Context-frequency buckets (by powers of two), bins of a nat and number of bins of the held-out histogram, rounds.
-CONTEXTS, PER_NAT, BINS, ROUNDS = 16, 4, 120, 60
+#: Context-frequency buckets (counts below EXACT one by one, then by powers of two), bins of a nat and number of bins of the
+#: held-out histogram, rounds.
+EXACT, CONTEXTS, PER_NAT, BINS, ROUNDS = 8, 24, 4, 120, 60
 
 END = np.uint64(xxhash.xxh64_intdigest(b"\n end"))
 BEGIN = np.uint64(xxhash.xxh64_intdigest(b"\n begin"))
-_EIGHT = np.uint64(8)
 
 
 class Words(dict):
@@ -139,19 +144,19 @@ class Chunk:
         self.learned = np.repeat(self.part != UNSEEN, self.lengths)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct 56-bit hashes of the word pairs, and for each token the number of its pair."""
+        """Sorted distinct hashes of the word pairs, and for each token the number of its pair."""
         h = self.words[self.ids]
         before = np.empty_like(h)
         before[1:] = h[:-1]
         before[self.starts] = BEGIN
-        return np.unique(mix(mix(before) + h) >> _EIGHT, return_inverse=True)
+        return np.unique(mix(mix(before) + h), return_inverse=True)
 
 
-def _slices(high: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted 56-bit numbers: equal shares of their range; empty ones are left out."""
-    edges = np.array([(i << 56) // buckets for i in range(buckets)], np.uint64)
-    cuts = [*np.searchsorted(high, edges).tolist(), len(high)]
-    return [(i, cuts[i], cuts[i + 1]) for i in range(buckets) if cuts[i] < cuts[i + 1]]
+def _slices(entries: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted 64-bit numbers: equal shares of their range; empty ones are left out."""
+    bucket = (entries >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    starts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+    return list(zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(entries)], strict=True)) if len(entries) else []
 
 
 def answers(chunks: DataFrame, pairs: bool, entries: int) -> DataFrame:
@@ -169,7 +174,7 @@ def answers(chunks: DataFrame, pairs: bool, entries: int) -> DataFrame:
                 c = Chunk(row)
                 entry, number = c.pairs() if pairs else (c.words, c.ids)
                 counts = np.bincount(number[c.learned], minlength=len(entry)).astype(np.uint32)
-                found = _slices(entry if pairs else entry >> _EIGHT, buckets)
+                found = _slices(entry, buckets)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _, _ in found], pa.int32()), pa.array([row["chunk"]] * len(found), pa.int64()), pa.array([row["mixing"]] * len(found)), pa.array([pack_sorted(entry[i:j]) for _, i, j in found], pa.binary()), pa.array([pack(counts[i:j]) for _, i, j in found], pa.binary())],
                     names=["bucket", "chunk", "mixing", "entries", "counts"],
@@ -233,8 +238,9 @@ def _told(answers: pa.Table, which: str) -> np.ndarray:
 
 
 def _context(count: np.ndarray) -> np.ndarray:
-    """The context-frequency bucket of a count: powers of two."""
-    return np.minimum(np.floor(np.log2(count + 1)).astype(np.int64), CONTEXTS - 1)
+    """The context-frequency bucket of a count: small counts have one each, larger ones one for each power of two."""
+    high = EXACT + np.floor(np.log2(np.maximum(count, EXACT) / EXACT)).astype(np.int64)
+    return np.where(count < EXACT, count.astype(np.int64), np.minimum(high, CONTEXTS - 1))
 
 
 def _estimates(c: Chunk, row: dict, which: str, tokens: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -445,7 +445,75 @@ def test_lm_scores(spark, sf, monkeypatch, chunk, bucket):
     assert held.score.sum() > held.base_score.sum()
 
 
-def test_mixture_sums_to_one_over_the_vocabulary():
+def mixture_brute(rows):
+    """Scores of the mixture: dictionaries of counts, and EM over every held-out token by itself."""
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "<end>"]
+    part = [0 if i is None else zlib.crc32(str(i).encode()) % 10 for i, _ in rows]
+    tokens = [split(t) for _, t in rows]
+
+    def counted(parts):
+        words, pairs = Counter(), Counter()
+        for t, p in zip(tokens, part, strict=True):
+            if p in parts:
+                words.update(t)
+                pairs.update(zip(["<begin>", *t], t, strict=False))
+        words["<begin>"] = words["<end>"]
+        return words, pairs, sum(words.values()) - words["<begin>"]
+
+    def context(n):
+        return n if n < 8 else min(8 + int(math.log2(n / 8)), 23)
+
+    learned, retained = counted(range(1, 10)), counted(range(1, 9))
+    uniform = 1 / (len(set(learned[0]) - {"<begin>"} if learned[2] else ()) + 1)
+
+    def estimates(counts, before, word):
+        words, pairs, n = counts
+        return np.array([pairs[before, word] / words[before] if words[before] else 0, words[word] / n if n else 0, uniform])
+
+    seen = defaultdict(list)
+    for t, p in zip(tokens, part, strict=True):
+        if p == 9:
+            for before, word in zip(["<begin>", *t], t, strict=False):
+                seen[context(retained[0][before])].append(estimates(retained, before, word))
+
+    def learn(p):
+        w = np.full(3, 1 / 3)
+        for _ in range(60):
+            share = w * p
+            w = (share / share.sum(1, keepdims=True)).sum(0) + 1
+            w /= w.sum()
+        return w
+
+    every = np.array([x for xs in seen.values() for x in xs]).reshape(-1, 3)
+    weights = {k: learn(np.array(x)) for k, x in seen.items()}
+    pooled = learn(every)
+    return [sum(math.log10(weights.get(context(learned[0][b]), pooled) @ estimates(learned, b, w)) for b, w in zip(["<begin>", *t], t, strict=False)) for t in tokens]
+
+
+def test_mixture_equals_brute_force(spark, sf):
+    """Each held-out token by itself against the histogram of estimates: scores a token agree to a thousandth."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, "the and of"), (10**6, None), (10**6 + 1, "")]
+    got = interpolation.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {r.doc_id: (r.score, r.n_tokens) for r in got}
+    for (i, _), s in zip(rows, mixture_brute(rows), strict=True):
+        assert abs(found[i][0] - s) <= 1e-3 * found[i][1], i
+
+
+def test_counts_of_contexts_have_buckets():
+    assert interpolation._context(np.array([0, 1, 2, 7, 8, 15, 16, 1e12])).tolist() == [0, 1, 2, 7, 8, 8, 9, 23]
+
+
+def test_slices_cover_the_entries():
+    x = np.unique(np.random.default_rng(1).integers(0, 2**64 - 1, 1000, np.uint64))
+    for buckets in (1, 3, 700, 10**6):
+        found = interpolation._slices(x, buckets)
+        assert [i for _, a, b in found for i in range(a, b)] == list(range(len(x)))
+        assert all((int(v) >> 32) * buckets >> 32 == k for k, a, b in found for v in x[a:b])
+    assert interpolation._slices(x[:0], 5) == []
+
+
+def test_mixture_weights_are_positive_and_sum_to_one():
     rng = np.random.default_rng(0)
     rows = [{"context": b, "n": 5, "p2": rng.random() * 5, "p1": rng.random(), "cell": 0} for b in range(6) for _ in range(20)]
     w = interpolation.mixture(rows, 0.01)
