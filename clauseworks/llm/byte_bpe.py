@@ -21,7 +21,8 @@ from clauseworks.llm.pretoken import ranks, splitter
 
 #: Words that a Python worker remembers before it starts afresh. Bounds memory, not results.
 REMEMBERED = 600_000
-#: Longer words go through a query that contracts all occurrences of a pair at once where that is the same.
+#: Longer words are cut where no token of the vocabulary can span; pieces that are longer still go through a query whose
+#: rounds contract all occurrences of the least pair where that is the same (see Codec).
 LONG = 48
 
 _SHORT = """
@@ -79,18 +80,33 @@ class Codec:
 
     def __init__(self, path: str):
         table = ranks(path)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         rows = [(table[t[:i]], table[t[i:]], r) for t, r in table.items() for i in range(1, len(t)) if t[:i] in table and t[i:] in table]
-        # a merge is made for all its occurrences at once only if no longer token that begins or ends with it ranks before it
-        apart = {x for t, r in table.items() for x in (*(t[:i] for i in range(2, len(t))), *(t[i:] for i in range(1, len(t) - 1))) if table.get(x, -1) > r}
-        apart = {table[x] for x in apart}
+        # A merge of a and b can be made for all its occurrences at once unless a pair that ranks before it may come of it:
+        # such a pair is the merged token with a token p before it, where p and a don't make an earlier pair themselves
+        # (or they would have been merged by now), or with a token s after it, likewise.
+        before, after = {}, {}
+        for x, rank in table.items():
+            for i in range(1, len(x)):
+                if x[:i] in table and table.get(x[i:], -1) > rank:
+                    before.setdefault(x[i:], []).append(x[:i])
+                if x[i:] in table and table.get(x[:i], -1) > rank:
+                    after.setdefault(x[:i], []).append(x[i:])
+        token = {r: t for t, r in table.items()}
+        together = []
+        for a, b, r in rows:
+            t, left, right = token[r], token[a], token[b]
+            alone = any(table.get(p + left, r) >= r for p in before.get(t, ())) or any(table.get(right + s, r) >= r for s in after.get(t, ()))
+            together.append(not alone)
         a, b, r = (np.array(x, np.int32) for x in zip(*rows, strict=True))
-        merges = pa.table({"a": a, "b": b, "rank": r, "merged": r, "together": np.array([x not in apart for x in r.tolist()])})
+        merges = pa.table({"a": a, "b": b, "rank": r, "merged": r, "together": np.array(together)})
         tokens = pa.table({"id": pa.array(table.values(), pa.int32()), "bytes": pa.array(table.keys(), pa.binary())})
         for name, data in (("merges", merges), ("tokens", tokens)):
             self.db.register("given", data)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
+        self.tokens = set(table)
+        self.starts = {t[:i] for t in table for i in range(2, len(t) + 1)}
         self.byte = np.array([table[bytes([b])] for b in range(256)], np.int32)
         #: word -> (ids as text, number of ids, decoded bytes)
         self.words: dict[str, tuple[str, int, bytes]] = {}
@@ -101,10 +117,27 @@ class Codec:
         self.db.unregister(name)
         return out
 
+    def pieces(self, word: bytes) -> list[bytes]:
+        """The word, cut between bytes that no token in it spans: those are never contracted with each other."""
+        spanned = np.zeros(len(word) + 1, np.int32)
+        for i in range(len(word) - 1):
+            j = i + 2
+            far = i + 1
+            while j <= len(word) and word[i:j] in self.starts:
+                far = j if word[i:j] in self.tokens else far
+                j += 1
+            spanned[i + 1] += 1
+            spanned[far] -= 1
+        cuts = [0, *(np.flatnonzero(spanned[1:-1].cumsum() == 0) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token rows of the words: (index of the word, id), by word and position."""
+        cut = [[w] if len(w) <= LONG else self.pieces(w) for w in words]
+        pieces = [x for some in cut for x in some]
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), [len(some) for some in cut])
         parts = []
-        lengths = np.array([len(w) for w in words], np.int64)
+        lengths = np.array([len(x) for x in pieces], np.int64)
         for sql, chosen in ((_SHORT, lengths <= LONG), (_LONG, lengths > LONG)):
             index = np.flatnonzero(chosen)
             if not len(index):
@@ -112,12 +145,12 @@ class Codec:
             n = lengths[index]
             w = np.repeat(index, n).astype(np.int32)
             p = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            tok = self.byte[np.frombuffer(b"".join([words[i] for i in index.tolist()]), np.uint8)]
+            tok = self.byte[np.frombuffer(b"".join([pieces[i] for i in index.tolist()]), np.uint8)]
             got = self._query(sql, "start", pa.table({"w": w, "p": p, "tok": tok}))
             parts.append((got["w"].to_numpy(), got["tok"].to_numpy()))
         w, tok = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(w, kind="stable")
-        return w[order], tok[order]
+        return word_of[w[order]], tok[order]
 
     def decode(self, w: np.ndarray, tok: np.ndarray) -> list[bytes]:
         """The bytes of sequences of ids: rows of one w, in the given order, are one sequence."""

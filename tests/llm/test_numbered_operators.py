@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -97,6 +100,33 @@ def test_long_words_contract_alike(word):
     assert codec.decode(w, tok) == [word.encode()]
 
 
+@pytest.fixture(scope="module")
+def codec():
+    return byte_bpe.Codec(RANKS), reference_encoding()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(["ab", "abc", "ing", "the ", "aeiou", "etaoinshr", "aA1", "éà", "._-", "qxzjkv", "日本語"]).flatmap(lambda a: st.text(a, min_size=1, max_size=300)))
+def test_words_of_any_length_contract_alike(codec, word):
+    """Both queries, and the cuts between them, against the library."""
+    own, library = codec
+    raw = word.encode()
+    for long in (48, 0, 3):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(byte_bpe, "LONG", long)
+            assert own.contract([raw])[1].tolist() == library._core_bpe.encode_single_piece(raw)
+    assert b"".join(own.pieces(raw)) == raw
+
+
+def test_a_very_long_word_takes_seconds(codec):
+    own, library = codec
+    word = "".join(random.Random(8).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)).encode()
+    began = time.process_time()
+    got = own.contract([word])[1].tolist()
+    assert time.process_time() - began < 60
+    assert got == [x for piece in own.pieces(word) for x in library._core_bpe.encode_single_piece(piece)]
+
+
 # --- 2: n-gram Jaccard join -----------------------------------------------------------
 
 
