@@ -1,9 +1,10 @@
 """Operator 4, quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are pairs of character classes at one and two steps, and words that do or don't repeat
-the word before, weighted by tf-idf. The singular vectors of a bounded sample of labelled texts span the latent
-space. The sample's vectors are broadcast; every text is compared with all of them by exact cosine
-products in blocks, and the nearest labels vote by their similarity.
+A text's terms are its words, hashed to a fixed number of terms, and its shape: pairs of character
+classes at one and two steps, and words that do or don't repeat the word before. Both kinds are
+weighted by tf-idf and count alike. The singular vectors of a bounded sample of labelled texts span
+the latent space. The sample's vectors are broadcast; every text is compared with all of them by
+exact cosine products in blocks, and the nearest labels vote by their similarity.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,7 +25,7 @@ from clauseworks.llm._streams import bytes_of, small_batches
 #: Labelled texts that a model may hold of each label: the documented bound of the sample.
 SAMPLE_PER_LABEL = 1500
 #: Dimensions of the latent space, neighbours that vote, and the power that similarity is raised to.
-DIMENSIONS, NEIGHBOURS, SHARPNESS = 40, 15, 4
+DIMENSIONS, NEIGHBOURS, SHARPNESS = 60, 15, 4
 THRESHOLD = 0.3
 
 CLASSES = 32
@@ -43,27 +45,46 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 #: A word counts as much as so many pairs of characters.
 WORD = 12
-TERMS = 2 * CLASSES * CLASSES + 2
+SHAPE_TERMS, WORD_TERMS = 2 * CLASSES * CLASSES + 2, 4096
+TERMS = SHAPE_TERMS + WORD_TERMS
+
+
+class Terms(dict):
+    """word -> its term, kept for the words met so far (and forgotten when there are too many)."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh32_intdigest(word) % WORD_TERMS
+        return h
+
+
+_TERMS = Terms()
 
 
 def counts(raw: memoryview | bytes) -> np.ndarray:
-    """Of one whole text: how often each pair of classes occurs at one and at two steps, and words that repeat the last one or don't."""
+    """Of one whole text: how often each pair of classes occurs at one and at two steps, words that repeat the last one or don't, and each word's term (A-Z lower-cased)."""
     c = _CLASS[np.frombuffer(raw, np.uint8)].astype(np.int32)
     out = np.zeros(TERMS, np.float32)
     if len(c) > 1:
         out[: CLASSES * CLASSES] = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
     if len(c) > 2:
-        out[CLASSES * CLASSES : -2] = np.bincount(c[:-2] * CLASSES + c[2:], minlength=CLASSES * CLASSES)
+        out[CLASSES * CLASSES : SHAPE_TERMS - 2] = np.bincount(c[:-2] * CLASSES + c[2:], minlength=CLASSES * CLASSES)
     words = bytes(raw).split()
     same = sum(map(eq, words, words[1:]))
-    out[-2:] = WORD * same, WORD * max(len(words) - 1 - same, 0)
+    out[SHAPE_TERMS - 2 : SHAPE_TERMS] = WORD * same, WORD * max(len(words) - 1 - same, 0)
+    terms = np.fromiter(map(_TERMS.__getitem__, bytes(raw).lower().split()), np.int64, len(words))
+    out[SHAPE_TERMS:] = np.bincount(terms, minlength=WORD_TERMS)
     return out
 
 
 def _weigh(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Square roots of relative frequencies, by idf, at unit length (zero rows stay zero)."""
-    w = np.sqrt(tf / np.maximum(tf.sum(1, keepdims=True), 1)) * idf
-    return w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
+    """Square roots of relative frequencies, by idf, at unit length for the shape and for the words (zero rows stay zero)."""
+    out = np.empty(tf.shape, np.float32)
+    for part in (slice(0, SHAPE_TERMS), slice(SHAPE_TERMS, TERMS)):
+        w = np.sqrt(tf[:, part] / np.maximum(tf[:, part].sum(1, keepdims=True), 1)) * idf[part]
+        out[:, part] = w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
+    return out
 
 
 @dataclass(frozen=True)
@@ -78,17 +99,20 @@ class Model:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def score(self, tf: np.ndarray, block: int = 512) -> np.ndarray:
-        """The share of label 1 in the votes of the nearest labelled texts; 0.5 where there are none."""
+        """The share of label 1 in the votes of the nearest labelled texts; 0.5 where there are none.
+
+        Texts as near as the last of the NEIGHBOURS (to a millionth) vote too, so ties don't depend on an order.
+        """
         out = np.full(len(tf), 0.5)
         k = min(NEIGHBOURS, len(self.labels))
         if not k:
             return out
         for i in range(0, len(tf), block):
             cosine = self.embed(tf[i : i + block]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS
+            last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+            weight = np.where(cosine >= last - 1e-6, np.maximum(cosine, 0), 0).astype(np.float64) ** SHARPNESS
             total = weight.sum(1)
-            out[i : i + block] = np.where(total > 0, (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12), 0.5)
+            out[i : i + block] = np.where(total > 0, weight @ self.labels / np.maximum(total, 1e-12), 0.5)
         return out
 
 
@@ -100,9 +124,10 @@ def held_out(ident: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """A model from at most SAMPLE_PER_LABEL labelled texts of each label, those of least hash.
 
-    Held-out ids, null texts and null labels are not learned from. If one label is missing the model
-    knows only the other; with no labelled text at all it scores 0.5. Only the sample's term counts
-    reach the driver: 2 * SAMPLE_PER_LABEL rows of TERMS numbers at most.
+    Held-out ids, null texts and null labels are not learned from. An id with several labels has the
+    lesser one; an id with several texts counts once, by the least of its term counts. If one label
+    is missing the model knows only the other; with no labelled text at all it scores 0.5. Only the
+    sample's term counts reach the driver: 2 * SAMPLE_PER_LABEL rows of the terms that occur.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col(ident).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id")))
@@ -112,16 +137,26 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tf = [counts(t).astype(np.int32).tobytes() for t in bytes_of(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tf, pa.binary())], names=["id", "y", "tf"])
-
-    rows = sorted(sample.select("doc", "y", "t").mapInArrow(run, "id long, y int, tf binary").collect(), key=lambda r: (r.id, bytes(r.tf)))
+            packed = []
+            for t in bytes_of(b.column(2)):
+                tf = counts(t)
+                some = np.flatnonzero(tf)
+                packed.append(some.astype(np.uint16).tobytes() + tf[some].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["id", "y", "tf"])
+
+    counted = sample.select("doc", "y", "t").mapInArrow(run, "id long, y int, tf binary").groupBy("id").agg(F.min("y").alias("y"), F.min("tf").alias("tf"))
+    rows = sorted(counted.collect(), key=lambda r: r.id)
     if not rows:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    tf = np.array([np.frombuffer(r.tf, np.int32) for r in rows], np.float32)
+    tf = np.zeros((len(rows), TERMS), np.float32)
+    for i, r in enumerate(rows):
+        n = len(r.tf) // 6
+        tf[i, np.frombuffer(r.tf, np.uint16, n)] = np.frombuffer(r.tf, np.int32, n, 2 * n)
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
-    _, _, vt = np.linalg.svd(_weigh(tf, idf), full_matrices=False)
-    basis = vt[:DIMENSIONS].T.astype(np.float32)
+    weighed = _weigh(tf, idf)
+    power, left = np.linalg.eigh(weighed @ weighed.T)  # the sample's left singular vectors, in ascending order
+    some = np.flatnonzero(power > power[-1] * 1e-6)[-DIMENSIONS:][::-1]
+    basis = (weighed.T @ left[:, some] / np.sqrt(power[some])).astype(np.float32) if len(some) else np.zeros((TERMS, 1), np.float32)
     model = Model(idf, basis, np.zeros((0, 1), np.float32), np.zeros(0))
     return Model(idf, basis, model.embed(tf).astype(np.float32), np.array([r.y for r in rows], np.float64))
 

@@ -312,8 +312,58 @@ def test_quality_of_awkward_input(spark, docs, none):
 
 def test_quality_sample_is_bounded(spark, sf, monkeypatch):
     monkeypatch.setattr(quality, "SAMPLE_PER_LABEL", 5)
-    model = quality.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
-    assert len(model.labels) <= 10
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert len(quality.fit(docs, labels).labels) <= 10
+    assert len(quality.fit(docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", F.lit(" more")))), labels).labels) <= 10
+
+
+def test_votes_equal_brute_force(spark, sf):
+    """Terms counted one by one, all cosines in double precision, neighbours sorted and summed one at a time."""
+    import xxhash
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    given = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    sample = sorted(i for i in known if given.get(i) is not None)
+    assert all(list(known.values()).count(y) <= quality.SAMPLE_PER_LABEL for y in (0, 1))
+    classes = quality._CLASS.tolist()
+
+    def terms(text):
+        raw = (text or "").encode()
+        c, w = [classes[x] for x in raw], raw.split()
+        shape = Counter([a * 32 + b for a, b in zip(c, c[1:], strict=False)] + [1024 + a * 32 + b for a, b in zip(c, c[2:], strict=False)])
+        for a, b in zip(w, w[1:], strict=False):
+            shape[2048 if a == b else 2049] += quality.WORD
+        return shape, Counter(xxhash.xxh32_intdigest(x.lower()) % quality.WORD_TERMS for x in w)
+
+    counted = [terms(given[i]) for i in sample]
+    idf = [{k: math.log((1 + len(sample)) / (1 + n)) + 1 for k, n in Counter(k for c in counted for k in c[part]).items()} for part in (0, 1)]
+    unseen = math.log(1 + len(sample)) + 1
+
+    def weighed(pair):
+        out = np.zeros(quality.TERMS)
+        for part, start in ((0, 0), (1, quality.SHAPE_TERMS)):
+            total = sum(pair[part].values())
+            x = {k: math.sqrt(n / total) * idf[part].get(k, unseen) for k, n in pair[part].items()}
+            length = math.sqrt(sum(y * y for y in x.values()))
+            for k, y in x.items():
+                out[start + k] = y / length
+        return out
+
+    matrix = np.array([weighed(c) for c in counted])
+    _, _, vt = np.linalg.svd(matrix, full_matrices=False)
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
+    at = np.array([unit(x @ vt[: quality.DIMENSIONS].T) for x in matrix])
+    y = [known[i] for i in sample]
+    got = {r.doc_id: r.score for r in registry.QUERIES["op4_quality_classifier"](spark, sf).collect()}
+    assert set(got) == set(given)
+    for i, text in given.items():
+        cosine = at @ unit(weighed(terms(text)) @ vt[: quality.DIMENSIONS].T)
+        near = sorted(zip(cosine.tolist(), y, strict=True), reverse=True)
+        last = near[: quality.NEIGHBOURS][-1][0]
+        votes = [(max(c, 0) ** quality.SHARPNESS, label) for c, label in near if c >= last - 1e-6]
+        total = sum(v for v, _ in votes)
+        assert abs(got[i] - (sum(v * label for v, label in votes) / total if total else 0.5)) < 5e-3, i
 
 
 # --- 5: decontamination -----------------------------------------------------------------------
