@@ -118,23 +118,24 @@ def dropped_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     return gone.groupBy("doc", "at").agg(F.collect_set("pos").alias("positions"))
 
 
-def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """docs' columns with the text less its dropped lines, plus n_lines and n_dropped (longs).
 
     A line is what stands between newlines. Lines of fewer than LEAST_TOKENS tokens and lines that
     are mostly variable fields have exact copies only; blank lines are never dropped. Repeats inside one document stay. Exact and
     generalised copies are dropped in all documents but the one of least id (a tie of ids is one
     document). A null text stays null with 0 lines; an empty text has one empty line; rows with a
-    null id are left as they are. Columns of docs named n_lines or n_dropped are replaced. The
+    null id are left as they are. Columns of docs with the names given for n_lines and n_dropped are
+    replaced. Lines are equal if their 64-bit hashes within a leaf are, and leaves if theirs are. The
     positions of a document are at most its lines, so no group is unbounded.
     """
-    kept = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")])
+    kept = docs.select(*[c for c in docs.columns if c not in (n_lines, n_dropped)])
     gone = dropped_lines(docs, ident, text).withColumnsRenamed({"doc": "__doc", "at": "__at", "positions": "__positions"})
     lines = F.split(F.col(text), "\n")
     joined = kept.join(gone, (kept[ident] == gone["__doc"]) & (F.xxhash64(kept[text]) == gone["__at"]), "left")
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__positions", i)), "\n")
-    joined = joined.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
-    joined = joined.withColumn("n_dropped", F.when(F.col("__positions").isNull(), F.lit(0)).otherwise(F.size("__positions")).cast("long"))
+    joined = joined.withColumn(n_lines, F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
+    joined = joined.withColumn(n_dropped, F.when(F.col("__positions").isNull(), F.lit(0)).otherwise(F.size("__positions")).cast("long"))
     return joined.withColumn(text, F.when(F.col("__positions").isNull(), F.col(text)).otherwise(rest)).drop("__doc", "__at", "__positions")
 
 
