@@ -23,9 +23,11 @@ def session(app: str = "clauseworks", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on this machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='clauseworks-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -58,9 +60,19 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that materialize() wrote in this process; results that read them must be saved by then."""
+def written() -> set[str]:
+    """The tables of materialize() that this process has written so far."""
+    return set(_written)
+
+
+def release(spark: SparkSession, but: set[str] = frozenset(), keep: DataFrame | None = None) -> None:
+    """Delete the tables that materialize() wrote in this process, except those in `but` and those that keep reads.
+
+    Results that read the others must be saved by then.
+    """
+    read = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for place in [p for p in _written if p not in but and p.rpartition("/")[2] not in read]:
+        path = jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(conf).delete(path, True)
+        _written.remove(place)
