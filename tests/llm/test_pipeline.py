@@ -97,3 +97,17 @@ def test_every_stage_takes_awkward_and_empty_tables(spark, sf):
                 assert sorted(out.columns) == sorted(corpus_pipeline.COLUMNS)
         docs = corpus_pipeline.materialize(stage(spark, docs, sf), "stage")
     assert {1, 2, None} <= {r.doc_id for r in docs.collect()}
+
+
+def test_other_columns_and_repeated_rows(spark, sf):
+    """Names that the operators use inside are handed on; of rows with one id and text one is left after the join."""
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, passage, "en", "s", 5), (1, passage, "en", "s", 5), (1, passage + " more", "en", "s", 5), (2, passage + " end", "en", "s", 5), (3, "", "en", "s", 0), (3, "", "en", "s", 0), (None, passage, "en", "s", 5), (4, None, "en", "s", None)]
+    extra = {"quality_score": 7.0, "n_lines": 8, "n_dropped": 9, "content": "c", "kept": True, "row": 3}
+    docs = spark.createDataFrame([(*r, *extra.values()) for r in rows], DOCUMENTS + ", quality_score double, n_lines int, n_dropped int, content string, kept boolean, row int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert sorted(out.columns) == sorted(docs.columns), name
+        assert all(r[k] == v for r in out.collect() for k, v in extra.items()), name
+    left = corpus_pipeline.ngram_jaccard_join(spark, docs, sf).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in left))) == sorted(map(repr, [(1, passage), (3, ""), (3, ""), (None, passage), (4, None)]))
