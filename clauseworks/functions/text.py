@@ -64,9 +64,9 @@ def formatting(d: Spark, t: str) -> str:
     return f"coalesce(nullif(concat_ws('; ', {parts}), ''), 'N/A')"
 
 
-def in_print(d: Spark, t: str, section: str) -> str:
-    """y if print is named, a warning is given, or (section) the item comes from an instructions section."""
-    return f"case when {any_like(d, f'lower({t})', v.PRINT_REQUIREMENT_PATTERNS)} or {warning_token(d, t)} or {section} then 'y' else 'n' end"
+def in_print(d: Spark, t: str, section: str, warning: str | None = None) -> str:
+    """y if print is named, a warning is given, or (section) the item comes from an instructions section; warning may name a column that knows."""
+    return f"case when {any_like(d, f'lower({t})', v.PRINT_REQUIREMENT_PATTERNS)} or {warning or warning_token(d, t)} or {section} then 'y' else 'n' end"
 
 
 def parent_section(d: Spark, c: str) -> str:

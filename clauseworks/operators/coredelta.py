@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +28,12 @@ TOPICS = {
     "tools": ["tool", "equipment", "necessary"],
 }
 FAMILIES = {"bicycle": ["16 CFR", "EN 15194", "ISO 4210"], "electrical": ["UL 2849", "47 CFR", "FCC"], "machinery": ["MD", "MR"]}
-MOST_MEMBERS, LEAST_SIMILARITY = 12, 0.70
+STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "be", "is", "are", "was", "were"]
+CONCEPTS = {"assembly": "assembly instructions", "maintenance": "maintenance procedures", "battery": "battery specifications", "warning": "safety warnings"}
+MOST_MEMBERS, LEAST_SIMILARITY, LEAST_CORE_RATIO = 12, 0.70, 0.30
 
 
+@lru_cache(maxsize=20_000)
 def sorted_words(text: str) -> str:
     """Lower-cased words of letters and digits in order of the alphabet."""
     return " ".join(sorted("".join(c if c.isalnum() else " " for c in text.lower()).split()))
@@ -56,14 +63,14 @@ def hybrid_similarity(a: dict, b: dict) -> float:
 
 
 def split_topics(rows: DataFrame) -> DataFrame:
-    """(topic, id, seed): greedy groups of at most MOST_MEMBERS around the first row that is still free.
+    """(scope, topic, id, seed): greedy groups of at most MOST_MEMBERS around the first row that is still free.
 
-    rows: topic, id, text, standard, temperature, measurement, warning. A seed takes later free rows
-    of its topic that are similar enough; rows that stay alone are left out. Sequential within a
-    topic: the topic's size bounds a task.
+    rows: scope, topic, id, text, standard, temperature, measurement, warning. A seed takes later free
+    rows of its topic that are similar enough; rows that stay alone are left out. A scope holds the
+    tables that are consolidated together; the walk is sequential within one topic of a scope.
     """
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+    def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         items = pdf.sort_values("id").to_dict("records")
         taken, out = set(), []
         for i, seed in enumerate(items):
@@ -77,10 +84,57 @@ def split_topics(rows: DataFrame) -> DataFrame:
                     members.append(j)
             taken.update(members)
             if len(members) > 1:
-                out += [(seed["topic"], items[j]["id"], seed["id"]) for j in members]
-        return pd.DataFrame(out, columns=["topic", "id", "seed"])
+                out += [(*key, items[j]["id"], seed["id"]) for j in members]
+        return pd.DataFrame(out, columns=["scope", "topic", "id", "seed"])
+
+    return rows.groupBy("scope", "topic").applyInPandas(split, "scope long, topic string, id long, seed long")
+
+
+def core_statement(texts: list[str]) -> tuple[str, list[str]]:
+    """The statement of a group, and the words that all members have; empty if those are fewer than two."""
+    lower = [t.lower() for t in texts]
+    common = set.intersection(*(set(t.split()) for t in lower)) - set(STOP_WORDS)
+    if len(common) < 2:
+        return "", []
+    core = "Instructions shall " if all("shall" in t for t in lower) else "The manufacturer shall provide "
+    core += "".join(f"{x} " for k, x in CONCEPTS.items() if k in common)
+    core += "including necessary details for safe use" if all("include" in t for t in lower) else ""
+    return core.strip() + ".", sorted(common)
+
+
+def deltas(member: dict, core: str) -> list[str]:
+    """What a member has of its own: temperatures, units of measurement, formats, the word of warning."""
+    text = member["text"]
+    found = [f"Temperature: {', '.join(x)}" for x in [re.findall(r"[-\d]+\s*°[CF]", text)] if member["temperature"] and x]
+    found += [f"Measurements: {', '.join(x)}" for x in [re.findall(r'\d+\.?\d*\s*(mm|cm|m|inch|")', text)] if member["measurement"] and x]
+    found += [note for word, note in (("paper", "Paper format required"), ("digital", "Digital format allowed")) if word in text.lower() and word not in core.lower()]
+    found += [f"Uses {w}" for w in ("WARNING", "CAUTION", "DANGER") if member["warning"] and w in text.upper()][:1]
+    return found
+
+
+def core_groups(members: DataFrame) -> DataFrame:
+    """(topic, seed, size, core, least_ratio, similarity, deltas, accepted) of splits; those that pass three gates are accepted.
+
+    members: seed, topic, id, text, standard, clause, temperature, measurement, warning. A20: all members
+    have two words or more in common. A21: the statement's words make up LEAST_CORE_RATIO of each
+    member's. A22: the mean similarity of all pairs is LEAST_SIMILARITY or more. A split has at most
+    MOST_MEMBERS members, so its pairs are few.
+    """
 
-    return rows.groupBy("topic").applyInPandas(split, "topic string, id long, seed long")
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("id").to_dict("records")
+        core, _ = core_statement([x["text"] for x in rows])
+        own = set(core.lower().split())
+        words = [set(x["text"].lower().split()) for x in rows]
+        ratios = [len(own & w) / len(w) for w in words if w]
+        pairs = [hybrid_similarity(a, b) for a, b in combinations(rows, 2)]
+        mean = sum(pairs) / len(pairs) if pairs else 0.0
+        accepted = bool(core) and all(x >= LEAST_CORE_RATIO for x in ratios) and mean >= LEAST_SIMILARITY
+        notes = "\n".join(f"{x['standard']} {x['clause']}: {'; '.join(d)}" for x in rows if (d := deltas(x, core)))
+        made = (rows[0]["topic"], key[0], len(rows), core, min(ratios, default=1.0), mean, notes, accepted)
+        return pd.DataFrame([made], columns=["topic", "seed", "size", "core", "least_ratio", "similarity", "deltas", "accepted"])
+
+    return members.groupBy("seed").applyInPandas(build, "topic string, seed long, size int, core string, least_ratio double, similarity double, deltas string, accepted boolean")
 
 
 def with_properties(clauses: DataFrame) -> DataFrame:

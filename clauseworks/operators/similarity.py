@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType
 
 from clauseworks.functions import text as r
 from clauseworks.functions.dialect import SPARK, Spark, run
@@ -27,18 +30,18 @@ CORE, EXPAND, ATTACH, STAGED_SIZE = 0.55, 0.50, 0.45, 150
 
 
 def tfidf_sql(d: Spark, clauses: str, stop: tuple[str, ...] | list[str] = STOP_WORDS) -> str:
-    """(bucket, idx, term, weight) of clauses (bucket, idx, text).
+    """(bucket, idx, term, place, weight) of clauses (bucket, idx, text); place numbers a bucket's terms from 1.
 
-    Terms are words of two letters or more without stop words, and neighbouring pairs of those left.
+    Terms are words of two letters or digits or more without stop words, and neighbouring pairs of those left.
     A term in more than MOST_SHARE of a bucket is out; the MOST_TERMS most frequent stay, ties by the
     alphabet. idf = ln((1 + n) / (1 + df)) + 1; weights have unit length within a clause. A bucket
     without terms gives no rows.
     """
     words = ", ".join(map(d.lit, stop))
     if d.name == "spark":
-        tokens = f"(select bucket, idx, posexplode(filter(regexp_extract_all(lower(text), '\\\\b\\\\w\\\\w+\\\\b', 0), w -> not array_contains(array({words}), w))) as (pos, w) from {clauses} as x)"
+        tokens = f"(select bucket, idx, posexplode(filter(regexp_extract_all(lower(text), '[\\\\p{{L}}\\\\p{{N}}_]{{2,}}', 0), w -> not array_contains(array({words}), w))) as (pos, w) from {clauses} as x)"
     else:
-        tokens = f"(select bucket, idx, unnest(range(len(l))) as pos, unnest(l) as w from (select bucket, idx, list_filter(regexp_extract_all(lower(text), '\\b\\w\\w+\\b'), lambda w: not list_contains([{words}], w)) as l from {clauses} as x))"
+        tokens = f"(select bucket, idx, unnest(range(len(l))) as pos, unnest(l) as w from (select bucket, idx, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: not list_contains([{words}], w)) as l from {clauses} as x))"
     return f"""
 with tok as {tokens}, terms as (
   select bucket, idx, w as term from tok
@@ -48,13 +51,13 @@ with tok as {tokens}, terms as (
 ), size as (select bucket, count(*) as n from {clauses} as y group by bucket
 ), df as (select bucket, term, count(*) as df, sum(tf) as total from tf group by bucket, term
 ), vocabulary as (
-  select bucket, term, df, n from (
+  select bucket, term, df, n, place from (
     select f.bucket, term, df, n, row_number() over (partition by f.bucket order by total desc, term) as place from df f join size s on s.bucket = f.bucket where df <= {MOST_SHARE} * n)
   where place <= {MOST_TERMS}
 ), raw as (
-  select tf.bucket, tf.idx, tf.term, tf.tf * (ln(cast(1 + n as double) / (1 + df)) + 1) as w from tf join vocabulary v on v.bucket = tf.bucket and v.term = tf.term
+  select tf.bucket, tf.idx, tf.term, v.place, tf.tf * (ln(cast(1 + n as double) / (1 + df)) + 1) as w from tf join vocabulary v on v.bucket = tf.bucket and v.term = tf.term
 )
-select bucket, idx, term, w / sqrt(sum(w * w) over (partition by bucket, idx)) as weight from raw
+select bucket, idx, term, cast(place as int) as place, w / sqrt(sum(w * w) over (partition by bucket, idx)) as weight from raw
 """
 
 
@@ -67,29 +70,92 @@ def edges_sql(weights: str, threshold: float) -> str:
     return f"select bucket, a, b, sim from (select x.bucket, x.idx as a, y.idx as b, round(sum(x.weight * y.weight), 9) as sim from {weights} x join {weights} y on y.bucket = x.bucket and y.term = x.term and x.idx < y.idx group by x.bucket, x.idx, y.idx) where sim >= {threshold}"
 
 
+#: Clauses of a block; two blocks of a bucket meet in one task.
+PAIR_BLOCK = 2048
+
+
+def bucket_pairs(weights: DataFrame, reduce: Callable[[str, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """reduce(bucket, ids, cosines rounded to nine places, pairs) for all pairs of clauses of a bucket, block by block.
+
+    A bucket has at most MOST_TERMS terms, so a block's vectors are a small matrix, and the cosines of
+    two blocks one product of them; a join on terms would meet each pair once for each common term.
+    pairs marks the pairs (row < column) of the cosines that belong to this block, each pair once.
+    What reduce returns should be short: an edge list, a spanning forest or counts.
+    """
+    vectors = weights.groupBy("bucket", "idx").agg(F.collect_list("place").alias("places"), F.collect_list("weight").alias("weights"))
+    many = weights.groupBy("bucket").agg(F.ceil(F.count_distinct("idx") / PAIR_BLOCK).cast("int").alias("blocks"))
+    dealt = vectors.join(many, "bucket").withColumn("own", F.pmod(F.xxhash64("idx"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "idx", "places", "weights")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        m = np.zeros((len(rows), MOST_TERMS))
+        at = np.repeat(np.arange(len(rows)), rows["places"].map(len))
+        m[at, np.concatenate(rows["places"].tolist()) - 1] = np.concatenate(rows["weights"].tolist())
+        pairs = np.triu(np.ones((len(rows), len(rows)), bool), 1)
+        if key[1] != key[2]:
+            own = rows["own"].to_numpy()
+            pairs &= own[:, None] != own
+        return reduce(key[0], rows["idx"].to_numpy(), np.round(m @ m.T, 9), pairs)
+
+    return dealt.groupBy("bucket", "bi", "bj").applyInPandas(run, schema)
+
+
 def similarity_edges(weights: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of edges_sql without joining on the commonest terms first.
+    """The pairs of edges_sql."""
+
+    def edges(bucket: str, ids: np.ndarray, sim: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(pairs & (sim >= threshold))
+        return pd.DataFrame({"bucket": bucket, "a": ids[i], "b": ids[j], "sim": sim[i, j]})
+
+    return bucket_pairs(weights, edges, "bucket string, a long, b long, sim double")
+
+
+def linking_edges(weights: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a spanning forest, in each block, of the pairs above the threshold of their bucket's size; it has the components of all such pairs."""
+    least = {0: threshold, 1: LARGE}
+    wide = weights.join(sizes.select("bucket", (F.col("bucket_size") > LARGE_BUCKET).cast("int").alias("wide")), "bucket")
+    marked = wide.withColumn("bucket", F.concat_ws("#", F.col("wide").cast("string"), "bucket"))
 
-    A clause's terms are ranked from rare to common. Once the rest of a unit vector is shorter than
-    the threshold, a partner that has none of the terms so far can't reach it, so only that prefix is
-    joined; candidates are then scored on all terms.
+    def forest(bucket: str, ids: np.ndarray, sim: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
+        linked = pairs & (sim >= least[int(bucket[0])])
+        linked |= linked.T
+        free, edges = np.ones(len(ids), bool), []
+        for root in range(len(ids)):
+            queue = [root] if free[root] else []
+            free[root] = False
+            while queue:
+                u = queue.pop()
+                found = np.flatnonzero(linked[u] & free)
+                free[found] = False
+                edges += [(ids[u], ids[v]) for v in found]
+                queue += found.tolist()
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return bucket_pairs(marked, forest, "a long, b long")
+
+
+def similarity_counts(clauses: DataFrame, weights: DataFrame, places: int = 6) -> DataFrame:
+    """(bucket, sim, n): how many pairs of a bucket's clauses (bucket, idx) have each similarity, rounded.
+
+    Clauses without terms are similar to none, so their pairs count at 0. A bucket has at most
+    10 ** places + 1 rows, however many pairs it has.
     """
-    return run(
-        f"""
-with ranked as (
-  select w.*, count(*) over (partition by bucket, term) as df from <weights> w
-), prefixed as (
-  select *, sum(weight * weight) over (partition by bucket, idx order by df desc, term desc rows between unbounded preceding and current row) as rest from ranked
-), candidates as (
-  select distinct p.bucket, least(p.idx, y.idx) as a, greatest(p.idx, y.idx) as b
-  from prefixed p join <weights> y on y.bucket = p.bucket and y.term = p.term and y.idx <> p.idx where p.rest >= {(threshold - 1e-6) ** 2}
-)
-select c.bucket, a, b, round(sum(x.weight * y.weight), 9) as sim
-from candidates c join <weights> x on x.bucket = c.bucket and x.idx = c.a join <weights> y on y.bucket = c.bucket and y.idx = c.b and y.term = x.term
-group by c.bucket, a, b having round(sum(x.weight * y.weight), 9) >= {threshold}
-""",
-        weights=weights,
-    )
+
+    def count(bucket: str, ids: np.ndarray, sim: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
+        value, n = np.unique(np.round(sim[pairs], places), return_counts=True)
+        return pd.DataFrame({"bucket": bucket, "sim": value, "n": n})
+
+    counted = bucket_pairs(weights, count, "bucket string, sim double, n long")
+    of = lambda df, name: df.groupBy("bucket").agg((F.count_distinct("idx") * (F.count_distinct("idx") - 1) / 2).cast("long").alias(name))
+    rest = of(clauses, "every").join(of(weights, "met"), "bucket", "left").select("bucket", F.lit(0.0).alias("sim"), (F.col("every") - F.coalesce("met", F.lit(0))).alias("n"))
+    return counted.unionByName(rest).groupBy("bucket", "sim").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def embedded(rows: DataFrame, text: str, embed: Callable[[pd.Series], pd.Series], out: str = "vector") -> DataFrame:
+    """T4: rows plus the vector that an injected function gives to each text; it sees a batch of texts at once."""
+    return rows.withColumn(out, F.pandas_udf(embed, "array<double>")(text))
 
 
 def dense_edges(vectors: DataFrame, ident: str, vector: str, threshold: float, block: int = 1024) -> DataFrame:
@@ -102,8 +168,6 @@ def dense_edges(vectors: DataFrame, ident: str, vector: str, threshold: float, b
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"bi": F.least("own", "other"), "bj": F.greatest("own", "other")})
 
     def pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         m = np.array(rows["v"].tolist(), np.float64)
         m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
         sim = np.round(m @ m.T, 9)
@@ -190,59 +254,90 @@ def grouped_clauses(clauses: DataFrame, threshold: float = BASE, staged: bool =
     larger = b.where("bucket_size > 2").select("bucket", F.col("clause_idx").alias("idx"), "text", "bucket_size")
     weights = materialize(tfidf(larger), "tfidf")
     sizes = b.select("bucket", "bucket_size").distinct()
-    edges = similarity_edges(weights, min(threshold, LARGE)).join(sizes, "bucket")
-    edges = materialize(edges.where(F.col("sim") >= F.when(F.col("bucket_size") > LARGE_BUCKET, LARGE).otherwise(threshold)), "edges")
-    found = connected_components(edges)
+    found = connected_components(linking_edges(weights, sizes, threshold))
     if staged:
-        of = edges.join(found, edges.a == found.node).select("component", "a", "b", "sim")
-        split = staged_clusters(of, found)
+        large = found.groupBy("component").agg(F.count("*").alias("n")).where(f"n >= {STAGED_SIZE}").select("component")
+        inside = found.join(large, "component").select("component", "node")
+        edges = similarity_edges(weights.join(inside, weights.idx == inside.node, "left_semi"), min(threshold, LARGE)).join(sizes, "bucket")
+        edges = edges.where(F.col("sim") >= F.when(F.col("bucket_size") > LARGE_BUCKET, LARGE).otherwise(threshold))
+        of = edges.join(inside, edges.a == inside.node).select("component", "a", "b", "sim")
+        split = staged_clusters(of, inside)
         found = found.join(split.select("node", "cluster"), "node", "left").select("node", F.coalesce("cluster", "component").alias("component"))
     pairs = b.where("bucket_size = 2").select(F.col("clause_idx").alias("node"), F.col("bucket_first").alias("component"))
-    members = found.select("node", "component").unionByName(pairs).join(b, F.col("node") == b.clause_idx)
-    return run(
-        """
-with kept as (select component from <m> group by component having count(*) >= 2 and count(distinct standard_name) >= 2)
-select dense_rank() over (order by bucket_first, m.component) - 1 as group_id, clause_idx, category, requirement_type
-from <m> m join kept k on k.component = m.component
-""",
-        m=members,
-    )
-
-
-@F.pandas_udf(DoubleType())
-def ratio(new: pd.Series, kept: pd.Series) -> pd.Series:
-    """The matching-blocks ratio of two texts, in this order."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(new, kept, strict=True)])
+    members = found.select("node", "component").unionByName(pairs).join(b.drop("text"), F.col("node") == b.clause_idx)
+    members = materialize(members.select("component", "bucket_first", "clause_idx", "standard_name", "category", "requirement_type"), "members")
+    # numbers are given to the groups, of which each bucket has few, not to their members
+    kept = members.groupBy("component").agg(F.min("bucket_first").alias("bucket_first"), F.count("*").alias("n"), F.min("standard_name").alias("s1"), F.max("standard_name").alias("s2")).where("n >= 2 and s1 <> s2")
+    kept = numbered(kept.select("component", "bucket_first"), ["bucket_first", "component"], "group_id")
+    return members.join(kept, "component").select("group_id", "clause_idx", "category", "requirement_type")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with consecutive numbers from 0 in order: a sort by ranges, numbers within each range, and the ranges' offsets."""
+    spark = rows.sparkSession
+    sorted_rows = materialize(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__at", 33)
+    counts = sorted_rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).orderBy("__part").collect()  # one row for each partition
+    offset, ahead = [], 0
+    for r in counts:
+        offset.append((r["__part"], ahead))
+        ahead += r["__n"]
+    offsets = F.broadcast(spark.createDataFrame(offset or [(0, 0)], "__part long, __ahead long"))
+    with_part = sorted_rows.withColumn("__part", part).join(offsets, "__part")
+    return with_part.withColumn(name, F.col("__ahead") + F.col("__at").bitwiseAND((1 << 33) - 1)).select(*rows.columns, name)
 
 
 def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(kept, new) with kept < new and ratio at least the threshold, of rows (id, s) with s not empty.
+    """(kept, new, kept_text, new_text) with kept < new of one scope that may reach the ratio, of rows (scope, id, s, n).
 
-    At this ratio, the three-letter pieces of one text that the other lacks are at most three times
-    the letters left unmatched, a fixed share of its length. With pieces ranked from rare to common,
-    two such texts meet within that many of their first pieces; only those are joined, and pairs that
-    share too few pieces go no further.
+    Two texts of lengths n and m have a ratio of 2 * least(n, m) / (n + m) at most, and of twice the
+    letters they have in common, each counted as often as both hold it, so both bounds go first:
+    lengths are joined by band (a partner's length is in the same band of a geometric scale or the next).
     """
-    loose = 1 - threshold
-    share = 3 * loose * (1 + (2 - threshold) / threshold)
     return run(
         f"""
-with texts as (select id, s, n, array_distinct(transform(sequence(1, greatest(n - 2, 1)), k -> substring(s, k, 3))) as grams from (select id, s, length(s) as n from <rows>)
-), pieces as (
-  select distinct id, n, substring(s, k, 3) as piece from (select id, s, n, explode(sequence(1, greatest(n - 2, 1))) as k from texts)
-), ranked as (
-  select id, n, piece, row_number() over (partition by id order by df, piece) as place from (select *, count(*) over (partition by piece) as df from pieces)
-), firsts as (select id, n, piece from ranked where place <= floor({share} * n) + 2
-), candidates as (
-  select distinct x.id as kept, y.id as new from firsts x join firsts y on y.piece = x.piece and x.id < y.id and 2 * least(x.n, y.n) >= {threshold} * (x.n + y.n)
-)
-select c.kept, c.new, k.s as kept_text, n.s as new_text from candidates c join texts k on k.id = c.kept join texts n on n.id = c.new
-where size(array_intersect(k.grams, n.grams)) >= greatest(size(k.grams) - floor({share} * k.n) - 1, size(n.grams) - floor({share} * n.n) - 1)
+with banded as (select scope, id, s, n, cast(floor(ln(greatest(n, 1)) / ln({2 / threshold - 1})) as int) as band from <rows>
+), other as (select scope, id, s, n, explode(array(band - 1, band, band + 1)) as band from banded)
+select x.id as kept, y.id as new, x.s as kept_text, y.s as new_text
+from banded x join other y on y.scope = x.scope and y.band = x.band and x.id < y.id and 2 * least(x.n, y.n) >= {threshold} * (x.n + y.n)
 """,
         rows=rows,
     )
 
 
+def near_by_ratio(rows: DataFrame, threshold: float, swapped: bool = False, strict: bool = False) -> DataFrame:
+    """(kept, new) of rows (scope, id, s) whose ratio reaches (strict: exceeds) the threshold.
+
+    The ratio is that of (new, kept), or with swapped that of (kept, new). It is not symmetric. Pairs are
+    bounded by lengths and common letters before the texts are compared.
+    """
+
+    @F.pandas_udf(BooleanType())
+    def near(kept: pd.Series, new: pd.Series) -> pd.Series:
+        out, letters, matcher, last = [], {}, SequenceMatcher(None), None
+        for k, t in zip(kept, new, strict=True):
+            for x in (k, t):
+                if x not in letters:
+                    if len(letters) > 5000:
+                        letters.clear()
+                    letters[x] = Counter(x)
+            total = len(k) + len(t)
+            if total and 2 * (letters[k] & letters[t]).total() < threshold * total:
+                out.append(False)
+                continue
+            first, second = (k, t) if swapped else (t, k)
+            if second != last:  # the matcher's index of its second text is kept
+                matcher.set_seq2(second)
+                last = second
+            matcher.set_seq1(first)
+            found = matcher.ratio()
+            out.append(found > threshold if strict else found >= threshold)
+        return pd.Series(out, dtype=bool)
+
+    given = rows.select("scope", "id", "s", F.length("s").alias("n"))
+    return near_pairs(given, threshold).where(near("kept_text", "new_text")).select("kept", "new")
+
+
 def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, original): original is null for a kept row, else the first kept row that it is near.
 
@@ -263,27 +358,28 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return ids.select("id").join(original, F.col("id") == F.col("new"), "left").select("id", "original")
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.95) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.95, scope: str | None = None) -> DataFrame:
     """(id, original) of rows (id, text), compared stripped and in lower case; empty texts are kept.
 
-    Equal texts are settled by an aggregate; only one row of each goes into the similarity join.
+    With a scope (a column: the document that rows come from), only rows of one scope are compared, as
+    one upload at a time would be. Equal texts of a scope are settled by an aggregate; only one row of
+    each is compared with others.
     """
-    s = rows.select("id", F.lower(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("s"))
-    first = materialize(s.where("s <> ''").groupBy("s").agg(F.min("id").alias("id")), "texts")
-    near = near_pairs(first.select("id", "s"), threshold).where(ratio("new_text", "kept_text") >= threshold)
-    settled = greedy_keep(first, near)
-    own = s.join(first.select("s", F.col("id").alias("rep")), "s", "left").join(settled.select(F.col("id").alias("rep"), "original"), "rep", "left")
+    s = rows.select("id", F.coalesce(F.col(scope), F.lit(-1)).alias("scope") if scope else F.lit(0).alias("scope"), F.lower(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("s"))
+    first = materialize(s.where("s <> ''").groupBy("scope", "s").agg(F.min("id").alias("id")), "texts")
+    settled = greedy_keep(first, near_by_ratio(first, threshold))
+    own = s.join(first.select("scope", "s", F.col("id").alias("rep")), ["scope", "s"], "left").join(settled.select(F.col("id").alias("rep"), "original"), "rep", "left")
     return own.select("id", F.when(F.col("rep").isNull(), None).when(F.col("rep") != F.col("id"), F.coalesce("original", "rep")).otherwise(F.col("original")).alias("original"))
 
 
 def clause_duplicates(rows: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """(id, original) of rows (id, clause, text): near an earlier kept row of the same clause (ratio above the threshold).
+    """(id, original) of rows (id, clause, text): near an earlier kept row of the same clause (ratio above the threshold).
 
-    Rows without clause or text are dropped from the result.
+    Rows without clause or text are dropped from the result. Equal texts of a clause are settled by an
+    aggregate; only one row of each is compared with others.
     """
-    given = rows.where("clause <> '' and text <> ''").select("id", "clause", F.col("text").alias("s"))
-    near = run(
-        f"select x.id as kept, y.id as new, x.s as kept_text, y.s as new_text from <g> x join <g> y on y.clause = x.clause and x.id < y.id and 2 * least(length(x.s), length(y.s)) > {threshold} * (length(x.s) + length(y.s))",
-        g=given,
-    ).where(ratio("kept_text", "new_text") > threshold)
-    return greedy_keep(given, near)
+    given = rows.where("clause <> '' and text <> ''").select("id", F.col("clause").alias("scope"), F.col("text").alias("s"))
+    first = materialize(given.groupBy("scope", "s").agg(F.min("id").alias("id")), "texts")
+    settled = greedy_keep(first, near_by_ratio(first, threshold, swapped=True, strict=True))
+    own = given.join(first.select("scope", "s", F.col("id").alias("rep")), ["scope", "s"]).join(settled.select(F.col("id").alias("rep"), "original"), "rep")
+    return own.select("id", F.when(F.col("rep") != F.col("id"), F.coalesce("original", "rep")).otherwise(F.col("original")).alias("original"))

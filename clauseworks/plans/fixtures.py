@@ -1,6 +1,7 @@
-"""A deterministic corpus of phrases that meet the rules, derived from the ids of documents.
+"""Lines and clauses made of the whole texts of documents, with phrases that meet the rules mixed in.
 
-The seeded documents hardly ever hold a keyword; the corpus is built alike by Spark and DuckDB.
+The documents hardly ever hold a keyword, so a phrase stands before each of their lines. Spark and
+DuckDB build the tables alike.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clauseworks.functions.dialect import SPARK, Spark, run
 
+#: More than a document has lines.
+CLAUSES_PER_DOCUMENT = 1_000_000
+
 PHRASES = [
     "7 Marking and instructions",
     "7.1 General provisions apply here",
@@ -55,17 +59,18 @@ PHRASES = [
 
 
 def lines_sql(d: Spark, documents: str) -> str:
-    """(doc_id, standard_name, lineno, t): 20 to 49 lines for each document."""
-    at = f"((doc_id * 7 + (k + 1) * (1 + doc_id % 5) + (doc_id * (k + 1)) % 3) % {len(PHRASES)})"
-    return f"(select doc_id, standard_name, k + 1 as lineno, {d.element(PHRASES, at)} as t from {d.series('n', 'doc_id, standard_name', f'(select doc_id, source as standard_name, 20 + doc_id % 30 as n from {documents})')} as s)"
+    """(doc_id, standard_name, lineno, t): every line of every document, a phrase before each."""
+    at = f"((doc_id * 7 + (pos + 1) * (1 + doc_id % 5) + (doc_id * (pos + 1)) % 3) % {len(PHRASES)})"
+    raw = d.lines("text", "doc_id, standard_name", f"(select doc_id, source as standard_name, text from {documents})")
+    return f"(select doc_id, standard_name, pos * 2 + 1 as lineno, {d.element(PHRASES, at)} as t from {raw} as s union all select doc_id, standard_name, pos * 2 + 2 as lineno, raw as t from {raw} as s)"
 
 
 def clauses_sql(d: Spark, documents: str) -> str:
-    """(clause_idx, standard_name, clause_number, text): one clause for each document."""
-    at = f"((doc_id * 7 + doc_id % 3) % {len(PHRASES)})"
+    """(clause_idx, doc_id, standard_name, clause_number, text): a clause for every line of every document, a phrase and the whole line."""
+    at = f"((doc_id * 7 + doc_id % 3 + pos * 5) % {len(PHRASES)})"
     return (
-        f"(select doc_id as clause_idx, source as standard_name, cast(1 + doc_id % 9 as string) || '.' || cast(1 + doc_id % 12 as string) as clause_number, "
-        f"{d.element(PHRASES, at)} || ' ' || {d.replace('substring(text, 1, 60)', '[^A-Za-z]', ' ')} as text from {documents})"
+        f"(select doc_id * {CLAUSES_PER_DOCUMENT} + pos as clause_idx, doc_id, standard_name, cast(1 + (doc_id + pos) % 9 as string) || '.' || cast(1 + doc_id % 12 as string) as clause_number, "
+        f"{d.element(PHRASES, at)} || ' ' || raw as text from {d.lines('text', 'doc_id, standard_name', f'(select doc_id, source as standard_name, text from {documents})')} as s)"
     )
 
 

@@ -26,17 +26,28 @@ def requirements_sql(d: Spark, clauses: str) -> str:
       from {clauses} as q)"""
 
 
+#: Documents that are consolidated together, as the files that a user loads at once are.
+DOCUMENTS_AT_ONCE = 50
+
+
 def groups_sql(d: Spark, clauses: str) -> str:
-    """A group for each (category, requirement type) with two standards or more, numbered by first clause."""
-    return f"""(select cast(dense_rank() over (order by first_idx) - 1 as bigint) as group_id, b.* from (
-      select clause_idx, standard_name, clause_number, text, category, requirement_type, {r.mandate_level('text')} as mandate_level, {r.safety_flag('text')} as safety_flag, {r.manual_flag('text')} as manual_flag,
-             min(clause_idx) over (partition by category, requirement_type) as first_idx, min(standard_name) over (partition by category, requirement_type) as s1, max(standard_name) over (partition by category, requirement_type) as s2
+    """Groups of two standards or more, known by their first clause: clauses of one category and requirement type of DOCUMENTS_AT_ONCE documents."""
+    w = f"over (partition by category, requirement_type, floor(doc_id / {DOCUMENTS_AT_ONCE}))"
+    return f"""(select first_idx as group_id, b.* from (
+      select clause_idx, doc_id, standard_name, clause_number, text, category, requirement_type, {r.mandate_level('text')} as mandate_level, {r.safety_flag('text')} as safety_flag, {r.manual_flag('text')} as manual_flag,
+             min(clause_idx) {w} as first_idx, min(standard_name) {w} as s1, max(standard_name) {w} as s2
       from (select *, {r.category('text')} as category, {r.requirement_type('clause_number', 'text')} as requirement_type from {clauses} as q1) q2) b where s1 <> s2)"""
 
 
+def alike_sql(d: Spark, clauses: str) -> str:
+    """Groups (group_id, clause_idx, text) of clauses that begin alike, of DOCUMENTS_AT_ONCE documents."""
+    w = f"over (partition by substring(text, 1, 20), floor(doc_id / {DOCUMENTS_AT_ONCE}))"
+    return f"(select group_id, clause_idx, text from (select min(clause_idx) {w} as group_id, count(*) {w} as n, clause_idx, text from {clauses} as q1) q2 where n >= 2)"
+
+
 def review_sql(d: Spark, clauses: str) -> str:
     """A made-up review of each group: status and edited text."""
-    return f"(select distinct group_id, case group_id % 3 when 0 then 'accepted' when 1 then 'rejected' else null end as status, case when group_id % 4 = 0 then 'edited ' || cast(group_id as string) end as edited from {groups_sql(d, clauses)} as q3)"
+    return f"(select distinct group_id, case floor(group_id / 7) % 3 when 0 then 'accepted' when 1 then 'rejected' else null end as status, case when floor(group_id / 7) % 4 = 0 then 'edited ' || cast(group_id as string) end as edited from {groups_sql(d, clauses)} as q3)"
 
 
 def feedback_sql(d: Spark, events: str) -> str:
@@ -112,16 +123,16 @@ scalar("P50_project_id", "project_id", lambda d: d.replace("lower(standard_name
 add("P27_enriched_rows", lambda d, t: f"select clause_idx, {r.row_scope('text')} as scope, {r.row_formatting('text')} as formatting, {r.row_print('text')} as in_print, {r.row_image('text')} as image, {r.row_notice('text')} as notice from {t} as x", "clauses")
 add("P28_context_comment", lambda d, t: f"select clause_idx, {r.context_comment('text', 'parent_section')} as comment from {requirements_sql(d, t)} as x", "clauses")
 add("P31_backfilled", lambda d, t: f"select clause_idx, coalesce(nullif(standard_name, ''), 'Unknown') as standard, case when {r.image_reference(d, 'text')} <> '' then 'Y - ' || {r.image_reference(d, 'text')} else 'N' end as image, {r.safety_notice('text')} as notice from {t} as x", "clauses")
+_SOURCE = "case lineno % 3 when 0 then 'section' when 1 then 'clause' else 'other' end"
 add(
     "P15_classified",
     lambda d, t: f"""
-select doc_id, lineno, must, comment, confidence, scope, formatting, in_print from (
-  select *, {r.scope(d, 't')} as scope, {r.formatting(d, 't')} as formatting, {r.in_print(d, 't', "(source = 'section' and must = 'Y')")} as in_print from (
-    select *, {first_rule([("source = 'section'", "'Y'"), (r.hard_requirement(d, 't'), "'Y'"), (r.warning_token(d, 't'), "'Y'"), (r.soft_requirement(d, 't'), "'Ambiguous'"), ("source = 'clause'", "'N'")], 'null')} as must,
-      {first_rule([("source = 'section'", "'inside instructions section'"), (r.hard_requirement(d, 't'), "'explicit accompany/supply'"), (r.warning_token(d, 't'), "'warning token'"), (r.soft_requirement(d, 't'), "'made available / may → review'")], "'keyword match only'")} as comment,
-      {first_rule([("source = 'section'", "'HIGH'"), (r.hard_requirement(d, 't'), "'HIGH'"), (r.warning_token(d, 't'), "'HIGH'"), (r.soft_requirement(d, 't'), "'MEDIUM'")], "'LOW'")} as confidence
-    from (select *, case lineno % 3 when 0 then 'section' when 1 then 'clause' else 'other' end as source from {t} as x0) x1) x2) x3
-where must is not null""",
+select doc_id, lineno, {first_rule([("source = 'section' or hard or warning", "'Y'"), ("soft", "'Ambiguous'")], "'N'")} as must,
+  {first_rule([("source = 'section'", "'inside instructions section'"), ("hard", "'explicit accompany/supply'"), ("warning", "'warning token'"), ("soft", "'made available / may → review'")], "'keyword match only'")} as comment,
+  {first_rule([("source = 'section' or hard or warning", "'HIGH'"), ("soft", "'MEDIUM'")], "'LOW'")} as confidence,
+  {r.scope(d, 't')} as scope, {r.formatting(d, 't')} as formatting, {r.in_print(d, 't', "source = 'section'", 'warning')} as in_print
+from (select doc_id, lineno, t, {_SOURCE} as source, {r.hard_requirement(d, 't')} as hard, {r.warning_token(d, 't')} as warning, {r.soft_requirement(d, 't')} as soft from {t} as x0) x1
+where source <> 'other' or hard or warning or soft""",
     "lines",
 )
 add("P35_fenced_json", lambda d, t: f"select clause_idx, {d.extract('body', '(?s)```(?:json)?\\s*(.*?)\\s*```', 1)} as json from (select clause_idx, '```json' || chr(10) || '{{\"clause\": \"' || clause_number || '\"}}' || chr(10) || '```' as body from {t} as x) y".replace("{{", "{").replace("}}", "}"), "clauses")
@@ -155,8 +166,8 @@ add("G10_combined", g.combined_sql, "lines")
 add("G11_segments_manual", lambda d, t: g.segments_sql(d, t, "manual"), "lines")
 add("G11_segments_all", lambda d, t: g.segments_sql(d, t, "all"), "lines")
 add("G12_windows", lambda d, t: f"select doc_id, k as chunk, substring(text, k * 2600 + 1, 3000) as chunk_text from {d.series('1 + greatest(0, cast(ceil((length(text) - 3000) / 2600.0) as int))', 'doc_id, text', t)} as x", "documents")
-add("G14_batches", lambda d, t: f"select clause_idx, cast(floor((row_number() over (order by clause_idx) - 1) / 30) as int) as batch from {t} as x", "clauses")
-add("G15_merged_rows", lambda d, t: f"select standard_name, {d.listagg("'[' || cast(clause_idx as string) || '] ' || text", ' ', 'clause_idx')} as text, {d.listagg('clause_number', ', ', 'clause_idx')} as clauses, max(text) || ' (merged)' as comment from {t} as x where clause_idx % 50 < 3 group by standard_name", "clauses")
+add("G14_batches", lambda d, t: f"select clause_idx, cast(floor((row_number() over (partition by doc_id order by clause_idx) - 1) / 30) as int) as batch from {t} as x", "clauses")
+add("G15_merged_rows", lambda d, t: f"select doc_id, {d.listagg("'[' || cast(clause_idx as string) || '] ' || text", ' ', 'clause_idx')} as text, {d.listagg('clause_number', ', ', 'clause_idx')} as clauses, max(text) || ' (merged)' as comment from {t} as x where {any_of('lower(text)', ['shall', 'should'])} group by doc_id", "clauses")
 add("J01_uncovered_lines", lambda d, t: f"with s as ({g.manual_sections_sql(d, t)}) select doc_id, lineno from {t} as l where not exists (select 1 from s where s.doc_id = l.doc_id and l.lineno between s.start_line and s.end_line)", "lines")
 add("J03_lines_in_sections", lambda d, t: f"with s as ({g.manual_sections_sql(d, t)}) select l.doc_id, l.lineno, s.start_line from {t} as l join s on s.doc_id = l.doc_id and l.lineno between s.start_line and s.end_line", "lines")
 add("J04_cache_lookup", lambda d, t: f"with keys as (select clause_idx, md5('all:' || text) as key from {t} as x), cache as (select distinct key from keys where clause_idx % 2 = 0) select k.clause_idx, c.key is not null as hit from keys k left join cache c on c.key = k.key", "clauses")
@@ -177,34 +188,33 @@ add("A04_category_counts", lambda d, t: f"select category, count(*) as n from ({
 add("A05_standards", lambda d, t: f"select standard_name, count(*) as n from {t} as x where standard_name is not null group by standard_name", "clauses")
 add("A06_cross_standard", lambda d, t: f"select category, requirement_type, count(distinct standard_name) as standards from ({s.buckets_sql(d, t)}) x group by category, requirement_type having count(distinct standard_name) >= 2", "clauses")
 add("A07_group_sizes", lambda d, t: f"select n as size, count(*) as n_groups from (select group_id, count(*) as n from {groups_sql(d, t)} as x group by group_id) y group by n", "clauses")
-weights = lambda d, t: s.tfidf_sql(d, f"(select bucket, clause_idx as idx, text from ({s.buckets_sql(d, t)}) z where bucket_size between 3 and 60)")
-sims = lambda d, t: f"with w as ({weights(d, t)}), e as ({s.edges_sql('w', 0.0)})"
+weights = lambda d, t: s.tfidf_sql(d, f"(select bucket, clause_idx as idx, text from ({s.buckets_sql(d, t)}) z where bucket_size >= 2)")
 add("T03_tfidf", lambda d, t: f"select bucket, idx, term, round(weight, 6) as weight from ({weights(d, t)}) x", "clauses")
-add("A08_percentiles", lambda d, t: f"{sims(d, t)} select bucket, {', '.join(f'round({d.percentile('sim', p)}, 6) as p{round(100 * p)}' for p in (0.5, 0.75, 0.9, 0.95, 0.99))} from e group by bucket", "clauses")
-add("A09_threshold_counts", lambda d, t: f"{sims(d, t)} select bucket, {', '.join(f'cast(sum(case when sim >= {x} then 1 else 0 end) as bigint) as n{round(100 * x)}' for x in (0.3, 0.35, 0.4, 0.45, 0.5))} from e group by bucket", "clauses")
-add("A10_histogram", lambda d, t: f"{sims(d, t)} select bucket, cast(least(floor(sim * 20), 19) as int) as bin, count(*) as n from e group by bucket, cast(least(floor(sim * 20), 19) as int)", "clauses")
-add("A11_summaries", lambda d, t: f"with g as (select * from {groups_sql(d, t)} as x) select group_id, count(*) as size, min(category) as category, {d.distinct_list('standard_name', ',')} as standards, {d.listagg('case when n <= 5 then clause_number end', ',', 'n')} as examples, {d.listagg('case when n <= 5 then substring(text, 1, 120) end', '|', 'n')} as snippets from (select *, cast(row_number() over (partition by group_id order by clause_idx) as bigint) as n from g) y group by group_id", "clauses")
+add("A11_summaries", lambda d, t: f"with g as (select * from {groups_sql(d, t)} as x), first as (select * from (select group_id, clause_number, text, row_number() over (partition by group_id order by clause_idx) as n from g) y where n <= 5), shown as (select group_id, {d.listagg('clause_number', ',', 'n')} as examples, {d.listagg('substring(text, 1, 120)', '|', 'n')} as snippets from first group by group_id), sized as (select group_id, count(*) as size, min(category) as category, {d.distinct_list('standard_name', ',')} as standards from g group by group_id) select z.group_id, size, category, standards, examples, snippets from sized z join shown on shown.group_id = z.group_id", "clauses")
 add("A12_totals", lambda d, t: f"select count(distinct group_id) as n_groups, count(*) as n_clauses, count(distinct standard_name) as n_standards from {groups_sql(d, t)} as x", "clauses")
 add("A14_export_groups", lambda d, t: f"select group_id, count(*) as active, coalesce({d.listagg('text', chr(10) * 2, 'clause_idx')}, 'N/A') as text, bool_or({r.image_reference(d, 'text')} <> '') as has_image, bool_or({r.row_print('text')} = 'y') as in_print from {groups_sql(d, t)} as x where clause_idx % 7 <> 0 group by group_id", "clauses")
 add("A15_differences", lambda d, t: f"select group_id, {d.distinct_list('mandate_level', ',')} as levels, count(distinct mandate_level) > 1 as mixed_levels, count(distinct safety_flag) > 1 as mixed_safety, count(distinct manual_flag) > 1 as mixed_manual from {groups_sql(d, t)} as x group by group_id", "clauses")
-add("A16_group_similarity", lambda d, t: f"{sims(d, t)} select bucket, round(avg(sim), 6) as mean, round(min(sim), 6) as least, round(max(sim), 6) as most from e group by bucket", "clauses")
 add("A17_feedback_metrics", lambda d, t: f"select count(*) as total, round(avg(rating), 6) as rating, count(distinct session_id) as sessions from {feedback_sql(d, t)} as x", "events")
 add("A18_section_regroup", lambda d, t: f"select doc_id, section, {d.listagg('t', chr(10), 'lineno')} as content from (select *, cast(floor((lineno - 1) / 7) as int) as section from {t} as x) y group by doc_id, section", "lines")
 add("A19_extraction_stats", lambda d, t: f"with c as ({g.segments_sql(d, t, 'all')}) select count(*) as chunks, count(distinct doc_id) as docs, round(cast(count(*) as double) / count(distinct doc_id), 6) as mean from c", "lines")
-words_of = lambda d, t: f"(select distinct group_id, clause_idx, raw as word from {d.lines('w', 'group_id, clause_idx', f'(select group_id, clause_idx, replace({d.replace('lower(text)', r'\s+', ' ')}, chr(32), chr(10)) as w from {groups_sql(d, t)} as gg)')} as x where raw <> '')"
-add("A20_common_words", lambda d, t: f"with g as (select group_id, count(*) as n from {groups_sql(d, t)} as y group by group_id), w as (select group_id, word, count(*) as c from {words_of(d, t)} as z group by group_id, word) select w.group_id, word from w join g on g.group_id = w.group_id and c >= 0.5 * n", "clauses")
+words_of = lambda d, t: f"(select distinct group_id, clause_idx, raw as word from {d.lines('w', 'group_id, clause_idx', f'(select group_id, clause_idx, replace({d.replace('lower(text)', r'\s+', ' ')}, chr(32), chr(10)) as w from {alike_sql(d, t)} as gg)')} as x where raw <> '')"
+core_sql = lambda d, t: f"""with g as (select group_id, count(*) as n, min(case when contains(lower(text), 'shall') then 1 else 0 end) as shall, min(case when contains(lower(text), 'include') then 1 else 0 end) as include from {alike_sql(d, t)} as y group by group_id),
+  w as (select * from {words_of(d, t)} as z), common as (select w.group_id, w.word from w join g on g.group_id = w.group_id where w.word not in ({', '.join(map(d.lit, coredelta.STOP_WORDS))}) group by w.group_id, w.word, n having count(*) = n),
+  core as (select c.group_id, trim(case when max(shall) = 1 then 'Instructions shall ' else 'The manufacturer shall provide ' end || {' || '.join(f"case when max(case when word = '{k}' then 1 else 0 end) = 1 then '{x} ' else '' end" for k, x in coredelta.CONCEPTS.items())} || case when max(include) = 1 then 'including necessary details for safe use' else '' end) || '.' as core, count(*) as terms
+    from common c join g on g.group_id = c.group_id group by c.group_id having count(*) >= 2)"""
+add("A20_common_words", lambda d, t: f"{core_sql(d, t)} select core.group_id, core, terms, word from core join common on common.group_id = core.group_id", "clauses")
 add("A23_review_counts", lambda d, t: f"select cast(sum(case when status = 'accepted' then 1 else 0 end) as bigint) as accepted, cast(sum(case when status = 'rejected' then 1 else 0 end) as bigint) as rejected, cast(sum(case when status is null then 1 else 0 end) as bigint) as pending from {review_sql(d, t)} as x", "clauses")
 
 # --- sorting, filters, set operations ----------------------------------------------
 add("L01_sorted_groups", lambda d, t: f"select group_id, n, cast(row_number() over (order by n desc, group_id) as bigint) as place from (select group_id, count(*) as n from {groups_sql(d, t)} as x group by group_id) y", "clauses")
 add("L02_first_groups", lambda d, t: f"select group_id, n from (select group_id, count(*) as n from {groups_sql(d, t)} as x group by group_id) y order by n desc, group_id limit 20", "clauses")
-add("L05_newest_feedback", lambda d, t: f"select event_id, type from {feedback_sql(d, t)} as x order by event_id desc limit 50", "events")
+add("L05_newest_feedback", lambda d, t: f"select event_id, type from {feedback_sql(d, t)} as x", "events")
 add("L06_most_common", lambda d, t: f"select text, n from (select text, count(*) as n from {t} as x group by text) y order by n desc, text limit 10", "clauses")
 add("L08_cut_texts", lambda d, t: f"select doc_id, substring(text, 1, 8000) as cut from {t} as x", "documents")
 add("F01_search", lambda d, t: f"with hit as (select *, {d.like('coalesce(text, \'nan\')', '(?i)fire|symbol')} or {d.like('coalesce(standard_name, \'nan\')', '(?i)fire|symbol')} as h from {t} as x), n as (select cast(sum(case when h then 1 else 0 end) as bigint) as n from hit) select clause_idx from hit cross join n where h or n = 0", "clauses")
 add("F02_facets", lambda d, t: f"select event_id from {feedback_sql(d, t)} as x where type in ('click', 'view') and page in ('page1', 'page2')", "events")
 add("F03_attribute", lambda d, t: f"select clause_idx from {requirements_sql(d, t)} as x where manual_flag = 'y'", "clauses")
-add("F04_deleted_rows", lambda d, t: f"select clause_idx, cast(row_number() over (order by clause_idx) - 1 as bigint) as position from {t} as x where clause_idx % 10 <> 4", "clauses")
+add("F04_deleted_rows", lambda d, t: f"select clause_idx, cast(row_number() over (partition by doc_id order by clause_idx) - 1 as bigint) as position from {t} as x where clause_idx % 10 <> 4", "clauses")
 add("F05_bucket", lambda d, t: f"select clause_idx from ({s.buckets_sql(d, t)}) x where bucket = 'miscellaneous_or_uncategorized/misc'", "clauses")
 add("U01_union", lambda d, t: f"select clause_idx, text, clause_number from {t} as x union all select clause_idx, standard_name, null from {t} as y", "clauses")
 add("U03_difference", lambda d, t: f"select clause_idx from {t} as x except select clause_idx from {groups_sql(d, t)} as y", "clauses")
@@ -216,7 +226,7 @@ add("K07_review_report", lambda d, t: f"select g.group_id, upper(coalesce(max(st
 add("K10_index_upsert", lambda d, t: f"with old as (select clause_idx as id, text from {t} as x where clause_idx % 2 = 0), new as (select clause_idx as id, 'new' as text from {t} as y where clause_idx % 3 = 0) select id, text from old where not exists (select 1 from new where new.id = old.id) union all select id, text from new", "clauses")
 add("T10_adapter", lambda d, t: f"select group_id, min_by(text, clause_idx) as core, {d.listagg("case when clause_idx <> first_idx then standard_name || ' (' || clause_number || '): ' || text end", '; ', 'clause_idx')} as differences, cast(0.75 as double) as potential from {groups_sql(d, t)} as x group by group_id", "clauses")
 add("T13_topics", lambda d, t: f"select clause_idx, {first_rule([(any_of('lower(text)', w), d.lit(k)) for k, w in coredelta.TOPICS.items()], d.lit('general'))} as topic from {t} as x", "clauses")
-add("T18_prompts", lambda d, t: f"select group_id, 'Consolidate:' || chr(10) || {d.listagg("standard_name || ' ' || clause_number || ': ' || text", chr(10), 'clause_idx')} as prompt from {groups_sql(d, t)} as x group by group_id having count(*) between 2 and 100", "clauses")
+add("T18_prompts", lambda d, t: f"with g as (select * from {groups_sql(d, t)} as x), few as (select group_id from g group by group_id having count(*) between 2 and 100) select g.group_id, 'Consolidate:' || chr(10) || {d.listagg("standard_name || ' ' || clause_number || ': ' || text", chr(10), 'clause_idx')} as prompt from g join few on few.group_id = g.group_id group by g.group_id", "clauses")
 add("X02_progress", lambda d, t: f"select clause_idx, 30 + cast(floor(clause_idx * 50.0 / (max(clause_idx) over () + 1)) as int) as progress from {t} as x", "clauses")
 
 # --- small operators that others build on -------------------------------------------
@@ -230,19 +240,19 @@ add("P44_display_similarity", lambda d, t: f"select group_id, least(95, 70 + 5 *
 add("P47_difference_rows", lambda d, t: f"select group_id, {d.listagg("'<tr><td>' || standard_name || '</td><td>' || labels || '</td></tr>'", '', 'standard_name')} as html from (select group_id, standard_name, {d.listagg('clause_number', ', ', 'clause_idx')} as labels from {groups_sql(d, t)} as x group by group_id, standard_name) y group by group_id", "clauses")
 family = lambda c: first_rule([("(" + " or ".join(f"contains({c}, '{k}')" for k in names) + ")", f"'{f}'") for f, names in coredelta.FAMILIES.items()], "null")
 add("P52_standard_family", lambda d, t: f"select clause_idx, {family('name')} as family from (select clause_idx, case clause_idx % 4 when 0 then 'UL 2849' when 1 then 'EN 15194' when 2 then 'MD 2006' else standard_name end as name from {t} as x) y", "clauses")
-add("J02_next_heading", lambda d, t: f"with l as (select doc_id, lineno, {r.is_heading(d, 't')} as h from {t} as x) select a.doc_id, a.lineno, min(b.lineno) as next_heading from l a join l b on b.doc_id = a.doc_id and b.lineno > a.lineno and b.h where a.h group by a.doc_id, a.lineno", "lines")
+add("J02_next_heading", lambda d, t: f"select doc_id, lineno, next_heading from (select *, min(case when h then lineno end) over (partition by doc_id order by lineno rows between 1 following and unbounded following) as next_heading from (select doc_id, lineno, {r.is_heading(d, 't')} as h from {t} as x) y) z where h and next_heading is not null", "lines")
 add("J06_lookup_by_index", lambda d, t: f"with members as (select clause_idx * 2 as i from {t} as x where clause_idx % 5 = 0) select c.clause_idx, c.standard_name from members m join {t} as c on c.clause_idx = m.i", "clauses")
 add("W01_islands", lambda d, t: f"select doc_id, lineno, sum(case when {r.is_heading(d, 't')} then cast(1 as bigint) else 0 end) over (partition by doc_id order by lineno) as island from {t} as x".replace("sum(", "cast(sum(").replace("lineno) as island", "lineno) as bigint) as island"), "lines")
-add("W03_ordinals", lambda d, t: f"select clause_idx, cast(dense_rank() over (order by standard_name) as bigint) as standard_no, cast(row_number() over (partition by standard_name order by clause_idx) as bigint) as n from {t} as x", "clauses")
+add("W03_ordinals", lambda d, t: f"with standards as (select standard_name, cast(row_number() over (order by standard_name) as bigint) as standard_no from (select distinct standard_name from {t} as x where standard_name is not null) y) select clause_idx, standard_no, cast(row_number() over (partition by doc_id order by clause_idx) as bigint) as n from {t} as c left join standards s on s.standard_name = c.standard_name", "clauses")
 add("W04_first_last", lambda d, t: f"select standard_name, min_by(text, clause_idx) as first_text, max_by(text, clause_idx) as last_text from {t} as x group by standard_name", "clauses")
 add("W07_first_foreign", lambda d, t: f"select doc_id, lang from {t} as x where lang <> 'en' and length(text) > 20 order by doc_id limit 10", "documents")
 add("L03_head", lambda d, t: f"select clause_idx, clause_number from {t} as x order by clause_idx limit 10", "clauses")
 add("L04_counts_desc", lambda d, t: f"select category, n, cast(row_number() over (order by n desc, category) as bigint) as place from (select category, count(*) as n from ({s.buckets_sql(d, t)}) x group by category) y", "clauses")
 add("L07_vocabulary", lambda d, t: f"select bucket, count(distinct term) as terms from ({weights(d, t)}) x group by bucket", "clauses")
 add("A13_conflict_counts", lambda d, t: f"select count(*) as n_groups, cast(sum(case when levels > 1 then 1 else 0 end) as bigint) as conflicts from (select group_id, count(distinct mandate_level) as levels from {groups_sql(d, t)} as x group by group_id) y", "clauses")
-add("A21_core_ratio", lambda d, t: f"with g as (select group_id, count(*) as n from {groups_sql(d, t)} as y group by group_id), w as (select * from {words_of(d, t)} as z), core as (select w.group_id, word from w join g on g.group_id = w.group_id group by w.group_id, word, n having count(*) = n) select w.group_id, w.clause_idx, round(cast(count(c.word) as double) / count(*), 6) as ratio from w left join core c on c.group_id = w.group_id and c.word = w.word group by w.group_id, w.clause_idx", "clauses")
+add("A21_core_ratio", lambda d, t: f"{core_sql(d, t)}, own as (select distinct group_id, raw as word from {d.lines('c', 'group_id', "(select group_id, replace(lower(core), ' ', chr(10)) as c from core)")} as x), ratios as (select w.group_id, w.clause_idx, cast(count(own.word) as double) / count(*) as ratio from w join core on core.group_id = w.group_id left join own on own.group_id = w.group_id and own.word = w.word group by w.group_id, w.clause_idx) select group_id, count(*) as members, round(min(ratio), 6) as least_ratio, min(ratio) >= {coredelta.LEAST_CORE_RATIO} as passes from ratios group by group_id", "clauses")
 add("T17_group_statistics", lambda d, t: f"select count(*) as n_groups, round(avg(cast(n as double)), 6) as mean_size, max(n) as largest from (select group_id, count(*) as n from {groups_sql(d, t)} as x group by group_id) y", "clauses")
 add("F06_probes", lambda d, t: f"select clause_idx, contains(text, 'shall') as says_shall, clause_number like '7.%' as in_seven from {t} as x", "clauses")
 add("F07_foreign_long", lambda d, t: f"select doc_id from {t} as x where lang <> 'en' and length({d.strip('substring(text, 1, 300)')}) > 30", "documents")
 add("U02_two_passes", lambda d, t: f"with s as ({g.manual_sections_sql(d, t)}), c as ({g.clause_hits_sql(d, t)}) select 'section' as source, doc_id, start_line as line from s union all select 'clause', doc_id, line_number from c", "lines")
-add("U05_shared_words", lambda d, t: f"with w as (select * from {words_of(d, t)} as z) select a.group_id, count(distinct a.word) as shared from w a join w b on b.group_id = a.group_id and b.word = a.word and b.clause_idx <> a.clause_idx group by a.group_id", "clauses")
+add("U05_shared_words", lambda d, t: f"select group_id, count(*) as shared from (select group_id, word from {words_of(d, t)} as z group by group_id, word having count(*) >= 2) x group by group_id", "clauses")

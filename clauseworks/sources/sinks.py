@@ -60,6 +60,25 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)
 
 
+def save_cache(entries: DataFrame, path: str) -> None:
+    """Append the entries (key, ...); read_cache takes the newest of a key, so nothing is rewritten."""
+    entries.withColumn("saved", F.unix_micros(F.current_timestamp())).write.mode("append").json(path)
+
+
+def save_projects(rows: DataFrame, order: str, path: str) -> DataFrame:
+    """K9: write a project for each id of rows (id, order, text), and return their index rows (id, last_modified, hash, requirements_count).
+
+    A project's records are ordered; its hash is that of its rows' hashes.
+    """
+    row = F.md5(F.concat_ws("|", F.col(order).cast("string"), "text"))
+    kept = F.sort_array(F.collect_list(F.struct(F.col(order), F.col("text"), row.alias("h"))))
+    saved = rows.groupBy(F.col("id").cast("string").alias("id")).agg(kept.alias("rows"))
+    records = F.to_json(F.transform("rows", lambda x: F.struct(x[order].alias(order), x["text"].alias("text"))))
+    digest = F.md5(F.array_join(F.transform("rows", lambda x: x["h"]), ""))
+    saved.select(F.struct("id", F.concat(F.lit("project "), "id").alias("name"), digest.alias("hash")).alias("metadata"), F.struct(records.alias("dataframe_json")).alias("source_data")).write.mode("append").json(path)
+    return saved.select("id", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("last_modified"), digest.alias("hash"), F.size("rows").cast("long").alias("requirements_count"))
+
+
 def delete(df: DataFrame, key: str, *values: str) -> DataFrame:
     """Rows whose key is none of the values; null keys stay."""
     return df.where(~F.coalesce(F.col(key).isin(*values), F.lit(False)))

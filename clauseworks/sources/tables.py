@@ -17,7 +17,7 @@ SYNONYMS = {
 }
 COLUMN_DEFAULTS = {"Contains Image?": "N", "Safety Notice Type": "None"}
 FEEDBACK = "timestamp string, type string, page string, text string, email string, rating int, session_id string"
-GROUPS = "group_id int, core_requirement string, clauses array<struct<clause_number: string, standard_name: string, text: string>>, category string"
+GROUPS = "group_id long, core_requirement string, clauses array<struct<clause_number: string, standard_name: string, text: string>>, category string"
 
 # Column of the tagged CSV -> column of the clause table
 TAGGED = {
@@ -86,11 +86,25 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return out.withColumns({c: F.lit(x) for c, x in COLUMN_DEFAULTS.items() if c not in out.columns})
 
 
-def header_row(cells: DataFrame) -> DataFrame:
-    """(header) the first of the first ten rows (row_no, cells array) that names a column, else 0."""
+def header_row(cells: DataFrame, *by: str) -> DataFrame:
+    """(by, header) the first of the first ten rows (row_no, cells array) of each sheet that names a column, else 0."""
     joined = F.lower(F.array_join("cells", " "))
     hit = joined.rlike("requirement|description|standard|clause") & (F.col("row_no") < 10)
-    return cells.agg(F.coalesce(F.min(F.when(hit, F.col("row_no"))), F.lit(0)).alias("header"))
+    return cells.groupBy(*by).agg(F.coalesce(F.min(F.when(hit, F.col("row_no"))), F.lit(0)).alias("header"))
+
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The entries of a saved cache, the newest of each key; a missing or unreadable cache is empty."""
+    files = spark.read.schema(f"{schema}, saved long").option("mode", "DROPMALFORMED").option("ignoreMissingFiles", True)
+    try:
+        rows = files.json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    names = [c for c in rows.columns if c not in ("key", "saved")]
+    newest = rows.where("key is not null").groupBy("key").agg(F.max_by(F.struct(*names), "saved").alias("v"))
+    return newest.select("key", "v.*")
 
 
 def read_feedback(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -102,19 +116,19 @@ def read_feedback(spark: SparkSession, path: str, stream: bool = False) -> DataF
 def read_groups(spark: SparkSession, path: str, most: int = 50, array: bool = False) -> DataFrame:
     """Clauses of the first groups of a group report, of JSON lines or (array) of files that hold one array."""
     groups = spark.read.schema(GROUPS).option("multiLine", array).json(path)
-    return groups.where(F.col("group_id") < most).select("group_id", F.posexplode("clauses").alias("pos", "c")).select("group_id", "pos", "c.*")
+    return groups.orderBy("group_id").limit(most).select("group_id", F.posexplode("clauses").alias("pos", "c")).select("group_id", "pos", "c.*")
 
 
-def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """The project index, newest first."""
+def read_projects(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The project index, newest first; with lines, of several objects, one in each line."""
     schema = "projects array<struct<id: string, name: string, created_at: string, last_modified: string, standards_count: int, requirements_count: int>>"
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("projects")).orderBy(F.desc("last_modified"), "id")
+    return spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.inline("projects")).orderBy(F.desc("last_modified"), "id")
 
 
-def read_project(spark: SparkSession, path: str, records: T.StructType | str) -> DataFrame:
-    """Rows of a project file, whose source data are a JSON string of records inside JSON."""
+def read_project(spark: SparkSession, path: str, records: T.StructType | str, lines: bool = False) -> DataFrame:
+    """Rows of project files, whose source data are a JSON string of records inside JSON; with lines, a project in each line."""
     schema = "metadata struct<id: string, name: string>, source_data struct<dataframe_json: string>"
-    given = spark.read.schema(schema).option("multiLine", True).json(path)
+    given = spark.read.schema(schema).option("multiLine", not lines).json(path)
     kind = records if isinstance(records, str) else records.simpleString()
     return given.select("metadata.id", F.inline(F.from_json("source_data.dataframe_json", f"array<{kind}>")))
 
