@@ -40,7 +40,8 @@ def sorted_words(text: str) -> str:
 
 
 def common_letters(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by rows of bits."""
+    """Length of the longest common subsequence, by rows of bits of the longer text."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
@@ -52,14 +53,19 @@ def common_letters(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def hybrid_similarity(a: dict, b: dict) -> float:
-    """Agreement of sorted words, a tenth each for family, technical properties and warnings, at most 1."""
+def hybrid_similarity(a: dict, b: dict, least: float = 0.0) -> float:
+    """Agreement of sorted words, a tenth each for family, technical properties and warnings, at most 1.
+
+    0 without comparing the words where their lengths alone keep it below `least`.
+    """
     x, y = sorted_words(a["text"]), sorted_words(b["text"])
+    extra = 0.1 * any(any(k in a["standard"] for k in names) and any(k in b["standard"] for k in names) for names in FAMILIES.values())
+    extra += 0.1 * ((a["temperature"], a["measurement"]) == (b["temperature"], b["measurement"]))
+    extra += 0.1 * (a["warning"] == b["warning"])
+    if 2 * min(len(x), len(y)) < (least - extra - 1e-9) * (len(x) + len(y)):
+        return 0.0
     score = 2 * common_letters(x, y) / (len(x) + len(y)) if x or y else 1.0
-    score += 0.1 * any(any(k in a["standard"] for k in names) and any(k in b["standard"] for k in names) for names in FAMILIES.values())
-    score += 0.1 * ((a["temperature"], a["measurement"]) == (b["temperature"], b["measurement"]))
-    score += 0.1 * (a["warning"] == b["warning"])
-    return min(score, 1.0)
+    return min(score + extra, 1.0)
 
 
 def split_topics(rows: DataFrame) -> DataFrame:
@@ -80,7 +86,7 @@ def split_topics(rows: DataFrame) -> DataFrame:
             for j in range(i + 1, len(items)):
                 if len(members) >= MOST_MEMBERS:
                     break
-                if j not in taken and hybrid_similarity(seed, items[j]) >= LEAST_SIMILARITY:
+                if j not in taken and hybrid_similarity(seed, items[j], LEAST_SIMILARITY) >= LEAST_SIMILARITY:
                     members.append(j)
             taken.update(members)
             if len(members) > 1:

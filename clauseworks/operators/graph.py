@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Randomised contraction: in each round every node moves to the node of least hash (another hash
     in each round) among itself and its neighbours, and edges are drawn between the nodes moved to.
-    Each round leaves a constant share of the nodes at most (about half on a chain, far less on
+    The first round goes by the ids themselves, which settles stars around their least ids at once.
+    Each later round leaves a constant share of the nodes at most (about half on a chain, far less on
     stars), whatever the ids, so edges are gone after a number of rounds that grows with the
     logarithm of a component. The moves are then followed back, and each component gets its least
     node. A round is written to the shared folder; only whether edges are left is asked.
@@ -24,7 +25,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     left = materialize(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     moves: list[DataFrame] = []
     while not left.isEmpty():
-        rank = lambda c: F.xxhash64(c, F.lit(len(moves)))
+        rank = lambda c: F.xxhash64(c, F.lit(len(moves))) if moves else F.col(c)
         near = left.groupBy("u").agg(F.min_by("v", rank("v")).alias("v"), F.min(rank("v")).alias("h"))
         move = materialize(near.select(F.col("u").alias("node"), F.when(F.col("h") < rank("u"), F.col("v")).otherwise(F.col("u")).alias("root")), "moves")
         moves.append(move)

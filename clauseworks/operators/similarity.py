@@ -39,15 +39,13 @@ def tfidf_sql(d: Spark, clauses: str, stop: tuple[str, ...] | list[str] = STOP_W
     """
     words = ", ".join(map(d.lit, stop))
     if d.name == "spark":
-        tokens = f"(select bucket, idx, posexplode(filter(regexp_extract_all(lower(text), '[\\\\p{{L}}\\\\p{{N}}_]{{2,}}', 0), w -> not array_contains(array({words}), w))) as (pos, w) from {clauses} as x)"
+        pairs = "zip_with(slice(l, 1, greatest(size(l) - 1, 0)), slice(l, 2, greatest(size(l) - 1, 0)), (a, b) -> a || ' ' || b)"
+        terms = f"select bucket, idx, explode(concat(l, {pairs})) as term from (select bucket, idx, filter(regexp_extract_all(lower(text), '[\\\\p{{L}}\\\\p{{N}}_]{{2,}}', 0), w -> not array_contains(array({words}), w)) as l from {clauses} as x)"
     else:
         tokens = f"(select bucket, idx, unnest(range(len(l))) as pos, unnest(l) as w from (select bucket, idx, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: not list_contains([{words}], w)) as l from {clauses} as x))"
+        terms = f"select bucket, idx, w as term from {tokens} t1 union all select bucket, idx, w || ' ' || after from (select bucket, idx, w, lead(w) over (partition by bucket, idx order by pos) as after from {tokens} t2) where after is not null"
     return f"""
-with tok as {tokens}, terms as (
-  select bucket, idx, w as term from tok
-  union all
-  select bucket, idx, w || ' ' || after from (select bucket, idx, w, lead(w) over (partition by bucket, idx order by pos) as after from tok) where after is not null
-), tf as (select bucket, idx, term, count(*) as tf from terms group by bucket, idx, term
+with terms as ({terms}), tf as (select bucket, idx, term, count(*) as tf from terms group by bucket, idx, term
 ), size as (select bucket, count(*) as n from {clauses} as y group by bucket
 ), df as (select bucket, term, count(*) as df, sum(tf) as total from tf group by bucket, term
 ), vocabulary as (
@@ -144,7 +142,7 @@ def similarity_counts(clauses: DataFrame, weights: DataFrame, places: int = 6) -
     """
 
     def count(bucket: str, ids: np.ndarray, sim: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
-        value, n = np.unique(np.round(sim[pairs], places), return_counts=True)
+        value, n = np.unique(np.round(sim[pairs] + 1e-10, places), return_counts=True)  # ties of nine places go up
         return pd.DataFrame({"bucket": bucket, "sim": value, "n": n})
 
     counted = bucket_pairs(weights, count, "bucket string, sim double, n long")

@@ -65,10 +65,10 @@ _LABELS = "labels(n, c) using key (n) as (select distinct a, a from both_ways un
 _BUCKETED = f"(select bucket, clause_idx as idx, text, bucket_size from ({s.buckets_sql(DUCK, CLAUSES)}) z where bucket_size > 2)"
 
 
-@query("J07_similarity_edges", f"with w as ({s.tfidf_sql(DUCK, _BUCKETED)}), e as ({s.edges_sql('w', 0.45)}) select bucket, a, b, round(sim, 6) as sim from e")
+@query("J07_similarity_edges", f"with w as ({s.tfidf_sql(DUCK, _BUCKETED)}), e as ({s.edges_sql('w', 0.45)}) select bucket, a, b, round(sim + 1e-10, 6) as sim from e")
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = run(f"select bucket, clause_idx as idx, text from ({s.buckets_sql(SPARK, '<clauses>')}) z where bucket_size > 2", clauses=clauses(spark, sf_dir))
-    return s.similarity_edges(materialize(s.tfidf(given), "tfidf"), 0.45).select("bucket", "a", "b", F.round("sim", 6).alias("sim"))
+    return s.similarity_edges(materialize(s.tfidf(given), "tfidf"), 0.45).select("bucket", "a", "b", F.round(F.col("sim") + 1e-10, 6).alias("sim"))
 
 
 _GROUPED = f"""
@@ -82,7 +82,7 @@ select dense_rank() over (order by bucket_first, m.component) - 1 as group_id, c
 """
 _EVERY = f"""
 with c as (select bucket, clause_idx as idx, text from ({s.buckets_sql(DUCK, CLAUSES)}) z where bucket_size >= 2), w as materialized ({s.tfidf_sql(DUCK, 'c')}),
-e as (select bucket, round(sim, 6) as sim, count(*) as n from ({s.edges_sql('w', 0.0)}) group by all having round(sim, 6) > 0),
+e as (select bucket, round(sim + 1e-10, 6) as sim, count(*) as n from ({s.edges_sql('w', 0.0)}) group by all having round(sim + 1e-10, 6) > 0),
 every as (select bucket, sim, n from e union all select z.bucket, 0.0, z.n - coalesce(e.n, 0) from (select bucket, count(*) * (count(*) - 1) // 2 as n from c group by bucket) z left join (select bucket, sum(n) as n from e group by bucket) e on e.bucket = z.bucket),
 ranked as (select *, sum(n) over (partition by bucket order by sim) as upto, sum(n) over (partition by bucket) as total from every where n > 0)
 """
@@ -96,12 +96,12 @@ def _similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SHARES = (0.5, 0.75, 0.9, 0.95, 0.99)
 _AT = lambda k: f"min(case when upto > {k} then sim end)"
-_PERCENTILES = ", ".join(f"round({_AT(f'floor({x} * (total - 1))')} + ({x} * (total - 1) - floor({x} * (total - 1))) * ({_AT(f'ceil({x} * (total - 1))')} - {_AT(f'floor({x} * (total - 1))')}), 5) as p{round(100 * x)}" for x in _SHARES)
+_PERCENTILES = ", ".join(f"round({_AT(f'floor({x} * (total - 1))')} + ({x} * (total - 1) - floor({x} * (total - 1))) * ({_AT(f'ceil({x} * (total - 1))')} - {_AT(f'floor({x} * (total - 1))')}) + 1e-9, 5) as p{round(100 * x)}" for x in _SHARES)
 
 
 @query("A08_percentiles", f"{_EVERY} select bucket, {_PERCENTILES} from (select bucket, sim, upto, max(total) over (partition by bucket) as total from ranked) group by bucket, total")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similarities(spark, sf_dir).groupBy("bucket").agg(*(F.round(F.percentile("sim", F.lit(x), F.col("n")), 5).alias(f"p{round(100 * x)}") for x in _SHARES))
+    return _similarities(spark, sf_dir).groupBy("bucket").agg(*(F.round(F.percentile("sim", F.lit(x), F.col("n")) + 1e-9, 5).alias(f"p{round(100 * x)}") for x in _SHARES))
 
 
 @query("A09_threshold_counts", f"{_EVERY} select bucket, {', '.join(f'cast(sum(case when sim >= {x} then n else 0 end) as bigint) as n{round(100 * x)}' for x in (0.3, 0.35, 0.4, 0.45, 0.5))} from ranked group by bucket")
@@ -114,9 +114,9 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similarities(spark, sf_dir).groupBy("bucket", F.least(F.floor(F.col("sim") * 20), F.lit(19)).cast("int").alias("bin")).agg(F.sum("n").alias("n"))
 
 
-@query("A16_group_similarity", f"{_EVERY} select bucket, round(sum(sim * n) / sum(n), 5) as mean, min(sim) as least, max(sim) as most from ranked group by bucket")
+@query("A16_group_similarity", f"{_EVERY} select bucket, round(sum(sim * n) / sum(n) + 1e-9, 5) as mean, min(sim) as least, max(sim) as most from ranked group by bucket")
 def group_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similarities(spark, sf_dir).groupBy("bucket").agg(F.round(F.sum(F.col("sim") * F.col("n")) / F.sum("n"), 5).alias("mean"), F.min("sim").alias("least"), F.max("sim").alias("most"))
+    return _similarities(spark, sf_dir).groupBy("bucket").agg(F.round(F.sum(F.col("sim") * F.col("n")) / F.sum("n") + 1e-9, 5).alias("mean"), F.min("sim").alias("least"), F.max("sim").alias("most"))
 
 
 @query("T08_grouped_clauses", _GROUPED)
@@ -404,7 +404,7 @@ def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def score(batches):
         for pdf in batches:
-            made = [coredelta.hybrid_similarity({c: x[c] for c in columns}, {c: x[f"{c}_2"] for c in columns}) for x in pdf.to_dict("records")]
+            made = [coredelta.hybrid_similarity({c: x[c] for c in columns}, {c: x[f"{c}_2"] for c in columns}, coredelta.LEAST_SIMILARITY) for x in pdf.to_dict("records")]
             yield pdf[["id", "id_2"]].assign(similarity=made).query(f"similarity >= {coredelta.LEAST_SIMILARITY}")
 
     pairs = rows.join(other, ["scope", "topic"]).where("id < id_2").select("id", "id_2", *columns, *(f"{c}_2" for c in columns))
