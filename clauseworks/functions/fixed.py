@@ -76,15 +76,15 @@ SOFT_REQUIREMENT_PATTERNS = [r"shall\s+be\s+made\s+available", r"information\s+f
 WARNING_PATTERNS = [r"\bWARNING\b", r"\bCAUTION\b", r"\bDANGER\b", r"\bNOTE\b"]
 SCOPE_PATTERNS = {
     "battery": [r"\bbattery\b", r"\bbattery\s+pack\b", r"\baccumulator\b", r"\bcell\b"],
-    "bicycle": [r"\bbicycle\b", r"\bbike\b"],
     "charger": [r"\bcharger\b", r"\bcharging\s+equipment\b", r"\bcharging\b"],
     "ebike": [r"\be-bike\b", r"\bebike\b", r"\bpedelec\b", r"\belectric\s+bicycle\b", r"\belectric\s+bike\b"],
+    "bicycle": [r"\bbicycle\b", r"\bbike\b"],
 }
 FORMATTING_PATTERNS = [
     r"shall\s+be\s+in\s+capital\s+letters",
     r"shall\s+be\s+clearly\s+legible",
     r"shall\s+be\s+in\s+the\s+official\s+language",
-    r"shall\s+bear\s+the\s+words\s+[\x22\x27]Original\s+instructions[\x22\x27]",
+    r"""shall\s+bear\s+the\s+words\s+["']Original\s+instructions["']""",
     r"shall\s+be\s+indelible",
     r"shall\s+be\s+permanent",
     r"minimum\s+font\s+size",

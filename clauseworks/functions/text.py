@@ -55,7 +55,7 @@ def warning_token(d: Spark, t: str) -> str:
 
 def scope(d: Spark, t: str) -> str:
     """The product words that occur, in order of the alphabet."""
-    parts = ", ".join(f"case when {any_like(d, f'lower({t})', p)} then '{k}' end" for k, p in v.SCOPE_PATTERNS.items())
+    parts = ", ".join(f"case when {any_like(d, f'lower({t})', p)} then '{k}' end" for k, p in sorted(v.SCOPE_PATTERNS.items()))
     return f"concat_ws(', ', {parts})"
 
 
