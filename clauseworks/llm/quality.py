@@ -87,6 +87,24 @@ def _weigh(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out
 
 
+def _leading(gram: np.ndarray, most: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues (not near zero) of a symmetric matrix and their vectors: orthogonal iteration on twice as many columns.
+
+    A whole decomposition would take ten times the matrix's memory.
+    """
+    q = np.linalg.qr(np.random.default_rng(3).standard_normal((len(gram), min(2 * most, len(gram)))).astype(np.float32))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(gram @ q)[0]
+    power, turn = np.linalg.eigh(q.T @ gram @ q)
+    some = np.flatnonzero(power > max(power[-1], 0) * 1e-6)[-most:][::-1]
+    return power[some], q @ turn[:, some]
+
+
+def _latent(weighed: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    v = weighed @ basis
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
 @dataclass(frozen=True)
 class Model:
     idf: np.ndarray
@@ -95,8 +113,7 @@ class Model:
     labels: np.ndarray
 
     def embed(self, tf: np.ndarray) -> np.ndarray:
-        v = _weigh(tf, self.idf) @ self.basis
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return _latent(_weigh(tf, self.idf), self.basis)
 
     def score(self, tf: np.ndarray, block: int = 512) -> np.ndarray:
         """The share of label 1 in the votes of the nearest labelled texts; 0.5 where there are none.
@@ -152,13 +169,14 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     for i, r in enumerate(rows):
         n = len(r.tf) // 6
         tf[i, np.frombuffer(r.tf, np.uint16, n)] = np.frombuffer(r.tf, np.int32, n, 2 * n)
+    labels_of = np.array([r.y for r in rows], np.float64)
+    del rows
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(0))) + 1).astype(np.float32)
-    weighed = _weigh(tf, idf)
-    power, left = np.linalg.eigh(weighed @ weighed.T)  # the sample's left singular vectors, in ascending order
-    some = np.flatnonzero(power > power[-1] * 1e-6)[-DIMENSIONS:][::-1]
-    basis = (weighed.T @ left[:, some] / np.sqrt(power[some])).astype(np.float32) if len(some) else np.zeros((TERMS, 1), np.float32)
-    model = Model(idf, basis, np.zeros((0, 1), np.float32), np.zeros(0))
-    return Model(idf, basis, model.embed(tf).astype(np.float32), np.array([r.y for r in rows], np.float64))
+    for i in range(0, len(tf), 256):  # in place, so that the driver holds one matrix
+        tf[i : i + 256] = _weigh(tf[i : i + 256], idf)
+    power, left = _leading(tf @ tf.T, DIMENSIONS)
+    basis = (tf.T @ left / np.sqrt(power)).astype(np.float32) if len(power) else np.zeros((TERMS, 1), np.float32)
+    return Model(idf, basis, _latent(tf, basis), labels_of)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
