@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import duckdb
 import numpy as np
@@ -20,7 +21,7 @@ from clauseworks.llm._streams import small_batches
 from clauseworks.llm.pretoken import ranks, splitter
 
 #: Words that a Python worker remembers before it starts afresh. Bounds memory, not results.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Longer words are cut where no token of the vocabulary can span; pieces that are longer still go through a query whose
 #: rounds contract all occurrences of the least pair where that is the same (see Codec).
 LONG = 48
@@ -105,8 +106,7 @@ class Codec:
             self.db.register("given", data)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
-        self.tokens = set(table)
-        self.starts = {t[:i] for t in table for i in range(2, len(t) + 1)}
+        self.path = path
         self.byte = np.array([table[bytes([b])] for b in range(256)], np.int32)
         #: word -> (ids as text, number of ids, decoded bytes)
         self.words: dict[str, tuple[str, int, bytes]] = {}
@@ -117,6 +117,15 @@ class Codec:
         self.db.unregister(name)
         return out
 
+    @cached_property
+    def tokens(self) -> set[bytes]:
+        return set(ranks(self.path))
+
+    @cached_property
+    def starts(self) -> set[bytes]:
+        """What tokens begin with, themselves included; needed only once a long word is met."""
+        return {t[:i] for t in self.tokens for i in range(2, len(t) + 1)}
+
     def pieces(self, word: bytes) -> list[bytes]:
         """The word, cut between bytes that no token in it spans: those are never contracted with each other."""
         spanned = np.zeros(len(word) + 1, np.int32)
@@ -158,7 +167,7 @@ class Codec:
         got = self._query(_DECODE, "ids", pa.table({"w": w, "p": p, "tok": tok}))
         return [bytes.fromhex(x) for x in got["hexed"].to_pylist()]
 
-    def learn(self, words: list[str], step: int = 60_000) -> None:
+    def learn(self, words: list[str], step: int = 20_000) -> None:
         """Encode the words that are not known yet, in slices of bounded size."""
         if len(self.words) + len(words) > REMEMBERED:
             self.words = {}

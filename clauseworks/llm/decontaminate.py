@@ -266,6 +266,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", tex
                 if found:
                     columns = list(zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=[ident, item, "similarity", "first_word", "n_words"])
+            LETTERS.clear()  # a worker goes on to other operators
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseworks.llm._streams import forest, in_blocks, per_group, small_batches
-from clauseworks.llm.shingles import hashes, layout, minhash, mix, permutations, windows
+from clauseworks.llm.shingles import WORDS, hashes, layout, minhash, mix, permutations, windows
 from clauseworks.operators.graph import connected_components
 from clauseworks.runtime import materialize
 
@@ -58,6 +58,7 @@ def sketches(docs: DataFrame, ident: str, text: str, n: int, bands: int, rows: i
                     k = mix(k * np.uint64(0x9E3779B97F4A7C15) + least[i::rows])
                 keys.append(k.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["id", "content", "print", "n_shingles", "keys", "sketch"])
+        WORDS.clear()  # a worker goes on to other operators
 
     return docs.select(F.col(ident).cast("long").alias("id"), F.xxhash64(text).alias("content"), F.col(text).alias("t")).mapInArrow(run, "id long, content long, print binary, n_shingles int, keys array<long>, sketch binary")
 
@@ -171,6 +172,7 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
             own = [xxhash.xxh128_digest(" ".join(w).encode("utf-8", "surrogatepass")) == p for w, p in made]
             made = [np.unique(windows(hashes(w), n)).tobytes() for w, _ in made]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(made, pa.binary())], names=["node", "size", "n_shingles", "keys", "units", "shingles"]).filter(pa.array(own))
+        WORDS.clear()
 
     full = materialize(members.mapInArrow(sets, "node long, size long, n_shingles int, keys array<long>, units array<struct<unit: bigint, band: int, side: int>>, shingles binary"), "shingles")
 

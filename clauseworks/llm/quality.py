@@ -196,6 +196,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
                 part = b.slice(i, 256)
                 tf = np.array([counts(t) for t in bytes_of(part.column(part.schema.get_field_index(text)))], np.float32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(tf))], names=[*part.schema.names, out])
+        _TERMS.clear()  # a worker goes on to other operators
 
     return kept.mapInArrow(run, StructType(kept.schema.fields[:]).add(out, "double"))
 
