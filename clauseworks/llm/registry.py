@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clauseworks.llm import byte_bpe, decontaminate, interpolation, jaccard_join, lattice, line_templates, maglev, quality, token_counts, warc
+from clauseworks.llm import byte_bpe, decontaminate, impact, interpolation, jaccard_join, lattice, line_templates, maglev, merkle, quality, resample, token_counts, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_sharding": maglev.op9_sharding,
     "op10_line_dedup": line_templates.op10_line_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_exact_topk": impact.op12_exact_topk,
+    "op13_importance_resampling": resample.op13_importance_resampling,
 }
 
 ORACLE = {
     "op6_warc": warc.OP6_SQL,
     "op9_sharding": maglev.OP9_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_exact_topk": impact.OP12_SQL,
+    "op13_importance_resampling": resample.OP13_SQL,
 }
