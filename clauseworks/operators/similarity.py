@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from clauseworks.functions import text as r
 from clauseworks.functions.dialect import SPARK, Spark, run
 from clauseworks.operators.graph import connected_components
-from clauseworks.runtime import discard, materialize
+from clauseworks.operators.nearness import greedy_near
+from clauseworks.operators.ordering import numbered
+from clauseworks.runtime import materialize
 
 #: Common words that carry no topic; a parameter of every operator below.
 STOP_WORDS = (
@@ -270,92 +269,6 @@ def grouped_clauses(clauses: DataFrame, threshold: float = BASE, staged: bool =
     return members.join(kept, "component").select("group_id", "clause_idx", "category", "requirement_type")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with consecutive numbers from 0 in order: a sort by ranges, numbers within each range, and the ranges' offsets."""
-    spark = rows.sparkSession
-    sorted_rows = materialize(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("__at", 33)
-    counts = sorted_rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).orderBy("__part").collect()  # one row for each partition
-    offset, ahead = [], 0
-    for r in counts:
-        offset.append((r["__part"], ahead))
-        ahead += r["__n"]
-    offsets = F.broadcast(spark.createDataFrame(offset or [(0, 0)], "__part long, __ahead long"))
-    with_part = sorted_rows.withColumn("__part", part).join(offsets, "__part")
-    return with_part.withColumn(name, F.col("__ahead") + F.col("__at").bitwiseAND((1 << 33) - 1)).select(*rows.columns, name)
-
-
-def near_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(kept, new, kept_text, new_text) with kept < new of one scope that may reach the ratio, of rows (scope, id, s, n).
-
-    Two texts of lengths n and m have a ratio of 2 * least(n, m) / (n + m) at most, and of twice the
-    letters they have in common, each counted as often as both hold it, so both bounds go first:
-    lengths are joined by band (a partner's length is in the same band of a geometric scale or the next).
-    """
-    return run(
-        f"""
-with banded as (select scope, id, s, n, cast(floor(ln(greatest(n, 1)) / ln({2 / threshold - 1})) as int) as band from <rows>
-), other as (select scope, id, s, n, explode(array(band - 1, band, band + 1)) as band from banded)
-select x.id as kept, y.id as new, x.s as kept_text, y.s as new_text
-from banded x join other y on y.scope = x.scope and y.band = x.band and x.id < y.id and 2 * least(x.n, y.n) >= {threshold} * (x.n + y.n)
-""",
-        rows=rows,
-    )
-
-
-def near_by_ratio(rows: DataFrame, threshold: float, swapped: bool = False, strict: bool = False) -> DataFrame:
-    """(kept, new) of rows (scope, id, s) whose ratio reaches (strict: exceeds) the threshold.
-
-    The ratio is that of (new, kept), or with swapped that of (kept, new). It is not symmetric. Pairs are
-    bounded by lengths and common letters before the texts are compared.
-    """
-
-    @F.pandas_udf(BooleanType())
-    def near(kept: pd.Series, new: pd.Series) -> pd.Series:
-        out, letters, matcher, last = [], {}, SequenceMatcher(None), None
-        for k, t in zip(kept, new, strict=True):
-            for x in (k, t):
-                if x not in letters:
-                    if len(letters) > 5000:
-                        letters.clear()
-                    letters[x] = Counter(x)
-            total = len(k) + len(t)
-            if total and 2 * (letters[k] & letters[t]).total() < threshold * total:
-                out.append(False)
-                continue
-            first, second = (k, t) if swapped else (t, k)
-            if second != last:  # the matcher's index of its second text is kept
-                matcher.set_seq2(second)
-                last = second
-            matcher.set_seq1(first)
-            found = matcher.ratio()
-            out.append(found > threshold if strict else found >= threshold)
-        return pd.Series(out, dtype=bool)
-
-    given = rows.select("scope", "id", "s", F.length("s").alias("n"))
-    return near_pairs(given, threshold).where(near("kept_text", "new_text")).select("kept", "new")
-
-
-def greedy_keep(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, original): original is null for a kept row, else the first kept row that it is near.
-
-    A row is kept once no smaller near row can be kept any more, and dropped once one is. Each round
-    settles at least the smallest open row of every chain.
-    """
-    pairs = materialize(pairs.select("kept", "new"), "pairs")
-    state = materialize(pairs.select(F.col("new").alias("id")).distinct().withColumn("state", F.lit("open")), "state")
-    while state.where("state = 'open'").limit(1).count():
-        smaller = pairs.join(state.select(F.col("id").alias("kept"), F.col("state").alias("of")), "kept", "left").select("new", F.coalesce("of", F.lit("kept")).alias("of"))
-        seen = smaller.groupBy("new").agg(F.bool_or(F.col("of") == "kept").alias("drop"), F.bool_or(F.col("of") == "open").alias("wait"))
-        step = state.join(seen, state.id == seen.new).select("id", F.when(F.col("state") != "open", F.col("state")).when(F.col("drop"), "dropped").when(F.col("wait"), "open").otherwise("kept").alias("state"))
-        step = materialize(step, "state")
-        discard(state)
-        state = step
-    gone = state.where("state = 'dropped'").select("id")
-    original = pairs.join(gone, pairs.new == gone.id, "left_semi").join(gone, pairs.kept == gone.id, "left_anti").groupBy("new").agg(F.min("kept").alias("original"))
-    return ids.select("id").join(original, F.col("id") == F.col("new"), "left").select("id", "original")
-
-
 def near_duplicates(rows: DataFrame, threshold: float = 0.95, scope: str | None = None) -> DataFrame:
     """(id, original) of rows (id, text), compared stripped and in lower case; empty texts are kept.
 
@@ -365,7 +278,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, scope: str | None
     """
     s = rows.select("id", F.coalesce(F.col(scope), F.lit(-1)).alias("scope") if scope else F.lit(0).alias("scope"), F.lower(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("s"))
     first = materialize(s.where("s <> ''").groupBy("scope", "s").agg(F.min("id").alias("id")), "texts")
-    settled = greedy_keep(first, near_by_ratio(first, threshold))
+    settled = greedy_near(first, threshold)
     own = s.join(first.select("scope", "s", F.col("id").alias("rep")), ["scope", "s"], "left").join(settled.select(F.col("id").alias("rep"), "original"), "rep", "left")
     return own.select("id", F.when(F.col("rep").isNull(), None).when(F.col("rep") != F.col("id"), F.coalesce("original", "rep")).otherwise(F.col("original")).alias("original"))
 
@@ -378,6 +291,6 @@ def clause_duplicates(rows: DataFrame, threshold: float = 0.90) -> DataFrame:
     """
     given = rows.where("clause <> '' and text <> ''").select("id", F.col("clause").alias("scope"), F.col("text").alias("s"))
     first = materialize(given.groupBy("scope", "s").agg(F.min("id").alias("id")), "texts")
-    settled = greedy_keep(first, near_by_ratio(first, threshold, swapped=True, strict=True))
+    settled = greedy_near(first, threshold, swapped=True, strict=True)
     own = given.join(first.select("scope", "s", F.col("id").alias("rep")), ["scope", "s"]).join(settled.select(F.col("id").alias("rep"), "original"), "rep")
     return own.select("id", F.when(F.col("rep") != F.col("id"), F.coalesce("original", "rep")).otherwise(F.col("original")).alias("original"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clauseworks.functions import python as p
 from clauseworks.functions import text as r
 from clauseworks.functions.dialect import DUCK, SPARK, run
-from clauseworks.operators import coredelta, extraction, segments
+from clauseworks.operators import coredelta, extraction, nearness, segments
 from clauseworks.operators import similarity as s
 from clauseworks.plans import fixtures
 from clauseworks.plans import queries as q
@@ -392,7 +392,7 @@ def injected_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept and dropped clauses of a document by pairs that T02's ratio finds near."""
     given = clauses(spark, sf_dir).select("doc_id", F.col("clause_idx").alias("id"), F.col("text").alias("s"))
-    return s.greedy_keep(given, s.near_by_ratio(given.select(F.col("doc_id").alias("scope"), "id", "s"), 0.90))
+    return nearness.greedy_keep(given, nearness.near_by_ratio(given.select(F.col("doc_id").alias("scope"), "id", "s"), 0.90))
 
 
 @query("T14_hybrid_similarity")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from clauseworks.functions import python as p
-from clauseworks.operators import coredelta, extraction
+from clauseworks.operators import coredelta, extraction, nearness, ordering
 from clauseworks.operators import similarity as s
 from clauseworks.plans import fixtures, jobs, queries
 from clauseworks.sources import sinks, tables
@@ -64,7 +64,7 @@ def test_near_by_ratio_finds_all_pairs(spark):
     base = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 40))) for _ in range(12)]
     texts = base + [t[:k] + rng.choice("abx") + t[k + 1 :] for t in base for k in [rng.randrange(len(t))]] + [t + "a" for t in base] + base[:3]
     rows = spark.createDataFrame([(k % 2, k, t) for k, t in enumerate(texts)], "scope int, id int, s string")
-    got = {(r.kept, r.new) for r in s.near_by_ratio(rows, 0.9).collect()}
+    got = {(r.kept, r.new) for r in nearness.near_by_ratio(rows, 0.9).collect()}
     assert got == {(a, b) for a, b in combinations(range(len(texts)), 2) if a % 2 == b % 2 and SequenceMatcher(None, texts[b], texts[a]).ratio() >= 0.9}
 
 
@@ -120,9 +120,9 @@ def test_pairs_of_a_bucket(spark, monkeypatch, block):
 
 def test_numbered(spark):
     rows = [(x,) for x in random.Random(1).sample(range(10**6), 500)]
-    got = s.numbered(spark.createDataFrame(rows, "x long").repartition(5), ["x"], "n").collect()
+    got = ordering.numbered(spark.createDataFrame(rows, "x long").repartition(5), ["x"], "n").collect()
     assert {r.x: r.n for r in got} == {x: i for i, (x,) in enumerate(sorted(rows))}
-    assert s.numbered(spark.createDataFrame([], "x long"), ["x"], "n").count() == 0
+    assert ordering.numbered(spark.createDataFrame([], "x long"), ["x"], "n").count() == 0
 
 
 def test_core_groups_pass_three_gates(spark):
