@@ -25,6 +25,8 @@ REMEMBERED = 300_000
 #: Longer words are cut where no token of the vocabulary can span; pieces that are longer still go through a query whose
 #: rounds contract all occurrences of the least pair where that is the same (see Codec).
 LONG = 48
+#: Bytes of a piece that one query takes; longer pieces go through in windows.
+WINDOW = 1 << 16
 
 _SHORT = """
 with recursive t(s, w, p, tok) as (
@@ -49,7 +51,7 @@ with recursive t(w, p, tok, alive) using key (w, p) as (
     union all
     select w, p, case when chosen then merged else tok end, not coalesce(lag(chosen) over (partition by w order by p), false)
     from (
-        select *, hit and case when together then (row_number() over (partition by w, run order by p)) % 2 = 1 else p = h end as chosen
+        select *, hit and case when together then (row_number() over (partition by w, hit, run order by p)) % 2 = 1 else p = h end as chosen
         from (
             select *, n - row_number() over (partition by w, hit order by p) as run, min(case when hit then p end) over (partition by w) as h
             from (
@@ -107,6 +109,8 @@ class Codec:
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
         self.path = path
+        self.bytes_of = np.zeros(max(table.values()) + 1, np.int64)
+        self.bytes_of[list(table.values())] = [len(t) for t in table]
         self.byte = np.array([table[bytes([b])] for b in range(256)], np.int32)
         #: word -> (ids as text, number of ids, decoded bytes)
         self.words: dict[str, tuple[str, int, bytes]] = {}
@@ -140,6 +144,34 @@ class Codec:
         cuts = [0, *(np.flatnonzero(spanned[1:-1].cumsum() == 0) + 1).tolist(), len(word)]
         return [word[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def _long(self, piece: bytes) -> np.ndarray:
+        n = len(piece)
+        start = pa.table({"w": np.zeros(n, np.int32), "p": np.arange(n, dtype=np.int32), "tok": self.byte[np.frombuffer(piece, np.uint8)]})
+        return self._query(_LONG, "start", start)["tok"].to_numpy()
+
+    def windows(self, piece: bytes) -> np.ndarray:
+        """The ids of a piece of any length, WINDOW bytes at a time.
+
+        Tokens are the encoding of their bytes if every two neighbours are that of theirs: a merge across
+        a boundary depends on its two sides only. So the ids of two windows may be put together
+        where the second begins with the token that follows there in the first: all neighbours then
+        stand next to each other in a window. Where no such place is found, the window doubles.
+        """
+        out, at, size = [], 0, WINDOW
+        tok = self._long(piece[:size])
+        while at + size < len(piece):
+            starts = np.cumsum(self.bytes_of[tok]) - self.bytes_of[tok]
+            for i in range(int(np.searchsorted(starts, size * 3 // 4)), max(0, int(np.searchsorted(starts, size // 2)) - 1), -max(1, len(tok) // 64)):
+                follows = self._long(piece[at + int(starts[i]) : at + int(starts[i]) + size]) if i < len(tok) else tok
+                if 0 < i < len(tok) and follows[0] == tok[i]:
+                    out.append(tok[:i])
+                    at, tok = at + int(starts[i]), follows
+                    break
+            else:
+                size *= 2
+                tok = self._long(piece[at : at + size])
+        return np.concatenate([*out, tok])
+
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token rows of the words: (index of the word, id), by word and position."""
         cut = [[w] if len(w) <= LONG else self.pieces(w) for w in words]
@@ -147,7 +179,10 @@ class Codec:
         word_of = np.repeat(np.arange(len(words), dtype=np.int32), [len(some) for some in cut])
         parts = []
         lengths = np.array([len(x) for x in pieces], np.int64)
-        for sql, chosen in ((_SHORT, lengths <= LONG), (_LONG, lengths > LONG)):
+        for i in np.flatnonzero(lengths > WINDOW).tolist():
+            tok = self.windows(pieces[i])
+            parts.append((np.full(len(tok), i, np.int32), tok))
+        for sql, chosen in ((_SHORT, lengths <= LONG), (_LONG, (lengths > LONG) & (lengths <= WINDOW))):
             index = np.flatnonzero(chosen)
             if not len(index):
                 continue
@@ -226,12 +261,13 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
 
     Each match of pattern is encoded by itself, without special tokens; the ids are then decoded.
     A null or empty text has no ids: n_tokens 0 and both digests those of the empty string. Rows
-    keep their multiplicity; columns of docs that clash with a new name (after prefix) are replaced.
+    keep their multiplicity; columns of docs that clash with a new name (after prefix) are replaced,
+    whatever their case. A word of any length is encoded whole.
     One narrow stage: no shuffle. Memory: one slice of texts and REMEMBERED words a worker.
     """
     small_batches(docs.sparkSession)
     names = [f"{prefix}n_tokens", f"{prefix}ids_sha256", f"{prefix}decoded_sha256"] + [f"{prefix}ids"] * ids
-    kept = docs.select(*[c for c in docs.columns if c not in names])
+    kept = docs.drop(*names)
     schema = StructType(kept.schema.fields[:])
     for name, kind in zip(names, ("long", "string", "string", ArrayType(IntegerType())), strict=False):
         schema = schema.add(name, kind)
@@ -257,7 +293,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
 def decode_ids(rows: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """rows' columns plus out: the bytes (binary) of the array of ids; null and empty arrays give b''."""
     small_batches(rows.sparkSession)
-    kept = rows.select(*[c for c in rows.columns if c != out])
+    kept = rows.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
