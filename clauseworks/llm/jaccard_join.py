@@ -189,6 +189,12 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
         side = t["side"].to_numpy()
         if side.any():  # the others of a bucket's block were compared in another block
             linked &= side[:, None] != side
+        if band < 0:  # a component that is compared as a whole: only pairs that share a band count, as in groups
+            keys = np.array(t["keys"].to_pylist(), np.int64)
+            shared = np.zeros_like(linked)
+            for k in range(keys.shape[1]):
+                shared |= keys[:, None, k] == keys[:, k]
+            linked &= shared
         if band > 0:  # a pair that meets in several groups counts in that of its first common band
             keys = np.array(t["keys"].to_pylist(), np.int64)
             for k in range(band):
@@ -200,7 +206,7 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n:
         b = np.concatenate([np.full(len(some), -1), edges[:, 1]])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=np.arange(len(b)) < len(some)), pa.array(np.concatenate([links[some], np.zeros(len(edges), np.int64)]))], names=["a", "b", "links"])
 
-    keyed = full.select("node", "size", "n_shingles", "keys", "shingles", F.inline("units")).withColumn("keys", F.when(F.col("band") > 0, F.col("keys")))
+    keyed = full.select("node", "size", "n_shingles", "keys", "shingles", F.inline("units")).withColumn("keys", F.when(F.col("band") != 0, F.col("keys")))
     parts = in_blocks(keyed, ["unit", "band"], "node", F.col("n_shingles") + MEMBER, VERIFY_BLOCK // 2)
     found = materialize(per_group(parts, ["unit", "band", "bi", "bj"], verify, "a long, b long, links long"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
