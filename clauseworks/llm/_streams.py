@@ -19,6 +19,14 @@ def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH, size: int = B
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bytes_of(column: pa.Array) -> list[memoryview]:
     """The values of a binary or string column as views without copies; null gives an empty view."""
     if isinstance(column, pa.ChunkedArray):

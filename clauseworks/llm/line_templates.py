@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseworks.llm._streams import free_name
 from clauseworks.runtime import discard, materialize
 
 #: Depth of leading tokens, least tokens of a line that is generalised, and least share of agreeing tokens after the leading ones.
@@ -125,18 +126,19 @@ def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_li
     are mostly variable fields have exact copies only; blank lines are never dropped. Repeats inside one document stay. Exact and
     generalised copies are dropped in all documents but the one of least id (a tie of ids is one
     document). A null text stays null with 0 lines; an empty text has one empty line; rows with a
-    null id are left as they are. Columns of docs with the names given for n_lines and n_dropped are
-    replaced. Lines are equal if their 64-bit hashes within a leaf are, and leaves if theirs are. The
+    null id are left as they are. Columns of docs with the names given for n_lines and n_dropped,
+    whatever their case, are replaced. Lines are equal if their 64-bit hashes within a leaf are, and leaves if theirs are. The
     positions of a document are at most its lines, so no group is unbounded.
     """
-    kept = docs.select(*[c for c in docs.columns if c not in (n_lines, n_dropped)])
-    gone = dropped_lines(docs, ident, text).withColumnsRenamed({"doc": "__doc", "at": "__at", "positions": "__positions"})
+    kept = docs.drop(n_lines, n_dropped)
+    doc, at, positions = (free_name(docs, name) for name in ("doc_of", "text_hash", "positions"))
+    gone = dropped_lines(docs, ident, text).withColumnsRenamed({"doc": doc, "at": at, "positions": positions})
     lines = F.split(F.col(text), "\n")
-    joined = kept.join(gone, (kept[ident] == gone["__doc"]) & (F.xxhash64(kept[text]) == gone["__at"]), "left")
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__positions", i)), "\n")
+    joined = kept.join(gone, (kept[ident] == gone[doc]) & (F.xxhash64(kept[text]) == gone[at]), "left")
+    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(positions, i)), "\n")
     joined = joined.withColumn(n_lines, F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
-    joined = joined.withColumn(n_dropped, F.when(F.col("__positions").isNull(), F.lit(0)).otherwise(F.size("__positions")).cast("long"))
-    return joined.withColumn(text, F.when(F.col("__positions").isNull(), F.col(text)).otherwise(rest)).drop("__doc", "__at", "__positions")
+    joined = joined.withColumn(n_dropped, F.when(F.col(positions).isNull(), F.lit(0)).otherwise(F.size(positions)).cast("long"))
+    return joined.withColumn(text, F.when(F.col(positions).isNull(), F.col(text)).otherwise(rest)).drop(doc, at, positions)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,11 +184,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     A null or empty text has no terms and scores 0.5 by the votes' default. Copies score alike. One
     narrow stage: the model is bounded and broadcast, and nothing is shuffled. A column of docs
-    named like out is replaced.
+    named like out, whatever its case, is replaced.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*[c for c in docs.columns if c != out])
+    kept = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
