@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -10,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauseworks.operators.staging import first_fit
+from clauseworks.runtime import materialize
+
 # Topics in order of precedence, families of standards
 TOPICS = {
     "assembly": ["assembly", "assemble", "installation", "mounting", "unassembled"],
@@ -73,27 +77,29 @@ def split_topics(rows: DataFrame) -> DataFrame:
 
     rows: scope, topic, id, text, standard, temperature, measurement, warning. A seed takes later free
     rows of its topic that are similar enough; rows that stay alone are left out. A scope holds the
-    tables that are consolidated together; the walk is sequential within one topic of a scope.
+    tables that are consolidated together; it may be one value for all rows.
     """
 
-    def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        items = pdf.sort_values("id").to_dict("records")
-        taken, out = set(), []
-        for i, seed in enumerate(items):
-            if i in taken:
-                continue
-            members = [i]
-            for j in range(i + 1, len(items)):
-                if len(members) >= MOST_MEMBERS:
-                    break
-                if j not in taken and hybrid_similarity(seed, items[j], LEAST_SIMILARITY) >= LEAST_SIMILARITY:
-                    members.append(j)
-            taken.update(members)
-            if len(members) > 1:
-                out += [(*key, items[j]["id"], seed["id"]) for j in members]
-        return pd.DataFrame(out, columns=["scope", "topic", "id", "seed"])
-
-    return rows.groupBy("scope", "topic").applyInPandas(split, "scope long, topic string, id long, seed long")
+    def fits(seed: dict, row: dict) -> bool:
+        return hybrid_similarity(seed, row, LEAST_SIMILARITY) >= LEAST_SIMILARITY
+
+    made = first_fit(rows, ["scope", "topic"], fits, MOST_MEMBERS, ["text", "standard", "temperature", "measurement", "warning"])
+    made = materialize(made, "splits")
+    return made.join(made.where("id <> seed").select("seed").distinct(), "seed", "left_semi").select("scope", "topic", "id", "seed")
+
+
+def seed_similarities(splits: DataFrame, rows: DataFrame) -> DataFrame:
+    """(seed, id, similarity): the hybrid similarity of each member of a split with its seed."""
+    columns = ["text", "standard", "temperature", "measurement", "warning"]
+    seeds = rows.select(F.col("id").alias("seed"), *(F.col(c).alias(f"seed_{c}") for c in columns))
+    pairs = splits.where("id <> seed").select("seed", "id").join(rows.select("id", *columns), "id").join(seeds, "seed")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [hybrid_similarity({c: x[f"seed_{c}"] for c in columns}, {c: x[c] for c in columns}) for x in pdf.to_dict("records")]
+            yield pdf[["seed", "id"]].assign(similarity=made)
+
+    return pairs.mapInPandas(score, "seed long, id long, similarity double")
 
 
 def core_statement(texts: list[str]) -> tuple[str, list[str]]:

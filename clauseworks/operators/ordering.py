@@ -21,3 +21,10 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     offsets = F.broadcast(spark.createDataFrame(offset or [(0, 0)], "__part long, __ahead long"))
     with_part = sorted_rows.withColumn("__part", part).join(offsets, "__part")
     return with_part.withColumn(name, F.col("__ahead") + F.col("__at").bitwiseAND((1 << 33) - 1)).select(*rows.columns, name)
+
+
+def numbered_within(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with consecutive numbers from 0 in order within each value of the keys (not null); no task holds a key."""
+    placed = numbered(rows, [*keys, *order], "__place")
+    starts = placed.groupBy(*keys).agg(F.min("__place").alias("__start"))
+    return placed.join(starts, keys).withColumn(name, F.col("__place") - F.col("__start")).select(*rows.columns, name)

@@ -1,4 +1,4 @@
-"""TF-IDF, similarity edges, components, staged clusters and greedy near-duplicate removal."""
+"""TF-IDF, similarity edges, groups of similar clauses, near-duplicate removal."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from clauseworks.functions.dialect import SPARK, Spark, run
 from clauseworks.operators.graph import connected_components
 from clauseworks.operators.nearness import greedy_near
 from clauseworks.operators.ordering import numbered
+from clauseworks.operators.staging import staged_clusters
 from clauseworks.runtime import materialize
 
 #: Common words that carry no topic; a parameter of every operator below.
@@ -25,7 +26,7 @@ STOP_WORDS = (
 ).split()
 MOST_TERMS, MOST_SHARE = 500, 0.95
 BASE, LARGE_BUCKET, LARGE = 0.35, 100, 0.45
-CORE, EXPAND, ATTACH, STAGED_SIZE = 0.55, 0.50, 0.45, 150
+STAGED_SIZE = 150
 
 
 def tfidf_sql(d: Spark, clauses: str, stop: tuple[str, ...] | list[str] = STOP_WORDS) -> str:
@@ -183,59 +184,17 @@ def components(edges: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
-def staged_clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(component, node, cluster) of components of STAGED_SIZE or more; cluster is its least member.
-
-    edges (component, a, b, sim), nodes (component, node). Dense cores come first; then loose members
-    join the core that holds their most similar member, first at EXPAND and then at ATTACH, in order of
-    node, while cores grow. Members that are left stand alone; without a core nothing changes. The
-    walk is sequential, so a component is one task; its size is bounded by the bucket's.
-    """
-
-    def stage(rows: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(rows["a"]) | set(rows["b"]))
-        component = rows["component"].iloc[0]
-        near: dict[int, list[tuple[int, float]]] = {x: [] for x in names}
-        for a, b, s in zip(rows["a"], rows["b"], rows["sim"], strict=True):
-            near[a].append((b, s))
-            near[b].append((a, s))
-        label: dict[int, int] = {}
-        cores = 0
-        for x in names:
-            if x in label or not any(s >= CORE for _, s in near[x]):
-                continue
-            queue = [x]
-            label[x] = cores
-            while queue:
-                for y, s in near[queue.pop()]:
-                    if s >= CORE and y not in label:
-                        label[y] = cores
-                        queue.append(y)
-            cores += 1
-        if not cores:
-            return pd.DataFrame({"component": component, "node": names, "cluster": names[0]})
-        for least in (EXPAND, ATTACH):
-            for x in names:
-                if x not in label:
-                    reach = [(-s, label[y]) for y, s in near[x] if y in label and s >= least]
-                    if reach:
-                        label[x] = min(reach)[1]
-        first: dict[int, int] = {}
-        for x in names:
-            if x in label:
-                first.setdefault(label[x], x)
-        return pd.DataFrame({"component": component, "node": names, "cluster": [first[label[x]] if x in label else x for x in names]})
-
-    large = nodes.groupBy("component").count().where(f"count >= {STAGED_SIZE}").select("component")
-    return edges.join(large, "component").groupBy("component").applyInPandas(stage, "component long, node long, cluster long")
+def categories_sql(clauses: str) -> str:
+    """Clauses with category, requirement_type and bucket (both)."""
+    rows = f"(select clause_idx, standard_name, clause_number, text, {r.category('text')} as category, {r.requirement_type('clause_number', 'text')} as requirement_type from {clauses} as x)"
+    return f"select *, category || '/' || requirement_type as bucket from {rows} as y"
 
 
 def buckets_sql(d: Spark, clauses: str) -> str:
-    """Clauses with category, requirement_type, bucket (both), and the bucket's size, standards and first index."""
+    """categories_sql with each bucket's size and first index, which are aggregated (a row for each bucket) and joined."""
     return f"""
-select *, category || '/' || requirement_type as bucket,
-       count(*) over (partition by category, requirement_type) as bucket_size, min(clause_idx) over (partition by category, requirement_type) as bucket_first
-from (select clause_idx, standard_name, clause_number, text, {r.category('text')} as category, {r.requirement_type('clause_number', 'text')} as requirement_type from {clauses} as x)
+with placed as ({categories_sql(clauses)}), sizes as (select bucket as b, count(*) as bucket_size, min(clause_idx) as bucket_first from placed group by bucket)
+select clause_idx, standard_name, clause_number, text, category, requirement_type, bucket, bucket_size, bucket_first from placed join sizes on sizes.b = placed.bucket
 """
 
 
@@ -247,10 +206,11 @@ def grouped_clauses(clauses: DataFrame, threshold: float = BASE, staged: bool =
     STAGED_SIZE or more are split in stages. Group numbers follow the bucket's first clause, then the
     group's.
     """
-    b = materialize(run(buckets_sql(SPARK, "<clauses>"), clauses=clauses), "buckets")
+    placed = materialize(run(categories_sql("<clauses>"), clauses=clauses), "categories")
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("bucket_size"), F.min("clause_idx").alias("bucket_first"))
+    b = placed.join(sizes, "bucket")
     larger = b.where("bucket_size > 2").select("bucket", F.col("clause_idx").alias("idx"), "text", "bucket_size")
     weights = materialize(tfidf(larger), "tfidf")
-    sizes = b.select("bucket", "bucket_size").distinct()
     found = connected_components(linking_edges(weights, sizes, threshold))
     if staged:
         large = found.groupBy("component").agg(F.count("*").alias("n")).where(f"n >= {STAGED_SIZE}").select("component")
@@ -258,7 +218,7 @@ def grouped_clauses(clauses: DataFrame, threshold: float = BASE, staged: bool =
         edges = similarity_edges(weights.join(inside, weights.idx == inside.node, "left_semi"), min(threshold, LARGE)).join(sizes, "bucket")
         edges = edges.where(F.col("sim") >= F.when(F.col("bucket_size") > LARGE_BUCKET, LARGE).otherwise(threshold))
         of = edges.join(inside, edges.a == inside.node).select("component", "a", "b", "sim")
-        split = staged_clusters(of, inside)
+        split = staged_clusters(materialize(of, "edges"), inside, STAGED_SIZE)
         found = found.join(split.select("node", "cluster"), "node", "left").select("node", F.coalesce("cluster", "component").alias("component"))
     pairs = b.where("bucket_size = 2").select(F.col("clause_idx").alias("node"), F.col("bucket_first").alias("component"))
     members = found.select("node", "component").unionByName(pairs).join(b.drop("text"), F.col("node") == b.clause_idx)

@@ -141,11 +141,11 @@ def clause_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses with their topic and properties; the scope holds the documents consolidated together."""
+    """Clauses with their topic and properties; all documents are consolidated together."""
     topic = F.lit("general")
     for name, words in reversed(coredelta.TOPICS.items()):
         topic = F.when(F.expr(q.any_of("lower(text)", words)), name).otherwise(topic)
-    rows = clauses(spark, sf_dir).select(F.col("clause_idx").alias("id"), F.floor(F.col("doc_id") / q.DOCUMENTS_AT_ONCE).alias("scope"), "text", F.col("standard_name").alias("standard"), F.col("clause_number").alias("clause"))
+    rows = clauses(spark, sf_dir).select(F.col("clause_idx").alias("id"), F.lit(0).cast("long").alias("scope"), "text", F.col("standard_name").alias("standard"), F.col("clause_number").alias("clause"))
     return coredelta.with_properties(rows).withColumn("topic", topic)
 
 
@@ -397,18 +397,9 @@ def greedy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("T14_hybrid_similarity")
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of a topic within a scope with a hybrid similarity of at least that of a group."""
-    rows = _topics(spark, sf_dir)
-    columns = ["text", "standard", "temperature", "measurement", "warning"]
-    other = rows.select("scope", "topic", F.col("id").alias("id_2"), *(F.col(c).alias(f"{c}_2") for c in columns))
-
-    def score(batches):
-        for pdf in batches:
-            made = [coredelta.hybrid_similarity({c: x[c] for c in columns}, {c: x[f"{c}_2"] for c in columns}, coredelta.LEAST_SIMILARITY) for x in pdf.to_dict("records")]
-            yield pdf[["id", "id_2"]].assign(similarity=made).query(f"similarity >= {coredelta.LEAST_SIMILARITY}")
-
-    pairs = rows.join(other, ["scope", "topic"]).where("id < id_2").select("id", "id_2", *columns, *(f"{c}_2" for c in columns))
-    return pairs.mapInPandas(score, "id long, id_2 long, similarity double")
+    """The hybrid similarity of each member of a split with the split's seed, of whole topics."""
+    rows = materialize(_topics(spark, sf_dir), "topics")
+    return coredelta.seed_similarities(coredelta.split_topics(rows.drop("clause")), rows).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("T16_core_groups")
@@ -446,14 +437,15 @@ def chunked_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("T12_batched_consolidation", f"""
-with placed as (select floor(doc_id / {q.DOCUMENTS_AT_ONCE}) as scope, clause_idx as id, standard_name as standard, text, row_number() over (partition by floor(doc_id / {q.DOCUMENTS_AT_ONCE}) order by clause_idx) - 1 as place from {CLAUSES} as x),
-batched as (select *, floor(place / {extraction.REQUIREMENTS_PER_CALL}) as batch, substring(text, 1, 20) as lead from placed), large as (select scope, batch from batched group by all having count(*) >= {extraction.LEAST_PER_CALL}),
-groups as (select scope, batch, lead, min(id) as first from batched join large using (scope, batch) group by all having count(*) >= 3 and count(distinct trim(standard)) >= 2),
-numbered as (select *, row_number() over (partition by scope order by batch, first) - 1 as group_id from groups)
-select cast(scope as bigint) as scope, id, cast(group_id as int) as group_id from batched left join numbered using (scope, batch, lead)""")
+with placed as (select clause_idx as id, standard_name as standard, text, row_number() over (order by clause_idx) - 1 as place from {CLAUSES} as x),
+batched as (select *, floor(place / {extraction.REQUIREMENTS_PER_CALL}) as batch, substring(text, 1, 20) as lead from placed), large as (select batch from batched group by all having count(*) >= {extraction.LEAST_PER_CALL}),
+groups as (select batch, lead, min(id) as first from batched join large using (batch) group by all having count(*) >= 3 and count(distinct trim(standard)) >= 2),
+numbered as (select *, row_number() over (order by batch, first) - 1 as group_id from groups)
+select id, cast(group_id as bigint) as group_id from batched left join numbered using (batch, lead)""")
 def batched_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clauses(spark, sf_dir).select(F.floor(F.col("doc_id") / q.DOCUMENTS_AT_ONCE).alias("scope"), F.col("clause_idx").alias("id"), F.col("standard_name").alias("standard"), "text")
-    return extraction.consolidated(rows)
+    """All clauses in batches in their order, whatever document they are of."""
+    rows = clauses(spark, sf_dir).select(F.lit(0).cast("long").alias("scope"), F.col("clause_idx").alias("id"), F.col("standard_name").alias("standard"), "text")
+    return extraction.consolidated(rows).select("id", "group_id")
 
 
 @query("T25_whole_documents", f"""

@@ -145,7 +145,7 @@ def test_topic_splits_walk_in_order(spark, sf):
     rows = [r.asDict() for r in jobs._topics(spark, sf).orderBy("id").collect()]
     groups = defaultdict(list)
     for r in rows:
-        if r["scope"] == 0 and r["topic"] in ("battery_charging", "symbols", "maintenance"):
+        if r["topic"] in ("battery_charging", "symbols", "maintenance"):
             groups[r["topic"]].append(r)
     expected = set()
     for items in groups.values():
@@ -160,7 +160,7 @@ def test_topic_splits_walk_in_order(spark, sf):
             if len(members) > 1:
                 expected |= {(m["id"], seed["id"]) for m in members}
             free = rest
-    got = {(r.id, r.seed) for r in jobs.topic_splits(spark, sf).collect() if r.scope == 0 and r.topic in groups}
+    got = {(r.id, r.seed) for r in jobs.topic_splits(spark, sf).collect() if r.topic in groups}
     assert got == expected
 
 
