@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from clauseworks.functions.models import Policy, ask
+
 # Garbled characters and what they stand for, in this order
-GARBLED = [("Â°", "°"), ('â€"', "–"), ("â€™", "'"), ("â€œ", '"'), ("â€", '"'), ("Â ", " ")]
+GARBLED = [("Â°", "°"), ('â€"', "–"), ('â€"', "—"), ("â€™", "'"), ("â€œ", '"'), ("â€", '"'), ("Â ", " ")]
 _QUOTED = re.compile(r'"([^"\\]*(?:\\.[^"\\]*)*)"', re.S)
 
 
@@ -118,22 +120,9 @@ def smart_chunks(docs: DataFrame, ident: str = "doc_id", text: str = "text", tok
     return docs.select(F.col(ident).alias("id"), F.col(text).alias("t")).mapInPandas(run, f"`{ident}` long, chunk_idx int, chunk string")
 
 
-def call_model(rows: DataFrame, prompt: str, reply: str, call: Callable[[str], str]) -> DataFrame:
-    """Rows plus the reply of an injected model to each prompt; null where it fails."""
-    schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-
-            def ask(p: str) -> str | None:
-                try:
-                    return call(p)
-                except Exception:  # noqa: BLE001  a failed call skips its group
-                    return None
-
-            yield pdf.assign(**{reply: pdf[prompt].map(ask)})
-
-    return rows.mapInPandas(run, f"{schema},{reply}:string")
+def call_model(rows: DataFrame, prompt: str, reply: str, call: Callable[[str], str], policy: Policy = Policy()) -> DataFrame:
+    """Rows plus the reply of an injected model to each prompt; null where it fails (see models.ask)."""
+    return ask(rows, prompt, call, policy, reply).select(*rows.columns, reply)
 
 
 def stub_model(prompt: str) -> str:
