@@ -78,6 +78,25 @@ def language_filter(probability: Callable[[str], float] | None = None, least_cha
     return english
 
 
+def token_count(c: Column, tokenizer: Callable[[str], int] | None = None) -> Column:
+    """The number of tokens by an injected tokenizer; where there is none or it fails, a token is four characters."""
+    rough = F.floor(F.length(c) / 4)
+    if tokenizer is None:
+        return rough
+
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        def count(t: str | None) -> int | None:
+            try:
+                return None if t is None else tokenizer(t)
+            except Exception:  # noqa: BLE001  the rough count stands in
+                return None
+
+        return texts.map(count).astype("Int64")
+
+    return F.coalesce(counted(c), rough)
+
+
 _HEADER = re.compile(r"\n(\d+(?:\.\d+)*)\s+[A-Z][^\n]{10,100}\n")
 
 

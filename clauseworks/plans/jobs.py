@@ -5,19 +5,21 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseworks.functions import models
 from clauseworks.functions import python as p
 from clauseworks.functions import text as r
 from clauseworks.functions.dialect import DUCK, SPARK, run
-from clauseworks.operators import coredelta, extraction, nearness, segments
+from clauseworks.operators import coredelta, extraction, nearness, ordering, segments
 from clauseworks.operators import similarity as s
 from clauseworks.plans import fixtures
 from clauseworks.plans import queries as q
 from clauseworks.runtime import materialize, shared_dir
-from clauseworks.sources import sinks, tables
-from clauseworks.streaming import feedback
+from clauseworks.sources import files, sinks, snapshots, tables
+from clauseworks.streaming import feedback, keyed
 
 LINES, CLAUSES = q.INPUTS["lines"][1], q.INPUTS["clauses"][1]
 QUERIES: dict[str, q.Query] = {}
@@ -233,15 +235,86 @@ def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("group_id long, clauses array<struct<clause_number: string, standard_name: string, text: string>>").json(path).select("group_id", F.inline("clauses"))
 
 
+def _document(blocks: str, title: str, totals: str, summary: list[tuple[str, str]]) -> str:
+    shown = " || ".join(f"'<div class=\"stat\">{name}: ' || cast({c} as varchar) || '</div>'" for c, name in summary)
+    head = f"'<!DOCTYPE html><html lang=\"en\"><head><meta charset=\"UTF-8\"><title>{title}</title></head><body><h1>{title}</h1><div class=\"summary\">' || {shown} || '</div>'"
+    return f"with blocks as ({blocks}), totals as ({totals}) select cast(0 as bigint) as place, {head} as html from totals union all select row_number() over (order by group_id), html from blocks union all select n_groups + 1, '</body></html>' from totals"
+
+
 _HTML = f"""
 select group_id, '<section><h2>' || {r.escaped_html('min_by(text, clause_idx)')} || '</h2><p>' || case when count(distinct standard_name) >= 3 then 'High Coverage' when count(distinct standard_name) = 2 then 'Medium Coverage' else 'Low Coverage' end || '</p><ul>'
  || string_agg('<li><b>' || standard_name || ' ' || clause_number || '</b> ' || {r.escaped_html('text')} || '</li>', '' order by clause_idx) || '</ul></section>' as html from {q.groups_sql(DUCK, CLAUSES)} as x group by group_id"""
+_TOTALS = "count(distinct group_id) as n_groups, count(*) as n_clauses, count(distinct standard_name) as n_standards"
+_SUMMARY = [("n_groups", "Requirement Groups"), ("n_clauses", "Total Clauses"), ("n_standards", "Standards Covered")]
 
 
-@query("K05_group_html", _HTML)
+@query("K05_group_html", _document(_HTML, "Harmonization Report", f"select {_TOTALS} from {q.groups_sql(DUCK, CLAUSES)} as x", _SUMMARY))
 def group_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = run(f"select * from {q.groups_sql(SPARK, '<clauses>')} as x", clauses=clauses(spark, sf_dir))
-    return sinks.group_html(sinks.nested_groups(members)).select("group_id", "html")
+    """The whole report: head with totals, a block for each group, foot."""
+    members = materialize(run(f"select * from {q.groups_sql(SPARK, '<clauses>')} as x", clauses=clauses(spark, sf_dir)), "members")
+    return sinks.html_document(sinks.group_html(sinks.nested_groups(members)), ["group_id"], "Harmonization Report", run(f"select {_TOTALS} from <m>", m=members), _SUMMARY)
+
+
+def _review_blocks(d, members: str, review: str) -> str:
+    """K7: (group_id, html) of groups with their review: status, share, active members cut at 500, standards."""
+    shown = "'<div class=\"requirement\"><strong>' || standard_name || '</strong> (Clause ' || clause_number || ')<br>' || substring(text, 1, 500) || case when length(text) > 500 then '...' else '' end || '</div>'"
+    return f"""
+select m.group_id, '<div class="group ' || lower(status) || '"><h2>Group ' || cast(m.group_id + 1 as string) || '</h2><p>Status: ' || status || ' | Similarity: ' || cast(least(95, 70 + 5 * n) as string) || '% | Requirements: ' || cast(active as string)
+  || '</p><div class="core-req">' || replace(core, chr(10), '<br>') || '</div><p>' || standards || '</p>' || coalesce(shown, '') || '</div>' as html
+from (select group_id, count(*) as n, count(case when clause_idx % 7 <> 0 then 1 end) as active, {d.distinct_list('standard_name', ', ')} as standards, min_by(text, clause_idx) as first_text,
+        {d.listagg(f"case when clause_idx % 7 <> 0 then {shown} end", '', 'clause_idx')} as shown from {members} as x group by group_id) m
+join (select group_id, upper(coalesce(status, 'pending')) as status, edited from {review} as y) v on v.group_id = m.group_id, lateral (select coalesce(edited, first_text) as core) c"""
+
+
+@query("K07_review_report", _document(_review_blocks(DUCK, q.groups_sql(DUCK, CLAUSES), q.review_sql(DUCK, CLAUSES)), "Consolidation Report", f"select {_TOTALS} from {q.groups_sql(DUCK, CLAUSES)} as x", _SUMMARY))
+def review_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report of a review; members that the reviewer removed aren't shown."""
+    given = clauses(spark, sf_dir)
+    members = materialize(run(f"select * from {q.groups_sql(SPARK, '<clauses>')} as x", clauses=given), "members")
+    blocks = run(_review_blocks(SPARK, "<m>", "<v>"), m=members, v=materialize(run(f"select * from {q.review_sql(SPARK, '<clauses>')} as x", clauses=given), "review"))
+    return sinks.html_document(blocks, ["group_id"], "Consolidation Report", run(f"select {_TOTALS} from <m>", m=members), _SUMMARY)
+
+
+_SORTS = {"Group Number": "group_id", "High to Low": "-potential", "Low to High": "potential", "Topic": "lower(topic)"}
+_SORTED = f"(select group_id, least(95, 70 + 5 * count(*)) as potential, min(category) as topic from {{}} as x group by group_id)"
+
+
+@query("L01_sorted_groups", " union all ".join(f"select '{name}' as sort_by, group_id, row_number() over (order by {by}, group_id) - 1 as place from {_SORTED.format(q.groups_sql(DUCK, CLAUSES))} as y" for name, by in _SORTS.items()))
+def sorted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four orders of a list of groups; ties go by number. Places come from a sort of ranges."""
+    groups = materialize(run(f"select * from {_SORTED.format(q.groups_sql(SPARK, '<clauses>'))} as y", clauses=clauses(spark, sf_dir)), "groups")
+    out = None
+    for name, by in _SORTS.items():
+        placed = ordering.numbered(groups.select("group_id", F.expr(by).alias("by")), ["by", "group_id"], "place").select(F.lit(name).alias("sort_by"), "group_id", "place")
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+def words_or_error(text: str) -> int:
+    """A stand-in for an injected tokenizer, which fails on texts with a degree sign."""
+    if "°" in text:
+        raise ValueError("no such character")
+    return len(text.split(" "))
+
+
+@query("P42_token_count", f"select clause_idx, cast(case when contains(text, '°') then floor(length(text) / 4) else len(string_split(text, ' ')) end as bigint) as tokens from {CLAUSES} as x")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clauses(spark, sf_dir).select("clause_idx", p.token_count(F.col("text"), words_or_error).alias("tokens"))
+
+
+@query("P54_usage_cost", f"""with p as (select group_id, 'Consolidate:' || chr(10) || string_agg(standard_name || ' ' || clause_number || ': ' || text, chr(10) order by clause_idx) as prompt from {q.groups_sql(DUCK, CLAUSES)} as x group by group_id having count(*) between 2 and 100)
+select group_id, length(prompt) // 4 as prompt_tokens, least(200, length(prompt)) // 4 as reply_tokens, round((length(prompt) // 4) / 1e6 * 3.0 + (least(200, length(prompt)) // 4) / 1e6 * 15.0, 9) as cost from p""")
+def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens that calls used, and what they cost."""
+    asked = models.ask(q.QUERIES["T18_prompts"](spark, sf_dir), "prompt", lambda prompt: prompt[:200])
+    return models.cost(asked).select("group_id", "prompt_tokens", "reply_tokens", F.round("cost", 9).alias("cost"))
+
+
+@query("P55_review_label", f"{_DENSE} select a, b, case when sim >= 0.85 then 'high' when sim >= 0.7 then 'medium' else 'low' end as label from e")
+def review_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of each pair's similarity."""
+    edges = s.dense_edges(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 0.40)
+    return edges.select("a", "b", F.when(F.col("sim") >= 0.85, "high").when(F.col("sim") >= 0.7, "medium").otherwise("low").alias("label"))
 
 
 @query("X04_streamed_feedback", q.ORACLE["A17_feedback_metrics"])
@@ -250,15 +323,34 @@ def streamed_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.streamed_feedback(spark, rows)
 
 
-@query("X05_cache_misses", f"select md5(text) as key, count(*) as n from {CLAUSES} as x group by md5(text)")
+@query("X05_cache_misses", f"select md5(text) as key, count(*) as n, 1 as worked from {CLAUSES} as x group by md5(text)")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches with common keys go through the cache; each key is worked on once."""
-    path = folder(spark, "cache")
+    """A stream that is started again when more has come, with keys of before: each is worked on once."""
+    path = folder(spark, "keyed")
     rows = clauses(spark, sf_dir).withColumn("key", F.md5("text"))
     for part in (rows.where("clause_idx % 2 = 0"), rows):
-        feedback.process_misses(part, path, "key", lambda x: x.select("key"))
-    cached = spark.read.parquet(path)
-    return rows.join(cached, "key").groupBy("key").agg(F.count("*").alias("n"))
+        part.select("key", "clause_idx").write.mode("append").json(f"{path}/in")
+        keyed.work_once(spark, f"{path}/in", "key string, clause_idx long", "key", ["clause_idx"], lambda x: x.select("key"), f"{path}/out", f"{path}/checkpoint", files_at_once=1000)
+    done = spark.read.parquet(f"{path}/out").groupBy("key").agg(F.count("*").cast("int").alias("worked"))
+    return rows.groupBy("key").agg(F.count("*").alias("n")).join(done, "key")
+
+
+@query("X02_progress", "with c as (select event_id % 4 as batch, count(*) as rows from events group by all), d as (select batch, rows, cast(sum(rows) over (order by batch) as bigint) as done, cast(sum(rows) over () as bigint) as total from c) select batch, rows, done, cast(30 + 50 * done // total as int) as percent from d")
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream that is fed in four parts reports of its batches."""
+    path, events = folder(spark, "progress"), spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    seen, out = keyed.Progress(events.count()), None
+    for i in range(4):
+        events.where(F.col("event_id") % 4 == i).write.mode("append").parquet(f"{path}/in")
+        out = keyed.watched(spark.readStream.schema("event_id long").parquet(f"{path}/in"), seen, lambda batch, number: batch.write.format("noop").mode("append").save(), f"{path}/checkpoint")
+    return out
+
+
+@query("X06_completion_order", f"select clause_idx, row_number() over (order by clause_idx) - 1 as place from {CLAUSES} as x")
+def completion_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that come in an order of their own get the places of their source."""
+    came = clauses(spark, sf_dir).select("clause_idx", "doc_id").repartition(7, F.md5(F.col("clause_idx").cast("string")))
+    return keyed.in_source_order(came, ["doc_id", "clause_idx"], "place").select("clause_idx", "place")
 
 
 @query("X06_event_windows", "select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
@@ -285,7 +377,14 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clauses(spark, sf_dir).select("clause_idx", F.array_join(F.array_compact(F.array(temperature, measures, paper)), "; ").alias("deltas"))
 
 
-@query("P56_fingerprint")
+_DIGEST = sinks.row_digest(["clause_idx", "clause_number", "doc_id", "standard_name", "text"])
+
+
+@query("P56_fingerprint", f"""
+with recursive level as (
+  select 0 as depth, row_number() over (order by clause_idx) - 1 as place, {_DIGEST} as h, count(*) over () as n from {CLAUSES} as x
+  union all select depth + 1, place // {sinks.FAN}, md5(string_agg(h, '' order by place)), any_value((n + {sinks.FAN} - 1) // {sinks.FAN}) from level where n > 1 group by depth, place // {sinks.FAN}
+) select h as fingerprint from level where n = 1""")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.fingerprint(clauses(spark, sf_dir), "clause_idx")
 
@@ -458,3 +557,131 @@ def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("G11_bounded_segments")
 def bounded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.bounded_segments(fixtures.fx_lines(spark, sf_dir), "all", 40)
+
+
+# --- files, snapshots, calls -----------------------------------------------------------
+
+
+def recognised(content: bytes) -> str:
+    """A stand-in for text recognition: the image holds the text."""
+    return files.image_bytes(content)[3:].decode()
+
+
+def _made_files(spark: SparkSession, sf_dir: str) -> str:
+    """A file for each document: compressed or plain pages, an image, a broken one, or a plain text."""
+    path = folder(spark, "files")
+
+    def made(batches):
+        for b in batches:
+            names, contents = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t, kind = t or "", i % 5
+                names.append(f"{i}" + (".pdf", ".PDF", ".Pdf", ".pdf", ".txt")[kind])
+                contents.append((lambda: files.made_document([t, ""], True), lambda: files.made_document([t], False), lambda: files.made_document([""], True, b"IMG" + t.encode()), lambda: b"broken", lambda: t.encode())[kind]())
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(contents, pa.binary())], names=["name", "content"])
+
+    files.write_named(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").mapInArrow(made, "name string, content binary"), path)
+    return path
+
+
+_ENOUGH = f"doc_id % 5 <= 2 and length({DUCK.strip('text')}) > 100"
+
+
+@query("S01_file_router", "select doc_id, case when doc_id % 5 = 4 then 'unsupported' else 'pdf' end as route from documents")
+def file_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the query writes, routed by their paths; those that aren't documents aren't read."""
+    read = files.read_documents(spark, _made_files(spark, sf_dir), files.READERS)
+    return read.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("doc_id"), F.when(F.col("error") == "unsupported", "unsupported").otherwise("pdf").alias("route"))
+
+
+@query("S02_fallback_chain", f"""select doc_id, case when {_ENOUGH} then case doc_id % 5 when 0 then 'packed pages' when 1 then 'plain pages' else 'recognition' end end as method,
+ case when {_ENOUGH} then case doc_id % 5 when 0 then 'high' when 1 then 'medium' else 'low' end end as confidence, {_ENOUGH} as success, case when doc_id % 5 = 4 then 'unsupported' when not ({_ENOUGH}) then 'no text found' end as error,
+ case when {_ENOUGH} then md5(trim(text, chr(10))) end as digest from documents""")
+def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reader of the chain, the limit of 100 characters, and the files that none can read."""
+    read = files.read_documents(spark, _made_files(spark, sf_dir), [*files.READERS, ("recognition", "low", recognised)])
+    digest = F.md5(F.regexp_replace("raw_text", r"^\n+|\n+$", ""))
+    return read.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("doc_id"), "method", "confidence", "success", "error", digest.alias("digest"))
+
+
+@query("S11_workbooks", f"select doc_id, clause_number as clause, standard_name as standard, text as requirement from {CLAUSES} as x")
+def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each document, with its clauses on the second sheet below a few other rows; read back by sheet and header."""
+    path = folder(spark, "books")
+
+    def book(t: pa.Table) -> pa.Table:
+        rows = t.sort_by("clause_idx").to_pylist()
+        above = [["Export"], [], ["of", None, "the day"]][: rows[0]["doc_id"] % 4]
+        table = [["Clause", "", "Requirement", "Standard"], *([x["clause_number"], None, x["text"], x["standard_name"]] for x in rows)]
+        return pa.table({"name": [f"{rows[0]['doc_id']}.xlsx"], "content": pa.array([files.made_workbook([("Notes", [["Requirement"]]), ("Requirements", [*above, *table])])], pa.binary())})
+
+    files.write_named(clauses(spark, sf_dir).groupBy("doc_id").applyInArrow(book, "name string, content binary"), path)
+    records = files.sheet_records(files.read_workbooks(spark, path, "Requirements").select("path", "row_no", "cells"), "path")
+    column = lambda name, target: files.named_column("values", target).alias(name)
+    return records.select(F.regexp_extract("path", r"(\d+)\.xlsx$", 1).cast("long").alias("doc_id"), column("clause", "Clause ID"), column("standard", "Standard/ Regulation"), column("requirement", "Requirement (Clause)"))
+
+
+@query("K10_index_upsert", f"with old as (select clause_idx as id, text from {CLAUSES} as x where clause_idx % 2 = 0), new as (select clause_idx as id, 'new' as text from {CLAUSES} as y where clause_idx % 3 = 0) select id, text from old where not exists (select 1 from new where new.id = old.id) union all select id, text from new")
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two changes of a table of versions; the second replaces keys of the first."""
+    rows = clauses(spark, sf_dir).select(F.col("clause_idx").alias("id"), "text")
+    table = snapshots.SnapshotTable(spark, folder(spark, "index"), "id long, text string")
+    table.replace(rows.where("id % 2 = 0"))
+    table.upsert(rows.where("id % 3 = 0").withColumn("text", F.lit("new")))
+    return table.read()
+
+
+@query("W05_undone_changes", f"select clause_idx as id, case when clause_idx % 3 = 0 then 'second' else 'first' end as text from {CLAUSES} as x where clause_idx % 5 <> 0")
+def undone_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of five changes the newest two are taken back."""
+    rows = clauses(spark, sf_dir).select(F.col("clause_idx").alias("id"))
+    table = snapshots.SnapshotTable(spark, folder(spark, "undo"), "id long, text string")
+    table.replace(rows.withColumn("text", F.lit("first")))
+    table.upsert(rows.where("id % 3 = 0").withColumn("text", F.lit("second")))
+    table.delete(rows.where("id % 5 = 0"))
+    table.upsert(rows.withColumn("text", F.lit("third")))
+    table.delete(rows)
+    assert table.restore() and table.restore()
+    return table.read()
+
+
+_SECTIONS = f"(select doc_id, start_line as chunk, clause_number, content from ({segments.manual_sections_sql(DUCK, LINES)}) s)"
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.manual_sections(fixtures.fx_lines(spark, sf_dir)).select("doc_id", F.col("start_line").alias("chunk"), "clause_number", "content")
+
+
+@query("T24_sections", f"select doc_id, cast(chunk as bigint) as chunk, clause_number as clause, rtrim(content, chr(10)) as text from {_SECTIONS} as x")
+def extracted_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call for each section, no duplicates removed; the stand-in model fails on its first call in a process and is asked again."""
+    calls = []
+
+    def flaky(prompt: str) -> str:
+        calls.append(prompt)
+        if len(calls) == 1:
+            raise models.Overloaded("busy")
+        return extraction.echo_clauses(prompt)
+
+    rows, _, _ = extraction.extract_sections(_sections(spark, sf_dir), flaky, policy=models.Policy(delay=0.01))
+    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "clause", "text")
+
+
+@query("T22_cached_sections", f"with s as (select *, md5('manual:' || content) as key from {_SECTIONS} as x) select doc_id, cast(chunk as bigint) as chunk, key in (select key from s where doc_id % 2 = 0) as cached from s")
+def cached_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of half of the documents fill the cache; of all sections only the others are asked for."""
+    sections = materialize(_sections(spark, sf_dir), "sections")
+    _, cache, _ = extraction.extract_sections(sections.where("doc_id % 2 = 0"))
+    rows, _, _ = extraction.extract_sections(sections, cache=materialize(cache, "cache"))
+    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "cached").distinct()
+
+
+def only_larger(prompt: str) -> str:
+    """A stand-in for consolidation's model, whose answers to groups of two are no JSON."""
+    return "can't say" if prompt.count("\n") == 2 else p.stub_model(prompt)
+
+
+@query("T28_consolidation", f"with g as (select group_id, 'Consolidate:' || chr(10) || string_agg(standard_name || ' ' || clause_number || ': ' || text, chr(10) order by clause_idx) as prompt from {q.groups_sql(DUCK, CLAUSES)} as x group by group_id having count(*) between 2 and 100), c as (select group_id, length(prompt) - length(replace(prompt, chr(10), '')) as lines from g) select group_id, case when lines > 2 then cast(lines as bigint) end as clauses, case when lines = 2 then 'unusable reply' end as failure from c")
+def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = models.consolidation(q.QUERIES["T18_prompts"](spark, sf_dir), "prompt", only_larger, "permitted", "permitted")
+    return asked.select("group_id", F.from_json("reply", "clauses long")["clauses"].alias("clauses"), "failure")

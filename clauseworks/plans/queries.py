@@ -116,9 +116,8 @@ scalar("P37_category", "category", lambda d: r.category("text"), "clauses")
 scalar("P38_requirement_type", "requirement_type", lambda d: r.requirement_type("clause_number", "text"), "clauses")
 scalar("P39_enriched", "category", lambda d: f"coalesce(case when clause_idx % 3 = 0 then 'given' end, {r.category('text')})", "clauses")
 scalar("P40_category_title", "title", lambda d: r.category_title(d, r.category("text")), "clauses")
-scalar("P42_token_count", "tokens", lambda d: "cast(floor(length(text) / 4) as bigint)", "clauses")
 scalar("P46_html", "html", lambda d: "'<p>' || " + r.escaped_html("text || ' <a href=\"x\">&' || chr(39) || chr(10)") + " || '</p>'", "clauses")
-scalar("P48_display", "display", lambda d: "case when text is null or text = '' then '[Empty]' when length(text) > 60 then substring(text, 1, 60) || '...' else text end", "clauses")
+add("P48_display", lambda d, t: f"select clause_idx, case when text is null then '[Empty]' when length(text) > 300 then substring(text, 1, 300) || '...' else text end as display, coalesce(standard_name, '[Unknown]') as standard, coalesce(clause_number, '[Unknown]') as clause from {t} as x", "clauses")
 scalar("P50_project_id", "project_id", lambda d: d.replace("lower(standard_name || ' project #' || cast(clause_idx as string))", "[^a-z0-9]+", "_"), "clauses")
 add("P27_enriched_rows", lambda d, t: f"select clause_idx, {r.row_scope('text')} as scope, {r.row_formatting('text')} as formatting, {r.row_print('text')} as in_print, {r.row_image('text')} as image, {r.row_notice('text')} as notice from {t} as x", "clauses")
 add("P28_context_comment", lambda d, t: f"select clause_idx, {r.context_comment('text', 'parent_section')} as comment from {requirements_sql(d, t)} as x", "clauses")
@@ -139,8 +138,6 @@ add("P35_fenced_json", lambda d, t: f"select clause_idx, {d.extract('body', '(?s
 add("P43_coverage", lambda d, t: f"select group_id, count(distinct standard_name) as standards, case when count(distinct standard_name) >= 3 then 'High Coverage' when count(distinct standard_name) = 2 then 'Medium Coverage' else 'Low Coverage' end as status, least(95, 70 + 5 * count(*)) as similarity from {groups_sql(d, t)} as x group by group_id", "clauses")
 add("P45_badges", lambda d, t: f"select clause_idx, concat_ws(' ', mandate_level, case when safety_flag = 'y' then 'Safety' end, case when manual_flag = 'y' then 'Manual' end, case when clause_type <> 'Requirement' then clause_type end) as badges from {requirements_sql(d, t)} as x", "clauses")
 add("P51_technical", lambda d, t: f"select clause_idx, ({d.like('text', '(?i)°C|temperature')}) as has_temperature, {d.like('text', r'(?i)\d+\s*(mm|cm|kg|V|A)\b')} as has_measurement, {any_of('lower(text)', ['warning', 'danger', 'caution'])} as has_warning from {t} as x", "clauses")
-add("P54_usage_cost", lambda d, t: f"select clause_idx, round(length(text) / 4 / 1e6 * 3.0 + 100 / 1e6 * 15.0, 9) as cost from {t} as x", "clauses")
-add("P55_review_label", lambda d, t: f"select clause_idx, case when p >= 0.85 then 'high' when p >= 0.7 then 'medium' else 'low' end as label from (select clause_idx, (clause_idx % 10) / 10.0 as p from {t} as x) y", "clauses")
 
 # --- segmentation, joins, windows ---------------------------------------------
 add("G01_manual_sections", g.manual_sections_sql, "lines")
@@ -206,11 +203,10 @@ add("A20_common_words", lambda d, t: f"{core_sql(d, t)} select core.group_id, co
 add("A23_review_counts", lambda d, t: f"select cast(sum(case when status = 'accepted' then 1 else 0 end) as bigint) as accepted, cast(sum(case when status = 'rejected' then 1 else 0 end) as bigint) as rejected, cast(sum(case when status is null then 1 else 0 end) as bigint) as pending from {review_sql(d, t)} as x", "clauses")
 
 # --- sorting, filters, set operations ----------------------------------------------
-add("L01_sorted_groups", lambda d, t: f"select group_id, n, cast(row_number() over (order by n desc, group_id) as bigint) as place from (select group_id, count(*) as n from {groups_sql(d, t)} as x group by group_id) y", "clauses")
 add("L02_first_groups", lambda d, t: f"select group_id, n from (select group_id, count(*) as n from {groups_sql(d, t)} as x group by group_id) y order by n desc, group_id limit 20", "clauses")
 add("L05_newest_feedback", lambda d, t: f"select event_id, type from {feedback_sql(d, t)} as x", "events")
 add("L06_most_common", lambda d, t: f"select text, n from (select text, count(*) as n from {t} as x group by text) y order by n desc, text limit 10", "clauses")
-add("L08_cut_texts", lambda d, t: f"select doc_id, substring(text, 1, 8000) as cut from {t} as x", "documents")
+add("L08_cut_texts", lambda d, t: f"select doc_id, substring(text, 1, 100000) as document, substring(text, 1, 8000) as embedded, substring(text, 1, 2000) as summary, substring(text, 1, 200) as prompt from {t} as x", "documents")
 add("F01_search", lambda d, t: f"with hit as (select *, {d.like('coalesce(text, \'nan\')', '(?i)fire|symbol')} or {d.like('coalesce(standard_name, \'nan\')', '(?i)fire|symbol')} as h from {t} as x), n as (select cast(sum(case when h then 1 else 0 end) as bigint) as n from hit) select clause_idx from hit cross join n where h or n = 0", "clauses")
 add("F02_facets", lambda d, t: f"select event_id from {feedback_sql(d, t)} as x where type in ('click', 'view') and page in ('page1', 'page2')", "events")
 add("F03_attribute", lambda d, t: f"select clause_idx from {requirements_sql(d, t)} as x where manual_flag = 'y'", "clauses")
@@ -222,16 +218,11 @@ add("U04_distinct", lambda d, t: f"select distinct group_id, standard_name from
 add("U06_expected", lambda d, t: f"select clause_number from {t} as x intersect select clause_number from (select '1.1' as clause_number union all select '2.4' union all select '99') y", "clauses")
 add("K01_export", lambda d, t: f"select {r.requirement_id(d, 'standard_name', 'clause_number', 'text')} as id, text as description, standard_name, clause_number, {r.row_scope('text')} as scope, {r.row_formatting('text')} as formatting, {r.row_print('text')} as in_print, parent_section, 'N/A' as sub_section, {r.context_comment('text', 'parent_section')} as comments, {r.row_image('text')} as image, {r.row_notice('text')} as notice, clause_type, mandate_level, safety_flag, manual_flag from {requirements_sql(d, t)} as x where removal_reason is null", "clauses")
 add("K06_group_export", lambda d, t: f"select g.group_id, coalesce(max(status), 'pending') as status, coalesce(max(edited), min_by(text, clause_idx)) as core, {d.distinct_list('standard_name', ', ')} as standards, {d.listagg('clause_number', ', ', 'clause_idx')} as clauses from {groups_sql(d, t)} as g left join {review_sql(d, t)} as v on v.group_id = g.group_id where clause_idx % 7 <> 0 group by g.group_id", "clauses")
-add("K07_review_report", lambda d, t: f"select g.group_id, upper(coalesce(max(status), 'pending')) as status, substring(min_by(text, clause_idx), 1, 500) as core from {groups_sql(d, t)} as g left join {review_sql(d, t)} as v on v.group_id = g.group_id group by g.group_id", "clauses")
-add("K10_index_upsert", lambda d, t: f"with old as (select clause_idx as id, text from {t} as x where clause_idx % 2 = 0), new as (select clause_idx as id, 'new' as text from {t} as y where clause_idx % 3 = 0) select id, text from old where not exists (select 1 from new where new.id = old.id) union all select id, text from new", "clauses")
 add("T10_adapter", lambda d, t: f"select group_id, min_by(text, clause_idx) as core, {d.listagg("case when clause_idx <> first_idx then standard_name || ' (' || clause_number || '): ' || text end", '; ', 'clause_idx')} as differences, cast(0.75 as double) as potential from {groups_sql(d, t)} as x group by group_id", "clauses")
 add("T13_topics", lambda d, t: f"select clause_idx, {first_rule([(any_of('lower(text)', w), d.lit(k)) for k, w in coredelta.TOPICS.items()], d.lit('general'))} as topic from {t} as x", "clauses")
 add("T18_prompts", lambda d, t: f"with g as (select * from {groups_sql(d, t)} as x), few as (select group_id from g group by group_id having count(*) between 2 and 100) select g.group_id, 'Consolidate:' || chr(10) || {d.listagg("standard_name || ' ' || clause_number || ': ' || text", chr(10), 'clause_idx')} as prompt from g join few on few.group_id = g.group_id group by g.group_id", "clauses")
-add("X02_progress", lambda d, t: f"select clause_idx, 30 + cast(floor(clause_idx * 50.0 / (max(clause_idx) over () + 1)) as int) as progress from {t} as x", "clauses")
 
 # --- small operators that others build on -------------------------------------------
-add("S01_file_router", lambda d, t: f"select doc_id, case when lower(path) like '%.pdf' then 'pdf' else 'unsupported' end as route from (select doc_id, 'file' || cast(doc_id as string) || case when doc_id % 3 = 0 then '.PDF' when doc_id % 3 = 1 then '.pdf' else '.txt' end as path from {t} as x) y", "documents")
-add("S02_fallback_chain", lambda d, t: f"select doc_id, coalesce(case when length({d.strip('a')}) > 100 then 'first' end, case when length({d.strip('b')}) > 100 then 'second' end, 'recognition') as method from (select doc_id, substring(text, 1, 50 + cast(doc_id % 100 as int)) as a, substring(text, 1, 50 + cast(doc_id % 200 as int)) as b from {t} as x) y", "documents")
 add("S16_results_by_document", lambda d, t: f"select standard_name, count(*) as n, min(clause_idx) as first_clause from (select * from {t} as x union all select * from {t} as y where clause_idx % 2 = 0) z group by standard_name", "clauses")
 add("K02_csv_rows", lambda d, t: f"select text as description, standard_name, clause_number, {r.row_scope('text')} as scope, mandate_level, safety_flag, manual_flag from {requirements_sql(d, t)} as x where removal_reason is null", "clauses")
 add("K11_without_project", lambda d, t: f"select clause_idx from {t} as x where not coalesce(standard_name = 'src5', false)", "clauses")
@@ -239,8 +230,8 @@ add("K14_cluster_debug", lambda d, t: f"select bucket, count(*) as size, min(sub
 add("P44_display_similarity", lambda d, t: f"select group_id, least(95, 70 + 5 * count(*)) as similarity from {groups_sql(d, t)} as x group by group_id", "clauses")
 add("P47_difference_rows", lambda d, t: f"select group_id, {d.listagg("'<tr><td>' || standard_name || '</td><td>' || labels || '</td></tr>'", '', 'standard_name')} as html from (select group_id, standard_name, {d.listagg('clause_number', ', ', 'clause_idx')} as labels from {groups_sql(d, t)} as x group by group_id, standard_name) y group by group_id", "clauses")
 family = lambda c: first_rule([("(" + " or ".join(f"contains({c}, '{k}')" for k in names) + ")", f"'{f}'") for f, names in coredelta.FAMILIES.items()], "null")
-add("P52_standard_family", lambda d, t: f"select clause_idx, {family('name')} as family from (select clause_idx, case clause_idx % 4 when 0 then 'UL 2849' when 1 then 'EN 15194' when 2 then 'MD 2006' else standard_name end as name from {t} as x) y", "clauses")
-add("J02_next_heading", lambda d, t: f"select doc_id, lineno, next_heading from (select *, min(case when h then lineno end) over (partition by doc_id order by lineno rows between 1 following and unbounded following) as next_heading from (select doc_id, lineno, {r.is_heading(d, 't')} as h from {t} as x) y) z where h and next_heading is not null", "lines")
+add("P52_standard_family", lambda d, t: f"select doc_id, lineno, {family('t')} as family from {t} as x", "lines")
+add("J02_next_heading", lambda d, t: f"select doc_id, lineno, next_heading from (select *, min(case when h then lineno end) over (partition by doc_id order by lineno desc rows between unbounded preceding and 1 preceding) as next_heading from (select doc_id, lineno, {r.is_heading(d, 't')} as h from {t} as x) y) z where h and next_heading is not null", "lines")
 add("J06_lookup_by_index", lambda d, t: f"with members as (select clause_idx * 2 as i from {t} as x where clause_idx % 5 = 0) select c.clause_idx, c.standard_name from members m join {t} as c on c.clause_idx = m.i", "clauses")
 add("W01_islands", lambda d, t: f"select doc_id, lineno, sum(case when {r.is_heading(d, 't')} then cast(1 as bigint) else 0 end) over (partition by doc_id order by lineno) as island from {t} as x".replace("sum(", "cast(sum(").replace("lineno) as island", "lineno) as bigint) as island"), "lines")
 add("W03_ordinals", lambda d, t: f"with standards as (select standard_name, cast(row_number() over (order by standard_name) as bigint) as standard_no from (select distinct standard_name from {t} as x where standard_name is not null) y) select clause_idx, standard_no, cast(row_number() over (partition by doc_id order by clause_idx) as bigint) as n from {t} as c left join standards s on s.standard_name = c.standard_name", "clauses")

@@ -126,7 +126,7 @@ def read_documents(spark: SparkSession, path: str, readers: list[Reader], least:
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]|_x(?=[0-9A-F]{4}_)")
+_CONTROL = re.compile("[\x00-\x08\x0b-\x1f]|_x(?=[0-9A-F]{4}_)")
 _ESCAPED = re.compile("_x([0-9A-F]{4})_")
 
 

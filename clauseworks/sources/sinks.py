@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clauseworks.functions import fixed as v
 from clauseworks.functions import text as rules
+from clauseworks.operators.ordering import numbered
+from clauseworks.runtime import materialize
 
 
 def export_columns(df: DataFrame, with_id: bool = True) -> DataFrame:
@@ -84,11 +86,46 @@ def delete(df: DataFrame, key: str, *values: str) -> DataFrame:
     return df.where(~F.coalesce(F.col(key).isin(*values), F.lit(False)))
 
 
+#: Digests of a level of fingerprint() that make one of the next.
+FAN = 1000
+
+
+def row_digest(columns: list[str]) -> str:
+    """SQL for the md5 of columns: `-` for null, else length, colon and value."""
+    one = lambda c: f"coalesce(cast(length(cast({c} as string)) as string) || ':' || cast({c} as string), '-')"
+    return f"md5({' || '.join(map(one, columns))})"
+
+
 def fingerprint(df: DataFrame, order: str) -> DataFrame:
-    """One digest of all rows: of the sorted digests of ranges, so no task holds the whole frame."""
-    rows = df.select(F.col(order).alias("o"), F.md5(F.to_json(F.struct(*df.columns))).alias("h"))
-    parts = rows.groupBy(F.floor(F.col("o") / 100_000).alias("part")).agg(F.md5(F.expr("listagg(h, '') within group (order by o, h)")).alias("h"))
-    return parts.agg(F.md5(F.expr("listagg(h, '') within group (order by part)")).alias("fingerprint"))
+    """One digest of all rows in order, by a tree: FAN digests make one of the next level, so no task holds the frame.
+
+    It changes with any value, with a row more or less and with the order of the column, not with
+    how the rows lie. Columns are taken in the order of their names. A table of one row has that row's
+    digest, an empty one gives no row.
+    """
+    level = numbered(df.select(F.col(order).alias("o"), F.expr(row_digest(sorted(df.columns))).alias("h")), ["o", "h"], "place").select("place", "h")
+    while level.limit(2).count() > 1:
+        groups = level.groupBy(F.floor(F.col("place") / FAN).alias("at")).agg(F.md5(F.expr("listagg(h, '') within group (order by place)")).alias("h"))
+        level = materialize(groups.select(F.col("at").alias("place"), "h"), "digests")
+    return level.select(F.col("h").alias("fingerprint"))
+
+
+def html_document(blocks: DataFrame, order: list[str], title: str, totals: DataFrame, summary: list[tuple[str, str]]) -> DataFrame:
+    """K5, K7: (place, html): the lines of a whole report: its head with the totals, a block for each row (order, html), its foot.
+
+    totals is one row; summary names its columns and what they are called. Blocks are numbered from 1 by a
+    sort of ranges, so a report of any length is written in parts whose names sort.
+    """
+    shown = F.concat(*(F.concat(F.lit(f"<div class=\"stat\">{name}: "), F.col(c).cast("string"), F.lit("</div>")) for c, name in summary))
+    head = F.concat(F.lit(f"<!DOCTYPE html><html lang=\"en\"><head><meta charset=\"UTF-8\"><title>{title}</title></head><body><h1>{title}</h1><div class=\"summary\">"), shown, F.lit("</div>"))
+    body = numbered(blocks, order, "n").select((F.col("n") + 1).alias("place"), "html")
+    foot = totals.select((F.col("n_groups") + 1).cast("long").alias("place"), F.lit("</body></html>").alias("html"))
+    return totals.select(F.lit(0).cast("long").alias("place"), head.alias("html")).unionByName(body).unionByName(foot)
+
+
+def write_document(report: DataFrame, path: str) -> None:
+    """Write html_document() as text files that make the report one after the other."""
+    report.orderBy("place").select("html").write.mode("overwrite").text(path)
 
 
 def tagged_rows(clauses: DataFrame) -> DataFrame:
