@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,32 +44,42 @@ def sorted_words(text: str) -> str:
     return " ".join(sorted("".join(c if c.isalnum() else " " for c in text.lower()).split()))
 
 
-def common_letters(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by rows of bits of the longer text."""
-    a, b = (a, b) if len(a) >= len(b) else (b, a)
+@lru_cache(maxsize=4096)
+def letter_rows(text: str) -> dict[str, int]:
+    """For each letter, the bits of its positions."""
     places: dict[str, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(text):
         places[c] = places.get(c, 0) | 1 << i
+    return places
+
+
+def common_letters(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence, by rows of bits of a; 0 where it is found to be below `least` on the way."""
+    places = letter_rows(a)
     full = (1 << len(a)) - 1
     row = full
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
+    for at in range(0, len(b), 64):
+        for c in b[at : at + 64]:
+            if hit := row & places.get(c, 0):
+                row = ((row + hit) | (row - hit)) & full
+        if len(a) - row.bit_count() + len(b) - at - 64 < least:
+            return 0
     return len(a) - row.bit_count()
 
 
 def hybrid_similarity(a: dict, b: dict, least: float = 0.0) -> float:
     """Agreement of sorted words, a tenth each for family, technical properties and warnings, at most 1.
 
-    0 without comparing the words where their lengths alone keep it below `least`.
+    Less than `least`, but not by how much, where it is found to be below that before all is compared.
     """
     x, y = sorted_words(a["text"]), sorted_words(b["text"])
     extra = 0.1 * any(any(k in a["standard"] for k in names) and any(k in b["standard"] for k in names) for names in FAMILIES.values())
     extra += 0.1 * ((a["temperature"], a["measurement"]) == (b["temperature"], b["measurement"]))
     extra += 0.1 * (a["warning"] == b["warning"])
-    if 2 * min(len(x), len(y)) < (least - extra - 1e-9) * (len(x) + len(y)):
+    need = (least - extra - 1e-9) * (len(x) + len(y)) / 2
+    if min(len(x), len(y)) < need:
         return 0.0
-    score = 2 * common_letters(x, y) / (len(x) + len(y)) if x or y else 1.0
+    score = 2 * common_letters(x, y, math.floor(need)) / (len(x) + len(y)) if x or y else 1.0
     return min(score + extra, 1.0)
 
 

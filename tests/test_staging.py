@@ -66,8 +66,9 @@ def test_staged_clusters_equal_the_walk(spark, seed, n, degree):
     assert got == walk(edges, nodes, 50)
 
 
-@pytest.mark.parametrize("per_round", [16_384, 37])
-def test_first_fit_equals_seeds_in_turn(spark, monkeypatch, per_round):
+@pytest.mark.parametrize(("per_round", "offers"), [(1024, 6), (37, 6), (64, 1)])
+def test_first_fit_equals_seeds_in_turn(spark, monkeypatch, per_round, offers):
+    monkeypatch.setattr(staging, "OFFERS", offers)
     monkeypatch.setattr(staging, "ROWS_PER_ROUND", per_round)
     rng = random.Random(7)
     rows = [("a" if i % 3 else "b", i, rng.randrange(40), "x") for i in rng.sample(range(10**6), 400)] + [("c", 5_000_000, 1, "x")]
