@@ -62,7 +62,7 @@ def common_letters(a: str, b: str, least: int = 0) -> int:
         for c in b[at : at + 64]:
             if hit := row & places.get(c, 0):
                 row = ((row + hit) | (row - hit)) & full
-        if len(a) - row.bit_count() + len(b) - at - 64 < least:
+        if len(a) - row.bit_count() + max(0, len(b) - at - 64) < least:
             return 0
     return len(a) - row.bit_count()
 

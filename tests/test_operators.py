@@ -103,13 +103,9 @@ def test_common_letters(a, b):
 
 def test_staged_clusters(spark):
     edges = [(0, 1, 0.6), (1, 2, 0.52), (2, 3, 0.46), (3, 4, 0.40), (5, 6, 0.9), (4, 5, 0.41)]
-    keep, s.STAGED_SIZE = s.STAGED_SIZE, 3
-    try:
-        e = spark.createDataFrame([(0, *x) for x in edges], "component long, a long, b long, sim double")
-        n = spark.createDataFrame([(0, i) for i in range(7)], "component long, node long")
-        got = {r.node: r.cluster for r in s.staged_clusters(e, n).collect()}
-    finally:
-        s.STAGED_SIZE = keep
+    e = spark.createDataFrame([(0, *x) for x in edges], "component long, a long, b long, sim double")
+    n = spark.createDataFrame([(0, i) for i in range(7)], "component long, node long")
+    got = {r.node: r.cluster for r in s.staged_clusters(e, n, 3).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 5, 6: 5}
 
 
