@@ -624,7 +624,7 @@ def test_lm_of_awkward_input(spark, docs, awkward, none):
 @pytest.fixture(scope="module")
 def duck(sf):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         db.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     return db
 
