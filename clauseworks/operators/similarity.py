@@ -68,16 +68,17 @@ def edges_sql(weights: str, threshold: float) -> str:
     return f"select bucket, a, b, sim from (select x.bucket, x.idx as a, y.idx as b, round(sum(x.weight * y.weight), 9) as sim from {weights} x join {weights} y on y.bucket = x.bucket and y.term = x.term and x.idx < y.idx group by x.bucket, x.idx, y.idx) where sim >= {threshold}"
 
 
-#: Clauses of a block; two blocks of a bucket meet in one task.
-PAIR_BLOCK = 2048
+#: Clauses of a block; two blocks of a bucket meet in one task. Similarities are rounded to nine places, half of the last up.
+PAIR_BLOCK, HALF = 2048, 5e-10
 
 
-def bucket_pairs(weights: DataFrame, reduce: Callable[[str, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """reduce(bucket, ids, cosines rounded to nine places, pairs) for all pairs of clauses of a bucket, block by block.
+def bucket_pairs(weights: DataFrame, reduce: Callable[[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """reduce(bucket, ids, other ids, cosines, pairs) for all pairs of clauses of a bucket, block by block.
 
     A bucket has at most MOST_TERMS terms, so a block's vectors are a small matrix, and the cosines of
     two blocks one product of them; a join on terms would meet each pair once for each common term.
-    pairs marks the pairs (row < column) of the cosines that belong to this block, each pair once.
+    Cosines have a row for each of the ids and a column for each of the others, which are the same for a
+    block by itself; pairs marks those that count, each pair once. Similarities go by nine places.
     What reduce returns should be short: an edge list, a spanning forest or counts.
     """
     vectors = weights.groupBy("bucket", "idx").agg(F.collect_list("place").alias("places"), F.collect_list("weight").alias("weights"))
@@ -91,11 +92,12 @@ def bucket_pairs(weights: DataFrame, reduce: Callable[[str, np.ndarray, np.ndarr
         m = np.zeros((len(rows), MOST_TERMS))
         at = np.repeat(np.arange(len(rows)), rows["places"].map(len))
         m[at, np.concatenate(rows["places"].tolist()) - 1] = np.concatenate(rows["weights"].tolist())
-        pairs = np.triu(np.ones((len(rows), len(rows)), bool), 1)
-        if key[1] != key[2]:
-            own = rows["own"].to_numpy()
-            pairs &= own[:, None] != own
-        return reduce(key[0], rows["idx"].to_numpy(), np.round(m @ m.T, 9), pairs)
+        ids = rows["idx"].to_numpy()
+        if key[1] == key[2]:
+            return reduce(key[0], ids, ids, m @ m.T, np.triu(np.ones((len(ids), len(ids)), bool), 1))
+        own = rows["own"].to_numpy() == key[1]
+        sim = m[own] @ m[~own].T
+        return reduce(key[0], ids[own], ids[~own], sim, np.ones(sim.shape, bool))
 
     return dealt.groupBy("bucket", "bi", "bj").applyInPandas(run, schema)
 
@@ -103,9 +105,9 @@ def bucket_pairs(weights: DataFrame, reduce: Callable[[str, np.ndarray, np.ndarr
 def similarity_edges(weights: DataFrame, threshold: float) -> DataFrame:
     """The pairs of edges_sql."""
 
-    def edges(bucket: str, ids: np.ndarray, sim: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero(pairs & (sim >= threshold))
-        return pd.DataFrame({"bucket": bucket, "a": ids[i], "b": ids[j], "sim": sim[i, j]})
+    def edges(bucket: str, ids: np.ndarray, others: np.ndarray, sim: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(pairs & (sim >= threshold - HALF))
+        return pd.DataFrame({"bucket": bucket, "a": np.minimum(ids[i], others[j]), "b": np.maximum(ids[i], others[j]), "sim": np.round(sim[i, j], 9)})
 
     return bucket_pairs(weights, edges, "bucket string, a long, b long, sim double")
 
@@ -116,19 +118,24 @@ def linking_edges(weights: DataFrame, sizes: DataFrame, threshold: float) -> Dat
     wide = weights.join(sizes.select("bucket", (F.col("bucket_size") > LARGE_BUCKET).cast("int").alias("wide")), "bucket")
     marked = wide.withColumn("bucket", F.concat_ws("#", F.col("wide").cast("string"), "bucket"))
 
-    def forest(bucket: str, ids: np.ndarray, sim: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
-        linked = pairs & (sim >= least[int(bucket[0])])
-        linked |= linked.T
-        free, edges = np.ones(len(ids), bool), []
+    def forest(bucket: str, ids: np.ndarray, others: np.ndarray, sim: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
+        linked = pairs & (sim >= least[int(bucket[0])] - HALF)
+        if ids is others:
+            linked |= linked.T
+        sides = (linked, linked if ids is others else np.ascontiguousarray(linked.T))
+        names = (ids, others)
+        mine = np.ones(len(ids), bool)
+        free = (mine, mine if ids is others else np.ones(len(others), bool))
+        edges = []
         for root in range(len(ids)):
-            queue = [root] if free[root] else []
-            free[root] = False
+            queue = [(0, root)] if mine[root] else []
+            mine[root] = False
             while queue:
-                u = queue.pop()
-                found = np.flatnonzero(linked[u] & free)
-                free[found] = False
-                edges += [(ids[u], ids[v]) for v in found]
-                queue += found.tolist()
+                side, u = queue.pop()
+                found = np.flatnonzero(sides[side][u] & free[1 - side])
+                free[1 - side][found] = False
+                edges += [(names[side][u], names[1 - side][v]) for v in found]
+                queue += [(1 - side, v) for v in found.tolist()]
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return bucket_pairs(marked, forest, "a long, b long")
@@ -141,8 +148,8 @@ def similarity_counts(clauses: DataFrame, weights: DataFrame, places: int = 6) -
     10 ** places + 1 rows, however many pairs it has.
     """
 
-    def count(bucket: str, ids: np.ndarray, sim: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
-        value, n = np.unique(np.round(sim[pairs] + 1e-10, places), return_counts=True)  # ties of nine places go up
+    def count(bucket: str, ids: np.ndarray, others: np.ndarray, sim: np.ndarray, pairs: np.ndarray) -> pd.DataFrame:
+        value, n = np.unique(np.round(np.round(sim[pairs], 9) + 1e-10, places), return_counts=True)  # ties of nine places go up
         return pd.DataFrame({"bucket": bucket, "sim": value, "n": n})
 
     counted = bucket_pairs(weights, count, "bucket string, sim double, n long")
