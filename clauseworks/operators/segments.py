@@ -14,6 +14,8 @@ from clauseworks.runtime import materialize
 
 PAGE_LINES, LEAST_SECTIONS = 50, 5
 LEAST_CHARS, MOST_CHARS = 200, 5000
+#: Lines of a block, by which lines and the ranges that hold them are joined.
+BLOCK_LINES = 256
 
 
 def split_lines_sql(d: Spark, documents: str, text: str = "text") -> str:
@@ -59,28 +61,77 @@ def manual_sections_sql(d: Spark, lines: str, extra: tuple[str, ...] = ()) -> st
     Sections may overlap. Both clause numbers must be there for a section to end before the last line.
     """
     s = d.strip("t")
-    names = " or ".join([any_like(d, f"lower({s})", v.MANUAL_SECTION_PATTERNS, "(?i)"), *(f"contains(lower({s}), {d.lit(x.lower())})" for x in extra)])
+    names = " or ".join([any_like(d, "lower(s)", v.MANUAL_SECTION_PATTERNS, "(?i)"), *(f"contains(lower(s), {d.lit(x.lower())})" for x in extra)])
+    begins = f"h and ({names}) and not {d.like('s', v.TOC_LINE)}"
     top = lambda c: d.split_part(c, ".", 1)
-    starts_with = "starts_with" if d.name == "duckdb" else "startswith"
+    if d.name == "duckdb":
+        ended = f"""ended as (
+  select b.doc_id, b.lineno, min(n.lineno) - 1 as stop from begun b join l n on n.doc_id = b.doc_id and n.lineno > b.lineno
+  where n.h and not n.noise and n.c <> '' and b.c <> '' and {top('b.c')} <> {top('n.c')} and not starts_with(n.c, b.c) group by b.doc_id, b.lineno
+)"""
+    else:
+        later = "over (partition by doc_id, k order by lineno desc rows between unbounded preceding and 1 preceding)"
+        ended = f"""widths as (
+  select distinct doc_id, {_key_width('c')} as k from begun where c <> ''
+), marks as (
+  select l.doc_id, l.lineno, k, not noise as ends, begins and {_key_width('c')} = k as begins, if(k = 0, {top('c')}, left({top('c')}, k)) as key
+  from (select *, {begins} as begins from l where h and c <> '') l join widths w on w.doc_id = l.doc_id where not noise or begins
+), nexts as (
+  select *, min(if(ends, lineno, null)) {later} as next_line, last(if(ends, key, null)) ignore nulls {later} as next_key from marks
+), ended as (
+  select doc_id, lineno, stop - 1 as stop
+  from (select *, if(next_key <> key, next_line, last(if(ends and next_key <> key, next_line, null)) ignore nulls {later}) as stop from nexts) where begins and stop is not null
+)"""
     return f"""
 with l as (
   select doc_id, lineno, {s} as s, {r.is_heading(d, 't')} as h, {r.is_noise(d, 't')} as noise, {r.clause_number(d, 't')} as c,
          max(lineno) over (partition by doc_id) as final from {lines} as x
 ), begun as (
-  select * from (select doc_id, lineno, s, c, final, h, {d.like('s', v.TOC_LINE)} as toc, ({names.replace(s, 's')}) as manual from l) where h and manual and not toc
-), ended as (
-  select b.doc_id, b.lineno, min(n.lineno) - 1 as stop from begun b join l n on n.doc_id = b.doc_id and n.lineno > b.lineno
-  where n.h and not n.noise and n.c <> '' and b.c <> '' and {top('b.c')} <> {top('n.c')} and not {starts_with}(n.c, b.c) group by b.doc_id, b.lineno
-), ranges as (
+  select * from l where {begins}
+), {ended}, ranges as (
   select b.doc_id, b.lineno as start_line, coalesce(stop, final) as end_line, b.s as heading, b.c as clause_number
   from begun b left join ended e on e.doc_id = b.doc_id and e.lineno = b.lineno
 )
 select g.doc_id, start_line, end_line, heading, clause_number, {d.listagg('l.s', chr(10), 'l.lineno')} as content
-from ranges g join l on l.doc_id = g.doc_id and l.lineno between g.start_line and g.end_line and (not l.noise or l.lineno = g.start_line)
+from {within_sql(d, 'ranges', 'l')} and (not l.noise or l.lineno = g.start_line)
 group by g.doc_id, start_line, end_line, heading, clause_number
 """
 
 
+def _key_width(c: str) -> str:
+    """0 for a clause number with a point, else its length.
+
+    What ends a section differs from it in the part before the first point, or, where the section's number is
+    only that part, in as many leading characters as the number has (1 doesn't end at 10).
+    """
+    return f"if(contains({c}, '.'), 0, length({c}))"
+
+
+def within_sql(d: Spark, ranges: str, lines: str) -> str:
+    """A join of ranges (as g: doc_id, start_line, end_line) with the lines (as l) they hold; more conditions may follow.
+
+    Spark joins by blocks of lines, so a line meets only ranges that reach its block and a long document is dealt out.
+    """
+    if d.name == "duckdb":
+        return f"{ranges} g join {lines} l on l.doc_id = g.doc_id and l.lineno between g.start_line and g.end_line"
+    blocks = f"(select *, explode(sequence(start_line div {BLOCK_LINES}, end_line div {BLOCK_LINES})) as block from {ranges})"
+    return f"{blocks} g join {lines} l on l.doc_id = g.doc_id and l.lineno div {BLOCK_LINES} = g.block and l.lineno between g.start_line and g.end_line"
+
+
+def open_lines_sql(d: Spark, lines: str, sections: str) -> str:
+    """Lines that no section (doc_id, start_line, end_line) holds.
+
+    Spark takes the farthest end of the sections begun so far; each section begins at one of the lines.
+    """
+    if d.name == "duckdb":
+        return f"select l.* from {lines} as l where not exists (select 1 from {sections} g where g.doc_id = l.doc_id and l.lineno between g.start_line and g.end_line)"
+    return f"""
+select * except (reach) from (
+  select l.*, max(g.reach) over (partition by l.doc_id order by l.lineno) as reach
+  from {lines} as l left join (select doc_id, start_line, max(end_line) as reach from {sections} as g group by doc_id, start_line) g on g.doc_id = l.doc_id and g.start_line = l.lineno
+) where reach is null or reach < lineno"""
+
+
 def clause_hits_sql(d: Spark, lines: str, sections: str = "") -> str:
     """Lines outside manual sections that hold a phrase about manuals, with two lines around them."""
     s = d.strip("t")
@@ -92,7 +143,7 @@ def clause_hits_sql(d: Spark, lines: str, sections: str = "") -> str:
 with sections as ({f"select * from {sections}" if sections else manual_sections_sql(d, lines)}), l as (
   select doc_id, lineno, t, {s} as s, {low} as low, {context} as context from {lines} as x
 ), open_lines as (
-  select l.* from l where not exists (select 1 from sections g where g.doc_id = l.doc_id and l.lineno between g.start_line and g.end_line)
+  {open_lines_sql(d, 'l', 'sections')}
 )
 select doc_id, lineno as line_number, s as text, matched, {r.clause_number(d, 's')} as clause_number, context
 from (select *, concat_ws(',', {hits}) as matched from open_lines)
@@ -201,18 +252,23 @@ from ({segment_lines_sql(d, lines, kind)}) c group by doc_id, chunk
 
 
 def bounded_segments(lines: DataFrame, kind: str = "manual", most: int = 8000) -> DataFrame:
-    """G11 with its limit: a chunk is closed once its quarter-lengths add up to more than `most`; parts keep the clause."""
+    """G11 with its limit: a chunk is closed once its quarter-lengths add up to more than `most`; parts keep the clause.
+
+    The fold notes only the lines that close a part, so its work is linear in the lines of a chunk.
+    """
+    ordered = "partition by c.doc_id, c.chunk order by c.lineno"
     return run(
         f"""
-with c as ({segment_lines_sql(SPARK, '<lines>', kind)}), folded as (
-  select doc_id, chunk, case when max(b) = 1 then min_by(found, lineno) else 'N/A' end as clause_number,
-         aggregate(array_sort(collect_list(struct(lineno, length(t) div 4 as n))), named_struct('part', 0, 'sum', 0L, 'out', cast(array() as array<struct<lineno: int, part: int>>)),
-           (a, x) -> named_struct('part', case when a.sum + x.n > {most} then a.part + 1 else a.part end, 'sum', case when a.sum + x.n > {most} then 0L else a.sum + x.n end,
-                                  'out', array_append(a.out, named_struct('lineno', cast(x.lineno as int), 'part', a.part)))).out as out
+with c as ({segment_lines_sql(SPARK, '<lines>', kind)}), closed as (
+  select doc_id, explode(aggregate(array_sort(collect_list(struct(lineno, length(t) div 4 as n))), named_struct('sum', 0L, 'out', cast(array() as array<bigint>)),
+    (a, x) -> if(a.sum + x.n > {most}, named_struct('sum', 0L, 'out', array_append(a.out, cast(x.lineno as bigint))), named_struct('sum', a.sum + x.n, 'out', a.out))).out) as lineno
   from c group by doc_id, chunk
-), parts as (select doc_id, chunk, clause_number, inline(out) from folded)
-select p.doc_id, p.chunk, part, p.clause_number, min(p.lineno) as start_line, max(p.lineno) as end_line, {SPARK.listagg('t', chr(10), 'p.lineno')} as content
-from parts p join c on c.doc_id = p.doc_id and c.lineno = p.lineno group by p.doc_id, p.chunk, part, p.clause_number
+), parts as (
+  select c.doc_id, c.chunk, c.lineno, t, cast(count(p.lineno) over ({ordered} rows between unbounded preceding and 1 preceding) as int) as part, first(if(b = 1, found, 'N/A')) over ({ordered}) as clause_number
+  from c left join closed p on p.doc_id = c.doc_id and p.lineno = c.lineno
+)
+select doc_id, chunk, part, clause_number, min(lineno) as start_line, max(lineno) as end_line, {SPARK.listagg('t', chr(10), 'lineno')} as content
+from parts group by doc_id, chunk, part, clause_number
 """,
         lines=lines,
     )
@@ -221,19 +277,24 @@ from parts p join c on c.doc_id = p.doc_id and c.lineno = p.lineno group by p.do
 def merge_batches_sql(d: Spark, sections: str) -> str:
     """Batch of each section (doc_id, ord, n): small ones join until LEAST_CHARS, never beyond MOST_CHARS.
 
-    Spark folds the ordered sections of one document; the check walks them by a recursive query.
+    A section of LEAST_CHARS closes its batch whatever came before, so Spark folds the runs between such sections
+    one by one, noting only what begins a batch; the check walks all sections by a recursive query.
     """
     if d.name == "spark":
-        step = (
-            f"case when a.size + x.n > {MOST_CHARS} and a.started then named_struct('batch', a.batch + 1, 'size', x.n) else named_struct('batch', a.batch, 'size', a.size + x.n) end"
-        )
+        begins = f"not a.started or a.size + x.n > {MOST_CHARS}"
         return f"""
-select doc_id, inline(out) from (
-  select doc_id, aggregate(array_sort(collect_list(struct(ord, n))), named_struct('batch', 0, 'size', 0L, 'started', false, 'out', cast(array() as array<struct<ord: int, batch: int>>)),
-    (a, x) -> transform(array({step}), b -> named_struct(
-      'batch', case when b.size >= {LEAST_CHARS} then b.batch + 1 else b.batch end, 'size', case when b.size >= {LEAST_CHARS} then 0L else b.size end,
-      'started', b.size < {LEAST_CHARS}, 'out', array_append(a.out, named_struct('ord', x.ord, 'batch', b.batch))))[0]).out as out
-  from (select doc_id, cast(ord as int) as ord, cast(n as bigint) as n from {sections} as x) group by doc_id)
+with x as (
+  select doc_id, cast(ord as int) as ord, cast(n as bigint) as n from {sections} as x
+), runs as (
+  select *, coalesce(sum(if(n >= {LEAST_CHARS}, 1, 0)) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding), 0) as run from x
+), begun as (
+  select doc_id, explode(aggregate(array_sort(collect_list(struct(ord, n))), named_struct('size', 0L, 'started', false, 'out', cast(array() as array<int>)),
+    (a, x) -> if({begins}, named_struct('size', x.n, 'started', x.n < {LEAST_CHARS}, 'out', array_append(a.out, x.ord)),
+                 named_struct('size', a.size + x.n, 'started', a.size + x.n < {LEAST_CHARS}, 'out', a.out))).out) as ord
+  from runs group by doc_id, run
+)
+select x.doc_id, x.ord, cast(count(b.ord) over (partition by x.doc_id order by x.ord) - 1 as int) as batch
+from x left join begun b on b.doc_id = x.doc_id and b.ord = x.ord
 """
     return f"""
 with recursive s as (select doc_id, cast(ord as int) as ord, n from {sections} as x), w(doc_id, ord, batch, next_batch, size, started) as (

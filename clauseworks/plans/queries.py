@@ -165,8 +165,8 @@ add("G11_segments_all", lambda d, t: g.segments_sql(d, t, "all"), "lines")
 add("G12_windows", lambda d, t: f"select doc_id, k as chunk, substring(text, k * 2600 + 1, 3000) as chunk_text from {d.series('1 + greatest(0, cast(ceil((length(text) - 3000) / 2600.0) as int))', 'doc_id, text', t)} as x", "documents")
 add("G14_batches", lambda d, t: f"select clause_idx, cast(floor((row_number() over (partition by doc_id order by clause_idx) - 1) / 30) as int) as batch from {t} as x", "clauses")
 add("G15_merged_rows", lambda d, t: f"select doc_id, {d.listagg("'[' || cast(clause_idx as string) || '] ' || text", ' ', 'clause_idx')} as text, {d.listagg('clause_number', ', ', 'clause_idx')} as clauses, max(text) || ' (merged)' as comment from {t} as x where {any_of('lower(text)', ['shall', 'should'])} group by doc_id", "clauses")
-add("J01_uncovered_lines", lambda d, t: f"with s as ({g.manual_sections_sql(d, t)}) select doc_id, lineno from {t} as l where not exists (select 1 from s where s.doc_id = l.doc_id and l.lineno between s.start_line and s.end_line)", "lines")
-add("J03_lines_in_sections", lambda d, t: f"with s as ({g.manual_sections_sql(d, t)}) select l.doc_id, l.lineno, s.start_line from {t} as l join s on s.doc_id = l.doc_id and l.lineno between s.start_line and s.end_line", "lines")
+add("J01_uncovered_lines", lambda d, t: f"with s as ({g.manual_sections_sql(d, t)}) select doc_id, lineno from ({g.open_lines_sql(d, t, 's')}) l", "lines")
+add("J03_lines_in_sections", lambda d, t: f"with s as ({g.manual_sections_sql(d, t)}) select l.doc_id, l.lineno, g.start_line from {g.within_sql(d, 's', t)}", "lines")
 add("J04_cache_lookup", lambda d, t: f"with keys as (select clause_idx, md5('all:' || text) as key from {t} as x), cache as (select distinct key from keys where clause_idx % 2 = 0) select k.clause_idx, c.key is not null as hit from keys k left join cache c on c.key = k.key", "clauses")
 add("J05_members", lambda d, t: f"select g.group_id, c.clause_idx, c.text from {groups_sql(d, t)} as g join {t} as c on c.clause_idx = g.clause_idx", "clauses")
 add("J10_review_join", lambda d, t: f"select g.group_id, g.clause_idx, coalesce(edited, text) as text from {groups_sql(d, t)} as g left join {review_sql(d, t)} as v on v.group_id = g.group_id where g.clause_idx % 7 <> 0", "clauses")

@@ -4,12 +4,14 @@ import math
 import random
 from difflib import SequenceMatcher
 
+import duckdb
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from clauseworks.functions import python as p
+from clauseworks.functions.dialect import DUCK, SPARK, run
 from clauseworks.operators import coredelta, graph, segments
 from clauseworks.operators import similarity as s
 from clauseworks.operators.graph import connected_components
@@ -133,6 +135,51 @@ def test_merge_batches(spark):
     assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 2, 6: 3, 7: 4}
 
 
+def test_manual_sections_and_open_lines_of_random_headings(spark):
+    """Sections end where a join of each heading with all later lines says, whatever the numbers begin with."""
+    rng = random.Random(5)
+    heads = ["1 Instructions for use", "1.2 INSTRUCTIONS FOR USE", "12 User information", "A.1 Instructions for use", "10 OTHER", "1.3 OTHER", "2 OTHER", "120 OTHER", "12.4 OTHER", "A.2 OTHER", "INSTRUCTIONS FOR USE", "EN 60335: INSTRUCTIONS FOR USE", "1.2 INSTRUCTIONS FOR USE ..... 4"]
+    rows = [(doc, n + 1, rng.choice(heads if doc % 4 == 0 else heads[:10]) if rng.random() < 0.4 else rng.choice(["", "text", "7"])) for doc in range(12) for n in range(rng.choice([30, 700]))]
+    lines = spark.createDataFrame(rows, "doc_id long, lineno int, t string")
+    held = lines.toPandas()  # noqa: F841
+    for sql in (segments.manual_sections_sql, lambda d, t: f"with s as ({segments.manual_sections_sql(d, t)}) select doc_id, lineno from ({segments.open_lines_sql(d, t, 's')}) l"):
+        want = duckdb.connect().execute(sql(DUCK, "held")).fetchall()
+        assert sorted(map(tuple, run(sql(SPARK, "<lines>"), lines=lines).collect())) == sorted(want)
+        assert len(want) > 50
+
+
+def batches_brute(sizes):
+    out, batch, size, started = [], 0, 0, False
+    for n in sizes:
+        if started and size + n > segments.MOST_CHARS:
+            batch, size = batch + 1, 0
+        size, started = size + n, True
+        out.append(batch)
+        if size >= segments.LEAST_CHARS:
+            batch, size, started = batch + 1, 0, False
+    return out
+
+
+def test_merge_batches_of_random_and_many_sections(spark):
+    rng = random.Random(6)
+    sections = {doc: [rng.choice([0, 1, 40, 150, 199, 200, 4900, 5001]) for _ in range(rng.randrange(1, 60))] for doc in range(40)}
+    sections[99] = [rng.randrange(0, 200) for _ in range(30_000)]
+    rows = [(doc, i + 1, n) for doc, sizes in sections.items() for i, n in enumerate(sizes)]
+    got = segments.merge_batches(spark.createDataFrame(rows, "doc_id long, ord int, n int")).collect()
+    assert {(r.doc_id, r.ord): r.batch for r in got} == {(doc, i + 1): b for doc, sizes in sections.items() for i, b in enumerate(batches_brute(sizes))}
+
+
+def test_segments_of_a_long_text_close_above_the_limit(spark):
+    rng = random.Random(7)
+    texts = ["x" * rng.choice([0, 3, 40, 90]) for _ in range(30_000)]
+    got = segments.bounded_segments(spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(texts)], "doc_id long, lineno int, t string"), "all", 20).collect()
+    part, size, want = 0, 0, {}
+    for t in texts:
+        want.setdefault(part, []).append(t)
+        part, size = (part + 1, 0) if size + len(t) // 4 > 20 else (part, size + len(t) // 4)
+    assert {r.part: r.content for r in got} == {k: "\n".join(x) for k, x in want.items()}
+
+
 def test_segments_need_a_remainder(spark):
     rows = [(1, 1, "7.1 First line of text here"), (1, 2, "a) Longer text follows here"), (1, 3, "b) short"), (1, 4, "c) lower case text follows")]
     got = sorted((r.chunk, r.clause_number, r.start_line, r.end_line) for r in segments.segments(spark.createDataFrame(rows, "doc_id long, lineno int, t string"), "manual").collect())
