@@ -161,13 +161,29 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+#: What a write job leaves: a folder of archives, and in it the names of those that count.
+BATCH, MANIFEST = re.compile("batch-[0-9a-f]{32}"), "_manifest"
+
+
 def _paths(root: str) -> list[str]:
+    """The archives under root. In a folder of a write job only those that its manifest names count, none without one."""
     store, base = _store(root)
     info = store.get_file_info(base)
     if info.type == fs.FileType.File:
         return [base]
-    found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
-    return sorted(x.path for x in found if x.type == fs.FileType.File and x.path.endswith((".warc", ".warc.gz")) and "/_" not in x.path.removeprefix(base))
+    files = [x.path for x in store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)) if x.type == fs.FileType.File]
+    written = {}
+    for path in files:
+        folder, _, name = path.rpartition("/")
+        if name == MANIFEST:
+            with store.open_input_stream(path) as f:
+                written[folder] = set(f.read().decode().split())
+
+    def counts(path: str) -> bool:
+        folder, _, name = path.rpartition("/")
+        return not BATCH.fullmatch(folder.rpartition("/")[2]) or name in written.get(folder, ())
+
+    return sorted(x for x in files if x.endswith((".warc", ".warc.gz")) and "/_" not in x.removeprefix(base) and counts(x))
 
 
 @dataclass
@@ -229,11 +245,17 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes under a name of its own in _pending; only a commit moves the files to their place."""
+    """Tasks write under names of their own to a folder of the job; what they wrote counts once its manifest is there.
 
-    def __init__(self, options: dict[str, str]):
+    So a commit moves no archives, jobs that write to one place don't meet, and what lost attempts left is never read.
+    An overwriting job takes away the archives that were there when it commits, after its own count.
+    """
+
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
         self.root = options["path"]
         self.archive_bytes = int(options.get("archiveBytes", ARCHIVE_BYTES))
+        self.overwrite = overwrite
+        self.batch = f"batch-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, base = _store(self.root)
@@ -243,9 +265,9 @@ class WarcWriter(DataSourceArrowWriter):
                 columns = {n: b.column(i) for i, n in enumerate(b.schema.names)}
                 for i in range(b.num_rows):
                     if out is None:
-                        store.create_dir(f"{base}/_pending", recursive=True)
+                        store.create_dir(f"{base}/{self.batch}", recursive=True)
                         files.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                        out = store.open_output_stream(f"{base}/_pending/{files[-1]}", compression=None)
+                        out = store.open_output_stream(f"{base}/{self.batch}/{files[-1]}", compression=None)
                     x = {n: c[i].as_py() for n, c in columns.items()}
                     payload = x.get("payload") or b""
                     payload = payload.encode("utf-8", "replace") if isinstance(payload, str) else payload
@@ -261,22 +283,27 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, base = _store(self.root)
         store.create_dir(base, recursive=True)
-        for m in messages:
-            for name in m.files if m else []:
-                store.move(f"{base}/_pending/{name}", f"{base}/{name}")
-        if store.get_file_info(f"{base}/_pending").type == fs.FileType.Directory:
-            store.delete_dir(f"{base}/_pending")
+        before = _paths(self.root) if self.overwrite else []
+        names = sorted(name for m in messages if m for name in m.files)
+        folder = f"{base}/{self.batch}"
+        if names:
+            with store.open_output_stream(f"{folder}/{MANIFEST}.part", compression=None) as out:
+                out.write("\n".join(names).encode())
+            store.move(f"{folder}/{MANIFEST}.part", f"{folder}/{MANIFEST}")
+        for path in before:
+            store.delete_file(path)
+        for old in {p.rpartition("/")[0] for p in before}:
+            if BATCH.fullmatch(old.rpartition("/")[2]):
+                store.delete_dir(old)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, base = _store(self.root)
-        for m in messages:
-            for name in m.files if m else []:
-                if store.get_file_info(f"{base}/_pending/{name}").type == fs.FileType.File:
-                    store.delete_file(f"{base}/_pending/{name}")
+        if store.get_file_info(f"{base}/{self.batch}").type == fs.FileType.Directory:
+            store.delete_dir(f"{base}/{self.batch}")
 
 
 class Warc(DataSource):
-    """format("warc"): reads a .warc or .warc.gz file or a folder of them; writes folders of .warc.gz.
+    """format("warc"): reads a .warc or .warc.gz file or a folder of them; appends folders of .warc.gz, or overwrites.
 
     Reading options: path; payload (false: no payload is decoded at all). Writing options: path,
     archiveBytes. A file that isn't there or a folder without archives reads as no rows.
@@ -293,7 +320,7 @@ class Warc(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
