@@ -10,6 +10,8 @@ A chunk asks for the corpus counts of its distinct words and word pairs: sorted
 one slice for each bucket of the hash space that it has entries in. A bucket adds up what all chunks
 sent and answers each in its own order. So a word's occurrences never meet in one task; the number
 of buckets follows the number of distinct entries, and no count table is collected or broadcast.
+Every chunk asks for a common word, so chunks are dealt to sets of bounded size: a set's slices of a
+bucket are added up first, the bucket answers the sets, and each set answers its chunks.
 Slices hold at least one entry, so their number never exceeds that of the chunks' distinct entries,
 which grows in proportion to the text; where buckets get many, slices get shorter, not more.
 
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +37,8 @@ from clauseworks.runtime import materialize
 
 #: Tokens of a chunk, and entries of a bucket.
 CHUNK_TOKENS, BUCKET_ENTRIES = 500_000, 1_500_000
+#: Chunks of a set, whose slices of one bucket meet in a task.
+SET_CHUNKS = 4096
 #: Of crc32(id as text) mod 10: 0 is never learned from, 9 is held out for the mixture weights.
 UNSEEN, MIXING = 0, 9
 #: Context-frequency buckets (counts below EXACT one by one, then by powers of two), bins of a nat and number of bins of the
@@ -159,14 +164,46 @@ def _slices(entries: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return list(zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(entries)], strict=True)) if len(entries) else []
 
 
-def answers(chunks: DataFrame, pairs: bool, entries: int) -> DataFrame:
-    """(chunk, bucket, total, retained, words, tokens): corpus counts for each chunk's entries of a bucket.
+def _small(x: np.ndarray) -> bytes:
+    return pack(x.astype(np.uint32 if not len(x) or x.max() < 2**32 else np.uint64))
+
+
+class Slices:
+    """Slices of a bucket, added up: distinct entries, their total and retained counts, and where each slice's are."""
+
+    def __init__(self, entries: list[bytes], counts: list[bytes], retained: list[bytes | None]):
+        parts = [unpack_sorted(x) for x in entries]
+        add = lambda given: np.bincount(self.number, np.concatenate([np.zeros(len(p), np.uint32) if x is None else unpack(x) for p, x in zip(parts, given, strict=True)]), len(self.distinct))
+        self.distinct, self.number = np.unique(np.concatenate(parts), return_inverse=True)
+        self.total, self.kept = add(counts), add(retained)
+        ends = np.cumsum([len(p) for p in parts])
+        self.own = [self.number[e - len(p) : e] for p, e in zip(parts, ends.tolist(), strict=True)]
+
+
+_ANSWERS = "chunk long, bucket int, total binary, retained binary, words long, tokens long, retained_tokens long"
+
+
+def _answered(name: str, to: list[int], bucket: int, own: list[np.ndarray], total: np.ndarray, kept: np.ndarray, told: list[bool], sums: bool) -> pa.RecordBatch:
+    """A row with the counts for each of `to` (retained ones where told), and one with the bucket's own sums."""
+    n, last = len(to), [None] * sums
+    columns = [
+        pa.array([*to, *last], pa.int64()),
+        pa.array([bucket] * (n + sums), pa.int32()),
+        pa.array([*(_small(total[i]) for i in own), *last], pa.binary()),
+        pa.array([*(_small(kept[i]) if m else None for i, m in zip(own, told, strict=True)), *last], pa.binary()),
+        *(pa.array([0] * n + [int(x)] * sums, pa.int64()) for x in ((total > 0).sum(), total.sum(), kept.sum())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[name, "bucket", "total", "retained", "words", "tokens", "retained_tokens"])
+
+
+def answers(chunks: DataFrame, pairs: bool, entries: int, count: int) -> DataFrame:
+    """(chunk, bucket, total, retained, words, tokens): corpus counts for each of `count` chunks' entries of a bucket.
 
     total counts all training documents; retained (only for mixing chunks) those that don't serve
     the mixture weights. A row without chunk holds a bucket's number of distinct entries and tokens
     seen in training, and its retained tokens.
     """
-    buckets = max(1, -(-entries // BUCKET_ENTRIES))
+    buckets, sets = max(1, -(-entries // BUCKET_ENTRIES)), max(1, -(-count // SET_CHUNKS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,31 +217,41 @@ def answers(chunks: DataFrame, pairs: bool, entries: int) -> DataFrame:
                     names=["bucket", "chunk", "mixing", "entries", "counts"],
                 )
 
-    def add_up(t: pa.Table) -> pa.RecordBatch:
-        mixing = t["mixing"].to_pylist()
-        parts = [unpack_sorted(x) for x in t["entries"].to_pylist()]
-        counts = [unpack(x) for x in t["counts"].to_pylist()]
-        distinct, number = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(number, np.concatenate(counts), len(distinct))
-        kept = np.bincount(number, np.concatenate([c * np.uint32(not m) for c, m in zip(counts, mixing, strict=True)]), len(distinct))
-        ends = np.cumsum([len(p) for p in parts])
-        own = [number[e - len(p) : e] for p, e in zip(parts, ends.tolist(), strict=True)]
-        small = lambda x: pack(x.astype(np.uint32 if not len(x) or x.max() < 2**32 else np.uint64))
-        n = len(parts)
-        columns = [
-            pa.array([*t["chunk"].to_pylist(), None], pa.int64()),
-            pa.array([t["bucket"][0].as_py()] * (n + 1), pa.int32()),
-            pa.array([*(small(total[i]) for i in own), None], pa.binary()),
-            pa.array([*(small(kept[i]) if m else None for i, m in zip(own, mixing, strict=True)), None], pa.binary()),
-            pa.array([0] * n + [int((total > 0).sum())], pa.int64()),
-            pa.array([0] * n + [int(total.sum())], pa.int64()),
-            pa.array([0] * n + [int(kept.sum())], pa.int64()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "total", "retained", "words", "tokens", "retained_tokens"])
+    def added(t: pa.Table) -> tuple[Slices, list[bool]]:
+        mixing, counts = t["mixing"].to_pylist(), t["counts"].to_pylist()
+        return Slices(t["entries"].to_pylist(), counts, [None if m else c for c, m in zip(counts, mixing, strict=True)]), mixing
+
+    def answer(t: pa.Table) -> pa.RecordBatch:
+        x, mixing = added(t)
+        return _answered("chunk", t["chunk"].to_pylist(), t["bucket"][0].as_py(), x.own, x.total, x.kept, mixing, True)
 
     # the pairs and words are asked for by narrow passes over the chunks; only packed slices are shuffled
     asked = chunks.mapInArrow(ask, "bucket int, chunk long, mixing boolean, entries binary, counts binary")
-    return per_group(asked, ["bucket"], add_up, "chunk long, bucket int, total binary, retained binary, words long, tokens long, retained_tokens long", least=1)
+    if sets == 1:
+        return per_group(asked, ["bucket"], answer, _ANSWERS, least=1)
+
+    def set_sums(t: pa.Table) -> pa.RecordBatch:
+        x, _ = added(t)
+        columns = [t["bucket"][:1].combine_chunks(), t["part"][:1].combine_chunks(), *(pa.array([v], pa.binary()) for v in (pack_sorted(x.distinct), _small(x.total), _small(x.kept)))]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "entries", "counts", "retained"])
+
+    def answer_sets(t: pa.Table) -> pa.RecordBatch:
+        x = Slices(*(t[c].to_pylist() for c in ("entries", "counts", "retained")))
+        return _answered("part", t["part"].to_pylist(), t["bucket"][0].as_py(), x.own, x.total, x.kept, [True] * len(t), True)
+
+    def answer_chunks(t: pa.Table) -> pa.RecordBatch:
+        told = t.filter(pc.is_null(t["chunk"]))
+        slices = t.filter(pc.is_valid(t["chunk"]))
+        x, mixing = added(slices)
+        total, kept = (unpack(told[c][0].as_py()) for c in ("total", "retained"))
+        return _answered("chunk", slices["chunk"].to_pylist(), t["bucket"][0].as_py(), x.own, total, kept, mixing, False)
+
+    asked = materialize(asked.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(sets))), "slices")
+    sums = per_group(asked, ["bucket", "part"], set_sums, "bucket int, part long, entries binary, counts binary, retained binary", least=1)
+    by_set = materialize(per_group(sums, ["bucket"], answer_sets, _ANSWERS.replace("chunk", "part"), least=1), "set-counts")
+    told = by_set.where("part is not null").select("bucket", "part", "total", "retained")
+    both = asked.unionByName(told, allowMissingColumns=True)
+    return per_group(both, ["bucket", "part"], answer_chunks, _ANSWERS, least=1).unionByName(by_set.where("part is null").withColumnRenamed("part", "chunk"))
 
 
 _PACKED = ["docs", "has_id", "part", "lengths", "vocabulary", "ids"]
@@ -299,9 +346,9 @@ def score_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     small_batches(spark)
     chunks = materialize(chunks_of(docs, ident, text), "chunks")
     small_batches(spark, size=4 << 20)  # rows are whole chunks from here on
-    n_words, n_pairs = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0))).first()
-    words = materialize(answers(chunks, False, n_words), "word-counts")
-    pairs = materialize(answers(chunks, True, n_pairs), "pair-counts")
+    n_words, n_pairs, count = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_pairs"), F.lit(0)), F.count("*")).first()
+    words = materialize(answers(chunks, False, n_words, count), "word-counts")
+    pairs = materialize(answers(chunks, True, n_pairs, count), "pair-counts")
     v, n, kept = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "tokens", "retained_tokens"))).first()
     uniform = 1 / (v + 1)
 
