@@ -37,8 +37,8 @@ from clauseworks.runtime import materialize
 
 #: Tokens of a chunk, and entries of a bucket.
 CHUNK_TOKENS, BUCKET_ENTRIES = 500_000, 1_500_000
-#: Chunks of a set, whose slices of one bucket meet in a task.
-SET_CHUNKS = 4096
+#: Chunks of a set, whose slices of one bucket meet in a task: fewer than the entries that a bucket has on average.
+SET_CHUNKS = 262_144
 #: Of crc32(id as text) mod 10: 0 is never learned from, 9 is held out for the mixture weights.
 UNSEEN, MIXING = 0, 9
 #: Context-frequency buckets (counts below EXACT one by one, then by powers of two), bins of a nat and number of bins of the
@@ -246,7 +246,8 @@ def answers(chunks: DataFrame, pairs: bool, entries: int, count: int) -> DataFra
         total, kept = (unpack(told[c][0].as_py()) for c in ("total", "retained"))
         return _answered("chunk", slices["chunk"].to_pylist(), t["bucket"][0].as_py(), x.own, total, kept, mixing, False)
 
-    asked = materialize(asked.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(sets))), "slices")
+    # asked twice, which costs less than a table of all slices
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(sets)))
     sums = per_group(asked, ["bucket", "part"], set_sums, "bucket int, part long, entries binary, counts binary, retained binary", least=1)
     by_set = materialize(per_group(sums, ["bucket"], answer_sets, _ANSWERS.replace("chunk", "part"), least=1), "set-counts")
     told = by_set.where("part is not null").select("bucket", "part", "total", "retained")

@@ -512,7 +512,7 @@ def lm_brute(rows):
     return [(i, h, len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) for (i, _), h, t in zip(rows, held, tokens, strict=True)]
 
 
-@pytest.mark.parametrize(("chunk", "bucket", "chunks"), [(2_000_000, 2_000_000, 4096), (3000, 700, 4096), (3000, 700, 3)])
+@pytest.mark.parametrize(("chunk", "bucket", "chunks"), [(2_000_000, 2_000_000, 262_144), (3000, 700, 262_144), (3000, 700, 3)])
 def test_lm_scores(spark, sf, monkeypatch, chunk, bucket, chunks):
     monkeypatch.setattr(interpolation, "SET_CHUNKS", chunks)
     monkeypatch.setattr(interpolation, "CHUNK_TOKENS", chunk)
@@ -571,7 +571,7 @@ def mixture_brute(rows):
     return [sum(math.log10(weights.get(context(learned[0][b]), pooled) @ estimates(learned, b, w)) for b, w in zip(["<begin>", *t], t, strict=False)) for t in tokens]
 
 
-@pytest.mark.parametrize("chunks", [4096, 2])
+@pytest.mark.parametrize("chunks", [262_144, 2])
 def test_mixture_equals_brute_force(spark, sf, monkeypatch, chunks):
     """Each held-out token by itself against the histogram of estimates: scores a token agree to a thousandth."""
     monkeypatch.setattr(interpolation, "SET_CHUNKS", chunks)
