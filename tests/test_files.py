@@ -130,3 +130,12 @@ def test_a_change_that_fails_leaves_the_old_state(spark, tmp_path):
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
         t.upsert(spark.range(10).selectExpr("cast(id as string) as id", "id div (id - 5) as n"))
     assert content(t) == {"a": 1} and t.version() == 1
+
+
+def test_packed_pages_may_end_in_what_looks_like_a_line_break():
+    texts = ["".join(random.Random(i).choices("abcdefgh é日", k=60)).strip() for i in range(3000)]
+    made = {t: files.made_document([t, ""], True) for t in texts}
+    assert sum(b"\r\nendstream" in x for x in made.values()) > 3
+    assert all(files.packed_pages(x) == t for t, x in made.items())
+    indirect = b"<< /Length 5 0 R >>\nstream\n(long enough) Tj\nendstream <</Length 3>> stream\n(wrong length) Tj\r\nendstream"
+    assert files.plain_pages(indirect) == "long enough\nwrong length\n"
