@@ -94,3 +94,9 @@ def test_requirement_id(spark):
 def test_normal_clause_and_html(spark):
     assert value(spark, r.normal_clause("c"), c="7.1(a)") == "7.1.a"
     assert value(spark, r.escaped_html("t"), t="<a & 'b'>\n") == "&lt;a &amp; &#x27;b&#x27;&gt;<br>"
+
+
+@pytest.mark.parametrize("rule, word", [(r.parent_section(D, "t"), "regexp_replace("), (r.category("t"), "lower("), (r.is_garbage(D, D.strip("t")), "regexp_replace("), (r.clause_number(D, "t"), "regexp_replace(")])
+def test_rules_compute_what_they_name_often_once(spark, rule, word):
+    plan = spark.createDataFrame([("7.1 a",)], "t string").selectExpr(f"{rule} as x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(word) == 1
