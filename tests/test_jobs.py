@@ -257,3 +257,18 @@ def test_stand_in_groups_are_of_bounded_documents(spark, sf):
     groups = run(f"select group_id, max(doc_id) - min(doc_id) as span, count(distinct standard_name) as n from {queries.groups_sql(SPARK, '<clauses>')} as x group by group_id", clauses=fixtures.fx_clauses(spark, sf)).collect()
     assert groups and all(r.span < queries.DOCUMENTS_AT_ONCE and r.n >= 2 for r in groups)
     assert np.isfinite([r.group_id for r in groups]).all()
+
+
+def test_numbered_within_deals_out_a_key(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 5000).selectExpr("if(id < 4990, 0, id % 3) as k", "-id as x").repartition(5)
+        got = ordering.numbered_within(rows, ["k"], ["x"], "n")
+        assert "hashpartitioning(k#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and all("__part" in x for x in plan.splitlines() if "SortMergeJoin" in x)
+        found = [(r.k, r.x, r.n) for r in got.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for k in (0, 1, 2):
+        xs = sorted(x for key, x, _ in found if key == k)
+        assert sorted((n, x) for key, x, n in found if key == k) == list(enumerate(xs))
