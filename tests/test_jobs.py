@@ -11,7 +11,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from clauseworks.functions import python as p
+from clauseworks.functions import models, python as p
 from clauseworks.operators import coredelta, extraction, nearness, ordering
 from clauseworks.operators import similarity as s
 from clauseworks.plans import fixtures, jobs, queries
@@ -259,6 +259,14 @@ def test_stand_in_groups_are_of_bounded_documents(spark, sf):
     assert np.isfinite([r.group_id for r in groups]).all()
 
 
+def test_calls_take_bounded_batches(spark):
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 500000) as prompt")
+    asked = models.ask(rows, "prompt", lambda prompt: str(len(prompt)))
+    sizes = rows.mapInPandas(lambda batches: (b[["id"]].assign(n=len(b)) for b in batches), "id long, n long").agg({"n": "max"}).first()[0]
+    assert sizes * 500000 < 3 * models.BYTES_AT_ONCE
+    assert [r.reply for r in asked.select("reply").collect()] == ["500000"] * 40
+
+
 def test_numbered_within_deals_out_a_key(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
