@@ -280,3 +280,24 @@ def test_numbered_within_deals_out_a_key(spark):
     for k in (0, 1, 2):
         xs = sorted(x for key, x, _ in found if key == k)
         assert sorted((n, x) for key, x, n in found if key == k) == list(enumerate(xs))
+
+
+def test_pairs_are_counted_only_where_both_words_reach_the_last_place(spark, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    chance = random.Random(5)
+    rows = [("ab"[i % 2], i // 3 * 2 + i % 2, " ".join(chance.choices([f"w{j}" for j in range(12)] + ["The", "x1 x2"], [2.0**-j for j in range(12)] + [1, 0.2], k=9))) for i in range(240)]
+    rows += [("c", 1, "one two"), ("c", 2, "one two three"), ("d", 3, None)]
+    db = duckdb.connect()
+    db.execute("create table c (bucket varchar, idx bigint, text varchar)")
+    db.executemany("insert into c values (?, ?, ?)", [r for r in rows if r[0] != "a" or r[1] % 4])
+    given = spark.createDataFrame([r for r in rows if r[0] != "a" or r[1] % 4], "bucket string, idx long, text string").dropDuplicates(["bucket", "idx"])
+    kept = given.collect()
+    db.execute("delete from c")
+    db.executemany("insert into c values (?, ?, ?)", [tuple(r) for r in kept])
+    given = spark.createDataFrame(kept, "bucket string, idx long, text string")
+    for most in (3, 8, 500):
+        monkeypatch.setattr(s, "MOST_TERMS", most)
+        want = {(b, i, t, p): w for b, i, t, p, w in db.execute(s.tfidf_sql(queries.DUCK, "c")).fetchall()}
+        got = {(r.bucket, r.idx, r.term, r.place): r.weight for r in s.tfidf(given).collect()}
+        assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
+        assert {(b, t, p) for b, _, t, p in want} == {(r.bucket, r.term, r.place) for r in s.vocabulary(given).collect()}
