@@ -301,3 +301,9 @@ def test_pairs_are_counted_only_where_both_words_reach_the_last_place(spark, mon
         got = {(r.bucket, r.idx, r.term, r.place): r.weight for r in s.tfidf(given).collect()}
         assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-9 for k in want)
         assert {(b, t, p) for b, _, t, p in want} == {(r.bucket, r.term, r.place) for r in s.vocabulary(given).collect()}
+
+
+def test_counts_of_similarities_with_clauses_without_terms(spark):
+    weights = spark.createDataFrame([("a", 1, 1, 1.0), ("a", 2, 1, 0.6), ("a", 2, 2, 0.8), ("a", 3, 2, 1.0)], "bucket string, idx long, place int, weight double")
+    given = spark.createDataFrame([("a", i) for i in (1, 2, 3, 4)], "bucket string, idx long")
+    assert {(r.sim, r.n) for r in s.similarity_counts(given, weights).collect()} == {(0.6, 1), (0.8, 1), (0.0, 4)}
