@@ -118,6 +118,22 @@ def test_pairs_of_a_bucket(spark, monkeypatch, block):
     assert reach(linked) == reach(every)
 
 
+@pytest.mark.parametrize("block", [0, 40])
+def test_links_of_dense_vectors_are_few(spark, block):
+    rng = random.Random(8)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = [(i, [x + rng.gauss(0, 0.25) for x in centres[i % 5]]) for i in range(150)] + [(900, [0.0] * 6)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>")
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    want = {(a, b) for (a, x), (b, y) in combinations(rows[:150], 2) if round(sum(p * q for p, q in zip(x, y, strict=True)) / norm(x) / norm(y), 9) >= 0.9}
+    assert {(r.a, r.b) for r in s.dense_edges(vectors, "id", "v", 0.9, block).collect()} == want
+    links = s.dense_links(vectors, "id", "v", 0.9, block)
+    few = {tuple(sorted((r.a, r.b))) for r in links.collect()}
+    assert few <= want and len(few) < len(want) / 2
+    found = lambda e: {(r.node, r.component) for r in s.components(e).collect()}
+    assert found(links) == found(spark.createDataFrame(sorted(want), "a long, b long"))
+
+
 def test_numbered(spark):
     rows = [(x,) for x in random.Random(1).sample(range(10**6), 500)]
     got = ordering.numbered(spark.createDataFrame(rows, "x long").repartition(5), ["x"], "n").collect()
