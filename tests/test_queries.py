@@ -45,6 +45,13 @@ def test_query_matches_sql(spark, sf, duck, name):
     assert rows(got.columns, got.collect()) == rows(names, found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["G08_lettered_items", "G09_numbered_items"])
+def test_lines_of_sections_are_dealt_once(spark, sf, name):
+    """Sections are made of lines written once, and their items are read once: what is dealt out are blocks of sections and lines of contents."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 2
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).limit(5).collect()
