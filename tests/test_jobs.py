@@ -10,11 +10,13 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clauseworks.functions import models, python as p
 from clauseworks.operators import coredelta, extraction, nearness, ordering
 from clauseworks.operators import similarity as s
 from clauseworks.plans import fixtures, jobs, queries
+from clauseworks.runtime import materialize
 from clauseworks.sources import sinks, tables
 
 
@@ -323,3 +325,33 @@ def test_counts_of_similarities_with_clauses_without_terms(spark):
     weights = spark.createDataFrame([("a", 1, 1, 1.0), ("a", 2, 1, 0.6), ("a", 2, 2, 0.8), ("a", 3, 2, 1.0)], "bucket string, idx long, place int, weight double")
     given = spark.createDataFrame([("a", i) for i in (1, 2, 3, 4)], "bucket string, idx long")
     assert {(r.sim, r.n) for r in s.similarity_counts(given, weights).collect()} == {(0.6, 1), (0.8, 1), (0.0, 4)}
+
+
+@pytest.mark.parametrize("block", [8192, 11])
+def test_staged_buckets_equal_the_stages_over_all_edges(spark, monkeypatch, block):
+    monkeypatch.setattr(s, "PAIR_BLOCK", block)
+    chance = random.Random(8)
+    rows = []
+    for i in range(120):
+        place, w = chance.randint(1, 6), chance.choice([0.58, 0.62, 0.66, 0.7, 0.75, 0.8])
+        rows += [("ab"[i % 2], i, place, w)] + [("ab"[i % 2], i, place % 6 + 1, w)] * (w < 0.66)
+    weights = spark.createDataFrame(rows, "bucket string, idx long, place int, weight double")
+    edges = materialize(s.similarity_edges(weights, s.ATTACH), "edges")
+    inside = materialize(weights.select(F.expr("if(bucket = 'a', 0L, 1L)").alias("component"), F.col("idx").alias("node")).distinct(), "inside")
+    want = {r.node: r.cluster for r in s.staged_clusters(edges.select(F.expr("if(bucket = 'a', 0L, 1L)").alias("component"), "a", "b", "sim"), inside, 2).collect()}
+    held = s.vectors(weights)
+    links = s.bucket_links(held.withColumn("least", F.lit(s.CORE)))
+    state = materialize(inside.select("node").join(s.components(links).select("node", F.col("component").alias("core")), "node", "left"), "state")
+    offers, pairs = s.staged_offers(held, state)
+    got = {r.node: r.cluster for r in s.settled_stages(inside, state, offers, pairs).collect()}
+    assert got == want and len(set(want.values())) > 4
+    loose = {r.node for r in state.where("core is null").collect()}
+    assert loose and all(r.a in loose and r.b in loose for r in pairs.collect())
+
+
+def test_links_of_a_bucket_grow_with_its_clauses_not_with_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(s, "PAIR_BLOCK", 10)
+    weights = spark.createDataFrame([("a", i, 1, 1.0) for i in range(200)], "bucket string, idx long, place int, weight double")
+    sizes = spark.createDataFrame([("a", 200)], "bucket string, bucket_size long")
+    links = s.linking_edges(weights, sizes, 0.35)
+    assert links.count() < 200 + 20 * 20 and {r.component for r in s.components(links).collect()} == {0}
