@@ -65,3 +65,17 @@ def test_entry(spark):
 
 def test_every_check_has_a_query():
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+@pytest.mark.parametrize("name", ["A20_common_words", "A21_core_ratio", "U05_shared_words"])
+def test_words_of_clauses_are_not_dealt_out(spark, sf, name):
+    """Words are counted for a group before they are dealt, so no exchange goes by clause and no text is sent to a window."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Window" in x or ("hashpartitioning" in x and "clause_idx" in x)]
+
+
+def test_a_statement_is_made_of_the_known_words():
+    from clauseworks.operators import coredelta
+
+    texts = [" ".join([*coredelta.CONCEPTS, "shall include"])] * 2, ["battery one"] * 2, ["one two"] * 2, ["one shall"] * 2
+    assert set(" ".join(coredelta.core_statement(t)[0] for t in texts).lower().split()) <= set(queries.CORE_WORDS)
