@@ -2,11 +2,11 @@
 
 1. Vectors become whole numbers and are dealt into blocks. A block's index holds for each dimension
    the vectors in segments of like values (quantised), each with its least and greatest value.
-2. For a query, what a segment adds over the least that its dimension can add is its impact. Segments
-   are processed by descending impact, and add the products of their vectors to the scores.
-3. After each share of the segments, no vector can score more than it has plus, for each dimension
-   in which it was not met yet, the impact that comes next. Vectors whose bound is below the k-th
-   best score known are out by proof; once few are left, or no segment is, those are scored exactly.
+2. A score q.v is (g q.q + v.v / g) / 2 less, for each dimension d, (g q_d - v_d)^2 / 2g, whatever g > 0 is.
+   The least that a segment takes off is its impact. Segments are processed by descending impact, and
+   what their vectors lose is taken off those vectors' bounds, which start from the first term.
+3. After each share of the segments the vectors of the greatest bounds are scored. Vectors whose bound is
+   below the k-th best score known are out by proof; once few are left, or no segment is, those are scored exactly.
 4. The first block of all gives each query a score that its k-th best can't be below; the others
    start from it. The best of all blocks are ranked.
 """
@@ -25,8 +25,9 @@ from clauseworks.runtime import materialize
 
 #: Values of a block of the index, its greatest number of vectors, values of a batch of queries.
 BLOCK_VALUES, MOST_IN_BLOCK, BATCH_VALUES = 1 << 20, 1 << 14, 1 << 16
-#: Segments of a dimension, times that the bounds are looked at, and possible members (times k) that end the processing.
-LEVELS, LOOKS, FEW = 16, 10, 4
+#: Segments of a dimension, shares of a block's entries after which the bounds are looked at, members (times k) that are
+#: scored then, and the share of a block's vectors that ends the processing as possible members.
+LEVELS, LOOKS, FEW, SHARE = 16, (0.25, 0.35, 0.45, 0.6, 0.8, 1.0), 4, 1 / 16
 LEAST_SCORE = -(1 << 62)
 
 
@@ -47,15 +48,16 @@ class Block:
     """The vectors of a block (whole numbers, one row each) in segments of each dimension."""
 
     def __init__(self, values: np.ndarray, order: np.ndarray, ends: np.ndarray) -> None:
-        self.values = values.astype(np.int64)
         n, dims = values.shape
-        self.order = order.astype(np.intp)  # vectors by dimension and descending value
+        self.greatest_of_all = int(np.abs(values).max(initial=0))
+        self.values, self.floats = values.astype(np.int64), values.astype(np.float64)
+        self.squares = np.einsum("ij,ij->i", self.floats, self.floats)
+        self.order = order  # vectors by dimension and descending value
         starts = np.concatenate([[0], ends[:-1]])
         some = ends > starts
         self.starts, self.ends, self.dim = starts[some], ends[some], np.repeat(np.arange(dims), LEVELS)[some]
-        self.sorted = np.take_along_axis(self.values, self.order.reshape(dims, n).T, 0).T.reshape(-1)
+        self.sorted = np.take_along_axis(self.floats, order.astype(np.intp).reshape(dims, n).T, 0).T.reshape(-1)
         self.greatest, self.least = self.sorted[self.starts], self.sorted[self.ends - 1]
-        self.first = np.flatnonzero(np.diff(self.dim, prepend=-1))
 
     @staticmethod
     def build(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,43 +69,54 @@ class Block:
         counts = np.stack([np.bincount(level[:, d], minlength=LEVELS) for d in range(dims)])
         return order.reshape(-1), np.cumsum(counts.reshape(-1))
 
+    def exact(self, members: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The scores of members. Whole numbers below 2^53 are exact in double precision as well, and much faster."""
+        if int(np.abs(q).max()) * self.greatest_of_all * len(q) < 1 << 53:
+            return (self.floats[members] @ q.astype(np.float64)).astype(np.int64)
+        return self.values[members] @ q
+
     def search(self, q: np.ndarray, k: int, least: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """(members, scores): the vectors that can be among the k best and score `least` or more, own left out."""
         n, dims = self.values.shape
-        w = q[self.dim]
-        one, two = w * self.greatest, w * self.least
-        lowest = np.minimum.reduceat(np.minimum(one, two), self.first)
-        impact = np.maximum(one, two) - lowest[self.dim]
-        top = np.maximum.reduceat(impact, self.first)
+        square = float(q.astype(np.float64) @ q)
+        g = (self.squares.mean() / square) ** 0.5 if square and self.squares.any() else 1.0
+        at = g * q
+        meets = at[self.dim]
+        impact = np.maximum(meets - self.greatest, self.least - meets)
         by = np.argsort(-impact, kind="stable")
-        by = by[impact[by] > 0]  # the others add nothing
-        score, met = np.full(n, lowest.sum()), np.zeros(n, np.int64)
+        by = by[impact[by] > 0]  # the others may take nothing off
+        entries = np.cumsum(self.ends[by] - self.starts[by])
+        bound = (g * square + self.squares / g) / 2
+        slack = float(bound.max()) * (dims + 8) * 1e-15  # for rounding
         if 0 <= own < n:
-            score[own] = LEAST_SCORE
-        members = np.arange(n)
-        at = 0
-        for look in range(1, LOOKS + 1):
-            upto = len(by) * look // LOOKS
-            for s in by[at:upto].tolist():
-                a, b, d = self.starts[s], self.ends[s], self.dim[s]
-                ids = self.order[a:b]
-                score[ids] += w[s] * self.sorted[a:b] - lowest[d]
-                met[ids] += 1
-            at = upto
-            level = impact[by[at]] if at < len(by) else 0
-            begun = top >= level  # no other dimension has been met
-            beyond = top[~begun].sum()
-            kth = np.partition(score, n - k)[n - k] if n >= k else LEAST_SCORE
-            # a dimension that was begun adds `level` at most to a vector that it hasn't met
-            most = score + beyond + level * (begun.sum() - met)
-            members = np.flatnonzero(most >= max(least, kth))
-            if len(members) <= FEW * k:
+            bound[own] = -np.inf
+        done, top = 0, min(n, FEW * k + 1)
+        for look in LOOKS:
+            upto = int(np.searchsorted(entries, look * n * dims, "right"))
+            if upto > done:
+                bound -= self._lost(np.sort(by[done:upto]), at) / (2 * g)
+                done = upto
+            best = np.argpartition(bound, n - top)[n - top :]
+            best = best[best != own]
+            if len(best) >= k:
+                least = max(least, int(np.partition(self.exact(best, q), len(best) - k)[len(best) - k]))
+            members = np.flatnonzero(bound >= least - slack)
+            if len(members) <= max(top, SHARE * n) or done == len(by):
                 break
         members = members[members != own]
-        exact = self.values[members] @ q
+        exact = self.exact(members, q)
         stay = exact >= least
         return members[stay], exact[stay]
 
+    def _lost(self, segments: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each vector, the squares of its distances from `at` in the segments (ascending) that hold it."""
+        breaks = np.flatnonzero(np.diff(segments) != 1) + 1
+        runs = list(zip(self.starts[segments[np.append(0, breaks)]].tolist(), self.ends[segments[np.append(breaks, len(segments)) - 1]].tolist(), strict=True))
+        far = np.concatenate([self.sorted[a:b] for a, b in runs])
+        far -= np.repeat(at[self.dim[segments]], self.ends[segments] - self.starts[segments])
+        far *= far
+        return np.bincount(np.concatenate([self.order[a:b] for a, b in runs]), far, len(self.values))
+
 
 def _numbers(x: pa.Scalar, kind: type) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), kind)

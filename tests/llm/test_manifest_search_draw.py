@@ -179,6 +179,22 @@ def test_segments_are_skipped_by_proof():
     assert sum(s.stop - s.start for s in looked) < 0.9 * values.size
 
 
+def test_half_of_a_block_of_even_vectors_is_never_processed():
+    """Vectors of one length without any far ahead, as embeddings are: fewer than half of the entries decide."""
+    rng = np.random.default_rng(5)
+    given = rng.standard_normal((4000, 64))
+    values = np.floor(256 * given / np.linalg.norm(given, axis=1)[:, None]).astype(np.int32)
+    block = impact.Block(values, *impact.Block.build(values))
+    looked = []
+    block.sorted = type("Seen", (), {"__getitem__": lambda self, s, data=block.sorted: looked.append(s) or data[s]})()
+    q = values[7].astype(np.int64)
+    members, scores = block.search(q, 5, impact.LEAST_SCORE + 1, 7)
+    exact = values.astype(np.int64) @ q
+    exact[7] = impact.LEAST_SCORE
+    assert set(np.argsort(-exact, kind="stable")[:5].tolist()) <= set(members.tolist())
+    assert sum(s.stop - s.start for s in looked) < 0.5 * values.size
+
+
 # --- 13: importance resampling ------------------------------------------------------
 
 
