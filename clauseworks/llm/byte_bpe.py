@@ -20,8 +20,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from clauseworks.llm._streams import small_batches
 from clauseworks.llm.pretoken import ranks, splitter
 
-#: Words that a Python worker remembers before it starts afresh. Bounds memory, not results.
-REMEMBERED = 300_000
+#: Words of a generation that a Python worker remembers; it keeps the present generation and the one before. Bounds memory, not results.
+REMEMBERED = 200_000
 #: Longer words are cut where no token of the vocabulary can span; pieces that are longer still go through a query whose
 #: rounds contract all occurrences of the least pair where that is the same (see Codec).
 LONG = 48
@@ -73,7 +73,7 @@ select w, p, tok from t where alive order by w, p
 """
 
 _DECODE = """
-select i.w, string_agg(lower(hex(t.bytes)), '' order by i.p) as hexed
+select i.w, string_agg(t.hexed, '' order by i.p) as hexed
 from ids i join tokens t on t.id = i.tok group by i.w order by i.w
 """
 
@@ -103,7 +103,7 @@ class Codec:
             together.append(not alone)
         a, b, r = (np.array(x, np.int32) for x in zip(*rows, strict=True))
         merges = pa.table({"a": a, "b": b, "rank": r, "merged": r, "together": np.array(together)})
-        tokens = pa.table({"id": pa.array(table.values(), pa.int32()), "bytes": pa.array(table.keys(), pa.binary())})
+        tokens = pa.table({"id": pa.array(table.values(), pa.int32()), "hexed": pa.array([t.hex() for t in table])})
         for name, data in (("merges", merges), ("tokens", tokens)):
             self.db.register("given", data)
             self.db.execute(f"create table {name} as select * from given")
@@ -112,8 +112,9 @@ class Codec:
         self.bytes_of = np.zeros(max(table.values()) + 1, np.int64)
         self.bytes_of[list(table.values())] = [len(t) for t in table]
         self.byte = np.array([table[bytes([b])] for b in range(256)], np.int32)
-        #: word -> (ids as text, number of ids, decoded bytes)
+        #: word -> (ids as text, number of ids, decoded bytes); of this generation, and of the one before
         self.words: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def _query(self, sql: str, name: str, table: pa.Table) -> pa.Table:
         self.db.register(name, table)
@@ -204,8 +205,6 @@ class Codec:
 
     def learn(self, words: list[str], step: int = 20_000) -> None:
         """Encode the words that are not known yet, in slices of bounded size."""
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words = {}
         for i in range(0, len(words), step):
             some = words[i : i + step]
             w, tok = self.contract([x.encode("utf-8") for x in some])
@@ -221,11 +220,13 @@ class Codec:
         """For each text, its words' entries in order."""
         split = [find(t) if t else [] for t in texts]
         fresh = {w for words in split for w in words}
-        known = self.words
-        new = [w for w in fresh if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            new = list(fresh)
-        self.learn(new)
+        new = fresh.difference(self.words)
+        if self.words and len(self.words) + len(new) > REMEMBERED:
+            self.older, self.words, new = self.words, {}, fresh
+        # words that were met in the generation before go on, those that weren't are forgotten with it
+        again = new.intersection(self.older)
+        self.words |= {w: self.older[w] for w in again}
+        self.learn(sorted(new - again, key=len))  # words of like lengths take like numbers of rounds
         known = self.words
         for words in split:
             yield [known[w] for w in words]
@@ -263,7 +264,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     A null or empty text has no ids: n_tokens 0 and both digests those of the empty string. Rows
     keep their multiplicity; columns of docs that clash with a new name (after prefix) are replaced,
     whatever their case. A word of any length is encoded whole.
-    One narrow stage: no shuffle. Memory: one slice of texts and REMEMBERED words a worker.
+    One narrow stage: no shuffle. Memory: one slice of texts and two generations of REMEMBERED words a worker.
     """
     small_batches(docs.sparkSession)
     names = [f"{prefix}n_tokens", f"{prefix}ids_sha256", f"{prefix}decoded_sha256"] + [f"{prefix}ids"] * ids

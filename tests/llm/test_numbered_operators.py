@@ -118,6 +118,22 @@ def test_words_of_any_length_contract_alike(codec, word):
     assert b"".join(own.pieces(raw)) == raw
 
 
+def test_words_that_recur_are_learnt_once(monkeypatch):
+    """A full memory forgets the words that weren't met again since the one before it was full."""
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 4)
+    own, learnt = byte_bpe.Codec(RANKS), []
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda words: learnt.extend(words) or learn(words))
+    texts = [f"the zq{c} yx{c}" for c in "abcdefgh"]
+    got = [list(own.encode([t], str.split))[0] for t in texts]
+    assert learnt.count("the") == 1 and len(learnt) == 17
+    assert len(own.words) <= 4 and len(own.older) <= 4
+    library = reference_encoding()
+    for t, words in zip(texts, got, strict=True):
+        for w, (ids, n, raw) in zip(t.split(), words, strict=True):
+            assert list(map(int, ids.split())) == library._core_bpe.encode_single_piece(w.encode()) and n == len(ids.split()) and raw == w.encode()
+
+
 def test_a_very_long_word_takes_seconds(codec):
     own, library = codec
     word = "".join(random.Random(8).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)).encode()
