@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from clauseworks.operators import staging
+from clauseworks.operators import coredelta, staging
 
 
 def walk(edges, nodes, least):
@@ -86,5 +86,18 @@ def test_first_fit_equals_seeds_in_turn(spark, monkeypatch, per_round, offers):
     assert got == wanted
 
 
+def test_packed_seeds_fit_as_single_ones():
+    """All seeds in one pass, texts without words and other letters included, give what pairs give."""
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choice("abcdé°") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(0, 14)))
+    row = lambda: {"text": text(), "standard": rng.choice(["EN 15194", "ISO 4210", "UL 2849", "MD", "x"]), "temperature": rng.random() < 0.5, "measurement": rng.random() < 0.5, "warning": rng.random() < 0.5}
+    seeds, rows = [row() for _ in range(150)], [row() for _ in range(60)]
+    found = coredelta.fitting(seeds)
+    for x in rows:
+        words = coredelta.sorted_words(x["text"])
+        assert coredelta.Packed([coredelta.sorted_words(s["text"]) for s in seeds]).common_letters(words) == [coredelta.common_letters(coredelta.sorted_words(s["text"]), words) for s in seeds]
+        assert list(found(x)) == [i for i, s in enumerate(seeds) if coredelta.hybrid_similarity(s, x) >= coredelta.LEAST_SIMILARITY]
+
+
 def test_first_fit_of_none(spark):
     assert staging.first_fit(spark.createDataFrame([], "k string, id long, v int"), ["k"], lambda a, b: True, 5, ["v"]).count() == 0
