@@ -246,6 +246,11 @@ def test_replies_of_one_object_or_an_array(spark):
     assert extraction.requirement_rows(rows).count() == 3
 
 
+def test_the_end_of_a_long_document_is_shown_to_the_model(spark):
+    docs = spark.createDataFrame([(1, "1.1 first\n" + "word " * 30_000 + "\n9.9 last"), (2, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.pos, r.clause, r.text) for r in extraction.whole_documents(docs).orderBy("pos").collect()] == [(1, 0, "1.1", "first"), (1, 1, "9.9", "last")]
+
+
 def test_consolidation_in_batches(spark, monkeypatch):
     monkeypatch.setattr(extraction, "REQUIREMENTS_PER_CALL", 6)
     rows = [(0, i, "A" if i < 4 else "B", "the same first twenty letters" if i % 2 else f"other {i} of its own kind") for i in range(12)] + [(0, 20, "A", "x"), (1, 30, "A", "y")]
