@@ -282,6 +282,26 @@ def test_stand_in_groups_are_of_bounded_documents(spark, sf):
     assert np.isfinite([r.group_id for r in groups]).all()
 
 
+def test_consolidation_takes_whole_groups_of_the_whole_load(spark, tmp_path, monkeypatch):
+    """Groups go over all documents and have any number of clauses; large ones are asked for in parts that lose none."""
+    text = "Battery pack voltage shall be stated."
+    spark.createDataFrame([(i, text + "\n" + text, "en", f"src{i % 2}", 0) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    given = defaultdict(list)
+    for r in spark.sql(s.categories_sql("{c}"), c=fixtures.fx_clauses(spark, str(tmp_path))).collect():
+        given[r.bucket].append((r.clause_idx, r.standard_name))
+    groups = {min(x)[0]: len(x) for x in given.values() if len({standard for _, standard in x}) > 1}
+    assert max(groups.values()) > 100
+    got = jobs.consolidation(spark, str(tmp_path)).collect()
+    assert {r.group_id: 2 if r.failure else r.clauses for r in got} == groups and len(got) == len(groups)
+    monkeypatch.setattr(extraction, "GROUPED_PER_CALL", 4)
+    rows = [(7, i, "A", "1", f"t{i}") for i in range(9)] + [(8, 100, "A", "1", "x"), (8, 101, None, "1", "y"), (8, 102, "B", "2", "z")]
+    prompts = extraction.group_prompts(spark.createDataFrame(rows, "group_id long, id long, standard string, clause string, text string")).orderBy("group_id", "part").collect()
+    assert [(r.group_id, r.part, r.prompt.count("\n")) for r in prompts] == [(7, 0, 3), (7, 1, 3), (7, 2, 3), (8, 0, 2)]
+    assert [x for r in prompts if r.group_id == 7 for x in r.prompt.split("\n")[1:]] == [f"A 1: t{i}" for i in range(9)]
+    told = spark.createDataFrame([(1, 0, '{"clauses": 3}', None), (1, 1, '{"clauses": 4}', None), (2, 0, '{"clauses": 3}', None), (2, 1, None, "busy"), (2, 2, None, "late")], "group_id long, part long, reply string, failure string")
+    assert sorted(tuple(r) for r in extraction.whole_groups(told, "clauses long").collect()) == [(1, 7, None), (2, None, "busy")]
+
+
 def test_calls_take_bounded_batches(spark):
     rows = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 500000) as prompt")
     asked = models.ask(rows, "prompt", lambda prompt: str(len(prompt)))
