@@ -22,8 +22,10 @@ LEADING, LEAST_TOKENS, AGREE = 3, 5, 0.6
 VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*"
 #: What a line has that isn't blank.
 VISIBLE = r"[^\s\p{Z}]"
-#: A list of leaves up to this many rows is broadcast; a longer one is joined by shuffle.
+#: A list of leaves up to this many rows is broadcast; of a longer one 64 bits in each of so many words are, and what passes is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows of blocks from which on the rounds go on in one task each: a shuffle takes longer than such a round.
+ROWS_AT_ONCE = 20_000
 #: A line with more than this share of all lines is hot; there are at most HOT_SHARE of them, and they are broadcast.
 HOT_SHARE = 5000
 
@@ -32,17 +34,17 @@ def parsed_lines(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(doc, at, pos, leaf, own, line): the lines that aren't blank, masked, with hashes of leaf and line.
 
     Lines of fewer than LEAST_TOKENS tokens or mostly of variable fields aren't masked, and each has a
-    leaf of its own, so that only equal lines are copies. The conditions look at the raw line, which has as many tokens as the masked one: Catalyst moves
-    them below the projection, where masking would be done once more for each mention.
+    leaf of its own, so that only equal lines are copies; they have a null for line. What is said of a line more
+    than once is a column, so that it is computed once.
     """
     lines = docs.select(F.col(ident).alias("doc"), F.xxhash64(text).alias("at"), F.posexplode(F.split(text, "\n")).alias("pos", "raw")).where("doc is not null")
-    raw = F.col("raw")
-    tokens = F.length(raw) - F.length(F.replace(raw, F.lit(" "))) + 1
-    variable = raw.rlike("[0-9]")
-    lines = lines.where(raw.rlike(VISIBLE)).withColumn("general", (tokens >= LEAST_TOKENS) & (~variable | (F.regexp_count(raw, F.lit(VARIABLE)) * 2 <= tokens)))
-    line = F.when(F.col("general") & variable, F.regexp_replace(raw, VARIABLE, "<*>")).otherwise(raw)
-    leaf = F.when(F.col("general"), F.xxhash64(tokens, F.substring_index(line, " ", LEADING))).otherwise(F.xxhash64(F.lit(-1), raw))
-    return lines.select("doc", "at", "pos", leaf.alias("leaf"), F.xxhash64(line).alias("own"), line.alias("line"))
+    raw, tokens, variable = F.col("raw"), F.col("tokens"), F.col("variable")
+    spaces = F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit(" ")))
+    lines = lines.where(raw.rlike(VISIBLE)).withColumns({"tokens": spaces + 1, "variable": raw.rlike("[0-9]")})
+    lines = lines.withColumn("general", (tokens >= LEAST_TOKENS) & (~variable | (F.regexp_count(raw, F.lit(VARIABLE)) * 2 <= tokens)))
+    lines = lines.withColumn("line", F.when(F.col("general"), F.when(variable, F.regexp_replace(raw, VARIABLE, "<*>")).otherwise(raw)))
+    leaf = F.when(F.col("general"), F.xxhash64(tokens, F.substring_index("line", " ", LEADING))).otherwise(F.xxhash64(F.lit(-1), raw))
+    return lines.select("doc", "at", "pos", leaf.alias("leaf"), F.xxhash64(F.coalesce("line", raw)).alias("own"), "line")
 
 
 def agreeing(line: str, seed: str) -> Column:
@@ -71,34 +73,57 @@ def further_templates(left: DataFrame) -> DataFrame:
     block = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.xxhash64("leaf", j, F.slice("words", cut(j) + 1, cut(j + 1) - cut(j))))
     blocks = materialize(left_words.withColumn("n_blocks", n_blocks).select("leaf", "own", "n", F.explode(block).alias("block")), "blocks")
     found = left.select("leaf", "own", F.col("own").alias("template")).where("false")
+    few = False
+    one = lambda df: df.coalesce(1) if few else df  # noqa: E731  tables of one part are joined where they are; Spark has to be told again after each join
+    side = lambda df: one(df).hint("merge") if few else df
     while True:
         tops = blocks.groupBy("block").agg(F.max(F.struct("n", "own")).alias("top"), F.count("*").alias("sharing")).where("sharing > 1")
-        near = materialize(blocks.join(tops.drop("sharing"), "block"), "near")
-        discard(blocks)
-        if near.isEmpty():
+        near = materialize(blocks.join(side(tops.drop("sharing")), "block"), "near")
+        if not few:
+            discard(blocks)
+        rows = near.count()
+        if not rows:
             discard(near)
             return found
+        if not few and rows <= ROWS_AT_ONCE:
+            few = True
+            left = materialize(left.join(near.select("leaf", "own").distinct(), ["leaf", "own"], "left_semi"), "left")
+        near = one(near)
         seeds = near.groupBy("leaf", "own").agg(F.bool_and(F.col("top.own") == F.col("own")).alias("seed")).where("seed").select("leaf", F.col("own").alias("template"))
-        seeds = materialize(seeds, "seeds")
-        pairs = near.where("top.own <> own").select("leaf", "own", F.col("top.n").alias("n"), F.col("top.own").alias("template")).distinct().join(seeds, ["leaf", "template"], "left_semi")
-        pairs = pairs.join(left.select("leaf", "own", "line"), ["leaf", "own"]).join(left.select("leaf", F.col("own").alias("template"), F.col("line").alias("seed")), ["leaf", "template"])
+        seeds = seeds if few else materialize(seeds, "seeds")
+        pairs = near.where("top.own <> own").select("leaf", "own", F.col("top.n").alias("n"), F.col("top.own").alias("template")).distinct()
+        pairs = one(one(pairs).join(side(seeds), ["leaf", "template"], "left_semi"))
+        pairs = one(pairs.join(side(left.select("leaf", "own", "line")), ["leaf", "own"]))
+        pairs = one(pairs.join(side(left.select("leaf", F.col("own").alias("template"), F.col("line").alias("seed"))), ["leaf", "template"]))
         joined = pairs.where(agreeing("line", "seed")).groupBy("leaf", "own").agg(F.max_by("template", F.struct("n", "template")).alias("template"))
-        settled = materialize(joined.unionByName(seeds.select("leaf", F.col("template").alias("own"), "template")), "settled")
+        settled = materialize(one(joined.unionByName(seeds.select("leaf", F.col("template").alias("own"), "template"))), "settled")
         found = found.unionByName(settled)
-        blocks = materialize(near.drop("top").join(settled, ["leaf", "own"], "left_anti"), "blocks")
-        discard(near)
+        blocks = one(near.drop("top").join(side(settled), ["leaf", "own"], "left_anti"))
+        if not few:
+            blocks = materialize(blocks, "blocks")
+            discard(near)
+
+
+def in_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines of the given leaves (a row each). Many leaves are no longer broadcast; a bit of a fixed number is, for each, so that few other lines are shuffled with their texts."""
+    if leaves.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(leaves), "leaf", "left_semi")
+    word = lambda: F.pmod(F.shiftright("leaf", 6), F.lit(BROADCAST_ROWS)).alias("word")
+    bit = F.expr("shiftleft(1L, cast(leaf & 63 as int))")
+    words = leaves.groupBy(word()).agg(F.bit_or(bit).alias("bits"))
+    passed = lines.withColumn("word", word()).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return passed.drop("word", "bits").join(leaves, "leaf", "left_semi")
 
 
 def dropped_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, at, positions): the line numbers (from 0) to drop of each document that loses lines."""
-    lines = parsed_lines(docs, ident, text)
-    seen = materialize(lines.drop("line"), "lines")
+    lines = materialize(parsed_lines(docs, ident, text), "lines")
+    seen = lines.drop("line")
     stats = seen.groupBy("leaf", "own").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
     stats = materialize(stats, "line-stats")
 
     leaves = materialize(stats.groupBy("leaf").agg(F.count("*").alias("variants")).where("variants > 1").select("leaf"), "leaves")
-    chosen = F.broadcast(leaves) if leaves.count() <= BROADCAST_ROWS else leaves
-    variants = lines.select("leaf", "own", "line").join(chosen, "leaf", "left_semi").groupBy("leaf", "own").agg(F.min("line").alias("line"))
+    variants = in_leaves(lines.select("leaf", "own", "line").where("line is not null"), leaves).groupBy("leaf", "own").agg(F.min("line").alias("line"))
     variants = materialize(variants.join(stats, ["leaf", "own"]), "variants")
     seeds = variants.groupBy("leaf").agg(F.max_by("line", F.struct("n", "line")).alias("seed"))
     matched = variants.join(seeds, "leaf").where(agreeing("line", "seed"))

@@ -801,6 +801,27 @@ def test_a_leaf_has_any_number_of_templates(spark):
     assert kept == [min(i for i, f in family_of.items() if f == family) for family in range(11)]
 
 
+def test_lines_are_parsed_once_and_late_rounds_need_no_shuffle(spark, monkeypatch):
+    """The texts are split in one job, and rounds of few rows are of one task; both give what the distributed ways give."""
+    rng = random.Random(3)
+    rows = [(i, "\n".join(f"a line of leaf {rng.choice('xy')} " + " ".join(rng.choice("abc") for _ in range(8)) for _ in range(4))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plans, write = [], line_templates.materialize
+
+    def noted(df, name="table"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(line_templates, "materialize", noted)
+    got = sorted(tuple(r) for r in line_templates.dedup_lines(docs).collect())
+    assert sum("Generate" in plan for name, plan in plans if name in ("lines", "variants")) == 1
+    late = [plan for name, plan in plans if name == "settled"][1:]
+    assert late and not any("Exchange" in plan for plan in late)
+    monkeypatch.setattr(line_templates, "ROWS_AT_ONCE", 0)
+    monkeypatch.setattr(line_templates, "BROADCAST_ROWS", 1)
+    assert sorted(tuple(r) for r in line_templates.dedup_lines(docs).collect()) == got
+
+
 def test_further_templates_leave_no_two_lines_that_agree(spark):
     rng = random.Random(5)
     lines = sorted({"all lines begin " + " ".join(rng.choice("abcdef") for _ in range(5 + i % 4)) for i in range(200)})
