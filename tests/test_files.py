@@ -45,6 +45,30 @@ def test_unsupported_files_are_not_read(spark, tmp_path):
     assert len(scans) == 2 and sum("content" in x.split("Batched")[0] for x in scans) == 1
 
 
+def test_no_job_lists_all_files(spark, sf, monkeypatch):
+    """Files are dealt to folders that are read one after the other; all of them are read, each once."""
+    from clauseworks.plans import jobs
+
+    monkeypatch.setattr(files, "FILES_AT_ONCE", 70)
+    listed, read = [], {"read_documents": files.read_documents, "read_workbooks": files.read_workbooks}
+
+    def noted(name):
+        def call(spark, place, *args, **more):
+            listed.append(spark.read.format("binaryFile").load(place).count())
+            return read[name](spark, place, *args, **more)
+
+        return call
+
+    for name in read:
+        monkeypatch.setattr(files, name, noted(name))
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    for query in (jobs.file_router, jobs.workbooks):
+        listed.clear()
+        out = query(spark, sf)
+        assert out.select("doc_id").distinct().count() == n
+        assert len(listed) == files.folders_for(n) > 1 and max(listed) <= 70 and sum(listed) == n
+
+
 def test_workbooks_round_trip(spark, tmp_path):
     rows = [[None], ["Title", None, "x"], [], ["Requirement", "Standard", "", "Clause", "Requirement"], ["tab\there & <b> _x0041_ \x0b", "EN 1", "no name", 7, "second"], [None, True, 2.5, 7.0, None], ["last", "é日", None, "7.1(a)", None]]
     book = files.made_workbook([("Notes", [["a"]]), ("Main & co", rows), ("Empty", [])])
